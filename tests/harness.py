@@ -26,6 +26,9 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "int": "INTEGER", "boolean": "BOOLEAN"}
+
+
 def _norm(v):
     if v is None:
         return None
@@ -65,7 +68,12 @@ def compare(spark, name: str, run, sql: str, sf_dir: str, con=None) -> dict:
         diff_a = [r for r in a if r not in set(b)][:3]
         diff_b = [r for r in b if r not in set(a)][:3]
         res["only_spark"], res["only_oracle"] = diff_a, diff_b
-    res["ok"] = res["columns_match"] and res["values_match"] and len(s_rows) == len(d_rows)
+    s_types = {f.name.lower(): SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    d_types = {c.lower(): str(t) for c, t in zip(d_cols, rel.types)}
+    res["types_match"] = s_types == d_types
+    if not res["types_match"]:
+        res["spark_types"], res["oracle_types"] = s_types, d_types
+    res["ok"] = res["columns_match"] and res["values_match"] and res["types_match"] and len(s_rows) == len(d_rows)
     return res
 
 
