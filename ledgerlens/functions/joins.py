@@ -1,10 +1,11 @@
-"""Join helpers with explicit size checks.
-
-A ``broadcast`` hint bypasses Spark's own size check, so it is only given here when the small side is proven small:
-either its size follows from the parameters (one row per period or per day of a bounded range) or a bounded probe
-(``limit(max_rows + 1).count()``, which stops reading once the bound is passed) shows it. Otherwise the join is left
-to the planner: ``spark.sql.autoBroadcastJoinThreshold`` and AQE choose broadcast from real sizes, and sort-merge with
-skew splitting (``spark.sql.adaptive.skewJoin.enabled``) handles large or skewed sides.
+"""Join policy.
+
+* Dimension tables (app labels, hourly prices of one symbol, protocol payloads, contract addresses) are joined
+  without hints. Spark checks their size itself: statically against ``spark.sql.autoBroadcastJoinThreshold`` and,
+  under AQE, again at runtime from the real shuffle size; beyond the threshold the join is a sort-merge join whose
+  skewed partitions AQE splits (``spark.sql.adaptive.skewJoin.enabled``). A hint would bypass that check.
+* Sides whose row count is bounded by the parameters - one row per period, per day of a bounded range, or a single
+  aggregate row - are broadcast explicitly with :func:`bounded`; the caller states the bound.
 """
 
 from __future__ import annotations
@@ -12,21 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows of a dimension that may be broadcast after the bounded probe (a few MB for address/label rows).
-DEFAULT_BROADCAST_ROWS = 200_000
-
-
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows. Reads at most ``max_rows + 1`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def small_side(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast-hinted ``df`` when the probe proves it small, else ``df`` unchanged (planner decides)."""
-    return F.broadcast(df) if fits(df, max_rows) else df
-
 
 def bounded(df: DataFrame) -> DataFrame:
     """Broadcast a side whose row count is bounded by construction (per-period or per-day aggregates, one-row
-    scalars). The caller states the bound in a comment."""
+    scalars)."""
     return F.broadcast(df)

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import LEADERBOARD_EXCLUDED_CATEGORIES, UNKNOWN, amount, fee_wei, growth_pct, wei_to_eth
-from ..functions.joins import small_side
 from ..timeframe import Timeframe, ntz, shift
 
 
@@ -49,7 +48,7 @@ def trending(tx: DataFrame, contracts: DataFrame, labels: DataFrame, as_of: dt.d
     ranked = per_target.join(is_contract, "contract", "left_semi").filter(
         (F.col("active_accounts_previous") > min_wallets) & ((F.col("active_accounts_current") - F.col("active_accounts_previous")) > 0)
     )
-    names = small_side(labels.select(F.col("address").alias("contract"), F.col("name").alias("_name")))
+    names = labels.select(F.col("address").alias("contract"), F.col("name").alias("_name"))
     out = ranked.join(names, "contract", "left").select(
         "contract",
         F.coalesce("_name", F.lit(UNKNOWN)).alias("project"),
@@ -68,7 +67,8 @@ def leaderboard(tx: DataFrame, labels: DataFrame, as_of: dt.datetime, tf: Timefr
     wallets with growth over the previous period (0 when there was none). Ordered by fees, NULLs last.
 
     Distinct wallets of an app cannot be merged from per-address counts, so transactions are mapped to apps first:
-    a join with the (size-checked, broadcast) label table, no shuffle of the transactions on a hot address.
+    a join with the label table, which Spark broadcasts when its size check allows (no shuffle of the transactions
+    on a hot address); beyond the threshold AQE splits skewed partitions of the sort-merge join.
     """
     tf = Timeframe.parse(tf)
     scan, aggs = two_period_aggs("block_timestamp", as_of, tf)
@@ -76,7 +76,7 @@ def leaderboard(tx: DataFrame, labels: DataFrame, as_of: dt.datetime, tf: Timefr
     apps = labels.filter(excluded[0] & excluded[1]).select(
         F.col("address").alias("_address"), F.col("name").alias("project"), "slug", "category"
     )
-    rows = tx.filter(scan).join(small_side(apps), F.col("to_address") == F.col("_address"))
+    rows = tx.filter(scan).join(apps, F.col("to_address") == F.col("_address"))
     agg = rows.groupBy("project", "slug", "category").agg(*aggs)
     return agg.orderBy(F.col("gas_wei_current").desc_nulls_last(), "project", "slug", "category").select(
         "project",

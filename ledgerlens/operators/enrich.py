@@ -1,6 +1,6 @@
 """Attach a value read from a keyed JSON payload (e.g. a protocol's locked value on one chain) to result rows.
 
-The payload table is joined like any dimension (size-checked broadcast, otherwise the planner's choice); rows with
+The payload table is joined like any dimension (broadcast when Spark's size check allows, else sort-merge); rows with
 no payload, a NULL key or no value at the path get NULL.
 """
 
@@ -9,9 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.joins import small_side
-
 
 def enrich_json(df: DataFrame, payloads: DataFrame, key: str, path: str, out: str, payload_col: str = "payload") -> DataFrame:
     values = payloads.select(F.col(key).alias("_key"), F.get_json_object(payload_col, path).cast("double").alias(out))
-    return df.join(small_side(values), df[key] == F.col("_key"), "left").drop("_key")
+    return df.join(values, df[key] == F.col("_key"), "left").drop("_key")

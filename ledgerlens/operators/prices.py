@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import PRICE_SYMBOL, fee_wei
-from ..functions.joins import small_side
 from ..timeframe import period_start
 
 
@@ -23,6 +22,7 @@ def priced_hours(tx: DataFrame, prices: DataFrame, symbol: str = PRICE_SYMBOL) -
         .groupBy(period_start("block_timestamp", "hour").alias("hour"))
         .agg(F.sum(fee_wei()).alias("rev_wei"))
     )
-    # ``(hour, symbol)`` is unique, so one symbol has at most one row per hour of history; size-checked anyway.
-    px = small_side(prices.filter(F.col("symbol") == symbol).select("hour", "usd_price"))
+    # ``(hour, symbol)`` is unique: one row per hour of history. The planner broadcasts it when it is under the
+    # broadcast threshold; either way it meets the hourly aggregate, not the transactions.
+    px = prices.filter(F.col("symbol") == symbol).select("hour", "usd_price")
     return hourly.join(px, "hour").select("hour", "rev_wei", (F.col("usd_price") * F.col("rev_wei")).alias("rev_usd_wei"))

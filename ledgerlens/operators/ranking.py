@@ -8,10 +8,14 @@ Plan, built so that no period's project list is ever sorted in one task:
 
 * ``named``: ``row_number() <= k`` over the aggregated (period, project) rows. Catalyst turns the rank filter into a
   partial ``WindowGroupLimit`` before the shuffle, so each task sends at most ``k`` rows per period.
-* ``Other``: per-period totals over the kept projects (partial aggregation, one row per period and task) minus the
-  named projects' part. Measures are exact (integers, decimal wei), so the subtraction is exact.
+* ``Other``: the sum over all kept projects minus the named projects' part, per period, computed by one partial
+  aggregate over a union (one row per period and task leaves the map side). Measures are exact (integers, decimal
+  wei), so the subtraction is exact.
 
-Both branches read the same aggregate; Spark reuses its shuffle output (``ReusedExchange``).
+Both branches read the same aggregate and Spark reuses its shuffle output (``ReusedExchange``). For that the
+aggregate must canonicalize identically in both branches, which Catalyst's multi-``count(distinct)`` rewrite does
+not guarantee (its ``Expand`` order follows attribute ids); two distinct counts therefore use
+:func:`~ledgerlens.functions.aggs.distinct_counts`.
 """
 
 from __future__ import annotations
@@ -19,30 +23,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import OTHER, amount, fee_wei, long_label, project_of, wei_to_eth
-from ..functions.joins import small_side
+from ..functions.exprs import OTHER, amount, fee_wei, long_label, period, project_of, wei_to_eth
+from ..functions.aggs import distinct_counts
 from ..timeframe import Timeframe
 from .periods import PERIOD
-from ..functions.exprs import period
 
 
 def top_k_other(agg: DataFrame, measure: str, rank_by: str, wallets: str, k: int = 10, min_wallets: int = 10) -> DataFrame:
     """``agg`` has one row per (``_period``, ``project``). Returns ``_period, project, {measure}`` with at most
-    ``k`` named projects and one ``Other`` row per period."""
+    ``k`` named projects and one ``Other`` row per period (when kept projects remain after the named ones)."""
     order = [F.col(rank_by).desc_nulls_first(), F.col("project").asc()]
     rn = F.row_number().over(Window.partitionBy(PERIOD).orderBy(*order))
-    top = agg.withColumn("_rn", rn).filter(F.col("_rn") <= k)
-    named = top.filter(F.col(wallets) > min_wallets).select(PERIOD, "project", measure)
-
+    named = agg.withColumn("_rn", rn).filter((F.col("_rn") <= k) & (F.col(wallets) > min_wallets))
     kept = agg.filter(F.col(wallets) > min_wallets)
-    totals = kept.groupBy(PERIOD).agg(F.sum(measure).alias("_total"), F.count(F.lit(1)).alias("_n"))
-    named_totals = named.groupBy(PERIOD).agg(F.sum(measure).alias("_named"), F.count(F.lit(1)).alias("_n_named"))
-    other = (
-        totals.join(named_totals, PERIOD, "left")
-        .filter(F.col("_n") > F.coalesce(F.col("_n_named"), F.lit(0)))
-        .select(PERIOD, F.lit(OTHER).alias("project"), (F.col("_total") - F.coalesce(F.col("_named"), F.lit(0))).alias(measure))
-    )
-    return named.unionByName(other)
+    # Other = (all kept projects) - (named projects), per period, in one aggregate over a union (no join): the named
+    # rows enter once as themselves and once negated under ``Other``.
+    parts = [
+        named.select(PERIOD, "project", F.col(measure).alias("_m"), F.lit(1).alias("_n")),
+        kept.select(PERIOD, F.lit(OTHER).alias("project"), F.col(measure).alias("_m"), F.lit(1).alias("_n")),
+        named.select(PERIOD, F.lit(OTHER).alias("project"), (-F.col(measure)).alias("_m"), F.lit(-1).alias("_n")),
+    ]
+    union = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    folded = union.groupBy(PERIOD, "project").agg(F.sum("_m").alias(measure), F.sum("_n").alias("_n"))
+    return folded.filter(F.col("_n") > 0).drop("_n")
 
 
 def project_chart(tx: DataFrame, contracts: DataFrame, labels: DataFrame, tf: Timeframe | str, measure: str, k: int = 10, min_wallets: int = 10) -> DataFrame:
@@ -56,22 +59,21 @@ def project_chart(tx: DataFrame, contracts: DataFrame, labels: DataFrame, tf: Ti
         .filter(F.col("_contract").isNotNull() | (F.col("value") > 0))
         .select(period("block_timestamp", tf).alias(PERIOD), project_of("_contract").alias("project"), "hash", "from_address", fee_wei().alias("fee"))
     )
-    aggs = [F.count_distinct("from_address").alias("num_unique_wallets")]
     if measure == "num_transactions":
-        aggs.append(F.count_distinct("hash").alias("num_transactions"))
+        agg = distinct_counts(rows, [PERIOD, "project"], {"num_unique_wallets": "from_address", "num_transactions": "hash"})
         rank_by = "num_unique_wallets"
     elif measure == "eth_fees":
-        aggs.append(F.sum("fee").alias("fee_wei"))
+        agg = rows.groupBy(PERIOD, "project").agg(F.count_distinct("from_address").alias("num_unique_wallets"), F.sum("fee").alias("fee_wei"))
         rank_by = "fee_wei"
     elif measure == "num_unique_wallets":
+        agg = rows.groupBy(PERIOD, "project").agg(F.count_distinct("from_address").alias("num_unique_wallets"))
         rank_by = "num_unique_wallets"
     else:
         raise ValueError(f"unknown measure {measure!r}")
-    agg = rows.groupBy(PERIOD, "project").agg(*aggs)
     value = "fee_wei" if measure == "eth_fees" else measure
     folded = top_k_other(agg, value, rank_by, "num_unique_wallets", k, min_wallets)
 
-    names = small_side(labels.select(F.col("address").alias("_address"), F.col("name").alias("_name")))
+    names = labels.select(F.col("address").alias("_address"), F.col("name").alias("_name"))
     out = amount(wei_to_eth(value)).alias(measure) if measure == "eth_fees" else F.col(value).alias(measure)
     labelled = folded.join(names, folded["project"] == names["_address"], "left")
     return labelled.orderBy(PERIOD, F.col(value).desc(), "project").select(

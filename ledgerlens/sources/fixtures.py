@@ -34,9 +34,23 @@ def _dec(col: Column, p: int, s: int = 0) -> Column:
     return col.cast(f"decimal({p},{s})")
 
 
+# Unique key of each driver table, used to spread single-task scans.
+_SPREAD_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "part": "p_partkey", "events": "event_id"}
+
+
 def _reader(spark: SparkSession, sf_dir: str):
-    def read(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Reader of the driver tables. Each driver file is a single Parquet row group, which Spark scans in one task;
+    when the scan has fewer partitions than the session's parallelism, rows are hash-distributed on the table's
+    unique key so that the fixture derivations and everything up to the first shuffle run on all cores. (Tables
+    stored for production come as many files and row groups and need no such step.)"""
+    parallelism = spark.sparkContext.defaultParallelism
+
+    def read(name: str, spread: bool = True) -> DataFrame:
+        df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        key = _SPREAD_KEYS.get(name)
+        if spread and key and df.rdd.getNumPartitions() < parallelism:
+            df = df.repartition(parallelism, key)
+        return df
 
     return read
 
@@ -143,8 +157,9 @@ def long_history(spark: SparkSession, sf_dir: str) -> Tables:
 
     def transactions() -> DataFrame:
         li = read("lineitem")
-        o = read("orders").select("o_orderkey", "o_custkey")
-        p = read("part").select("p_partkey", "p_brand")
+        # Dimension sides of the fixture joins are read as they are (small; broadcast by the planner).
+        o = read("orders", spread=False).select("o_orderkey", "o_custkey")
+        p = read("part", spread=False).select("p_partkey", "p_brand")
         j = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
         return j.select(
             F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("hash"),
