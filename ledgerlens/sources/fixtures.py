@@ -35,7 +35,7 @@ def _dec(col: Column, p: int, s: int = 0) -> Column:
 
 
 # Unique key of each driver table, used to spread single-task scans.
-_SPREAD_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "part": "p_partkey", "events": "event_id"}
+_SPREAD_KEYS = {"lineitem": "l_orderkey", "events": "event_id"}
 
 
 def _reader(spark: SparkSession, sf_dir: str):
