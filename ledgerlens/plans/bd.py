@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ..operators.compare import leaderboard as _leaderboard
 from ..operators.enrich import enrich_json
 from ..sources.registry import Tables
-from ..timeframe import Timeframe, as_datetime
+from ..timeframe import Timeframe, as_datetime, shift
 
 
 def leaderboard(tables: Tables, as_of, tf: Timeframe | str = Timeframe.MONTH) -> DataFrame:
     """Per app: ``project, slug, category, eth_fees, eth_fees_growth, transactions, transactions_growth, wallets,
     wallets_growth``; growth is 0 when the app had no activity in the previous period."""
-    as_of = as_datetime(as_of)
-    t = tables.as_of(as_of)
+    as_of, tf = as_datetime(as_of), Timeframe.parse(tf)
+    t = tables.as_of(as_of).window(shift(as_of, -2, tf), names=("transactions",))
     return _leaderboard(t["transactions"], t["labels_apps"], as_of, tf)
 
 

@@ -70,7 +70,7 @@ def chain_key_deployers(tables: Tables, as_of, tf: Timeframe | str, chains: tupl
 def _commit_series(tables: Tables, as_of, tf, agg, out: str, since: dt.datetime) -> DataFrame:
     as_of, tf = as_datetime(as_of), Timeframe.parse(tf)
     # The cut is the start of the current *week* whatever the timeframe.
-    series = period_agg(tables.as_of(as_of)["git_commits"], "date", tf, [agg.alias(out)], since=since, before=truncate(as_of, Timeframe.WEEK))
+    series = period_agg(tables.as_of(as_of).window(since)["git_commits"], "date", tf, [agg.alias(out)], since=since, before=truncate(as_of, Timeframe.WEEK))
     return labelled(rolling_mean(series, PERIOD, out, ROLLING_ROWS))
 
 

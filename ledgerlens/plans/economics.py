@@ -83,6 +83,11 @@ def _since(df: DataFrame, as_of: dt.datetime, window) -> DataFrame:
     return df.filter(F.col("block_timestamp") >= ntz(shift(as_of, -n, unit)))
 
 
+def _windowed(tables: Tables, as_of: dt.datetime, window) -> Tables:
+    t = tables.as_of(as_of)
+    return t.window(shift(as_of, -window[0], window[1])) if window else t
+
+
 def _revenue_wei(t: Tables, as_of: dt.datetime, window) -> DataFrame:
     tx = _since(t[TX], as_of, window).filter(F.col("receipt_effective_gas_price") > 0)
     return tx.agg(F.sum(fee_wei()).alias("rev_wei"))
@@ -91,7 +96,7 @@ def _revenue_wei(t: Tables, as_of: dt.datetime, window) -> DataFrame:
 def scalar_revenue(tables: Tables, as_of, window: str) -> DataFrame:
     """Fee revenue (ETH, zero gas price excluded, no price needed) over ``week``, ``month`` or ``all``: ``gas_rev``."""
     as_of = as_datetime(as_of)
-    rev = _revenue_wei(tables.as_of(as_of), as_of, SCALAR_WINDOWS[window])
+    rev = _revenue_wei(_windowed(tables, as_of, SCALAR_WINDOWS[window]), as_of, SCALAR_WINDOWS[window])
     return rev.select(amount(wei_to_eth("rev_wei")).alias("gas_rev"))
 
 
@@ -99,8 +104,8 @@ def scalar_profit(tables: Tables, as_of, window: str) -> DataFrame:
     """Revenue minus batch and verification cost over ``week``, ``month`` or ``all``: ``profit``. NULL without
     revenue; missing costs count as 0."""
     as_of = as_datetime(as_of)
-    t = tables.as_of(as_of)
     win = SCALAR_WINDOWS[window]
+    t = _windowed(tables, as_of, win)
     rev = _revenue_wei(t, as_of, win)
     # Three one-row aggregates.
     batch = _since(t["l1_batch_fees"], as_of, win).agg(F.sum("gas_spend").alias("bf"))

@@ -17,7 +17,7 @@ def report(tables: Tables, start: dt.date | str, end: dt.date | str, as_of=None)
     have fee revenue. ``end`` is midnight at the start of that date. Totals are NULL when the bridge revenue, batch
     or verification cost of the day is missing; oracle costs count as 0 when missing."""
     t = tables.as_of(as_datetime(as_of)) if as_of is not None else tables
-    return daily_report(t, start, end)
+    return daily_report(t.window(start, end), start, end)
 
 
 def dashboard(tables: Tables, start, end, as_of=None) -> dict[str, DataFrame]:

@@ -15,7 +15,7 @@ from ..operators.ranking import project_chart
 from ..operators.retention import cohort_retention
 from ..operators.trailing import Window, activity_cards, distinct_growth, trailing_distinct
 from ..sources.registry import Tables
-from ..timeframe import Timeframe, as_datetime, truncate
+from ..timeframe import Timeframe, as_datetime, shift, truncate
 
 TX = "transactions"
 
@@ -30,19 +30,23 @@ CARD_WINDOWS = {
 def actives(tables: Tables, as_of, n: int, unit: Timeframe | str) -> DataFrame:
     """Distinct senders in the last ``n`` units (cards ``actives_24h``, ``actives_7d``, ``actives_1m``)."""
     as_of = as_datetime(as_of)
-    return trailing_distinct(tables.as_of(as_of)[TX], "from_address", "block_timestamp", as_of, n, unit, "active_wallets")
+    t = tables.as_of(as_of).window(shift(as_of, -n, Timeframe.parse(unit)), names=(TX,))
+    return trailing_distinct(t[TX], "from_address", "block_timestamp", as_of, n, unit, "active_wallets")
 
 
 def actives_growth(tables: Tables, as_of, n: int, unit: Timeframe | str, out: str) -> DataFrame:
     """Growth of distinct senders over the previous window (cards ``actives_growth_*``)."""
     as_of = as_datetime(as_of)
-    return distinct_growth(tables.as_of(as_of)[TX], "from_address", "block_timestamp", as_of, n, unit, out)
+    t = tables.as_of(as_of).window(shift(as_of, -2 * n, Timeframe.parse(unit)), names=(TX,))
+    return distinct_growth(t[TX], "from_address", "block_timestamp", as_of, n, unit, out)
 
 
 def cards(tables: Tables, as_of) -> DataFrame:
     """All six cards in one scan: ``actives_24h, actives_growth_24h, actives_7d, ..., actives_growth_1m``."""
     as_of = as_datetime(as_of)
-    return activity_cards(tables.as_of(as_of)[TX], "from_address", "block_timestamp", as_of, CARD_WINDOWS)
+    since = min(w.bounds(as_of)[1] for w in CARD_WINDOWS.values())
+    t = tables.as_of(as_of).window(since, names=(TX,))
+    return activity_cards(t[TX], "from_address", "block_timestamp", as_of, CARD_WINDOWS)
 
 
 def active_accounts_chart(tables: Tables, as_of, tf: Timeframe | str) -> DataFrame:
@@ -92,7 +96,7 @@ def trending_contracts(tables: Tables, as_of, tf: Timeframe | str, min_wallets:
     """Contracts with more than ``min_wallets`` wallets in the previous period and more wallets now; top ``limit``
     by current transactions."""
     as_of, tf = as_datetime(as_of), Timeframe.parse(tf)
-    t = tables.as_of(as_of)
+    t = tables.as_of(as_of).window(shift(as_of, -2, tf), names=(TX,))
     return trending(t[TX], t["contracts"], t["labels_apps"], as_of, tf, min_wallets, limit)
 
 

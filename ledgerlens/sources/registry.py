@@ -3,6 +3,11 @@
 Metrics never name storage. They receive a :class:`Tables` registry and read logical tables from it, so the same
 metric runs over Parquet folders, catalog tables or test fixtures. ``tables.as_of(ts)`` returns a registry whose fact
 tables are cut at ``event_time <= ts``; the cut is a plain filter that Catalyst pushes into each scan.
+
+Fact tables stored with a date partition column (``PARTITION_COLUMNS``) are also pruned by partition: the cut and
+the time window a metric declares with ``tables.window(since, until)`` become filters on that column, which Spark
+turns into ``PartitionFilters`` (files outside the window are never listed or opened). Catalyst cannot derive those
+from timestamp predicates by itself. The exact timestamp predicates are still applied by the metric.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..timeframe import as_datetime, ntz
-from .schemas import EVENT_TIME, SCHEMAS, UNIQUE_KEYS, conform
+from .schemas import EVENT_TIME, PARTITION_COLUMNS, SCHEMAS, UNIQUE_KEYS, conform
 
 Factory = Callable[[], DataFrame]
 
@@ -22,10 +27,20 @@ Factory = Callable[[], DataFrame]
 class Tables(Mapping):
     """Lazily built logical tables. Each factory runs at most once per registry."""
 
-    def __init__(self, factories: Mapping[str, Factory | DataFrame], as_of: dt.datetime | None = None):
+    def __init__(
+        self,
+        factories: Mapping[str, Factory | DataFrame],
+        as_of: dt.datetime | None = None,
+        since: dt.datetime | None = None,
+        until: dt.datetime | None = None,
+        window_names: tuple[str, ...] | None = None,
+    ):
         self._factories = dict(factories)
         self._built: dict[str, DataFrame] = {}
         self.as_of_ts = as_of
+        self.since_ts = since
+        self.until_ts = until
+        self.window_names = window_names
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._built:
@@ -33,6 +48,7 @@ class Tables(Mapping):
                 raise KeyError(f"table {name!r} is not registered; known: {sorted(self._factories)}")
             source = self._factories[name]
             df = source if isinstance(source, DataFrame) else source()
+            df = self._prune_partitions(name, df)
             if name in SCHEMAS:
                 df = conform(name, df)
             if self.as_of_ts is not None and name in EVENT_TIME:
@@ -40,6 +56,18 @@ class Tables(Mapping):
             self._built[name] = df
         return self._built[name]
 
+    def _prune_partitions(self, name: str, df: DataFrame) -> DataFrame:
+        part = PARTITION_COLUMNS.get(name)
+        if part is None or part not in df.columns:
+            return df
+        windowed = self.window_names is None or name in self.window_names
+        upper = [ts for ts in (self.as_of_ts, self.until_ts if windowed else None) if ts is not None]
+        if upper:
+            df = df.filter(F.col(part) <= F.lit(min(upper).date()))
+        if windowed and self.since_ts is not None:
+            df = df.filter(F.col(part) >= F.lit(self.since_ts.date()))
+        return df
+
     def __iter__(self):
         return iter(self._factories)
 
@@ -48,12 +76,19 @@ class Tables(Mapping):
 
     def as_of(self, ts: dt.datetime | str) -> "Tables":
         """Registry with every fact table cut at ``event_time <= ts``."""
-        return Tables(self._factories, as_of_ts_from(ts))
+        return Tables(self._factories, as_of_ts_from(ts), self.since_ts, self.until_ts, self.window_names)
+
+    def window(self, since=None, until=None, names: tuple[str, ...] | None = None) -> "Tables":
+        """Registry that reads only the date partitions of ``[since, until]`` of the fact tables ``names`` (all fact
+        tables when None). A pruning hint: rows are not cut to the exact timestamps, the metric does that."""
+        lo = as_of_ts_from(since) if since is not None else None
+        hi = as_of_ts_from(until) if until is not None else None
+        return Tables(self._factories, self.as_of_ts, lo, hi, tuple(names) if names else None)
 
     def with_tables(self, **frames: Factory | DataFrame) -> "Tables":
         merged = dict(self._factories)
         merged.update(frames)
-        return Tables(merged, self.as_of_ts)
+        return Tables(merged, self.as_of_ts, self.since_ts, self.until_ts, self.window_names)
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str, names: list[str] | None = None) -> "Tables":

@@ -65,6 +65,10 @@ EVENT_TIME = {
     "git_commits": "date",
 }
 
+# Optional date partition column of each fact table (``to_date`` of its event time). Tables stored with it get
+# partition pruning from the ``as_of`` cut and from every metric's time window (see ``Tables.window``).
+PARTITION_COLUMNS = {name: ("created_date" if ts == "created_at" else "commit_date" if ts == "date" else "block_date") for name, ts in EVENT_TIME.items()}
+
 # Keys the metrics assume unique: a duplicate would multiply sums in the joins that use them.
 UNIQUE_KEYS = {"contracts": ["address"], "labels_apps": ["address"], "token_prices_hourly": ["hour", "symbol"]}
 

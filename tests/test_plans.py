@@ -99,3 +99,46 @@ def test_no_python_in_any_registered_plan(spark):
         plan = physical(entry.run(spark, SF))
         assert "EvalPython" not in plan and "PythonUDF" not in plan, name
         assert "CartesianProduct" not in plan, name
+
+
+FACTS = ["transactions", "l1_batch_fees"]  # day folders; the other tables stay unpartitioned (both paths in one registry)
+
+
+@pytest.fixture(scope="module")
+def day_partitioned(spark, stored, tmp_path_factory):
+    from ledgerlens.sources.layout import write_fact_table
+
+    root = tmp_path_factory.mktemp("by_day")
+    src = fx.long_history(spark, SF)
+    for name in NAMES:
+        if name in FACTS:
+            write_fact_table(name, src[name], str(root / name))
+        else:
+            src[name].write.parquet(str(root / name))
+    return Tables.from_parquet(spark, str(root), NAMES)
+
+
+def test_windows_prune_date_partitions(day_partitioned):
+    (scan,) = scan_lines(users.actives(day_partitioned, fx.LONG_AS_OF, 1, "month"))
+    filters = re.search(r"PartitionFilters: \[([^\]]*)\]", scan).group(1)
+    assert "block_date" in filters and ">=" in filters and "<=" in filters
+    scans = scan_lines(users.trending_contracts(day_partitioned, fx.LONG_AS_OF, "month"))
+    tx_scan = next(s for s in scans if "transactions" in s)
+    assert ">=" in re.search(r"PartitionFilters: \[([^\]]*)\]", tx_scan).group(1)
+
+
+@pytest.mark.parametrize(
+    "metric",
+    [
+        lambda t: users.actives(t, fx.LONG_AS_OF, 1, "month"),
+        lambda t: users.actives_growth(t, fx.LONG_AS_OF, 1, "month", "g"),
+        lambda t: users.trending_contracts(t, fx.LONG_AS_OF, "month", min_wallets=0),
+        lambda t: users.active_accounts_chart(t, fx.LONG_AS_OF, "week"),
+        lambda t: economics.scalar_profit(t, fx.LONG_AS_OF, "week"),
+        lambda t: report.report(t, fx.REPORT_START, fx.REPORT_END, fx.LONG_AS_OF),
+    ],
+)
+def test_partitioned_layout_gives_same_results(stored, day_partitioned, metric):
+    a = sorted(map(tuple, metric(stored).collect()))
+    b = sorted(map(tuple, metric(day_partitioned).collect()))
+    assert a == b and a
