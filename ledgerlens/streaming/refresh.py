@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans import bd, economics, users
+from ..plans.sink import write_dashboard
 from ..sources.registry import Tables
 from ..sources.schemas import SCHEMAS
 from ..timeframe import Timeframe
@@ -31,15 +32,12 @@ DASHBOARDS: dict[str, Callable[[Tables, dt.datetime, Timeframe], dict]] = {
 }
 
 
-def publish(tables: Tables, as_of: dt.datetime, out_dir: str, timeframe: Timeframe | str, names: list[str]) -> dict[str, str]:
-    """Recompute the named dashboards and overwrite one Parquet folder per result. Returns result -> path."""
+def publish(tables: Tables, as_of: dt.datetime, out_dir: str, timeframe: Timeframe | str, names: list[str], fmt: str = "parquet") -> dict[str, str]:
+    """Recompute the named dashboards and overwrite one folder per result. Returns result -> path."""
     written = {}
     for name in names:
-        for key, df in DASHBOARDS[name](tables, as_of, timeframe).items():
-            if not isinstance(df, DataFrame):
-                continue
-            path = f"{out_dir.rstrip('/')}/{name}/{key}"
-            df.coalesce(1).write.mode("overwrite").parquet(path)  # results are per-period aggregates: small
+        results = DASHBOARDS[name](tables, as_of, timeframe)
+        for key, path in write_dashboard(results, f"{out_dir.rstrip('/')}/{name}", fmt).items():
             written[f"{name}.{key}"] = path
     return written
 

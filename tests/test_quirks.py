@@ -247,3 +247,14 @@ def test_slug_without_payload_gets_null_tvl(spark):
 def test_timeframe_rejected(spark):
     with pytest.raises(ValueError):
         users.active_accounts_chart(tables(spark), AS_OF, "year")
+
+
+def test_dashboard_sink_writes_json_records(spark, tmp_path):
+    from ledgerlens.plans.sink import write_dashboard
+
+    t = tables(spark, transactions=[tx("a", T(2024, 3, 20, 1), "w1", "x"), tx("b", T(2024, 3, 19, 1), "w2", "x")])
+    written = write_dashboard({"time": users.stamp(AS_OF), "cards": users.cards(t, AS_OF)}, str(tmp_path), fmt="json")
+    assert list(written) == ["cards"]
+    row = one(spark.read.json(written["cards"]))
+    assert (row["actives_24h"], row["actives_growth_24h"], row["actives_7d"]) == (1, 0.0, 2)
+    assert users.stamp(AS_OF) == "20/03/24 12:00"

@@ -1,6 +1,7 @@
 """The publishing stream recomputes dashboards from stored tables when transaction files arrive."""
 
 import shutil
+import uuid
 
 from ledgerlens.plans import economics
 from ledgerlens.sources import fixtures as fx
@@ -22,9 +23,11 @@ def test_refresh_publishes_on_arrival_and_resumes(spark, tmp_path):
     def factory():
         return Tables.from_parquet(spark, str(root), NAMES)
 
+    query_name = f"refresh_test_{uuid.uuid4().hex}"  # checkpoints live under spark.checkpoint.dir
+
     def run():
         q = start_refresh(spark, str(root / "transactions"), factory, str(out), "month", ("economics",),
-                          clock=lambda: fx.LONG_AS_OF, available_now=True, query_name=f"refresh_{tmp_path.name}")
+                          clock=lambda: fx.LONG_AS_OF, available_now=True, query_name=query_name)
         q.awaitTermination(300)
         return q
 
