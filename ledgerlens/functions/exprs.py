@@ -89,9 +89,10 @@ def retention_pct(users: Column | str, cohort_size: Column | str) -> Column:
 
 # --- classification ------------------------------------------------------------------------------------------------
 
-def project_of(contract_address: Column | str, value: Column | str = "value") -> Column:
-    """Contract address if the target is a contract, else ``ETH transfer`` for value transfers, else ``empty_call``."""
-    return F.when(c(contract_address).isNotNull(), c(contract_address)).when(c(value) > 0, F.lit(ETH_TRANSFER)).otherwise(F.lit(EMPTY_CALL))
+def project_of(contract_address: Column | str, is_transfer: Column | str) -> Column:
+    """Contract address if the target is a contract, else ``ETH transfer`` for value transfers (``value > 0``), else
+    ``empty_call``."""
+    return F.when(c(contract_address).isNotNull(), c(contract_address)).when(c(is_transfer), F.lit(ETH_TRANSFER)).otherwise(F.lit(EMPTY_CALL))
 
 
 def key_deployment() -> Column:

@@ -48,25 +48,44 @@ def top_k_other(agg: DataFrame, measure: str, rank_by: str, wallets: str, k: int
     return folded.filter(F.col("_n") > 0).drop("_n")
 
 
+def _classified(rows: DataFrame, contracts: DataFrame) -> DataFrame:
+    """Attach ``project`` to rows keyed by target address and value flag: the address when the target is a
+    contract, ``ETH transfer`` for value transfers to other addresses; zero-value calls to non-contracts drop out."""
+    targets = contracts.select(F.col("address").alias("_contract"))
+    joined = rows.join(targets, rows["to_address"] == targets["_contract"], "left")
+    kept = joined.filter(F.col("_contract").isNotNull() | F.col("_transfer"))
+    return kept.withColumn("project", project_of("_contract", "_transfer"))
+
+
 def project_chart(tx: DataFrame, contracts: DataFrame, labels: DataFrame, tf: Timeframe | str, measure: str, k: int = 10, min_wallets: int = 10) -> DataFrame:
     """Project chart for ``measure`` in ``num_transactions`` (ranked by wallets), ``eth_fees`` (ranked by fees) or
-    ``num_unique_wallets`` (ranked by wallets). Output: ``date (yyyy-MM-dd), project, {measure}``."""
+    ``num_unique_wallets`` (ranked by wallets). Output: ``date (yyyy-MM-dd), project, {measure}``.
+
+    The project of a row depends only on its target address and on ``value > 0``. For the wallet and fee measures
+    rows are first reduced to distinct (period, target, flag, wallet) with map-side aggregation (fees pre-summed),
+    and only those rows meet the contract table: a wallet calling the same contract many times in a period crosses
+    the join once. Transaction counts need every hash, so there the rows meet the contract table as they are.
+    """
     tf = Timeframe.parse(tf)
-    # Left join: the target is a contract or the row is a value transfer; zero-value calls to non-contracts drop out.
-    targets = contracts.select(F.col("address").alias("_contract"))
-    rows = (
-        tx.join(targets, tx["to_address"] == targets["_contract"], "left")
-        .filter(F.col("_contract").isNotNull() | (F.col("value") > 0))
-        .select(period("block_timestamp", tf).alias(PERIOD), project_of("_contract").alias("project"), "hash", "from_address", fee_wei().alias("fee"))
+    target = [PERIOD, "to_address", "_transfer"]
+    base = tx.select(
+        period("block_timestamp", tf).alias(PERIOD), "to_address", (F.col("value") > 0).alias("_transfer"), "from_address", "hash", fee_wei().alias("fee")
     )
     if measure == "num_transactions":
+        # Transaction hashes are (nearly) unique, so no reduction would happen before the join: rows meet the
+        # contract table as they are, then both distinct counts run in one fixed-shape two-level aggregate.
+        rows = _classified(base, contracts)
         agg = distinct_counts(rows, [PERIOD, "project"], {"num_unique_wallets": "from_address", "num_transactions": "hash"})
         rank_by = "num_unique_wallets"
     elif measure == "eth_fees":
-        agg = rows.groupBy(PERIOD, "project").agg(F.count_distinct("from_address").alias("num_unique_wallets"), F.sum("fee").alias("fee_wei"))
+        per_target = base.groupBy(*target, "from_address").agg(F.sum("fee").alias("fee"))
+        agg = _classified(per_target, contracts).groupBy(PERIOD, "project").agg(
+            F.count_distinct("from_address").alias("num_unique_wallets"), F.sum("fee").alias("fee_wei")
+        )
         rank_by = "fee_wei"
     elif measure == "num_unique_wallets":
-        agg = rows.groupBy(PERIOD, "project").agg(F.count_distinct("from_address").alias("num_unique_wallets"))
+        per_target = base.select(*target, "from_address").distinct()
+        agg = _classified(per_target, contracts).groupBy(PERIOD, "project").agg(F.count_distinct("from_address").alias("num_unique_wallets"))
         rank_by = "num_unique_wallets"
     else:
         raise ValueError(f"unknown measure {measure!r}")

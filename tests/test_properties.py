@@ -64,7 +64,7 @@ def test_project_chart_totals_equal_unfolded_sum(spark, t):
     got = {r["date"]: r["s"] for r in chart.groupBy("date").agg(F.sum("num_transactions").alias("s")).collect()}
     contracts = tt["contracts"].select(F.col("address").alias("c"))
     rows = tt["transactions"].join(contracts, F.col("to_address") == F.col("c"), "left").filter(F.col("c").isNotNull() | (F.col("value") > 0))
-    per = rows.groupBy(period("block_timestamp", "month").alias("p"), project_of("c").alias("project")).agg(
+    per = rows.groupBy(period("block_timestamp", "month").alias("p"), project_of("c", F.col("value") > 0).alias("project")).agg(
         F.count_distinct("hash").alias("n"), F.count_distinct("from_address").alias("w")
     )
     want = {r["d"]: r["s"] for r in per.filter("w > 10").groupBy(F.date_format("p", "yyyy-MM-dd").alias("d")).agg(F.sum("n").alias("s")).collect()}
