@@ -6,9 +6,13 @@ rows after the clock never leak into windows that have no upper bound of their o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import period
+
 from ..operators.compare import trending
 from ..operators.periods import labelled, period_agg
 from ..operators.ranking import project_chart
@@ -49,24 +53,45 @@ def cards(tables: Tables, as_of) -> DataFrame:
     return activity_cards(t[TX], "from_address", "block_timestamp", as_of, CARD_WINDOWS)
 
 
-def active_accounts_chart(tables: Tables, as_of, tf: Timeframe | str) -> DataFrame:
+def daily_activity(tables: Tables, as_of) -> DataFrame:
+    """Rollup of transactions to one row per (day, sender): ``day, from_address, transactions``.
+
+    Distinct senders are not additive across days, so the rollup keeps the sender; it is much smaller than the
+    transactions (one row per active sender and day) and serves every chart whose period cut is a day boundary.
+    NULL senders are kept (they count as transactions, not as wallets).
+    """
+    tx = tables.as_of(as_datetime(as_of))[TX]
+    return tx.groupBy(period("block_timestamp", Timeframe.DAY).alias("day"), "from_address").agg(F.count(F.lit(1)).alias("transactions"))
+
+
+def _activity(tables: Tables, as_of: dt.datetime, activity: DataFrame | None) -> tuple[DataFrame, str, Column]:
+    """(rows, timestamp column, transaction-count expression) from the rollup when given, else from transactions."""
+    if activity is not None:
+        return activity, "day", F.sum("transactions")
+    return tables.as_of(as_of)[TX], "block_timestamp", F.count(F.lit(1))
+
+
+def active_accounts_chart(tables: Tables, as_of, tf: Timeframe | str, activity: DataFrame | None = None) -> DataFrame:
     """Distinct senders per complete period: ``date, active_wallets``."""
     as_of, tf = as_datetime(as_of), Timeframe.parse(tf)
-    agg = period_agg(tables.as_of(as_of)[TX], "block_timestamp", tf, [F.count_distinct("from_address").alias("active_wallets")], before=truncate(as_of, tf))
+    rows, ts, _ = _activity(tables, as_of, activity)
+    agg = period_agg(rows, ts, tf, [F.count_distinct("from_address").alias("active_wallets")], before=truncate(as_of, tf))
     return labelled(agg)
 
 
-def transactions_chart(tables: Tables, as_of, tf: Timeframe | str) -> DataFrame:
+def transactions_chart(tables: Tables, as_of, tf: Timeframe | str, activity: DataFrame | None = None) -> DataFrame:
     """Transactions per complete period: ``date, transactions``."""
     as_of, tf = as_datetime(as_of), Timeframe.parse(tf)
-    agg = period_agg(tables.as_of(as_of)[TX], "block_timestamp", tf, [F.count(F.lit(1)).alias("transactions")], before=truncate(as_of, tf))
+    rows, ts, count = _activity(tables, as_of, activity)
+    agg = period_agg(rows, ts, tf, [count.cast("bigint").alias("transactions")], before=truncate(as_of, tf))
     return labelled(agg)
 
 
-def retention_chart(tables: Tables, as_of, tf: Timeframe | str) -> DataFrame:
+def retention_chart(tables: Tables, as_of, tf: Timeframe | str, activity: DataFrame | None = None) -> DataFrame:
     """Cohort retention of senders: ``cohort, total_users, {tf}_number, percentage``."""
     as_of, tf = as_datetime(as_of), Timeframe.parse(tf)
-    return cohort_retention(tables.as_of(as_of)[TX], "from_address", "block_timestamp", tf, as_of, tf.retention_scope)
+    rows, ts, _ = _activity(tables, as_of, activity)
+    return cohort_retention(rows, "from_address", ts, tf, as_of, tf.retention_scope)
 
 
 def _project_chart(tables: Tables, as_of, tf, measure: str) -> DataFrame:
@@ -105,16 +130,18 @@ def stamp(as_of) -> str:
     return as_datetime(as_of).strftime("%d/%m/%y %H:%M")
 
 
-def dashboard(tables: Tables, as_of, timeframe: Timeframe | str = Timeframe.WEEK) -> dict:
-    """All user metrics of one request. The six cards share one scan."""
+def dashboard(tables: Tables, as_of, timeframe: Timeframe | str = Timeframe.WEEK, rollup: bool = True) -> dict:
+    """All user metrics of one request. The six cards share one scan. With ``rollup`` the (day, sender) rollup is
+    computed once and checkpointed (reliably, under ``spark.checkpoint.dir``) and the three all-history charts
+    read it instead of the transactions."""
     as_of, tf = as_datetime(as_of), Timeframe.parse(timeframe)
-    card_row = cards(tables, as_of)
+    activity = daily_activity(tables, as_of).checkpoint() if rollup else None
     return {
         "time": stamp(as_of),
-        "cards": card_row,
-        "active_accounts_chart": active_accounts_chart(tables, as_of, tf),
-        "transactions_chart": transactions_chart(tables, as_of, tf),
-        "retention_chart": retention_chart(tables, as_of, tf),
+        "cards": cards(tables, as_of),
+        "active_accounts_chart": active_accounts_chart(tables, as_of, tf, activity),
+        "transactions_chart": transactions_chart(tables, as_of, tf, activity),
+        "retention_chart": retention_chart(tables, as_of, tf, activity),
         "contract_transactions_chart": contract_transactions_chart(tables, as_of, tf),
         "contract_gas_chart": contract_gas_chart(tables, as_of, tf),
         "trending_contracts": trending_contracts(tables, as_of, tf),
@@ -132,5 +159,6 @@ __all__ = [
     "contract_gas_chart",
     "contract_users_chart",
     "trending_contracts",
+    "daily_activity",
     "dashboard",
 ]

@@ -102,3 +102,19 @@ def test_user_cards_equal_single_cards(spark):
     assert row["actives_24h"] == users.actives(ti, fx.INTRADAY_AS_OF, 1, "day").collect()[0][0]
     assert row["actives_growth_7d"] == users.actives_growth(ti, fx.INTRADAY_AS_OF, 7, "day", "g").collect()[0][0]
     assert row["actives_1m"] == users.actives(ti, fx.INTRADAY_AS_OF, 1, "month").collect()[0][0]
+
+
+@pytest.mark.parametrize("tf", ["day", "week", "month"])
+def test_daily_rollup_gives_same_charts(spark, t, tf):
+    activity = users.daily_activity(t, fx.LONG_AS_OF)
+    for metric, as_of in ((users.active_accounts_chart, fx.LONG_AS_OF), (users.transactions_chart, fx.LONG_AS_OF), (users.retention_chart, fx.RETENTION_AS_OF)):
+        direct = metric(t, as_of, tf).collect()
+        rolled = metric(t, as_of, tf, users.daily_activity(t, as_of) if as_of != fx.LONG_AS_OF else activity).collect()
+        assert direct == rolled and direct, metric.__name__
+
+
+def test_users_dashboard_checkpoints_rollup(spark, t):
+    board = users.dashboard(t, fx.LONG_AS_OF, "month")
+    assert board["transactions_chart"].collect() == users.transactions_chart(t, fx.LONG_AS_OF, "month").collect()
+    plan = board["retention_chart"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" in plan and "lineitem" not in plan  # reads the checkpointed rollup, not the facts
