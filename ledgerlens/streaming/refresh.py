@@ -20,7 +20,7 @@ from ..plans import bd, economics, users
 from ..plans.sink import write_dashboard
 from ..sources.registry import Tables
 from ..sources.schemas import SCHEMAS
-from ..timeframe import Timeframe
+from ..timeframe import Timeframe, now
 
 DEFAULT_INTERVAL = "6 hours"
 
@@ -68,8 +68,7 @@ def start_refresh(
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        now = clock() if clock else dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-        publish(tables_factory(), now, out_dir, timeframe, list(names))
+        publish(tables_factory(), clock() if clock else now(), out_dir, timeframe, list(names))
 
     writer = arrivals.writeStream.queryName(query_name).foreachBatch(on_batch).option("checkpointLocation", checkpoint_location(spark, query_name))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)

@@ -1,6 +1,7 @@
 """Timeframes and the ``as_of`` clock.
 
-Every metric takes an explicit ``as_of`` instead of the wall clock. Period boundaries are computed once on the driver
+Every metric takes an ``as_of`` clock (``None`` = now, UTC) instead of reading the wall clock inside the query, so
+all metrics of one request share one clock. Period boundaries are computed once on the driver
 as plain datetimes and enter the plan as ``timestamp_ntz`` literals, so Catalyst can push them into the Parquet scan.
 Interval arithmetic follows SQL: subtracting months clips to the month end (2024-03-31 minus 1 month = 2024-02-29).
 """
@@ -34,7 +35,15 @@ class Timeframe(str, Enum):
         return {Timeframe.DAY: 14, Timeframe.WEEK: 12, Timeframe.MONTH: 6}[self]
 
 
-def as_datetime(value: dt.datetime | dt.date | str) -> dt.datetime:
+def now() -> dt.datetime:
+    """The wall clock in UTC, as a naive timestamp (the default ``as_of``)."""
+    return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+
+
+def as_datetime(value: dt.datetime | dt.date | str | None) -> dt.datetime:
+    """Normalise a clock value; ``None`` means now (UTC)."""
+    if value is None:
+        return now()
     if isinstance(value, dt.datetime):
         return value.replace(tzinfo=None)
     if isinstance(value, dt.date):

@@ -258,3 +258,8 @@ def test_dashboard_sink_writes_json_records(spark, tmp_path):
     row = one(spark.read.json(written["cards"]))
     assert (row["actives_24h"], row["actives_growth_24h"], row["actives_7d"]) == (1, 0.0, 2)
     assert users.stamp(AS_OF) == "20/03/24 12:00"
+
+
+def test_as_of_defaults_to_now(spark):
+    t = tables(spark, transactions=[tx("a", dt.datetime.now(dt.timezone.utc).replace(tzinfo=None) - dt.timedelta(hours=1), "w1", "x")])
+    assert one(users.actives(t, None, 1, "day"))["active_wallets"] == 1
