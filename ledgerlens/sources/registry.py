@@ -34,8 +34,12 @@ class Tables(Mapping):
         since: dt.datetime | None = None,
         until: dt.datetime | None = None,
         window_names: tuple[str, ...] | None = None,
+        _sources: dict[str, DataFrame] | None = None,
     ):
         self._factories = dict(factories)
+        # Source DataFrames, shared with every registry derived by ``as_of`` / ``window`` (a file source is listed
+        # once per registry family, not once per metric).
+        self._sources = _sources if _sources is not None else {}
         self._built: dict[str, DataFrame] = {}
         self.as_of_ts = as_of
         self.since_ts = since
@@ -46,9 +50,10 @@ class Tables(Mapping):
         if name not in self._built:
             if name not in self._factories:
                 raise KeyError(f"table {name!r} is not registered; known: {sorted(self._factories)}")
-            source = self._factories[name]
-            df = source if isinstance(source, DataFrame) else source()
-            df = self._prune_partitions(name, df)
+            if name not in self._sources:
+                source = self._factories[name]
+                self._sources[name] = source if isinstance(source, DataFrame) else source()
+            df = self._prune_partitions(name, self._sources[name])
             if name in SCHEMAS:
                 df = conform(name, df)
             if self.as_of_ts is not None and name in EVENT_TIME:
@@ -76,14 +81,14 @@ class Tables(Mapping):
 
     def as_of(self, ts: dt.datetime | str) -> "Tables":
         """Registry with every fact table cut at ``event_time <= ts``."""
-        return Tables(self._factories, as_of_ts_from(ts), self.since_ts, self.until_ts, self.window_names)
+        return Tables(self._factories, as_of_ts_from(ts), self.since_ts, self.until_ts, self.window_names, self._sources)
 
     def window(self, since=None, until=None, names: tuple[str, ...] | None = None) -> "Tables":
         """Registry that reads only the date partitions of ``[since, until]`` of the fact tables ``names`` (all fact
         tables when None). A pruning hint: rows are not cut to the exact timestamps, the metric does that."""
         lo = as_of_ts_from(since) if since is not None else None
         hi = as_of_ts_from(until) if until is not None else None
-        return Tables(self._factories, self.as_of_ts, lo, hi, tuple(names) if names else None)
+        return Tables(self._factories, self.as_of_ts, lo, hi, tuple(names) if names else None, self._sources)
 
     def with_tables(self, **frames: Factory | DataFrame) -> "Tables":
         merged = dict(self._factories)
