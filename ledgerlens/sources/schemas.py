@@ -78,7 +78,7 @@ class SchemaError(ValueError):
 
 
 def conform(name: str, df: DataFrame, strict_types: bool = False) -> DataFrame:
-    """Select the declared columns of ``name`` in declared order, casting where the type is wider-compatible.
+    """Select the declared columns of ``name`` in declared order, casting other types to the declared ones.
 
     Missing columns raise :class:`SchemaError`; extra columns are dropped (column pruning then reaches the scan).
     """
@@ -89,7 +89,14 @@ def conform(name: str, df: DataFrame, strict_types: bool = False) -> DataFrame:
         src = present.get(field.name.lower())
         if src is None:
             raise SchemaError(f"{name}: missing column {field.name!r}; has {sorted(present)}")
-        if src.dataType == field.dataType:
+        same_scale_decimal = (
+            isinstance(src.dataType, T.DecimalType)
+            and isinstance(field.dataType, T.DecimalType)
+            and src.dataType.scale == field.dataType.scale
+        )
+        if src.dataType == field.dataType or same_scale_decimal:
+            # A wider decimal of the same scale (e.g. production wei columns as DECIMAL(38,0)) is kept as is:
+            # narrowing it could overflow.
             cols.append(df[src.name].alias(field.name))
         elif strict_types:
             raise SchemaError(f"{name}.{field.name}: expected {field.dataType.simpleString()}, got {src.dataType.simpleString()}")

@@ -263,3 +263,14 @@ def test_dashboard_sink_writes_json_records(spark, tmp_path):
 def test_as_of_defaults_to_now(spark):
     t = tables(spark, transactions=[tx("a", dt.datetime.now(dt.timezone.utc).replace(tzinfo=None) - dt.timedelta(hours=1), "w1", "x")])
     assert one(users.actives(t, None, 1, "day"))["active_wallets"] == 1
+
+
+def test_wide_production_wei_columns_kept_exact(spark):
+    from pyspark.sql import types as Ty
+
+    wide = Ty.StructType([Ty.StructField(f.name, Ty.DecimalType(38, 0) if isinstance(f.dataType, Ty.DecimalType) else f.dataType) for f in SCHEMAS["transactions"].fields])
+    big = 10**30  # does not fit the fixture width DECIMAL(26,0)
+    df = spark.createDataFrame([("a", AS_OF - dt.timedelta(hours=1), "w", "x", D(0), D(big), D(10**13), D(5 * 10**6))], wide)
+    t = Tables({"transactions": df})
+    assert t["transactions"].schema["receipt_l1_fee"].dataType == Ty.DecimalType(38, 0)
+    assert one(economics.scalar_revenue(t, AS_OF, "week"))["gas_rev"] == float(big // 10**18 + 50)
