@@ -106,12 +106,17 @@ def scalar_profit(tables: Tables, as_of, window: str) -> DataFrame:
     as_of = as_datetime(as_of)
     win = SCALAR_WINDOWS[window]
     t = _windowed(tables, as_of, win)
-    rev = _revenue_wei(t, as_of, win)
-    # Three one-row aggregates.
-    batch = _since(t["l1_batch_fees"], as_of, win).agg(F.sum("gas_spend").alias("bf"))
-    verify = _since(t["l1_verification_fees"], as_of, win).agg(F.sum("gas_spend").alias("vf"))
-    profit = wei_to_eth("rev_wei") - F.coalesce("bf", F.lit(0)) - F.coalesce("vf", F.lit(0))
-    return rev.crossJoin(bounded(batch)).crossJoin(bounded(verify)).select(amount(profit).alias("profit"))
+    # Revenue rows and the two cost tables' rows, tagged, in one global aggregate (no join of the three totals).
+    tx = _since(t[TX], as_of, win).filter(F.col("receipt_effective_gas_price") > 0)
+    parts = [
+        tx.select(F.lit("rev").alias("_k"), fee_wei().alias("_v")),
+        _since(t["l1_batch_fees"], as_of, win).select(F.lit("bf").alias("_k"), F.col("gas_spend").alias("_v")),
+        _since(t["l1_verification_fees"], as_of, win).select(F.lit("vf").alias("_k"), F.col("gas_spend").alias("_v")),
+    ]
+    tagged = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    totals = tagged.agg(*[F.sum(F.when(F.col("_k") == k, F.col("_v"))).alias(k) for k in ("rev", "bf", "vf")])
+    profit = wei_to_eth("rev") - F.coalesce("bf", F.lit(0)) - F.coalesce("vf", F.lit(0))
+    return totals.select(amount(profit).alias("profit"))
 
 
 def l1vl2fee(tables: Tables, as_of, tf: Timeframe | str) -> DataFrame:

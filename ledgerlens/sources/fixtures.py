@@ -40,17 +40,22 @@ _SPREAD_KEYS = {"lineitem": "l_orderkey", "events": "event_id"}
 
 def _reader(spark: SparkSession, sf_dir: str):
     """Reader of the driver tables. Each driver file is a single Parquet row group, which Spark scans in one task;
-    when the scan has fewer partitions than the session's parallelism, rows are hash-distributed on the table's
+    when the table has fewer files than the session's parallelism, rows are hash-distributed on the table's
     unique key so that the fixture derivations and everything up to the first shuffle run on all cores. (Tables
     stored for production come as many files and row groups and need no such step.)"""
     parallelism = spark.sparkContext.defaultParallelism
+    cache: dict[tuple[str, bool], DataFrame] = {}  # one read per driver table and registry
 
     def read(name: str, spread: bool = True) -> DataFrame:
-        df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-        key = _SPREAD_KEYS.get(name)
-        if spread and key and df.rdd.getNumPartitions() < parallelism:
-            df = df.repartition(parallelism, key)
-        return df
+        spread = spread and name in _SPREAD_KEYS
+        if (name, spread) not in cache:
+            if (name, False) not in cache:
+                cache[(name, False)] = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+            df = cache[(name, False)]
+            if spread and len(df.inputFiles()) < parallelism:
+                df = df.repartition(parallelism, _SPREAD_KEYS[name])
+            cache[(name, spread)] = df
+        return cache[(name, spread)]
 
     return read
 
@@ -66,8 +71,7 @@ def _fee_stream(col: Column) -> Column:
     )
 
 
-def _common(spark: SparkSession, sf_dir: str) -> dict:
-    read = _reader(spark, sf_dir)
+def _common(read) -> dict:
 
     def contracts() -> DataFrame:
         o = read("orders")
@@ -178,7 +182,7 @@ def long_history(spark: SparkSession, sf_dir: str) -> Tables:
         btc = o.select("hour", F.lit("BTC").alias("symbol"), _dec(F.lit(30000), 8, 2).alias("usd_price")).distinct()
         return eth.unionByName(btc)
 
-    factories = _common(spark, sf_dir)
+    factories = _common(read)
     factories.update({"transactions": transactions, "token_prices_hourly": token_prices_hourly})
     return Tables(factories)
 
@@ -208,6 +212,6 @@ def intraday(spark: SparkSession, sf_dir: str) -> Tables:
             _dec(1000 + F.dayofyear("ts") * 10 + F.hour("ts"), 8, 2).alias("usd_price"),
         ).distinct()
 
-    factories = _common(spark, sf_dir)
+    factories = _common(read)
     factories.update({"transactions": transactions, "token_prices_hourly": token_prices_hourly})
     return Tables(factories)
