@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans import bd, economics, users
+from ..plans import bd, deployers, economics, users
 from ..plans.sink import write_dashboard
 from ..sources.registry import Tables
 from ..sources.schemas import SCHEMAS
@@ -29,6 +29,7 @@ DASHBOARDS: dict[str, Callable[[Tables, dt.datetime, Timeframe], dict]] = {
     "users": users.dashboard,
     "bd": bd.dashboard,
     "economics": economics.dashboard,
+    "developers": deployers.developers_dashboard,
 }
 
 

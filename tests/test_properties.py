@@ -118,3 +118,33 @@ def test_users_dashboard_checkpoints_rollup(spark, t):
     assert board["transactions_chart"].collect() == users.transactions_chart(t, fx.LONG_AS_OF, "month").collect()
     plan = board["retention_chart"]._jdf.queryExecution().optimizedPlan().toString()
     assert "LogicalRDD" in plan and "lineitem" not in plan  # reads the checkpointed rollup, not the facts
+
+
+def test_dashboards_expose_original_keys(spark, t):
+    from ledgerlens.plans import bd
+
+    board = users.dashboard(t, fx.LONG_AS_OF, "month")
+    assert set(board) == {
+        "time", "actives_24h", "actives_growth_24h", "actives_7d", "actives_growth_7d", "actives_1m", "actives_growth_1m",
+        "active_accounts_chart", "transactions_chart", "retention_chart", "contract_transactions_chart", "contract_gas_chart",
+        "trending_contracts",
+    }
+    assert board["actives_1m"].collect() == users.actives(t, fx.LONG_AS_OF, 1, "month").collect()
+    assert board["actives_growth_1m"].collect() == users.actives_growth(t, fx.LONG_AS_OF, 1, "month", "monthly_growth").collect()
+    assert set(economics.dashboard(t, fx.LONG_AS_OF)) == {
+        "gross_profit", "batch_fees", "verify_fees", "gas_revenue", "l1vl2fee", "week_gross_profit", "week_revenue",
+        "month_gross_profit", "month_revenue", "all_gross_profit", "all_revenue",
+    }
+    assert set(bd.dashboard(t, fx.LONG_AS_OF)) == {"leaderboard"}
+    assert set(deployers.deployers_dashboard(t, fx.LONG_AS_OF, "week", "c1", fx.FIXTURE_CHAINS)) == {
+        "all_deployers", "key_deployers", "returning_key_deployers", "chain_key_deployers",
+    }
+    assert set(deployers.developers_dashboard(t, fx.COMMITS_AS_OF)) == {"commits", "git_devs"}
+
+
+def test_catalog_tables_registry(spark, t):
+    from ledgerlens.sources.registry import Tables
+
+    t.as_of(fx.LONG_AS_OF)["transactions"].createOrReplaceGlobalTempView("transactions")
+    cat = Tables.from_catalog(spark, "global_temp", ["transactions"])
+    assert cat.as_of(fx.LONG_AS_OF)["transactions"].count() == t.as_of(fx.LONG_AS_OF)["transactions"].count()
