@@ -22,9 +22,28 @@ REQUIRED = {
 }
 
 
-def apply_settings(spark: SparkSession) -> SparkSession:
+# Settings for a large cluster (100 TB of facts, ~1000 executors). The initial shuffle partition count is high so
+# that no reduce task of the big aggregates (per sender, per (period, value) pair) has to spill much; AQE coalesces
+# the small shuffles of per-period aggregates back to a few partitions. Scan splits of 256 MB keep task counts
+# manageable. A partition is skewed at 5x the median and above 256 MB (AQE then splits it).
+CLUSTER = {
+    "spark.sql.shuffle.partitions": "16000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256MB",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16MB",
+    "spark.sql.files.maxPartitionBytes": "256MB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256MB",
+    "spark.sql.autoBroadcastJoinThreshold": "64MB",
+}
+
+
+def apply_settings(spark: SparkSession, cluster: bool = False) -> SparkSession:
+    """Set the settings the metrics need; with ``cluster`` also the large-cluster sizing above."""
     for key, value in REQUIRED.items():
         spark.conf.set(key, value)
+    if cluster:
+        for key, value in CLUSTER.items():
+            spark.conf.set(key, value)
     return spark
 
 
