@@ -15,13 +15,22 @@ from ..functions.exprs import PRICE_SYMBOL, fee_wei
 from ..timeframe import period_start
 
 
-def priced_hours(tx: DataFrame, prices: DataFrame, symbol: str = PRICE_SYMBOL) -> DataFrame:
-    """One row per priced hour: ``hour, rev_wei`` (exact) and ``rev_usd_wei`` (price x wei, exact decimal)."""
-    hourly = (
+def hourly_revenue(tx: DataFrame) -> DataFrame:
+    """Fee revenue per hour, zero-gas-price rows excluded: ``hour, rev_wei``."""
+    return (
         tx.filter(F.col("receipt_effective_gas_price") > 0)
         .groupBy(period_start("block_timestamp", "hour").alias("hour"))
         .agg(F.sum(fee_wei()).alias("rev_wei"))
     )
+
+
+def priced_hours(tx: DataFrame, prices: DataFrame, symbol: str = PRICE_SYMBOL) -> DataFrame:
+    """One row per priced hour: ``hour, rev_wei`` (exact) and ``rev_usd_wei`` (price x wei, exact decimal)."""
+    return value_hours(hourly_revenue(tx), prices, symbol)
+
+
+def value_hours(hourly: DataFrame, prices: DataFrame, symbol: str = PRICE_SYMBOL) -> DataFrame:
+    """Value an hourly ``hour, rev_wei`` series at the hour's price; hours without a price drop out."""
     # ``(hour, symbol)`` is unique: one row per hour of history. The planner broadcasts it when it is under the
     # broadcast threshold; either way it meets the hourly aggregate, not the transactions.
     px = prices.filter(F.col("symbol") == symbol).select("hour", "usd_price")

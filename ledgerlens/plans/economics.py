@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from ..functions.exprs import amount, fee_wei, l2_fee_wei, share_pct, wei_to_eth
 from ..functions.joins import bounded
 from ..operators.periods import PERIOD, labelled, period_agg
-from ..operators.prices import priced_hours
+from ..operators.prices import priced_hours, value_hours
 from ..sources.registry import Tables
-from ..timeframe import Timeframe, as_datetime, ntz, shift
+from ..timeframe import Timeframe, as_datetime, ntz, period_start, shift
 
 TX = "transactions"
 # Trailing windows of the scalar cards (None = all time).
@@ -26,9 +26,22 @@ def _costs(tables: Tables, table: str, tf: Timeframe, name: str) -> DataFrame:
     return period_agg(tables[table], "block_timestamp", tf, [F.sum("gas_spend").alias(name), F.sum("gas_spend_usd").alias(f"{name}_usd")])
 
 
-def _revenue(tables: Tables, tf: Timeframe) -> DataFrame:
+def hourly_fees(tables: Tables, as_of) -> DataFrame:
+    """Rollup of transactions to at most two rows per hour: ``hour, priced_gas`` (gas price > 0), ``rev_wei``,
+    ``l1_wei``, ``l2_wei``. Fees are additive, so every hour-aligned economics series can read it instead of the
+    transactions."""
+    tx = tables.as_of(as_datetime(as_of))[TX]
+    return tx.groupBy(period_start("block_timestamp", "hour").alias("hour"), (F.col("receipt_effective_gas_price") > 0).alias("priced_gas")).agg(
+        F.sum(fee_wei()).alias("rev_wei"), F.sum("receipt_l1_fee").alias("l1_wei"), F.sum(l2_fee_wei()).alias("l2_wei")
+    )
+
+
+def _revenue(tables: Tables, tf: Timeframe, hourly: DataFrame | None = None) -> DataFrame:
     """Per period: ``rev_wei`` and ``rev_usd_wei`` of priced hours (hourly aggregates regrouped by period)."""
-    hours = priced_hours(tables[TX], tables["token_prices_hourly"])
+    if hourly is not None:
+        hours = value_hours(hourly.filter(F.col("priced_gas")).select("hour", "rev_wei"), tables["token_prices_hourly"])
+    else:
+        hours = priced_hours(tables[TX], tables["token_prices_hourly"])
     return hours.groupBy(F.date_trunc(tf.value, "hour").cast("timestamp_ntz").alias(PERIOD)).agg(
         F.sum("rev_wei").alias("rev_wei"), F.sum("rev_usd_wei").alias("rev_usd_wei")
     )
@@ -50,15 +63,15 @@ def verify_fees(tables: Tables, as_of, tf: Timeframe | str) -> DataFrame:
     )
 
 
-def gas_revenue(tables: Tables, as_of, tf: Timeframe | str) -> DataFrame:
+def gas_revenue(tables: Tables, as_of, tf: Timeframe | str, hourly: DataFrame | None = None) -> DataFrame:
     """Fee revenue per period at the hourly ETH price: ``date, gas_rev, gas_rev_usd``. Hours without a price and
     zero-gas-price rows are left out."""
     tf = Timeframe.parse(tf)
-    rev = _revenue(tables.as_of(as_datetime(as_of)), tf)
+    rev = _revenue(tables.as_of(as_datetime(as_of)), tf, hourly)
     return labelled(rev.select(PERIOD, amount(wei_to_eth("rev_wei")).alias("gas_rev"), amount(wei_to_eth("rev_usd_wei")).alias("gas_rev_usd")))
 
 
-def gross_profit(tables: Tables, as_of, tf: Timeframe | str) -> DataFrame:
+def gross_profit(tables: Tables, as_of, tf: Timeframe | str, hourly: DataFrame | None = None) -> DataFrame:
     """Revenue minus batch and verification cost per period: ``date, profit, profit_usd``.
 
     Kept quirk: the verification cost is joined on the *batch* period, so a period without a batch row keeps its
@@ -66,7 +79,7 @@ def gross_profit(tables: Tables, as_of, tf: Timeframe | str) -> DataFrame:
     """
     tf = Timeframe.parse(tf)
     t = tables.as_of(as_datetime(as_of))
-    rev = _revenue(t, tf)
+    rev = _revenue(t, tf, hourly)
     # One row per period each.
     batch = bounded(_costs(t, "l1_batch_fees", tf, "bf").withColumnRenamed(PERIOD, "_bp"))
     verify = bounded(_costs(t, "l1_verification_fees", tf, "vf").withColumnRenamed(PERIOD, "_vp"))
@@ -88,30 +101,36 @@ def _windowed(tables: Tables, as_of: dt.datetime, window) -> Tables:
     return t.window(shift(as_of, -window[0], window[1])) if window else t
 
 
-def _revenue_wei(t: Tables, as_of: dt.datetime, window) -> DataFrame:
+def _revenue_rows(t: Tables, as_of: dt.datetime, window, hourly: DataFrame | None) -> DataFrame:
+    """Revenue rows (``_v`` = wei) of the window: transactions, or the hourly rollup for all time."""
+    if hourly is not None and window is None:
+        return hourly.filter(F.col("priced_gas")).select(F.col("rev_wei").alias("_v"))
     tx = _since(t[TX], as_of, window).filter(F.col("receipt_effective_gas_price") > 0)
-    return tx.agg(F.sum(fee_wei()).alias("rev_wei"))
+    return tx.select(fee_wei().alias("_v"))
 
 
-def scalar_revenue(tables: Tables, as_of, window: str) -> DataFrame:
-    """Fee revenue (ETH, zero gas price excluded, no price needed) over ``week``, ``month`` or ``all``: ``gas_rev``."""
+def scalar_revenue(tables: Tables, as_of, window: str, hourly: DataFrame | None = None) -> DataFrame:
+    """Fee revenue (ETH, zero gas price excluded, no price needed) over ``week``, ``month`` or ``all``: ``gas_rev``.
+    ``hourly`` (the rollup) serves ``all``; trailing windows have time-of-day bounds and read transactions."""
     as_of = as_datetime(as_of)
-    rev = _revenue_wei(_windowed(tables, as_of, SCALAR_WINDOWS[window]), as_of, SCALAR_WINDOWS[window])
+    win = SCALAR_WINDOWS[window]
+    rev = _revenue_rows(_windowed(tables, as_of, win), as_of, win, hourly).agg(F.sum("_v").alias("rev_wei"))
     return rev.select(amount(wei_to_eth("rev_wei")).alias("gas_rev"))
 
 
-def scalar_profit(tables: Tables, as_of, window: str) -> DataFrame:
+def scalar_profit(tables: Tables, as_of, window: str, hourly: DataFrame | None = None) -> DataFrame:
     """Revenue minus batch and verification cost over ``week``, ``month`` or ``all``: ``profit``. NULL without
     revenue; missing costs count as 0."""
     as_of = as_datetime(as_of)
     win = SCALAR_WINDOWS[window]
     t = _windowed(tables, as_of, win)
     # Revenue rows and the two cost tables' rows, tagged, in one global aggregate (no join of the three totals).
-    tx = _since(t[TX], as_of, win).filter(F.col("receipt_effective_gas_price") > 0)
+    # The common type is explicit: union widening of DECIMAL(38,0) with DECIMAL(18,2) would drop the cents.
+    value = "decimal(38,2)"
     parts = [
-        tx.select(F.lit("rev").alias("_k"), fee_wei().alias("_v")),
-        _since(t["l1_batch_fees"], as_of, win).select(F.lit("bf").alias("_k"), F.col("gas_spend").alias("_v")),
-        _since(t["l1_verification_fees"], as_of, win).select(F.lit("vf").alias("_k"), F.col("gas_spend").alias("_v")),
+        _revenue_rows(t, as_of, win, hourly).select(F.lit("rev").alias("_k"), F.col("_v").cast(value).alias("_v")),
+        _since(t["l1_batch_fees"], as_of, win).select(F.lit("bf").alias("_k"), F.col("gas_spend").cast(value).alias("_v")),
+        _since(t["l1_verification_fees"], as_of, win).select(F.lit("vf").alias("_k"), F.col("gas_spend").cast(value).alias("_v")),
     ]
     tagged = parts[0].unionByName(parts[1]).unionByName(parts[2])
     totals = tagged.agg(*[F.sum(F.when(F.col("_k") == k, F.col("_v"))).alias(k) for k in ("rev", "bf", "vf")])
@@ -119,32 +138,35 @@ def scalar_profit(tables: Tables, as_of, window: str) -> DataFrame:
     return totals.select(amount(profit).alias("profit"))
 
 
-def l1vl2fee(tables: Tables, as_of, tf: Timeframe | str) -> DataFrame:
+def l1vl2fee(tables: Tables, as_of, tf: Timeframe | str, hourly: DataFrame | None = None) -> DataFrame:
     """Share (%) of the L1 data fee and of the L2 execution fee in the total fee per period: ``date, l1_fee, l2_fee``."""
     tf = Timeframe.parse(tf)
-    t = tables.as_of(as_datetime(as_of))
-    agg = period_agg(
-        t[TX],
-        "block_timestamp",
-        tf,
-        [F.sum("receipt_l1_fee").alias("l1"), F.sum(l2_fee_wei()).alias("l2"), F.sum(fee_wei()).alias("total")],
-    )
+    if hourly is not None:
+        sums = [F.sum("l1_wei").alias("l1"), F.sum("l2_wei").alias("l2"), F.sum("rev_wei").alias("total")]
+        agg = period_agg(hourly, "hour", tf, sums)
+    else:
+        t = tables.as_of(as_datetime(as_of))
+        sums = [F.sum("receipt_l1_fee").alias("l1"), F.sum(l2_fee_wei()).alias("l2"), F.sum(fee_wei()).alias("total")]
+        agg = period_agg(t[TX], "block_timestamp", tf, sums)
     return labelled(agg.select(PERIOD, share_pct("l1", "total").alias("l1_fee"), share_pct("l2", "total").alias("l2_fee")))
 
 
-def dashboard(tables: Tables, as_of, timeframe: Timeframe | str = Timeframe.MONTH) -> dict[str, DataFrame]:
-    """All economics metrics of one request."""
+def dashboard(tables: Tables, as_of, timeframe: Timeframe | str = Timeframe.MONTH, rollup: bool = True) -> dict[str, DataFrame]:
+    """All economics metrics of one request. With ``rollup`` the hourly fee rollup is computed once and
+    checkpointed (under ``spark.checkpoint.dir``); the period charts and the all-time cards read it, so the full
+    transaction history is scanned once instead of five times."""
     as_of, tf = as_datetime(as_of), Timeframe.parse(timeframe)
+    hourly = hourly_fees(tables, as_of).checkpoint() if rollup else None
     out = {
-        "gross_profit": gross_profit(tables, as_of, tf),
+        "gross_profit": gross_profit(tables, as_of, tf, hourly),
         "batch_fees": batch_fees(tables, as_of, tf),
         "verify_fees": verify_fees(tables, as_of, tf),
-        "gas_revenue": gas_revenue(tables, as_of, tf),
-        "l1vl2fee": l1vl2fee(tables, as_of, tf),
+        "gas_revenue": gas_revenue(tables, as_of, tf, hourly),
+        "l1vl2fee": l1vl2fee(tables, as_of, tf, hourly),
     }
     for window in SCALAR_WINDOWS:
-        out[f"{window}_gross_profit"] = scalar_profit(tables, as_of, window)
-        out[f"{window}_revenue"] = scalar_revenue(tables, as_of, window)
+        out[f"{window}_gross_profit"] = scalar_profit(tables, as_of, window, hourly)
+        out[f"{window}_revenue"] = scalar_revenue(tables, as_of, window, hourly)
     return out
 
 

@@ -148,3 +148,19 @@ def test_catalog_tables_registry(spark, t):
     t.as_of(fx.LONG_AS_OF)["transactions"].createOrReplaceGlobalTempView("transactions")
     cat = Tables.from_catalog(spark, "global_temp", ["transactions"])
     assert cat.as_of(fx.LONG_AS_OF)["transactions"].count() == t.as_of(fx.LONG_AS_OF)["transactions"].count()
+
+
+@pytest.mark.parametrize("tf", ["day", "month"])
+def test_economics_rollup_gives_same_results(spark, t, tf):
+    hourly = economics.hourly_fees(t, fx.LONG_AS_OF)
+    for direct, rolled in [
+        (economics.gross_profit(t, fx.LONG_AS_OF, tf), economics.gross_profit(t, fx.LONG_AS_OF, tf, hourly)),
+        (economics.gas_revenue(t, fx.LONG_AS_OF, tf), economics.gas_revenue(t, fx.LONG_AS_OF, tf, hourly)),
+        (economics.l1vl2fee(t, fx.LONG_AS_OF, tf), economics.l1vl2fee(t, fx.LONG_AS_OF, tf, hourly)),
+        (economics.scalar_profit(t, fx.LONG_AS_OF, "all"), economics.scalar_profit(t, fx.LONG_AS_OF, "all", hourly)),
+        (economics.scalar_revenue(t, fx.LONG_AS_OF, "all"), economics.scalar_revenue(t, fx.LONG_AS_OF, "all", hourly)),
+        (economics.scalar_profit(t, fx.LONG_AS_OF, "week"), economics.scalar_profit(t, fx.LONG_AS_OF, "week", hourly)),
+    ]:
+        assert direct.collect() == rolled.collect()
+    board = economics.dashboard(t, fx.LONG_AS_OF, tf)
+    assert board["gas_revenue"].collect() == economics.gas_revenue(t, fx.LONG_AS_OF, tf).collect()

@@ -274,3 +274,13 @@ def test_wide_production_wei_columns_kept_exact(spark):
     t = Tables({"transactions": df})
     assert t["transactions"].schema["receipt_l1_fee"].dataType == Ty.DecimalType(38, 0)
     assert one(economics.scalar_revenue(t, AS_OF, "week"))["gas_rev"] == float(big // 10**18 + 50)
+
+
+def test_scalar_profit_keeps_cents_with_wide_wei_columns(spark):
+    from pyspark.sql import types as Ty
+
+    wide = Ty.StructType([Ty.StructField(f.name, Ty.DecimalType(38, 0) if isinstance(f.dataType, Ty.DecimalType) else f.dataType) for f in SCHEMAS["transactions"].fields])
+    df = spark.createDataFrame([("a", AS_OF - dt.timedelta(hours=1), "w", "x", D(0), D(3 * 10**18), D(1), D(1))], wide)
+    t = Tables({"transactions": df, "l1_batch_fees": spark.createDataFrame([(AS_OF - dt.timedelta(hours=2), D("0.25"), D("1"))], SCHEMAS["l1_batch_fees"]),
+                "l1_verification_fees": spark.createDataFrame([(AS_OF - dt.timedelta(hours=2), D("0.50"), D("1"))], SCHEMAS["l1_verification_fees"])})
+    assert one(economics.scalar_profit(t, AS_OF, "week"))["profit"] == 2.25
