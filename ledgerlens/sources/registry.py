@@ -124,3 +124,17 @@ def duplicate_keys(tables: Tables, name: str) -> DataFrame:
     """Rows of the declared unique key of ``name`` that occur more than once (empty when the table is clean)."""
     keys = UNIQUE_KEYS[name]
     return tables[name].groupBy(*keys).count().filter(F.col("count") > 1)
+
+
+def assert_unique(tables: Tables, names: list[str] | None = None, sample: int = 5) -> None:
+    """Raise if a declared unique key has duplicates (they would multiply sums in the joins that use them: labels
+    in the leaderboard, prices in the revenue series). One aggregate per table; only a few offending keys reach the
+    driver. An action, so callers run it when tables are loaded or refreshed, not per metric."""
+    problems = []
+    for name in names or list(UNIQUE_KEYS):
+        if name in tables:
+            bad = duplicate_keys(tables, name).limit(sample).collect()
+            if bad:
+                problems.append(f"{name}: duplicate {UNIQUE_KEYS[name]} e.g. {[tuple(r)[:-1] for r in bad]}")
+    if problems:
+        raise ValueError("; ".join(problems))

@@ -284,3 +284,13 @@ def test_scalar_profit_keeps_cents_with_wide_wei_columns(spark):
     t = Tables({"transactions": df, "l1_batch_fees": spark.createDataFrame([(AS_OF - dt.timedelta(hours=2), D("0.25"), D("1"))], SCHEMAS["l1_batch_fees"]),
                 "l1_verification_fees": spark.createDataFrame([(AS_OF - dt.timedelta(hours=2), D("0.50"), D("1"))], SCHEMAS["l1_verification_fees"])})
     assert one(economics.scalar_profit(t, AS_OF, "week"))["profit"] == 2.25
+
+
+def test_assert_unique_reports_duplicate_labels(spark):
+    from ledgerlens.sources.registry import assert_unique
+
+    clean = tables(spark, labels_apps=[("a", "A", "a", "DEX")], contracts=[("c", "d", T(2020, 1, 1))])
+    assert_unique(clean)
+    dup = tables(spark, labels_apps=[("a", "A", "a", "DEX"), ("a", "A2", "a", "DEX")])
+    with pytest.raises(ValueError, match="labels_apps"):
+        assert_unique(dup)
