@@ -83,6 +83,8 @@ def conform(name: str, df: DataFrame, strict_types: bool = False) -> DataFrame:
     Missing columns raise :class:`SchemaError`; extra columns are dropped (column pruning then reaches the scan).
     """
     schema = SCHEMAS[name]
+    if [(f.name, f.dataType) for f in df.schema.fields] == [(f.name, f.dataType) for f in schema.fields]:
+        return df  # already the declared shape
     present = {f.name.lower(): f for f in df.schema.fields}
     cols = []
     for field in schema.fields:
