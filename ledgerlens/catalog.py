@@ -72,6 +72,14 @@ def catalog() -> dict[str, Entry]:
             sql.project_chart(L, tf, "num_unique_wallets"), "users", tf)
         add(f"trending_contracts_{tf}", lambda s, d, tf=tf: users.trending_contracts(_long(s, d), L, tf), sql.trending_contracts(L, tf), "users", tf)
 
+    # The same charts with every project kept (threshold 0): at day granularity the default threshold of 10
+    # wallets leaves the fixtures empty, these exercise ranking ties and the Other fold per day.
+    for chart, measure in (("contract_transactions_chart", "num_transactions"), ("contract_gas_chart", "eth_fees"), ("contract_users_chart", "num_unique_wallets")):
+        fn = getattr(users, chart)
+        add(f"{chart}_day_all_projects", lambda s, d, fn=fn: fn(_long(s, d), L, "day", min_wallets=0), sql.project_chart(L, "day", measure, 0), "users", "day")
+    add("trending_contracts_week_all_previous", lambda s, d: users.trending_contracts(_long(s, d), L, "week", min_wallets=0),
+        sql.trending_contracts(L, "week", min_wallets=0), "users", "day")
+
     # bd
     for tf in TIMEFRAMES:
         add(f"leaderboard_{tf}", lambda s, d, tf=tf: bd.leaderboard(_long(s, d), L, tf), sql.leaderboard(L, tf), "bd", tf)

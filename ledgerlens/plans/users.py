@@ -95,27 +95,27 @@ def retention_chart(tables: Tables, as_of, tf: Timeframe | str, activity: DataFr
     return cohort_retention(rows, "from_address", ts, tf, as_of, tf.retention_scope)
 
 
-def _project_chart(tables: Tables, as_of, tf, measure: str) -> DataFrame:
+def _project_chart(tables: Tables, as_of, tf, measure: str, min_wallets: int) -> DataFrame:
     as_of, tf = as_datetime(as_of), Timeframe.parse(tf)
     t = tables.as_of(as_of)
-    return project_chart(t[TX], t["contracts"], t["labels_apps"], tf, measure)
+    return project_chart(t[TX], t["contracts"], t["labels_apps"], tf, measure, min_wallets=min_wallets)
 
 
-def contract_transactions_chart(tables: Tables, as_of, tf: Timeframe | str) -> DataFrame:
-    """Distinct transactions per period for the top 10 projects by wallets, the rest as ``Other``:
-    ``date, project, num_transactions``."""
-    return _project_chart(tables, as_of, tf, "num_transactions")
+def contract_transactions_chart(tables: Tables, as_of, tf: Timeframe | str, min_wallets: int = 10) -> DataFrame:
+    """Distinct transactions per period for the top 10 projects by wallets, the rest as ``Other``; projects with at
+    most ``min_wallets`` wallets are left out: ``date, project, num_transactions``."""
+    return _project_chart(tables, as_of, tf, "num_transactions", min_wallets)
 
 
-def contract_gas_chart(tables: Tables, as_of, tf: Timeframe | str) -> DataFrame:
+def contract_gas_chart(tables: Tables, as_of, tf: Timeframe | str, min_wallets: int = 10) -> DataFrame:
     """ETH fees per period for the top 10 projects by fees, the rest as ``Other``: ``date, project, eth_fees``."""
-    return _project_chart(tables, as_of, tf, "eth_fees")
+    return _project_chart(tables, as_of, tf, "eth_fees", min_wallets)
 
 
-def contract_users_chart(tables: Tables, as_of, tf: Timeframe | str) -> DataFrame:
+def contract_users_chart(tables: Tables, as_of, tf: Timeframe | str, min_wallets: int = 10) -> DataFrame:
     """Distinct wallets per period for the top 10 projects by wallets; ``Other`` sums wallets of the rest (a
     wallet can count in several projects): ``date, project, num_unique_wallets``."""
-    return _project_chart(tables, as_of, tf, "num_unique_wallets")
+    return _project_chart(tables, as_of, tf, "num_unique_wallets", min_wallets)
 
 
 def trending_contracts(tables: Tables, as_of, tf: Timeframe | str, min_wallets: int = 10, limit: int = 20) -> DataFrame:
