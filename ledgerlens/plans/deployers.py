@@ -84,7 +84,9 @@ def git_devs(tables: Tables, as_of, tf: Timeframe | str, since: dt.datetime = CO
     return _commit_series(tables, as_of, tf, F.count_distinct("username"), "active_devs", since)
 
 
-def deployers_dashboard(tables: Tables, as_of, timeframe: Timeframe | str, chain: str, chains: tuple[str, ...]) -> dict[str, DataFrame]:
+def deployers_dashboard(tables: Tables, as_of, timeframe: Timeframe | str = Timeframe.WEEK, *, chain: str, chains: tuple[str, ...]) -> dict[str, DataFrame]:
+    """All deployer metrics of one request; ``chain`` is the chain of the single-chain series, ``chains`` the
+    columns of the side-by-side series."""
     tf = Timeframe.parse(timeframe)
     return {
         "all_deployers": all_deployers(tables, as_of, tf),
@@ -95,5 +97,6 @@ def deployers_dashboard(tables: Tables, as_of, timeframe: Timeframe | str, chain
 
 
 def developers_dashboard(tables: Tables, as_of, timeframe: Timeframe | str = Timeframe.WEEK) -> dict[str, DataFrame]:
+    """Commit and active-developer series of one request."""
     tf = Timeframe.parse(timeframe)
     return {"commits": commits(tables, as_of, tf), "git_devs": git_devs(tables, as_of, tf)}

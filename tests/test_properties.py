@@ -136,7 +136,7 @@ def test_dashboards_expose_original_keys(spark, t):
         "month_gross_profit", "month_revenue", "all_gross_profit", "all_revenue",
     }
     assert set(bd.dashboard(t, fx.LONG_AS_OF)) == {"leaderboard"}
-    assert set(deployers.deployers_dashboard(t, fx.LONG_AS_OF, "week", "c1", fx.FIXTURE_CHAINS)) == {
+    assert set(deployers.deployers_dashboard(t, fx.LONG_AS_OF, chain="c1", chains=fx.FIXTURE_CHAINS)) == {
         "all_deployers", "key_deployers", "returning_key_deployers", "chain_key_deployers",
     }
     assert set(deployers.developers_dashboard(t, fx.COMMITS_AS_OF)) == {"commits", "git_devs"}
