@@ -24,20 +24,30 @@ from ..timeframe import Timeframe, now
 
 DEFAULT_INTERVAL = "6 hours"
 
-# Dashboards that need only (tables, as_of, timeframe).
-DASHBOARDS: dict[str, Callable[[Tables, dt.datetime, Timeframe], dict]] = {
+# Dashboards by name: each takes (tables, as_of, timeframe, **options); ``deployers`` needs ``chain`` and ``chains``.
+DASHBOARDS: dict[str, Callable[..., dict]] = {
     "users": users.dashboard,
     "bd": bd.dashboard,
     "economics": economics.dashboard,
+    "deployers": deployers.deployers_dashboard,
     "developers": deployers.developers_dashboard,
 }
 
 
-def publish(tables: Tables, as_of: dt.datetime, out_dir: str, timeframe: Timeframe | str, names: list[str], fmt: str = "parquet") -> dict[str, str]:
-    """Recompute the named dashboards and overwrite one folder per result. Returns result -> path."""
+def publish(
+    tables: Tables,
+    as_of: dt.datetime,
+    out_dir: str,
+    timeframe: Timeframe | str,
+    names: list[str],
+    fmt: str = "parquet",
+    options: dict[str, dict] | None = None,
+) -> dict[str, str]:
+    """Recompute the named dashboards and overwrite one folder per result. ``options`` holds extra keyword
+    arguments per dashboard (e.g. ``{"deployers": {"chain": ..., "chains": (...)}}``). Returns result -> path."""
     written = {}
     for name in names:
-        results = DASHBOARDS[name](tables, as_of, timeframe)
+        results = DASHBOARDS[name](tables, as_of, timeframe, **(options or {}).get(name, {}))
         for key, path in write_dashboard(results, f"{out_dir.rstrip('/')}/{name}", fmt).items():
             written[f"{name}.{key}"] = path
     return written
@@ -61,6 +71,7 @@ def start_refresh(
     clock: Callable[[], dt.datetime] | None = None,
     available_now: bool = False,
     query_name: str = "ledgerlens_refresh",
+    options: dict[str, dict] | None = None,
 ) -> StreamingQuery:
     """Start the publishing stream. ``tables_factory`` builds a fresh registry per batch (a new registry lists the
     table folders again, so files that arrived since the last batch are read)."""
@@ -69,7 +80,7 @@ def start_refresh(
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        publish(tables_factory(), clock() if clock else now(), out_dir, timeframe, list(names))
+        publish(tables_factory(), clock() if clock else now(), out_dir, timeframe, list(names), options=options)
 
     writer = arrivals.writeStream.queryName(query_name).foreachBatch(on_batch).option("checkpointLocation", checkpoint_location(spark, query_name))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)

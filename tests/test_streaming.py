@@ -39,3 +39,16 @@ def test_refresh_publishes_on_arrival_and_resumes(spark, tmp_path):
     shutil.rmtree(out / "economics" / "batch_fees")
     run()
     assert not (out / "economics" / "batch_fees").exists()
+
+
+def test_publish_deployers_and_developers_with_options(spark, tmp_path):
+    from ledgerlens.plans import deployers
+    from ledgerlens.streaming.refresh import publish
+
+    tables = fx.long_history(spark, SF)
+    written = publish(tables, fx.LONG_AS_OF, str(tmp_path), "week", ["deployers", "developers"], fmt="json",
+                      options={"deployers": {"chain": "c1", "chains": fx.FIXTURE_CHAINS}})
+    assert set(written) == {"deployers.all_deployers", "deployers.key_deployers", "deployers.returning_key_deployers",
+                            "deployers.chain_key_deployers", "developers.commits", "developers.git_devs"}
+    got = spark.read.json(written["deployers.key_deployers"]).count()
+    assert got == deployers.key_deployers(tables, fx.LONG_AS_OF, "week", "c1").count() > 0
