@@ -1,11 +1,16 @@
-"""Every registered query against its independent DuckDB SQL (row count, column names and types, values)."""
+"""Every registered query against its independent DuckDB SQL (row count, column names and types, values).
+
+Runs on sf0.001 by default; ``LEDGERLENS_ORACLE_SF=/root/testdata/sf0.01`` runs the driver's correctness scale.
+"""
+
+import os
 
 import pytest
 
 from harness import compare, duck
 from ledgerlens.catalog import catalog
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("LEDGERLENS_ORACLE_SF", "/root/testdata/sf0.001")
 ENTRIES = catalog()
 
 
