@@ -73,7 +73,7 @@ def test_top_k_chart_runs_fact_pipeline_once(spark, stored):
 
 def test_trending_contract_test_after_aggregation(stored):
     plan = optimized(users.trending_contracts(stored, fx.LONG_AS_OF, "month"))
-    assert first_input_below(plan, "Join LeftSemi").startswith("Aggregate [to_address")
+    assert first_input_below(plan, "Join LeftSemi").startswith("Aggregate [contract")
 
 
 def test_price_join_meets_hourly_aggregate_not_rows(stored):

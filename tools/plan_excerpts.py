@@ -47,8 +47,8 @@ NOTES = {
     "Q9": "One aggregate per sender (first month, bitmask of active months), exploded to at most 6 rows, counted; no self-join, no window; cohort sizes are a broadcast of at most 6 rows.",
     "Q10": "The initial plan repeats the per-(week, project) aggregate under the union; at runtime AQE reuses its shuffle (ReusedExchange, pinned by tests/test_plans.py), so the facts are read once. WindowGroupLimit runs before and after the shuffle by week.",
     "Q11": "Rows are reduced to (week, target, flag, wallet) with fees pre-summed before the contract join; reuse as for Q10.",
-    "Q12": "Aggregate per target first, then the contract test as a semi join of one row per address; top 20 by TakeOrderedAndProject.",
-    "Q13": "Transactions meet the (broadcast) label table, then one Expand-based aggregate for four conditional distinct counts.",
+    "Q12": "Two-level aggregate per target first (tagged wallet/hash rows, keyed by value in the first shuffle), then the contract test as a semi join of one row per address; top 20 by TakeOrderedAndProject.",
+    "Q13": "Transactions meet the (broadcast) label table; each row is tagged twice (wallet, hash) and a two-level aggregate gives the four conditional distinct counts and both fee sums.",
     "Q14": "Hourly revenue aggregate before the price join; per-month cost aggregates are broadcast (one row per month).",
     "Q18": "Revenue and both cost tables in one global aggregate over a tagged union; all three scans partition-pruned to the week.",
     "Q27": "Distinct (deployer, week, week-of-first) rows before the per-deployer window.",
