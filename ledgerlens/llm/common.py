@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,20 +26,35 @@ def fresh_name(df: DataFrame, base: str) -> str:
     return name
 
 
-def append_struct(df: DataFrame, text_col: str, fn: Callable[[list], pa.StructArray], schema: T.StructType, into: str) -> DataFrame:
+def slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(offset, length) runs of a binary column of about ``most`` bytes each; a longer value is a run of its own."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    at, held = 0, 0
+    for k, size in enumerate(sizes):
+        if k > at and held + size > most:
+            yield at, k - at
+            at, held = k, 0
+        held += int(size)
+    if len(sizes) > at:
+        yield at, len(sizes) - at
+
+
+def append_struct(df: DataFrame, text_col: str, fn: Callable[[list], pa.StructArray], schema: T.StructType, into: str, slice_bytes: int = 4 << 20) -> DataFrame:
     """Append struct column ``into`` computed from ``text_col`` by Arrow batches; all other columns pass through.
 
-    ``fn`` gets the batch's texts as a list of ``bytes | None`` and returns a struct array of the same length.
+    ``fn`` gets texts as a list of ``bytes | None``, about ``slice_bytes`` at a time, and returns a struct array of the
+    same length.
     """
     source = fresh_name(df, "_utf8")
     out_schema = T.StructType([*df.schema.fields, T.StructField(into, schema)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                n = batch.num_columns - 1
-                made = fn(batch.column(n).to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns[:n], made], names=[*batch.schema.names[:n], into])
+            n = batch.num_columns - 1
+            for at, length in slices(batch.column(n), slice_bytes):
+                part = batch.slice(at, length)
+                made = fn(part.column(n).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], made], names=[*batch.schema.names[:n], into])
 
     return df.withColumn(source, F.col(f"`{text_col}`").cast("binary")).mapInArrow(run, out_schema)
 

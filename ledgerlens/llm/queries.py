@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate
+from . import decontaminate, sentencepiece_codec
 from .common import sha256_hex, table
 
 
@@ -44,8 +45,17 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM lower_docs LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    p = sentencepiece_codec.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), into="p")
+    return p.select("doc_id", F.size("p.ids").cast("long").alias("n_tokens"),
+                    sha256_hex(F.array_join(F.col("p.ids").cast("array<string>"), " ")).alias("ids_sha256"),
+                    sha256_hex(F.col("p.decoded")).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op9_sentencepiece": op9_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {
