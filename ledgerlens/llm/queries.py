@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, sentencepiece_codec
-from .common import sha256_hex, table
+from . import decontaminate, pii, quality_rules, sentencepiece_codec
+from .common import sha256_hex, table, written
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +45,25 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM lower_docs LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pii.detect(docs, into="p")
+    count = lambda kind: F.size(F.filter("p.base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", *[count(kind) for kind in pii.BASE], sha256_hex(pii.described(F.col("p.base"))).alias("base_sha256"),
+                      pii.described(F.col("p.spans")).alias("spans"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # The counts are small and needed twice, to fit and to decide: they are stored, the texts read once.
+    counted = written(spark, quality_rules.statistics(docs, into="s").select("doc_id", "s"), "quality")
+    s = F.col("s")
+    failed = quality_rules.base_failed(s)
+    good = quality_rules.probability(quality_rules.fit(counted, "s"), s)
+    return counted.select("doc_id", "s.n_words", "s.word_chars", "s.n_symbols", "s.n_dup_lines", "s.n_repeat_words", failed.alias("base_failed"),
+                          (~failed & (good >= 0.5)).alias("kept"), good.alias("quality"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     p = sentencepiece_codec.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), into="p")
@@ -55,6 +74,8 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op6_pii": op6_pii,
+    "op8_quality_rules": op8_quality_rules,
     "op9_sentencepiece": op9_sentencepiece,
 }
 
