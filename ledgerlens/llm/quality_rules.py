@@ -31,6 +31,7 @@ RULES = {
     "capitals": lambda s: vote(s["n_upper"] > 0.4 * s["word_chars"], s["n_upper"] <= 0.15 * s["word_chars"]),
     "vocabulary": lambda s: vote((s["n_words"] >= MIN_WORDS) & (s["n_words"] < 1000) & (s["n_distinct"] < 0.3 * s["n_words"]), s["n_distinct"] >= 0.5 * s["n_words"]),
     "word_length": lambda s: vote((s["word_chars"] < 3 * s["n_words"]) | (s["word_chars"] > 10 * s["n_words"]), (s["word_chars"] >= 4.2 * s["n_words"]) & (s["word_chars"] <= 7 * s["n_words"])),
+    "letters": lambda s: vote(s["n_bare"] > 0.15 * s["n_words"], s["n_bare"] <= 0.03 * s["n_words"]),
     "marks": lambda s: vote(s["n_ends"] < 0.1 * s["n_lines"], s["n_ends"] >= 0.5 * s["n_lines"]),
 }
 
@@ -60,6 +61,7 @@ def statistics(docs: DataFrame, text_col: str = "text", into: str | None = None)
         "n_lines": F.size(lines),
         "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
         "n_distinct": F.size(F.array_distinct(w)),
+        "n_bare": F.size(F.filter(w, lambda x: ~x.rlike(r"\p{L}"))),
         "n_upper": F.length(F.regexp_replace(t, r"\P{Lu}+", "")),
         "n_ends": F.size(F.filter(lines, lambda x: x.rlike(r"""[.!?:;"')\]][\x20\x09-\x0D]*$"""))),
     }
