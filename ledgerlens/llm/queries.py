@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pii, quality_rules, sentencepiece_codec
+from . import decontaminate, html_extract, pii, quality_rules, sentencepiece_codec
 from .common import sha256_hex, table, written
 
 
@@ -72,11 +72,18 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                     sha256_hex(F.col("p.decoded")).alias("decoded_sha256"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    text = F.col("m.text")
+    return html_extract.extract(pages, into="m").select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op6_pii": op6_pii,
     "op8_quality_rules": op8_quality_rules,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLE_SQL: dict[str, str] = {
