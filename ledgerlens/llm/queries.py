@@ -8,10 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, pii, quality_rules, sentencepiece_codec
+from . import decontaminate, html_extract, pii, quality_rules, sentencepiece_codec, toxicity
 from .common import sha256_hex, table, written
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(toxicity.bucket(F.col("doc_id")) == 2, F.lit(False))
+    return toxicity.score(docs, field, into="t").select("doc_id", held_out.alias("held_out"), F.col("t.score").alias("score"),
+                                                        (F.col("t.score") >= 0.3).cast("int").alias("predicted"), F.col("t.spans").alias("spans"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scanned = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), into="scan")
@@ -79,6 +87,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op6_pii": op6_pii,
     "op8_quality_rules": op8_quality_rules,
