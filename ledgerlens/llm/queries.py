@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, pii, quality_rules, sentencepiece_codec, toxicity
+from . import decontaminate, html_extract, language_id, pii, quality_rules, sentencepiece_codec, toxicity
 from .common import sha256_hex, table, written
 
 
@@ -53,6 +53,14 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM lower_docs LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    html, url = F.col("html"), F.col("url")
+    rows = pages.select("page_id", "url", language_id.page_text(html).alias("text"), language_id.page_language(html).alias("declared"), language_id.page_host(url).alias("host"))
+    out = language_id.identify(rows, text_col="text", declared=F.col("declared"), host=F.col("host"), into="l")
+    return out.select("page_id", "url", "l.language", "l.probability", "l.text_language", "l.accepted")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = pii.detect(docs, into="p")
@@ -89,6 +97,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_language_id": op3_language_id,
     "op6_pii": op6_pii,
     "op8_quality_rules": op8_quality_rules,
     "op9_sentencepiece": op9_sentencepiece,
