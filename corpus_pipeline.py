@@ -29,10 +29,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = ngram_join.near_duplicates(docs)
+    groups, gone = ngram_join.near_duplicates(docs), fresh_name(docs, "_gone")
     # One row of a component has the smallest doc_id (repeated rows of it count as one); documents without words link with nothing.
-    lost = groups.where("component_id < doc_id").select(F.col("doc_id").alias("_lost")).distinct()
-    kept = docs.join(lost, F.col("doc_id") == F.col("_lost"), "left_anti")
+    lost = groups.where("component_id < doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    kept = docs.join(lost, F.col("doc_id") == F.col(gone), "left_anti")
     keyed = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
     return keyed.unionByName(kept.where("doc_id is null"))
 
