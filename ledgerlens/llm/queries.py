@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, language_id, ngram_join, pii, quality_rules, sentencepiece_codec, toxicity
+from . import decontaminate, html_extract, language_id, ngram_join, pii, quality_rules, sentencepiece_codec, suffix_dedup, toxicity
 from .common import sha256_hex, table, written
 
 
@@ -94,6 +94,12 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                       pii.described(F.col("p.spans")).alias("spans"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda acc, s: acc + (s["end"] - s["start"]))
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), sha256_hex(F.col("kept")).alias("kept_sha256"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     # The counts are small and needed twice, to fit and to decide: they are stored, the texts read once.
@@ -125,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_pii": op6_pii,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_html_extraction": op10_html_extraction,
