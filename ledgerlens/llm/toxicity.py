@@ -125,9 +125,89 @@ class Field:
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         for k, d in enumerate(docs):
             e[offsets[k]:offsets[k + 1] - 1] = list(map(get, d))
+        return self.probabilities(e), offsets
+
+    def probabilities(self, e: np.ndarray) -> np.ndarray:
+        left, right = forward_backward(e, *chains(e), self.transitions)
+        odds = left * right
+        return np.where(np.isnan(e), 0.0, odds / (1 + odds))
+
+    def raw(self, p: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Log odds that any word of a document is toxic."""
+        if len(offsets) < 2:
+            return np.zeros(0)
+        none = np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-9)), offsets[:-1])
+        return np.log(np.maximum(-np.expm1(none), 1e-12)) - np.maximum(none, -30)
+
+    def score(self, raw: np.ndarray) -> np.ndarray:
+        if self.line is None:
+            return np.zeros(len(raw))
+        return 1 / (1 + np.exp(-np.clip(self.line[0] * raw + self.line[1], -60, 60)))
+
+
+def tokens(text: str) -> list[str]:
+    return TOKEN.findall(text.lower())
+
+
+def telling(docs: list[set[str]], toxic: list[int], *, log_chance: float = -11.0, support: int = 3) -> dict[str, float]:
+    """Features that toxic documents hold more often, with the label their words get there: 1, 0.5 or, if chance may do it, 0.
+
+    ``docs`` are the documents' distinct words. Only features with ``support`` toxic documents are counted in the others.
+    """
+    yes: Counter = Counter()
+    for d, y in zip(docs, toxic, strict=True):
+        if y:
+            yes.update({f for w in d for f in features(w)})
+    all_docs = Counter({f: n for f, n in yes.items() if n >= support})
+    yes = Counter(all_docs)
+    for d, y in zip(docs, toxic, strict=True):
+        if not y:
+            all_docs.update({f for w in d for f in features(w) if f in yes})
+    rate = sum(toxic) / max(1, len(toxic))
+    out = {}
+    for f, n in yes.items():
+        chance = log_tail(n, all_docs[f], rate)
+        if chance <= -4:
+            out[f] = 0.0 if chance > log_chance else 1.0 if n >= 0.7 * all_docs[f] else 0.5
+    return out
+
+
+class Field:
+    """The trained chain: feature weights, transitions, and the line that turns a noisy-or into a score."""
+
+    def __init__(self, weights: dict[str, float], bias: float, transitions: np.ndarray, line: tuple[float, float] | None):
+        self.weights, self.bias, self.transitions, self.line = weights, bias, transitions, line
+        self.known: dict[str, float] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": {}}
+
+    def emission(self, token: str) -> float:
+        """Emission odds of a token; NaN at a boundary."""
+        found = self.known.get(token)
+        if found is None:
+            if len(self.known) >= REMEMBER:
+                self.known.clear()
+            total = self.bias + sum(self.weights.get(f, 0.0) for f in features(token)) if token not in STOPS else math.nan
+            found = math.exp(min(total, 60.0)) if total == total else math.nan
+            if len(token) <= 40:
+                self.known[token] = found
+        return found
+
+    def marginals(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Toxic probability of every token of all documents (0 at boundaries), and the documents' offsets."""
+        get = self.emission
+        sizes = [len(d) + 1 for d in docs]
+        e = np.full(sum(sizes), np.nan)
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        for k, d in enumerate(docs):
+            e[offsets[k]:offsets[k + 1] - 1] = list(map(get, d))
+        return self.probabilities(e), offsets
+
+    def probabilities(self, e: np.ndarray) -> np.ndarray:
         left, right = forward_backward(e, *chains(e), self.transitions)
         odds = left * right
-        return np.where(np.isnan(e), 0.0, odds / (1 + odds)), offsets
+        return np.where(np.isnan(e), 0.0, odds / (1 + odds))
 
     def raw(self, p: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Log odds that any word of a document is toxic."""
@@ -164,26 +244,33 @@ def telling(docs: list[list[str]], toxic: list[int], *, log_chance: float = -11.
     return out
 
 
-def train(texts: list[str], toxic: list[int], weight: list[float], *, steps: int = 80) -> Field:
+def train(texts: list[str], toxic: list[int], weight: list[float], *, steps: int = 90) -> Field:
     """The field from labelled documents; ``weight`` undoes the sampling of the classes in the calibration."""
     nothing = Field({}, -12.0, np.array([[1.0, 0.01], [0.5, 0.5]]), None)
     if not texts or not 0 < sum(toxic) < len(texts):
         return nothing
-    docs = [tokens(t) for t in texts]
-    told = telling(docs, toxic)
+    vocabulary: dict[str, int] = {"\n": 0}
+    docs, held = [], []
+    for t in texts:
+        words = tokens(t)
+        docs.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words] + [0], np.int32))
+        held.append(docs[-1][np.unique(docs[-1], return_index=True)[1]])
+    names = list(vocabulary)
+    told = telling([{names[k] for k in d} - STOPS for d in held], toxic)
     index = {f: k for k, f in enumerate(sorted(told))}
-    of_word: dict[str, list[int]] = {}
-    for d in docs:
-        for w in d:
-            if w not in of_word:
-                of_word[w] = [] if w in STOPS else [index[f] for f in features(w) if f in index]
-    label = {w: max(told[f] for f in features(w) if f in told) for w, ids in of_word.items() if ids}
-    flat = [w for d in docs for w in [*d, "\n"]]
-    word = np.array([w not in STOPS for w in flat])
-    offsets = np.concatenate([[0], np.cumsum([len(d) + 1 for d in docs])]).astype(np.int64)
-    y = np.repeat(np.array(toxic, float), np.diff(offsets)) * np.array([label.get(w, 0.0) for w in flat])
-    pairs = [(k, i) for k, w in enumerate(flat) for i in of_word[w]]
-    rows, cols = (np.array([p[c] for p in pairs], np.int64) for c in (0, 1))
+    of_word = [[] if w in STOPS else [index[f] for f in features(w) if f in index] for w in names]
+    label = np.array([max((told[f] for f in features(w) if f in told), default=0.0) if ids else 0.0 for w, ids in zip(names, of_word, strict=True)])
+    flat = np.concatenate(docs)
+    word = ~np.isin(flat, [vocabulary[x] for x in STOPS if x in vocabulary])
+    offsets = np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype(np.int64)
+    y = np.repeat(np.array(toxic, float), np.diff(offsets)) * label[flat]
+    width = np.array([len(ids) for ids in of_word])
+    first = np.concatenate([[0], np.cumsum(width)])
+    held_by = np.array([i for ids in of_word for i in ids], np.int32)
+    hot = np.flatnonzero(width[flat])
+    rows = np.repeat(hot, width[flat[hot]])
+    within = np.arange(len(rows)) - np.repeat(np.cumsum(width[flat[hot]]) - width[flat[hot]], width[flat[hot]])
+    cols = held_by[first[flat[rows]] + within]
     starts, lengths = chains(np.where(word, 1.0, np.nan))
     w, bias, log_t = np.zeros(len(index)), -6.0, np.log(np.array([[0.99, 0.01], [0.9, 0.1]]))
     # Words that follow another in their chain: their transitions count.
@@ -191,12 +278,13 @@ def train(texts: list[str], toxic: list[int], weight: list[float], *, steps: int
     after[starts] = False
     w, bias, log_t = climb(w, bias, log_t, y, word, rows, cols, starts, lengths, after, steps)
     field = Field({f: float(w[k]) for f, k in index.items()}, bias, np.exp(log_t), None)
-    p, offsets = field.marginals(docs)
+    e = np.where(word, np.array([field.emission(w) for w in names])[flat], np.nan)
+    p = field.probabilities(e)
     field.line = calibrated(field.raw(p, offsets), np.array(toxic, float), np.array(weight))
     return field
 
 
-def climb(w, bias, log_t, y, word, rows, cols, starts, lengths, after, steps, rate=0.3, decay=1.0):
+def climb(w, bias, log_t, y, word, rows, cols, starts, lengths, after, steps, rate=0.5, decay=0.5):
     """Adagrad steps up the likelihood of the labelled chains, with a Gaussian prior on the weights."""
     squares = [np.full(len(w), 1e-6), 1e-6, np.full((2, 2), 1e-6)]
     before = np.flatnonzero(after)
@@ -240,7 +328,7 @@ def bucket(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, train_toxic: int = 3000, train_clean: int = 5000, train_chars: int = 20_000) -> Field:
+def fit(docs: DataFrame, labels: DataFrame, *, train_toxic: int = 2000, train_clean: int = 3000, train_chars: int = 12_000) -> Field:
     """Train on a hash sample of the labelled documents outside the held-out part."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (bucket(F.col("doc_id")) != 2)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
