@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, language_id, ngram_join, pii, quality_rules, sentencepiece_codec, suffix_dedup, toxicity
-from .common import sha256_hex, table, written
+from . import decontaminate, html_extract, language_id, ngram_join, pii, quality_rules, sentencepiece_codec, suffix_dedup, token_files, toxicity
+from .common import sha256_hex, shared_dir, table, written
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +66,13 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    files = token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end=1)
+    out = token_files.read(spark, path, files, packed=True)
+    return out.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 # Links by counting common shingles per pair, components as the smallest doc_id reachable.
 OP5_SQL = r"""
 WITH RECURSIVE words AS (
@@ -129,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_language_id": op3_language_id,
+    "op4_token_files": op4_token_files,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_pii": op6_pii,
     "op7_suffix_dedup": op7_suffix_dedup,
