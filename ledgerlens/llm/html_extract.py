@@ -6,7 +6,7 @@ that depends on whether the parent is marked as a non-article part. Sum-product
 again, and a node whose marginal probability of content is at least ``threshold`` keeps its text.
 
 The potentials are counts from labelled pages: pages that mark their article (``<article>``, ``<main>``), whose nodes
-inside it, apart from marked parts, are content. Counting runs on a hash sample of about ``train_pages`` of these pages
+inside it, apart from marked parts, are content. A marked node is clamped to boilerplate. Counting runs on a hash sample of about ``train_pages`` of these pages
 (a bound on the cost of training); small prior counts cover names that no labelled page has.
 
 Blocks keep page order; character references are decoded, white space in a block becomes one space, empty blocks
@@ -46,7 +46,8 @@ MARKED_NAMES = frozenset("""ad ads adv advert advertisement advertising banner b
 MAIN_NAMES = frozenset("article content entry main post story text".split())
 MAIN_TAGS = frozenset(["article", "main"])
 #: Prior counts of (feature, label): what any page would teach.
-PRIOR = {(("name", "marked"), 0): 50.0, (("name", "main"), 1): 50.0, **{(("tag", t), 0): 20.0 for t in MARKED_TAGS}, **{(("tag", t), 1): 20.0 for t in ("article", "main", "p", "h1", "h2", "h3", "blockquote", "pre")}}
+PRIOR = {(("name", "marked"), 0): 50.0, (("name", "main"), 1): 50.0, **{(("tag", f"{t}:0"), 1): 20.0 for t in ("p", "h1", "h2", "h3", "blockquote", "pre")}}
+CLAMP = -60.0
 
 RESULT = T.StructType([
     T.StructField("text", T.StringType()),
@@ -55,10 +56,10 @@ RESULT = T.StructType([
 
 
 class Node:
-    __slots__ = ("tag", "parent", "marked", "main", "chars", "linked", "run")
+    __slots__ = ("tag", "parent", "inside", "marked", "main", "chars", "linked", "all_chars", "all_linked", "run")
 
-    def __init__(self, tag: str, parent: int, names: set[str]):
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, parent: int, names: set[str], inside: bool = False):
+        self.tag, self.parent, self.inside = tag, parent, inside  # inside: a node above is marked
         self.marked = tag in MARKED_TAGS or not names.isdisjoint(MARKED_NAMES)
         self.main = tag in MAIN_TAGS or not names.isdisjoint(MAIN_NAMES)
         self.chars = self.linked = 0
@@ -135,19 +136,24 @@ def tree(page: str) -> tuple[list[Node], list[tuple[int, list[str]]]]:
             open_tags.append((tag, parent))
         else:
             open_tags.append((tag, len(nodes)))
-            nodes.append(Node(tag, parent, names))
+            nodes.append(Node(tag, parent, names, nodes[parent].inside or nodes[parent].marked))
         links += tag == "a"
+    for n in nodes:
+        n.all_chars, n.all_linked = n.chars, n.linked
+    for n in reversed(nodes[1:]):
+        nodes[n.parent].all_chars += n.all_chars
+        nodes[n.parent].all_linked += n.all_linked
     return nodes, runs
 
 
 def features(node: Node) -> list[tuple[str, str]]:
-    out = [("tag", node.tag)]
-    if node.marked and node.tag not in MARKED_TAGS:
+    """Tag with the share of linked characters under it (in thirds), marks, amount of own text."""
+    out = [("tag", f"{node.tag}:{min(3, 4 * node.all_linked // node.all_chars) if node.all_chars else ''}")]
+    if node.marked:
         out.append(("name", "marked"))
-    elif node.main and node.tag not in MAIN_TAGS:
+    elif node.main:
         out.append(("name", "main"))
     if node.chars:
-        out.append(("linked", str(min(3, 4 * node.linked // node.chars))))
         out.append(("size", str(min(4, int(math.log(node.chars, 4))))))
     return out
 
@@ -158,53 +164,48 @@ def labels(nodes: list[Node]) -> list[int] | None:
         return None
     out: list[int] = []
     for n in nodes:
-        inside = n.parent >= 0 and out[n.parent]
-        out.append(int(not n.marked and bool(inside or (n.tag in MAIN_TAGS and not marked_above(nodes, n)))))
+        above = n.parent >= 0 and out[n.parent]
+        out.append(int(not n.marked and not n.inside and bool(above or n.tag in MAIN_TAGS)))
     return out
 
 
-def marked_above(nodes: list[Node], node: Node) -> bool:
-    while node.parent >= 0:
-        node = nodes[node.parent]
-        if node.marked:
-            return True
-    return False
-
-
 class Model:
-    """Log potentials from counts of (feature, label), label, and (parent marked, parent label, child label)."""
+    """Log potentials from counts of (feature, label), and of (edge kind, parent label, child label)."""
 
     def __init__(self, counts: Counter):
         seen = Counter({("f", *k): v for k, v in PRIOR.items()})
         seen.update(counts)
-        kinds = {"tag", "name", "linked", "size"}
+        kinds = {"tag", "name", "size"}
         total = {(kind, y): sum(v for k, v in seen.items() if k[0] == "f" and k[1][0] == kind and k[2] == y) for kind in kinds for y in (0, 1)}
         width = {kind: 1 + len({k[1] for k in seen if k[0] == "f" and k[1][0] == kind}) for kind in kinds}
         names = {k[1] for k in seen if k[0] == "f"}
         self.unary = {f: self._ratio(seen, total, width, f) for f in names}
         self.edge = {}
-        for marked in (False, True):
+        for kind in ("in", "marked", "open"):
             for a in (0, 1):
-                n = [seen["e", marked, a, b] + (0.01 if marked or a else 0.5) * (1 if b == a else 0.1) for b in (0, 1)]
-                self.edge[marked, a] = [math.log(x / sum(n)) for x in n]
+                n = [seen["e", kind, a, b] + (1.0 if b == a else 1e-9 if kind == "in" or (kind == "open" and a) else 0.1) for b in (0, 1)]
+                self.edge[kind, a] = [math.log(x / sum(n)) for x in n]
 
     @staticmethod
     def _ratio(seen: Counter, total: dict, width: dict, f: tuple) -> float:
         """How much likelier the feature is under content (log ratio); amounts count half as they go together."""
         p = [(seen["f", f, y] + 1) / (total[f[0], y] + width[f[0]]) for y in (0, 1)]
-        return (1.0 if f[0] in ("tag", "name") else 0.5) * math.log(p[1] / p[0])
+        return (1.0 if f[0] != "size" else 0.5) * math.log(p[1] / p[0])
+
+    def own(self, node: Node) -> float:
+        return CLAMP if node.marked else sum(self.unary.get(f, 0.0) for f in features(node))
 
     def marginals(self, nodes: list[Node]) -> list[float]:
         """Probability of content of each node: messages from the leaves up, then from the root down."""
         n = len(nodes)
-        own = [sum(self.unary.get(f, 0.0) for f in features(node)) for node in nodes]
+        own = [self.own(node) for node in nodes]
         below = [[0.0, x] for x in own]  # log potentials with all messages from below
         up = [[0.0, 0.0]] * n
         for k in range(n - 1, 0, -1):
             node = nodes[k]
             message = []
             for a in (0, 1):
-                e = self.edge[nodes[node.parent].marked, a]
+                e = self.edge[kind_of(node), a]
                 message.append(log_sum(e[0] + below[k][0], e[1] + below[k][1]))
             up[k] = message
             to = below[node.parent]
@@ -215,13 +216,18 @@ class Model:
         for k in range(1, n):
             node = nodes[k]
             rest = [belief[node.parent][a] - up[k][a] for a in (0, 1)]
-            e = [self.edge[nodes[node.parent].marked, a] for a in (0, 1)]
+            e = [self.edge[kind_of(node), a] for a in (0, 1)]
             down = [log_sum(rest[0] + e[0][b], rest[1] + e[1][b]) for b in (0, 1)]
             belief[k] = [below[k][b] + down[b] for b in (0, 1)]
             out.append(share(*belief[k]))
         return out
 
 
+def kind_of(node: Node) -> str:
+    """Kind of the edge above a node: in a marked part, of a marked node, or open."""
+    return "in" if node.inside else "marked" if node.marked else "open"
+
+
 def log_sum(a: float, b: float) -> float:
     return a + math.log1p(math.exp(b - a)) if a >= b else b + math.log1p(math.exp(a - b))
 
@@ -249,7 +255,7 @@ def counted(pages: list[str]) -> Counter:
             for f in features(node):
                 out["f", f, y[k]] += 1
             if k:
-                out["e", nodes[node.parent].marked, y[node.parent], y[k]] += 1
+                out["e", kind_of(node), y[node.parent], y[k]] += 1
     return out
 
 
@@ -265,12 +271,12 @@ def fit(pages: DataFrame, html_col: str = "html", *, train_pages: int = 2000) ->
         seen: Counter = Counter()
         for batch in batches:
             seen.update(counted([x.decode("utf-8", "replace") for x in batch.column(0).to_pylist()]))
-        rows = [("f", k[1][0], k[1][1], k[2], n) if k[0] == "f" else ("e", str(k[1]), str(k[2]), k[3], n) for k, n in seen.items()]
+        rows = [("f", k[1][0], k[1][1], k[2], n) if k[0] == "f" else ("e", k[1], str(k[2]), k[3], n) for k, n in seen.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64()))], names=["kind", "a", "b", "y", "n"])
 
     sample = labelled.where(F.pmod(F.xxhash64("html"), F.lit(1 << 20)) < keep).select(F.col("html").cast("binary").alias("html"))
     rows = sample.mapInArrow(run, schema).groupBy("kind", "a", "b", "y").agg(F.sum("n").alias("n")).collect()
-    return Model(Counter({("f", (r.a, r.b), r.y) if r.kind == "f" else ("e", r.a == "True", int(r.b), r.y): r.n for r in rows}))
+    return Model(Counter({("f", (r.a, r.b), r.y) if r.kind == "f" else ("e", r.a, int(r.b), r.y): r.n for r in rows}))
 
 
 def extract(pages: DataFrame, html_col: str = "html", *, into: str | None = None, threshold: float = 0.5, model: Model | None = None) -> DataFrame:
