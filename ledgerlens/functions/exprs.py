@@ -1,9 +1,10 @@
 """Domain expressions, named once.
 
-Numeric policy: wei amounts and money stay DECIMAL until the last projection, so sums are exact and independent
-of partitioning (a DOUBLE sum changes with the order of partial aggregates). Ratios divide DECIMAL(38,0)-scaled
-operands, which Spark evaluates at scale 6 with HALF_UP rounding, like the warehouse's integer division. Outputs are
-rounded once and cast to DOUBLE.
+Numeric policy: money is counted in whole units of 1e-18 (wei for ETH) as DECIMAL(38,0) until the last projection, so
+sums are exact and independent of partitioning (a DOUBLE sum changes with the order of partial aggregates), and no
+amount is rounded. The last projection turns units into DOUBLE, whole part and remainder apart. Ratios divide
+DECIMAL(38,0)-scaled operands, which Spark evaluates at scale 6 with HALF_UP rounding, like the warehouse's integer
+division.
 """
 
 from __future__ import annotations
@@ -26,10 +27,9 @@ EXCLUDED_TOKEN_TYPE = "erc20"
 LEADERBOARD_EXCLUDED_CATEGORIES = ("ERC20", "NFT")
 PRICE_SYMBOL = "ETH"
 
-WEI_PER_ETH = Decimal(10) ** 18
-# Output rounding: fee amounts to 4 places, percentage shares to 6, retention to 2, card growth to 1.
-FEE_DECIMALS = 4
-SHARE_DECIMALS = 6
+UNITS_PER_ONE = Decimal(10) ** 18
+# Token prices have nine places: a price times wei counts 1e-27, kept as units of 1e-18 and a remainder below 1e9.
+PRICE_UNITS = Decimal(10) ** 9
 
 
 def c(col: Column | str) -> Column:
@@ -48,14 +48,35 @@ def fee_wei() -> Column:
     return F.col("receipt_l1_fee") + l2_fee_wei()
 
 
-def wei_to_eth(wei: Column | str) -> Column:
-    """Wei (exact decimal, also price x wei) to ETH (or USD) as DECIMAL(38,6), HALF_UP."""
-    return c(wei) / F.lit(WEI_PER_ETH).cast("decimal(38,0)")
+def whole(value: Decimal) -> Column:
+    return F.lit(value).cast(f"decimal({len(str(int(value)))},0)")
 
 
-def amount(col: Column | str, decimals: int = FEE_DECIMALS) -> Column:
-    """Final projection of a money amount: exact decimal rounded HALF_UP, then DOUBLE."""
-    return F.round(c(col), decimals).cast("double")
+def parts(units: Column | str, size: Decimal = UNITS_PER_ONE) -> tuple[Column, Column]:
+    """(quotient, remainder) of whole units by ``size``, exact; the remainder has the sign of the units."""
+    u = c(units).cast("decimal(38,0)")
+    rest = u % whole(size)
+    return ((u - rest) / whole(size)).cast("decimal(38,0)"), rest
+
+
+def to_units(money: Column | str) -> Column:
+    """An amount of at most 18 places (ETH, USD) in units of 1e-18; exact, as the product is whole."""
+    return (c(money).cast("decimal(38,18)") * whole(UNITS_PER_ONE)).cast("decimal(38,0)")
+
+
+def amount(units: Column | str, below: Column | str | None = None) -> Column:
+    """Final projection of units of 1e-18 (and a remainder ``below`` in 1e-27) as DOUBLE, without rounding places."""
+    quotient, rest = parts(units)
+    rest = rest.cast("double")
+    if below is not None:
+        rest = rest + c(below).cast("double") / F.lit(1e9)
+    return quotient.cast("double") + rest / F.lit(1e18)
+
+
+def carried(high: Column | str, low: Column | str) -> tuple[Column, Column]:
+    """Price x wei sums ``high * 1e9 + low`` (in 1e-27) as (units of 1e-18, remainder below 1e9)."""
+    up, rest = parts(low, PRICE_UNITS)
+    return (c(high).cast("decimal(38,0)") + up).cast("decimal(38,0)"), rest
 
 
 # --- ratios and growth ---------------------------------------------------------------------------------------------

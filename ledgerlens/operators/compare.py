@@ -13,7 +13,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import LEADERBOARD_EXCLUDED_CATEGORIES, UNKNOWN, amount, fee_wei, growth_pct, wei_to_eth
+from ..functions.exprs import LEADERBOARD_EXCLUDED_CATEGORIES, UNKNOWN, amount, fee_wei, growth_pct
 from ..timeframe import Timeframe, ntz, shift
 
 
@@ -72,7 +72,7 @@ def trending(tx: DataFrame, contracts: DataFrame, labels: DataFrame, as_of: dt.d
     out = ranked.join(names, "contract", "left").select(
         "contract",
         F.coalesce("_name", F.lit(UNKNOWN)).alias("project"),
-        amount(wei_to_eth("gas_wei_current")).alias("gas_spend_current"),
+        amount("gas_wei_current").alias("gas_spend_current"),
         growth_pct("gas_wei_current", "gas_wei_previous").alias("gas_growth"),
         F.col("txns_current"),
         growth_pct("txns_current", "txns_previous").alias("txn_growth"),
@@ -102,7 +102,7 @@ def leaderboard(tx: DataFrame, labels: DataFrame, as_of: dt.datetime, tf: Timefr
         "project",
         "slug",
         "category",
-        amount(wei_to_eth("gas_wei_current")).alias("eth_fees"),
+        amount("gas_wei_current").alias("eth_fees"),
         growth_pct("gas_wei_current", "gas_wei_previous", 0).alias("eth_fees_growth"),
         F.col("txns_current").alias("transactions"),
         growth_pct("txns_current", "txns_previous", 0).alias("transactions_growth"),

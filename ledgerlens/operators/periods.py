@@ -43,7 +43,8 @@ def period_agg(
     return rows.groupBy(period(ts, tf).alias(PERIOD)).agg(*aggs)
 
 
-def labelled(df: DataFrame, label: str = "date", fmt=short_label) -> DataFrame:
-    """Replace ``_period`` by its text label and order by the real period (text ``yy`` order breaks at 2000)."""
+def labelled(df: DataFrame, label: str = "date", fmt=short_label, then: tuple[str, ...] = ()) -> DataFrame:
+    """Replace ``_period`` by its text label and order by the real period (text ``yy`` order breaks at 2000), then by
+    the columns ``then``."""
     others = [col for col in df.columns if col != PERIOD]
-    return df.orderBy(PERIOD).select(fmt(F.col(PERIOD)).alias(label), *others)
+    return df.orderBy(PERIOD, *then).select(fmt(F.col(PERIOD)).alias(label), *others)

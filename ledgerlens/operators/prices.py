@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import PRICE_SYMBOL, fee_wei
+from ..functions.exprs import PRICE_SYMBOL, PRICE_UNITS, fee_wei, parts, whole
 from ..timeframe import period_start
 
 
@@ -25,7 +25,7 @@ def hourly_revenue(tx: DataFrame) -> DataFrame:
 
 
 def priced_hours(tx: DataFrame, prices: DataFrame, symbol: str = PRICE_SYMBOL) -> DataFrame:
-    """One row per priced hour: ``hour, rev_wei`` (exact) and ``rev_usd_wei`` (price x wei, exact decimal)."""
+    """One row per priced hour: ``hour, rev_wei`` and the exact price x wei as ``usd_high * 1e9 + usd_low`` in 1e-27 USD."""
     return value_hours(hourly_revenue(tx), prices, symbol)
 
 
@@ -34,4 +34,8 @@ def value_hours(hourly: DataFrame, prices: DataFrame, symbol: str = PRICE_SYMBOL
     # ``(hour, symbol)`` is unique: one row per hour of history. The planner broadcasts it when it is under the
     # broadcast threshold; either way it meets the hourly aggregate, not the transactions.
     px = prices.filter(F.col("symbol") == symbol).select("hour", "usd_price")
-    return hourly.join(px, "hour").select("hour", "rev_wei", (F.col("usd_price") * F.col("rev_wei")).alias("rev_usd_wei"))
+    # The price in whole 1e-9 times the wei in two limbs: neither product can pass 38 digits or lose a place.
+    price = (F.col("usd_price") * whole(PRICE_UNITS)).cast("decimal(20,0)")
+    high, low = parts("rev_wei", PRICE_UNITS)
+    usd = [(price * limb.cast(kind)).cast("decimal(38,0)").alias(name) for limb, kind, name in ((high, "decimal(29,0)", "usd_high"), (low, "decimal(10,0)", "usd_low"))]
+    return hourly.join(px, "hour").select("hour", "rev_wei", *usd)

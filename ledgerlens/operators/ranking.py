@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import OTHER, amount, fee_wei, long_label, period, project_of, wei_to_eth
+from ..functions.exprs import OTHER, amount, fee_wei, long_label, period, project_of
 from ..functions.aggs import distinct_counts
 from ..timeframe import Timeframe
 from .periods import PERIOD
@@ -36,14 +36,12 @@ def top_k_other(agg: DataFrame, measure: str, rank_by: str, wallets: str, k: int
     rn = F.row_number().over(Window.partitionBy(PERIOD).orderBy(*order))
     named = agg.withColumn("_rn", rn).filter((F.col("_rn") <= k) & (F.col(wallets) > min_wallets))
     kept = agg.filter(F.col(wallets) > min_wallets)
-    # Other = (all kept projects) - (named projects), per period, in one aggregate over a union (no join): the named
-    # rows enter once as themselves and once negated under ``Other``.
-    parts = [
-        named.select(PERIOD, "project", F.col(measure).alias("_m"), F.lit(1).alias("_n")),
-        kept.select(PERIOD, F.lit(OTHER).alias("project"), F.col(measure).alias("_m"), F.lit(1).alias("_n")),
-        named.select(PERIOD, F.lit(OTHER).alias("project"), (-F.col(measure)).alias("_m"), F.lit(-1).alias("_n")),
-    ]
-    union = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    # Other = (all kept projects) - (named projects), per period, in one aggregate over a union (no join): a named row
+    # enters twice, as itself and negated under ``Other``; the ranking runs once.
+    row = lambda project, m, n: F.struct(project.alias("project"), m.alias("_m"), F.lit(n).alias("_n"))
+    m = F.col(measure)
+    twice = named.select(PERIOD, F.inline(F.array(row(F.col("project"), m, 1), row(F.lit(OTHER), (-m).cast(agg.schema[measure].dataType), -1))))
+    union = twice.unionByName(kept.select(PERIOD, F.lit(OTHER).alias("project"), m.alias("_m"), F.lit(1).alias("_n")))
     folded = union.groupBy(PERIOD, "project").agg(F.sum("_m").alias(measure), F.sum("_n").alias("_n"))
     return folded.filter(F.col("_n") > 0).drop("_n")
 
@@ -93,7 +91,7 @@ def project_chart(tx: DataFrame, contracts: DataFrame, labels: DataFrame, tf: Ti
     folded = top_k_other(agg, value, rank_by, "num_unique_wallets", k, min_wallets)
 
     names = labels.select(F.col("address").alias("_address"), F.col("name").alias("_name"))
-    out = amount(wei_to_eth(value)).alias(measure) if measure == "eth_fees" else F.col(value).alias(measure)
+    out = amount(value).alias(measure) if measure == "eth_fees" else F.col(value).alias(measure)
     labelled = folded.join(names, folded["project"] == names["_address"], "left")
     return labelled.orderBy(PERIOD, F.col(value).desc(), "project").select(
         long_label(PERIOD).alias("date"), F.coalesce("_name", "project").alias("project"), out

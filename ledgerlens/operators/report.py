@@ -13,7 +13,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import amount, fee_wei, long_label, wei_to_eth
+from ..functions.exprs import amount, fee_wei, long_label, to_units
 from ..functions.joins import bounded
 from ..sources.registry import Tables
 from ..timeframe import Timeframe, as_datetime
@@ -37,11 +37,11 @@ def daily_report(tables: Tables, start: dt.date | str, end: dt.date | str) -> Da
     joined = l2
     for name, table, col in SERIES:
         # At most one row per day in [start, end].
-        series = period_agg(tables[table], "block_timestamp", day, [F.sum(col).alias(name)], since=lo, until=hi)
+        series = period_agg(tables[table], "block_timestamp", day, [F.sum(to_units(col)).alias(name)], since=lo, until=hi)
         joined = joined.join(bounded(series), PERIOD, "left")
     l1_oracle = F.coalesce("l1_gas_oracle_cost", F.lit(0))
     l2_oracle = F.coalesce("l2_gas_oracle_cost", F.lit(0))
-    eth = wei_to_eth("rev_wei")
+    eth = F.col("rev_wei")
     return joined.orderBy(PERIOD).select(
         long_label(PERIOD).alias("day"),
         amount(eth).alias("l2_gas_rev"),

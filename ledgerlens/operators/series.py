@@ -29,10 +29,11 @@ def first_seen_split(df: DataFrame, key: str, ts: str, tf: Timeframe | str, befo
 
     First rows are taken over all history (also the current partial period); output covers ``ts < before``.
     Rows are first reduced to distinct (key, period, compare unit) with map-side aggregation, so the window that
-    finds each key's first unit sees at most a calendar's worth of rows per key, however active the key is.
+    finds each key's first unit sees at most a calendar's worth of rows per key, however active the key is. Rows without
+    a key count no account but keep their period and class.
     """
     tf, unit = Timeframe.parse(tf), Timeframe.parse(compare_unit)
-    reduced = df.filter(F.col(key).isNotNull()).select(key, period(ts, tf).alias("_period"), period(ts, unit).alias("_unit")).distinct()
+    reduced = df.select(key, period(ts, tf).alias("_period"), period(ts, unit).alias("_unit")).distinct()
     first = F.min("_unit").over(Window.partitionBy(key))
     classified = reduced.withColumn("_first", first).filter(F.col("_period") < ntz(before))
     label = F.when(F.col("_unit") == F.col("_first"), F.lit(NEWLY_ACTIVE)).otherwise(F.lit(RETURNING))

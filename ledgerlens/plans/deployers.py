@@ -50,7 +50,7 @@ def returning_key_deployers(tables: Tables, as_of, tf: Timeframe | str, chain: s
     as_of, tf = as_datetime(as_of), Timeframe.parse(tf)
     rows = _key_rows(tables.as_of(as_of), chain)
     split = first_seen_split(rows, "deployer", "created_at", tf, truncate(as_of, tf), Timeframe.WEEK)
-    return labelled(split.orderBy(PERIOD, "classification"))
+    return labelled(split, then=("classification",))
 
 
 def chain_key_deployers(tables: Tables, as_of, tf: Timeframe | str, chains: tuple[str, ...]) -> DataFrame:

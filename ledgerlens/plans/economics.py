@@ -10,7 +10,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import amount, fee_wei, l2_fee_wei, share_pct, wei_to_eth
+from ..functions.exprs import amount, carried, fee_wei, l2_fee_wei, share_pct, to_units
 from ..functions.joins import bounded
 from ..operators.periods import PERIOD, labelled, period_agg
 from ..operators.prices import priced_hours, value_hours
@@ -23,7 +23,7 @@ SCALAR_WINDOWS = {"week": (1, Timeframe.WEEK), "month": (1, Timeframe.MONTH), "a
 
 
 def _costs(tables: Tables, table: str, tf: Timeframe, name: str) -> DataFrame:
-    return period_agg(tables[table], "block_timestamp", tf, [F.sum("gas_spend").alias(name), F.sum("gas_spend_usd").alias(f"{name}_usd")])
+    return period_agg(tables[table], "block_timestamp", tf, [F.sum(to_units("gas_spend")).alias(name), F.sum(to_units("gas_spend_usd")).alias(f"{name}_usd")])
 
 
 def hourly_fees(tables: Tables, as_of) -> DataFrame:
@@ -37,21 +37,22 @@ def hourly_fees(tables: Tables, as_of) -> DataFrame:
 
 
 def _revenue(tables: Tables, tf: Timeframe, hourly: DataFrame | None = None) -> DataFrame:
-    """Per period: ``rev_wei`` and ``rev_usd_wei`` of priced hours (hourly aggregates regrouped by period)."""
+    """Per period: ``rev_wei``, and the USD value as ``usd_units`` (1e-18) and ``usd_rest`` (1e-27) of priced hours."""
     if hourly is not None:
         hours = value_hours(hourly.filter(F.col("priced_gas")).select("hour", "rev_wei"), tables["token_prices_hourly"])
     else:
         hours = priced_hours(tables[TX], tables["token_prices_hourly"])
-    return hours.groupBy(F.date_trunc(tf.value, "hour").cast("timestamp_ntz").alias(PERIOD)).agg(
-        F.sum("rev_wei").alias("rev_wei"), F.sum("rev_usd_wei").alias("rev_usd_wei")
-    )
+    sums = [F.sum(x).alias(x) for x in ("rev_wei", "usd_high", "usd_low")]
+    per = hours.groupBy(F.date_trunc(tf.value, "hour").cast("timestamp_ntz").alias(PERIOD)).agg(*sums)
+    units, rest = carried("usd_high", "usd_low")
+    return per.select(PERIOD, "rev_wei", units.alias("usd_units"), rest.alias("usd_rest"))
 
 
 def batch_fees(tables: Tables, as_of, tf: Timeframe | str) -> DataFrame:
     """Batch posting cost per period: ``date, batch_fees, batch_fees_usd``."""
     tf = Timeframe.parse(tf)
     agg = _costs(tables.as_of(as_datetime(as_of)), "l1_batch_fees", tf, "batch_fees")
-    return labelled(agg.select(PERIOD, amount("batch_fees", 2).alias("batch_fees"), amount("batch_fees_usd", 2).alias("batch_fees_usd")))
+    return labelled(agg.select(PERIOD, amount("batch_fees").alias("batch_fees"), amount("batch_fees_usd").alias("batch_fees_usd")))
 
 
 def verify_fees(tables: Tables, as_of, tf: Timeframe | str) -> DataFrame:
@@ -59,7 +60,7 @@ def verify_fees(tables: Tables, as_of, tf: Timeframe | str) -> DataFrame:
     tf = Timeframe.parse(tf)
     agg = _costs(tables.as_of(as_datetime(as_of)), "l1_verification_fees", tf, "verification_fees")
     return labelled(
-        agg.select(PERIOD, amount("verification_fees", 2).alias("verification_fees"), amount("verification_fees_usd", 2).alias("verification_fees_usd"))
+        agg.select(PERIOD, amount("verification_fees").alias("verification_fees"), amount("verification_fees_usd").alias("verification_fees_usd"))
     )
 
 
@@ -68,7 +69,7 @@ def gas_revenue(tables: Tables, as_of, tf: Timeframe | str, hourly: DataFrame |
     zero-gas-price rows are left out."""
     tf = Timeframe.parse(tf)
     rev = _revenue(tables.as_of(as_datetime(as_of)), tf, hourly)
-    return labelled(rev.select(PERIOD, amount(wei_to_eth("rev_wei")).alias("gas_rev"), amount(wei_to_eth("rev_usd_wei")).alias("gas_rev_usd")))
+    return labelled(rev.select(PERIOD, amount("rev_wei").alias("gas_rev"), amount("usd_units", "usd_rest").alias("gas_rev_usd")))
 
 
 def gross_profit(tables: Tables, as_of, tf: Timeframe | str, hourly: DataFrame | None = None) -> DataFrame:
@@ -84,9 +85,9 @@ def gross_profit(tables: Tables, as_of, tf: Timeframe | str, hourly: DataFrame |
     batch = bounded(_costs(t, "l1_batch_fees", tf, "bf").withColumnRenamed(PERIOD, "_bp"))
     verify = bounded(_costs(t, "l1_verification_fees", tf, "vf").withColumnRenamed(PERIOD, "_vp"))
     j = rev.join(batch, rev[PERIOD] == batch["_bp"], "left").join(verify, F.col("_bp") == verify["_vp"], "left")
-    profit = wei_to_eth("rev_wei") - F.coalesce("bf", F.lit(0)) - F.coalesce("vf", F.lit(0))
-    profit_usd = wei_to_eth("rev_usd_wei") - F.coalesce("bf_usd", F.lit(0)) - F.coalesce("vf_usd", F.lit(0))
-    return labelled(j.select(PERIOD, amount(profit).alias("profit"), amount(profit_usd).alias("profit_usd")))
+    profit = F.col("rev_wei") - F.coalesce("bf", F.lit(0)) - F.coalesce("vf", F.lit(0))
+    profit_usd = F.col("usd_units") - F.coalesce("bf_usd", F.lit(0)) - F.coalesce("vf_usd", F.lit(0))
+    return labelled(j.select(PERIOD, amount(profit).alias("profit"), amount(profit_usd, "usd_rest").alias("profit_usd")))
 
 
 def _since(df: DataFrame, as_of: dt.datetime, window) -> DataFrame:
@@ -115,7 +116,7 @@ def scalar_revenue(tables: Tables, as_of, window: str, hourly: DataFrame | None
     as_of = as_datetime(as_of)
     win = SCALAR_WINDOWS[window]
     rev = _revenue_rows(_windowed(tables, as_of, win), as_of, win, hourly).agg(F.sum("_v").alias("rev_wei"))
-    return rev.select(amount(wei_to_eth("rev_wei")).alias("gas_rev"))
+    return rev.select(amount("rev_wei").alias("gas_rev"))
 
 
 def scalar_profit(tables: Tables, as_of, window: str, hourly: DataFrame | None = None) -> DataFrame:
@@ -125,16 +126,16 @@ def scalar_profit(tables: Tables, as_of, window: str, hourly: DataFrame | None =
     win = SCALAR_WINDOWS[window]
     t = _windowed(tables, as_of, win)
     # Revenue rows and the two cost tables' rows, tagged, in one global aggregate (no join of the three totals).
-    # The common type is explicit: union widening of DECIMAL(38,0) with DECIMAL(18,2) would drop the cents.
-    value = "decimal(38,2)"
+    # All in wei, so that the union widens nothing.
+    value = "decimal(38,0)"
     parts = [
         _revenue_rows(t, as_of, win, hourly).select(F.lit("rev").alias("_k"), F.col("_v").cast(value).alias("_v")),
-        _since(t["l1_batch_fees"], as_of, win).select(F.lit("bf").alias("_k"), F.col("gas_spend").cast(value).alias("_v")),
-        _since(t["l1_verification_fees"], as_of, win).select(F.lit("vf").alias("_k"), F.col("gas_spend").cast(value).alias("_v")),
+        _since(t["l1_batch_fees"], as_of, win).select(F.lit("bf").alias("_k"), to_units("gas_spend").alias("_v")),
+        _since(t["l1_verification_fees"], as_of, win).select(F.lit("vf").alias("_k"), to_units("gas_spend").alias("_v")),
     ]
     tagged = parts[0].unionByName(parts[1]).unionByName(parts[2])
     totals = tagged.agg(*[F.sum(F.when(F.col("_k") == k, F.col("_v"))).alias(k) for k in ("rev", "bf", "vf")])
-    profit = wei_to_eth("rev") - F.coalesce("bf", F.lit(0)) - F.coalesce("vf", F.lit(0))
+    profit = F.col("rev") - F.coalesce("bf", F.lit(0)) - F.coalesce("vf", F.lit(0))
     return totals.select(amount(profit).alias("profit"))
 
 
@@ -151,12 +152,10 @@ def l1vl2fee(tables: Tables, as_of, tf: Timeframe | str, hourly: DataFrame | Non
     return labelled(agg.select(PERIOD, share_pct("l1", "total").alias("l1_fee"), share_pct("l2", "total").alias("l2_fee")))
 
 
-def dashboard(tables: Tables, as_of, timeframe: Timeframe | str = Timeframe.MONTH, rollup: bool = True) -> dict[str, DataFrame]:
-    """All economics metrics of one request. With ``rollup`` the hourly fee rollup is computed once and
-    checkpointed (under ``spark.checkpoint.dir``); the period charts and the all-time cards read it, so the full
-    transaction history is scanned once instead of five times."""
+def dashboard(tables: Tables, as_of, timeframe: Timeframe | str = Timeframe.MONTH, hourly: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All economics metrics of one request; plans only, no job runs here. With ``hourly``, a stored fee rollup (see
+    :mod:`.rollups`), the period charts and the all-time cards read it instead of the transaction history."""
     as_of, tf = as_datetime(as_of), Timeframe.parse(timeframe)
-    hourly = hourly_fees(tables, as_of).checkpoint() if rollup else None
     out = {
         "gross_profit": gross_profit(tables, as_of, tf, hourly),
         "batch_fees": batch_fees(tables, as_of, tf),

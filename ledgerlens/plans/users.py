@@ -131,15 +131,12 @@ def stamp(as_of) -> str:
     return as_datetime(as_of).strftime("%d/%m/%y %H:%M")
 
 
-def dashboard(tables: Tables, as_of, timeframe: Timeframe | str = Timeframe.WEEK, rollup: bool = True) -> dict:
-    """All user metrics of one request, under the original response keys. The six cards share one scan. With
-    ``rollup`` the (day, sender) rollup is
-    computed once and checkpointed (reliably, under ``spark.checkpoint.dir``) and the three all-history charts
-    read it instead of the transactions."""
+def dashboard(tables: Tables, as_of, timeframe: Timeframe | str = Timeframe.WEEK, activity: DataFrame | None = None) -> dict:
+    """All user metrics of one request, under the original response keys; plans only, no job runs here. With
+    ``activity``, a stored (day, sender) rollup (see :mod:`.rollups`), the three all-history charts read it instead of
+    the transactions."""
     as_of, tf = as_datetime(as_of), Timeframe.parse(timeframe)
-    activity = daily_activity(tables, as_of).checkpoint() if rollup else None
-    # One scan for the six cards; the one-row result is checkpointed so the six keys below do not rescan.
-    card_row = cards(tables, as_of).checkpoint()
+    card_row = cards(tables, as_of)  # each key below prunes it to its own windows
     card_keys = {
         f"actives_{name}": card_row.select(F.col(f"actives_{name}").alias("active_wallets")) for name in CARD_WINDOWS
     }

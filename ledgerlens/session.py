@@ -8,9 +8,6 @@ On a cluster the session is created by the platform; :func:`apply_settings` only
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 REQUIRED = {
@@ -47,8 +44,8 @@ def apply_settings(spark: SparkSession, cluster: bool = False) -> SparkSession:
     return spark
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """Session for tests and the local bench; never used on a cluster."""
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", checkpoint_dir: str | None = None) -> SparkSession:
+    """Session for tests and the local bench; never used on a cluster. ``checkpoint_dir`` is needed by streams only."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("ledgerlens")
@@ -60,21 +57,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     )
     for key, value in REQUIRED.items():
         builder = builder.config(key, value)
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    On a cluster the platform sets it to shared storage and it is used as is. Only when it is unset (local tests)
-    a fresh scratch folder is created for this process.
-    """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="ledgerlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
-    return current

@@ -34,32 +34,23 @@ def _dec(col: Column, p: int, s: int = 0) -> Column:
     return col.cast(f"decimal({p},{s})")
 
 
-# Unique key of each driver table, used to spread single-task scans.
-_SPREAD_KEYS = {"lineitem": "l_orderkey", "events": "event_id"}
-
-
 def _reader(spark: SparkSession, sf_dir: str):
-    """Reader of the driver tables. Each driver file is a single Parquet row group, which Spark scans in one task;
-    when the table has fewer files than the session's parallelism, rows are hash-distributed on the table's
-    unique key so that the fixture derivations and everything up to the first shuffle run on all cores. (Tables
-    stored for production come as many files and row groups and need no such step.)"""
-    parallelism = spark.sparkContext.defaultParallelism
-    cache: dict[tuple[str, bool], DataFrame] = {}  # one read per driver table and registry
-
-    def read(name: str, spread: bool = True) -> DataFrame:
-        spread = spread and name in _SPREAD_KEYS
-        if (name, spread) not in cache:
-            if (name, False) not in cache:
-                cache[(name, False)] = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-            df = cache[(name, False)]
-            if spread and len(df.inputFiles()) < parallelism:
-                df = df.repartition(parallelism, _SPREAD_KEYS[name])
-            cache[(name, spread)] = df
-        return cache[(name, spread)]
+    """Reader of the driver tables: one read per table and registry."""
+    cache: dict[str, DataFrame] = {}
+
+    def read(name: str) -> DataFrame:
+        if name not in cache:
+            cache[name] = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        return cache[name]
 
     return read
 
 
+def _price(billionths: Column) -> Column:
+    """A price of nine places from its whole number of 1e-9."""
+    return _dec(_dec(billionths, 18) * _dec(F.lit("0.000000001"), 9, 9), 20, 9)
+
+
 def _fee_stream(col: Column) -> Column:
     # Order priority -> fee stream.
     return (
@@ -95,12 +86,13 @@ def _common(read) -> dict:
 
     def fee_events() -> DataFrame:
         o = read("orders")
-        spend = _dec(F.col("o_totalprice"), 18, 2)
+        # Amounts of 18 places: the price in cents times a fixed share of a unit.
+        cents = _dec(_dec(F.col("o_totalprice"), 18, 2) * 100, 12)
         return o.select(
             F.col("o_orderdate").alias("block_timestamp"),
             _fee_stream(F.col("o_orderpriority")).alias("stream"),
-            spend.alias("gas_spend"),
-            _dec(spend * 1000, 18, 2).alias("gas_spend_usd"),
+            (cents * _dec(F.lit("0.000000123456789123"), 18, 18)).alias("gas_spend"),
+            (cents * _dec(F.lit("0.000123456789123457"), 18, 18)).alias("gas_spend_usd"),
         )
 
     def fee_table(stream: str, rename: str | None = None):
@@ -162,8 +154,8 @@ def long_history(spark: SparkSession, sf_dir: str) -> Tables:
     def transactions() -> DataFrame:
         li = read("lineitem")
         # Dimension sides of the fixture joins are read as they are (small; broadcast by the planner).
-        o = read("orders", spread=False).select("o_orderkey", "o_custkey")
-        p = read("part", spread=False).select("p_partkey", "p_brand")
+        o = read("orders").select("o_orderkey", "o_custkey")
+        p = read("part").select("p_partkey", "p_brand")
         j = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
         return j.select(
             F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("hash"),
@@ -171,15 +163,16 @@ def long_history(spark: SparkSession, sf_dir: str) -> Tables:
             F.col("o_custkey").cast("string").alias("from_address"),
             F.col("p_brand").alias("to_address"),
             _dec(F.when(F.col("l_returnflag") == "N", F.lit(0.0)).otherwise(F.col("l_quantity")), 38).alias("value"),
-            _dec(_dec(F.round("l_extendedprice"), 20) * _dec(F.lit(100000000000000), 15), 26).alias("receipt_l1_fee"),
-            _dec(_dec(F.round(F.col("l_discount") * 100), 3) * _dec(F.lit(1000000000000), 13), 20).alias("receipt_effective_gas_price"),
+            _dec(_dec(F.round("l_extendedprice"), 20) * _dec(F.lit(100000000000000), 15) + F.col("l_orderkey") * 7919 + F.col("l_linenumber"), 26).alias("receipt_l1_fee"),
+            _dec(_dec(F.round(F.col("l_discount") * 100), 3) * _dec(F.lit(1000000000000) + F.col("l_suppkey"), 13), 20).alias("receipt_effective_gas_price"),
             _dec(F.round(F.col("l_quantity") * 100000), 8).alias("receipt_gas_used"),
         )
 
     def token_prices_hourly() -> DataFrame:
         o = read("orders").select(F.date_trunc("hour", "o_orderdate").cast("timestamp_ntz").alias("hour"), "o_orderdate")
-        eth = o.select("hour", F.lit("ETH").alias("symbol"), _dec(1000 + F.dayofyear("o_orderdate"), 8, 2).alias("usd_price")).distinct()
-        btc = o.select("hour", F.lit("BTC").alias("symbol"), _dec(F.lit(30000), 8, 2).alias("usd_price")).distinct()
+        day = F.dayofyear("o_orderdate").cast("bigint")
+        eth = o.select("hour", F.lit("ETH").alias("symbol"), _price((1000 + day) * 1000000000 + day * 1234567).alias("usd_price")).distinct()
+        btc = o.select("hour", F.lit("BTC").alias("symbol"), _price(F.lit(30000000000000)).alias("usd_price")).distinct()
         return eth.unionByName(btc)
 
     factories = _common(read)
@@ -199,8 +192,8 @@ def intraday(spark: SparkSession, sf_dir: str) -> Tables:
             F.col("user_id").cast("string").alias("from_address"),
             F.col("event_type").alias("to_address"),
             F.lit(None).cast("decimal(38,0)").alias("value"),
-            _dec(_dec(F.round(F.col("value") * 100), 20) * wei_unit, 26).alias("receipt_l1_fee"),
-            _dec(_dec(F.col("event_id") % 10, 20) * wei_unit, 20).alias("receipt_effective_gas_price"),
+            _dec(_dec(F.round(F.col("value") * 100), 20) * wei_unit + F.col("event_id") * 31, 26).alias("receipt_l1_fee"),
+            _dec(_dec(F.col("event_id") % 10, 5) * (wei_unit + F.col("event_id") % 977), 20).alias("receipt_effective_gas_price"),
             _dec(21000 + F.col("event_id") % 1000, 8).alias("receipt_gas_used"),
         )
 
@@ -209,7 +202,7 @@ def intraday(spark: SparkSession, sf_dir: str) -> Tables:
         return e.select(
             F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"),
             F.lit("ETH").alias("symbol"),
-            _dec(1000 + F.dayofyear("ts") * 10 + F.hour("ts"), 8, 2).alias("usd_price"),
+            _price((1000 + F.dayofyear("ts").cast("bigint") * 10 + F.hour("ts")) * 1000000000 + F.dayofyear("ts") * 7654321 + F.hour("ts") * 1357).alias("usd_price"),
         ).distinct()
 
     factories = _common(read)

@@ -95,6 +95,11 @@ class Tables(Mapping):
         merged.update(frames)
         return Tables(merged, self.as_of_ts, self.since_ts, self.until_ts, self.window_names)
 
+    def validated(self, names: list[str] | None = None) -> "Tables":
+        """This registry, after a check that the declared keys of ``names`` (all) are unique: the loading step."""
+        assert_unique(self, names)
+        return self
+
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str, names: list[str] | None = None) -> "Tables":
         """Read ``{root}/{name}`` (a Parquet file or folder, partitioned or not) for every logical table."""

@@ -1,7 +1,8 @@
 """Declared schemas of the logical tables.
 
 The source tables are external and fixed; each logical table is declared here and checked when it is registered.
-Wei amounts are decimals so that ``gas_price * gas_used`` never overflows 64 bits and sums stay exact.
+Wei amounts are decimals so that ``gas_price * gas_used`` never overflows 64 bits and sums stay exact. ETH and USD amounts
+have 18 places, token prices nine; a source with more places is refused, as a cast would round it.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ def _schema(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(name, dtype, True) for name, dtype in fields])
 
 
-FEE_COST = _schema(("block_timestamp", NTZ), ("gas_spend", T.DecimalType(18, 2)), ("gas_spend_usd", T.DecimalType(18, 2)))
-FEE_ONLY = _schema(("block_timestamp", NTZ), ("gas_spend", T.DecimalType(18, 2)))
+MONEY = T.DecimalType(38, 18)
+FEE_COST = _schema(("block_timestamp", NTZ), ("gas_spend", MONEY), ("gas_spend_usd", MONEY))
+FEE_ONLY = _schema(("block_timestamp", NTZ), ("gas_spend", MONEY))
 
 SCHEMAS: dict[str, T.StructType] = {
     "transactions": _schema(
@@ -33,10 +35,10 @@ SCHEMAS: dict[str, T.StructType] = {
     ),
     "contracts": _schema(("address", S), ("deployer", S), ("block_timestamp", NTZ)),
     "labels_apps": _schema(("address", S), ("name", S), ("slug", S), ("category", S)),
-    "token_prices_hourly": _schema(("hour", NTZ), ("symbol", S), ("usd_price", T.DecimalType(8, 2))),
+    "token_prices_hourly": _schema(("hour", NTZ), ("symbol", S), ("usd_price", T.DecimalType(20, 9))),
     "l1_batch_fees": FEE_COST,
     "l1_verification_fees": FEE_COST,
-    "l1_bridge_revenue": _schema(("block_timestamp", NTZ), ("bridge_fee", T.DecimalType(18, 2))),
+    "l1_bridge_revenue": _schema(("block_timestamp", NTZ), ("bridge_fee", MONEY)),
     "l1_gas_oracle_fees": FEE_ONLY,
     "l2_gas_oracle_fees": FEE_ONLY,
     "deployments": _schema(
@@ -70,7 +72,7 @@ EVENT_TIME = {
 PARTITION_COLUMNS = {name: ("created_date" if ts == "created_at" else "commit_date" if ts == "date" else "block_date") for name, ts in EVENT_TIME.items()}
 
 # Keys the metrics assume unique: a duplicate would multiply sums in the joins that use them.
-UNIQUE_KEYS = {"contracts": ["address"], "labels_apps": ["address"], "token_prices_hourly": ["hour", "symbol"]}
+UNIQUE_KEYS = {"contracts": ["address"], "labels_apps": ["address"], "token_prices_hourly": ["hour", "symbol"], "protocol_tvl": ["slug"]}
 
 
 class SchemaError(ValueError):
@@ -80,7 +82,9 @@ class SchemaError(ValueError):
 def conform(name: str, df: DataFrame, strict_types: bool = False) -> DataFrame:
     """Select the declared columns of ``name`` in declared order, casting other types to the declared ones.
 
-    Missing columns raise :class:`SchemaError`; extra columns are dropped (column pruning then reaches the scan).
+    Missing columns raise :class:`SchemaError`, and so do decimals with more places than declared (the cast would round
+    them); digits before the point that do not fit raise when the row is read. Extra columns are dropped (column
+    pruning then reaches the scan).
     """
     schema = SCHEMAS[name]
     if [(f.name, f.dataType) for f in df.schema.fields] == [(f.name, f.dataType) for f in schema.fields]:
@@ -96,6 +100,8 @@ def conform(name: str, df: DataFrame, strict_types: bool = False) -> DataFrame:
             and isinstance(field.dataType, T.DecimalType)
             and src.dataType.scale == field.dataType.scale
         )
+        if isinstance(src.dataType, T.DecimalType) and isinstance(field.dataType, T.DecimalType) and src.dataType.scale > field.dataType.scale:
+            raise SchemaError(f"{name}.{field.name}: {src.dataType.simpleString()} has more places than {field.dataType.simpleString()}")
         if src.dataType == field.dataType or same_scale_decimal:
             # A wider decimal of the same scale (e.g. production wei columns as DECIMAL(38,0)) is kept as is:
             # narrowing it could overflow.

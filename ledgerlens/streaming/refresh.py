@@ -3,7 +3,7 @@
 Dashboards are recomputed from the full tables, not updated incrementally: distinct-wallet metrics are not
 additive. A Structured Streaming query over the transaction folder acts as the scheduler: every trigger interval
 (six hours by default, the lifetime of a published result) in which new transaction files arrived, the micro-batch
-recomputes the requested dashboards at ``as_of`` and overwrites their Parquet outputs. The stream's progress lives in
+recomputes the requested dashboards at ``as_of`` and publishes them as new versions. The stream's progress lives in
 the shared checkpoint folder named by ``spark.checkpoint.dir``, so a restarted driver resumes where it stopped and
 lost executors only re-run tasks.
 """
@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans import bd, deployers, economics, users
+from ..plans import bd, deployers, economics, report, rollups, users
 from ..plans.sink import write_dashboard
 from ..sources.registry import Tables
 from ..sources.schemas import SCHEMAS
@@ -24,14 +24,18 @@ from ..timeframe import Timeframe, now
 
 DEFAULT_INTERVAL = "6 hours"
 
-# Dashboards by name: each takes (tables, as_of, timeframe, **options); ``deployers`` needs ``chain`` and ``chains``.
+# Dashboards by name: each takes (tables, as_of, timeframe, **options); ``deployers`` needs ``chain`` and ``chains``,
+# ``econ_report`` needs ``start`` and ``end``.
 DASHBOARDS: dict[str, Callable[..., dict]] = {
     "users": users.dashboard,
     "bd": bd.dashboard,
     "economics": economics.dashboard,
     "deployers": deployers.deployers_dashboard,
     "developers": deployers.developers_dashboard,
+    "econ_report": lambda tables, as_of, timeframe, *, start, end: report.dashboard(tables, start, end, as_of),
 }
+# Stored rollup a dashboard can read, and the argument that takes it.
+USES = {"users": ("daily_activity", "activity"), "economics": ("hourly_fees", "hourly")}
 
 
 def publish(
@@ -42,12 +46,21 @@ def publish(
     names: list[str],
     fmt: str = "parquet",
     options: dict[str, dict] | None = None,
+    rollup_dir: str | None = None,
+    spark: SparkSession | None = None,
 ) -> dict[str, str]:
-    """Recompute the named dashboards and overwrite one folder per result. ``options`` holds extra keyword
-    arguments per dashboard (e.g. ``{"deployers": {"chain": ..., "chains": (...)}}``). Returns result -> path."""
+    """Recompute the named dashboards and publish a version of each. ``options`` holds extra keyword
+    arguments per dashboard (e.g. ``{"deployers": {"chain": ..., "chains": (...)}}``); with ``rollup_dir`` the stored
+    rollups there are refreshed and read. Returns result -> path."""
     written = {}
     for name in names:
-        results = DASHBOARDS[name](tables, as_of, timeframe, **(options or {}).get(name, {}))
+        extra = dict((options or {}).get(name, {}))
+        if rollup_dir and name in USES:
+            rollup, argument = USES[name]
+            session = spark or SparkSession.active()
+            rollups.refresh(session, tables, rollup_dir, as_of, (rollup,))
+            extra[argument] = rollups.read(session, tables, rollup_dir, rollup, as_of)
+        results = DASHBOARDS[name](tables, as_of, timeframe, **extra)
         for key, path in write_dashboard(results, f"{out_dir.rstrip('/')}/{name}", fmt).items():
             written[f"{name}.{key}"] = path
     return written
@@ -72,6 +85,7 @@ def start_refresh(
     available_now: bool = False,
     query_name: str = "ledgerlens_refresh",
     options: dict[str, dict] | None = None,
+    rollup_dir: str | None = None,
 ) -> StreamingQuery:
     """Start the publishing stream. ``tables_factory`` builds a fresh registry per batch (a new registry lists the
     table folders again, so files that arrived since the last batch are read)."""
@@ -80,7 +94,7 @@ def start_refresh(
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        publish(tables_factory(), clock() if clock else now(), out_dir, timeframe, list(names), options=options)
+        publish(tables_factory(), clock() if clock else now(), out_dir, timeframe, list(names), options=options, rollup_dir=rollup_dir, spark=spark)
 
     writer = arrivals.writeStream.queryName(query_name).foreachBatch(on_batch).option("checkpointLocation", checkpoint_location(spark, query_name))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)

@@ -41,14 +41,13 @@ def now() -> dt.datetime:
 
 
 def as_datetime(value: dt.datetime | dt.date | str | None) -> dt.datetime:
-    """Normalise a clock value; ``None`` means now (UTC)."""
+    """Normalise a clock value to naive UTC; ``None`` means now. Values with an offset, text too, are converted."""
     if value is None:
         return now()
-    if isinstance(value, dt.datetime):
-        return value.replace(tzinfo=None)
-    if isinstance(value, dt.date):
+    if isinstance(value, dt.date) and not isinstance(value, dt.datetime):
         return dt.datetime(value.year, value.month, value.day)
-    return dt.datetime.fromisoformat(str(value))
+    stamp = value if isinstance(value, dt.datetime) else dt.datetime.fromisoformat(str(value))
+    return stamp.astimezone(dt.timezone.utc).replace(tzinfo=None) if stamp.tzinfo else stamp
 
 
 def add_months(ts: dt.datetime, months: int) -> dt.datetime:

@@ -7,9 +7,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from ledgerlens.session import local_session
 
-    session = local_session("*", shuffle_partitions=8, memory="4g")
+    session = local_session("*", shuffle_partitions=8, memory="4g", checkpoint_dir=str(tmp_path_factory.mktemp("checkpoints")))
     yield session
     session.stop()

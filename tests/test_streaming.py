@@ -1,9 +1,9 @@
 """The publishing stream recomputes dashboards from stored tables when transaction files arrive."""
 
-import shutil
 import uuid
 
 from ledgerlens.plans import economics
+from ledgerlens.plans.sink import read_dashboard
 from ledgerlens.sources import fixtures as fx
 from ledgerlens.sources.registry import Tables
 from ledgerlens.streaming.refresh import start_refresh
@@ -32,13 +32,13 @@ def test_refresh_publishes_on_arrival_and_resumes(spark, tmp_path):
         return q
 
     run()
-    got = sorted(map(tuple, spark.read.parquet(str(out / "economics" / "gas_revenue")).collect()))
+    got = sorted(map(tuple, read_dashboard(spark, str(out / "economics"), "gas_revenue").collect()))
     want = sorted(map(tuple, economics.gas_revenue(factory(), fx.LONG_AS_OF, "month").collect()))
     assert got == want and len(got) == 79
     # A second run with no new files publishes nothing new: the checkpoint records the files already seen.
-    shutil.rmtree(out / "economics" / "batch_fees")
+    versions = spark.read.parquet(str(out / "economics" / "published")).count()
     run()
-    assert not (out / "economics" / "batch_fees").exists()
+    assert spark.read.parquet(str(out / "economics" / "published")).count() == versions == 1
 
 
 def test_publish_deployers_and_developers_with_options(spark, tmp_path):
@@ -52,3 +52,42 @@ def test_publish_deployers_and_developers_with_options(spark, tmp_path):
                             "deployers.chain_key_deployers", "developers.commits", "developers.git_devs"}
     got = spark.read.json(written["deployers.key_deployers"]).count()
     assert got == deployers.key_deployers(tables, fx.LONG_AS_OF, "week", "c1").count() > 0
+
+
+def test_publish_all_six_dashboards_with_rollups_time_and_report(spark, tmp_path):
+    from ledgerlens.plans import users
+    from ledgerlens.streaming.refresh import DASHBOARDS, publish
+
+    tables = fx.long_history(spark, SF)
+    options = {"deployers": {"chain": "c1", "chains": fx.FIXTURE_CHAINS}, "econ_report": {"start": fx.REPORT_START, "end": fx.REPORT_END}}
+    out, rollups = str(tmp_path / "out"), str(tmp_path / "rollups")
+    for _ in range(2):
+        written = publish(tables, fx.LONG_AS_OF, out, "month", list(DASHBOARDS), options=options, rollup_dir=rollups, spark=spark)
+    assert read_dashboard(spark, f"{out}/users", "time").collect()[0][0] == users.stamp(fx.LONG_AS_OF)
+    assert read_dashboard(spark, f"{out}/econ_report", "report").count() > 0
+    assert {k.split(".")[0] for k in written} == set(DASHBOARDS)
+    for name, key, direct in (("users", "retention_chart", users.retention_chart), ("users", "transactions_chart", users.transactions_chart), ("economics", "gross_profit", economics.gross_profit)):
+        assert sorted(map(tuple, read_dashboard(spark, f"{out}/{name}", key).collect())) == sorted(map(tuple, direct(tables, fx.LONG_AS_OF, "month").collect()))
+
+
+def test_rollups_append_closed_days_and_take_late_rows(spark, tmp_path):
+    import datetime as dt
+
+    from ledgerlens.plans import rollups, users
+
+    tx = fx.long_history(spark, SF)["transactions"].cache()
+    clock = dt.datetime(1996, 5, 20, 7)
+    late = tx.filter("block_timestamp = timestamp_ntz '1996-05-19'").limit(1)
+    first = Tables({"transactions": tx.filter("block_timestamp < timestamp_ntz '1996-05-19'")})
+    everything = Tables({"transactions": tx.unionByName(late)})
+    root = str(tmp_path)
+    rollups.refresh(spark, first, root, clock)
+    for at in (clock + dt.timedelta(days=1), clock + dt.timedelta(days=40)):
+        rollups.refresh(spark, everything, root, at)
+        for name, (direct, _) in rollups.ROLLUPS.items():
+            got = rollups.read(spark, everything, root, name, at)
+            want = direct(everything, at)
+            assert got.columns == want.columns and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+        chart = users.retention_chart(everything, at, "week", rollups.read(spark, everything, root, "daily_activity", at))
+        assert chart.collect() == users.retention_chart(everything, at, "week").collect()
+    tx.unpersist()
