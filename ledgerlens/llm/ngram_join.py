@@ -3,19 +3,23 @@
 A document's set holds its distinct ``n``-word shingles (as 64-bit hashes). Equal sets are one class. Two classes link if
 ``100 * intersection >= similarity * union``; the result is every row's set size and the smallest doc_id of its component.
 
-1. Groups. In an order of all shingles that is the same for all documents, two linked sets share a shingle among the first
-   ``size - ceil(similarity * size) + 1`` of each (prefix principle). Classes that share one are put in one group, by
-   components over one star per shingle. The order puts shingles that many documents hold last, so that common
-   lines and passages do not gather unrelated documents; those shingles are found by counting within partitions over all
-   documents, and their number is bounded by ``heavy`` whatever the input. The order only shapes the groups, never the
-   links. Heavy shingles' stars are salted.
-2. R-tree. Within a group each set hashes its shingles into ``dims`` cells and is indexed as the point of its cell counts. The
+1. Shared shingles. The shingles of all classes are dealt by hash, packed, and counted: those that only one class holds go.
+   A class links only if at least ``similarity`` % of its set is left, which few other classes reach; an intersection
+   is one of shared shingles, so only these are kept from here on.
+2. Groups. In an order of all shingles that is the same for all classes, rarest first, two linked sets share a shingle among
+   the first ``size - ceil(similarity * size) + 1`` of each (prefix principle). Classes that share one are put in one
+   group, by components over one star per shingle. Lines and passages that many documents hold come last in the order, so
+   they seldom gather unrelated documents.
+3. R-tree. Within a group each set hashes its shingles into cells and is indexed as the point of its cell counts. The
    sum of coordinate minima of two points bounds their intersection from above, and so does the sum of minima
    of a point and the upper corner of a tree node's box; nodes and points under the needed intersection are skipped.
    Surviving pairs are verified on the sets. Pairs of one component need no verification, as only components are asked.
    A group of more than ``tile`` classes is cut into size bands of ratio ``similarity`` (linked sets lie in the same or
    neighbouring bands) and tiles of about ``tile`` classes; each pair of tiles is a task of its own.
-3. Components over the links.
+4. Components over the links.
+
+Hashes are 64 bits for classes; shingles have 32 bits beside the number of their part (``parts``, as many as the session's
+shuffle partitions, at least 64), so two different shingles of a pair of documents agree by chance with a probability under 1e-11.
 
 Null, empty or blank texts have the empty set and link with nothing. Rows with a null doc_id have no component (null) and
 link with nothing. Repeated rows count once and each gets the result; rows of one doc_id with different texts are judged
@@ -41,8 +45,6 @@ from .components import components
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 REMEMBER = 500_000
-#: Rows of the first pass: a document's size and class, or a shingle that a partition holds often.
-HEAD, OFTEN = 0, 1
 
 
 class Shingler:
@@ -91,59 +93,107 @@ def needed(x, y, similarity: int):
     return -(-similarity * (x + y) // (100 + similarity))
 
 
-def first_pass(docs: DataFrame, n: int, often: int, flush: int = 6_000_000) -> DataFrame:
-    """(kind, id, n, h): HEAD rows doc_id, set size, class; OFTEN rows count and shingle, where a run of rows holds it often."""
+def heads_of(docs: DataFrame, n: int) -> DataFrame:
+    """(id, n, h): doc_id, set size and class of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, held, size = Shingler(n), [], 0
-
-        def batch(kind: int, ids, sizes, h) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), kind, np.int32)), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(h, pa.int64())], names=["kind", "id", "n", "h"])
-
-        def common() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
-            keep = counts >= often
-            return batch(OFTEN, [None] * int(keep.sum()), counts[keep].astype(np.int64), values[keep].view(np.int64))
-
+        shingler = Shingler(n)
         for b in batches:
             for at, length in slices(b.column(1), 4 << 20):
                 sets = [shingler.set_of(t) for t in b.column(1).slice(at, length).to_pylist()]
-                yield batch(HEAD, b.column(0).slice(at, length), [len(s) for s in sets], [class_of(s) for s in sets])
-                held += sets
-                size += sum(map(len, sets))
-                if size > flush:
-                    yield common()
-                    held, size = [], 0
-        yield common()
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, length), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64())], names=["id", "n", "h"])
 
-    return docs.mapInArrow(run, "kind int, id long, n long, h long")
+    return docs.mapInArrow(run, "id long, n long, h long")
 
 
-def prefixes(docs: DataFrame, n: int, similarity: int, heavy: np.ndarray, salts: int) -> DataFrame:
-    """(key, salt, h): the first shingles of every set in the common order, distinct."""
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)
+def dealt(docs: DataFrame, n: int, parts: int) -> DataFrame:
+    """(part, h, n, shingles): packed per part, the classes, set sizes, numbers of shingles there, and low 32 hash bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
         for b in batches:
-            for at, length in slices(b.column(0), 4 << 20):
-                keys, salt, owner = [], [], []
-                for text in b.column(0).slice(at, length).to_pylist():
-                    s = shingler.set_of(text)
-                    if not len(s):
-                        continue
-                    h = class_of(s)
-                    often = shared.value[np.searchsorted(shared.value, s).clip(max=max(0, len(shared.value) - 1))] == s if len(shared.value) else np.zeros(len(s), bool)
-                    take = len(s) - (similarity * len(s) + 99) // 100 + 1
-                    first = np.concatenate([s[~often], s[often]])[:take]
-                    plain = min(take, len(s) - int(often.sum()))
-                    keys.append(first)
-                    salt.append(np.where(np.arange(len(first)) < plain, 0, 1 + h % salts).astype(np.int32))
-                    owner.append(np.full(len(first), h, np.int64))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(salt)), pa.array(np.concatenate(owner))], names=["key", "salt", "h"])
-
-    return docs.select(F.col("text")).mapInArrow(run, "key long, salt int, h long")
+            for at, length in slices(b.column(0), 16 << 20):
+                sets = [s for t in b.column(0).slice(at, length).to_pylist() if len(s := shingler.set_of(t))]
+                if not sets:
+                    continue
+                sizes = np.array([len(s) for s in sets], np.int64)
+                h = np.array([class_of(s) for s in sets], np.int64)
+                _, first = np.unique(h, return_index=True)  # equal sets of a batch go once
+                sets, sizes, h = [sets[k] for k in first], sizes[first], h[first]
+                flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+                part = ((flat >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+                order = np.argsort(part, kind="stable")  # within a part, classes stay in order
+                flat, owner, part = flat[order].astype(np.uint32), owner[order], part[order]
+                edge = np.searchsorted(part, np.arange(parts + 1))
+                rows = []
+                for k in range(parts):
+                    who, held = np.unique(owner[edge[k]:edge[k + 1]], return_counts=True)
+                    rows.append((k, h[who].tobytes(), sizes[who].astype("<u4").tobytes() + held.astype("<u4").tobytes(), flat[edge[k]:edge[k + 1]].tobytes()))
+                kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names=["part", "h", "n", "shingles"])
+
+    return docs.select("text").mapInArrow(run, "part int, h binary, n binary, shingles binary")
+
+
+def shared_shingles(packed: DataFrame) -> DataFrame:
+    """(h, n, part, shingles, held): per class and part, the shingles that other classes hold too, and by how many (log)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
+                if row[0] != part and held:
+                    yield counted(part, held)
+                    held = []
+                part = row[0]
+                held.append(row[1:])
+        if held:
+            yield counted(part, held)
+
+    def counted(part: int, rows: list[tuple]) -> pa.RecordBatch:
+        h = np.concatenate([np.frombuffer(r[0], np.int64) for r in rows])
+        sizes = np.concatenate([np.frombuffer(r[1], "<u4", len(r[0]) // 8) for r in rows])
+        count = np.concatenate([np.frombuffer(r[1], "<u4", -1, len(r[0]) // 2) for r in rows])
+        flat = np.concatenate([np.frombuffer(r[2], np.uint32) for r in rows])
+        # Equal classes of several batches count once.
+        _, first = np.unique(h, return_index=True)
+        once = np.zeros(len(h), bool)
+        once[first] = True
+        flat, owner = flat[np.repeat(once, count)], np.repeat(np.flatnonzero(once), count[once])
+        values, index, times = np.unique(flat, return_inverse=True, return_counts=True)
+        many = times[index] > 1
+        flat, owner = flat[many], owner[many]
+        often = np.minimum(255, 16 * np.log2(times[index[many]])).astype(np.uint8)
+        who, begin = np.unique(owner, return_index=True)
+        end = [*begin[1:].tolist(), len(flat)]
+        raw, rank = flat.tobytes(), often.tobytes()
+        return pa.RecordBatch.from_arrays([
+            pa.array(h[who]), pa.array(sizes[who].astype(np.int64)), pa.array(np.full(len(who), part, np.int32)),
+            pa.array([raw[4 * a:4 * b] for a, b in zip(begin.tolist(), end, strict=True)], pa.binary()),
+            pa.array([rank[a:b] for a, b in zip(begin.tolist(), end, strict=True)], pa.binary())], names=["h", "n", "part", "shingles", "held"])
+
+    return packed.repartition(F.col("part")).sortWithinPartitions("part").mapInArrow(run, "h long, n long, part int, shingles binary, held binary")
+
+
+def able(shared: DataFrame, similarity: int) -> DataFrame:
+    """(h, n, shingles, keys): the classes with enough shared shingles, these as numbers of 8 bytes, and the prefix keys."""
+    gathered = shared.groupBy("h").agg(F.min("n").alias("n"), F.sum(F.octet_length("held")).alias("left"), F.collect_list(F.struct("part", "shingles", "held")).alias("parts"))
+    gathered = gathered.where(F.col("left") * 100 >= F.col("n") * similarity).select("h", "n", "parts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shingles, keys = [], []
+            for size, parts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                s = np.concatenate([np.frombuffer(p["shingles"], np.uint32).astype(np.uint64) | np.uint64(p["part"] << 32) for p in parts])
+                often = np.concatenate([np.frombuffer(p["held"], np.uint8) for p in parts])
+                # Shingles of one class alone are the rarest: they fill the first places of the prefix.
+                take = size - (similarity * size + 99) // 100 + 1 - (size - len(s))
+                keys.append(s[np.lexsort((s, often))[:max(0, take)]].view(np.int64))
+                shingles.append(np.sort(s).tobytes())
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32)), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shingles, pa.binary()), lists], names=["h", "n", "shingles", "keys"])
+
+    return gathered.mapInArrow(run, "h long, n long, shingles binary, keys array<long>")
 
 
 class RTree:
@@ -174,12 +224,11 @@ def cells(sets: list[np.ndarray], dims: int) -> np.ndarray:
     return np.bincount(owner * dims + cell, minlength=len(sets) * dims).reshape(len(sets), dims).astype(np.uint16 if max(map(len, sets)) < 60_000 else np.uint32)
 
 
-def links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, similarity: int) -> list[tuple[int, int]]:
-    """Links that join all sets which links join. With two sides (0 and 1), only links across them matter.
+def links(ids: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, side: np.ndarray, similarity: int) -> list[tuple[int, int]]:
+    """Links that join all sets which links join; ``sizes`` are those of the whole sets, of which ``sets`` are the shared parts.
 
-    Sets of one side with the other are compared across only; with one side (all 0), all pairs are.
+    Sets of one side (0) and the other (1) are compared across only; with one side (all 0), all pairs are.
     """
-    sizes = np.array([len(s) for s in sets])
     dims = 1 << int(np.clip(np.log2(max(8.0, float(sizes.mean()) / 2)), 4, 9))
     across = bool(side.any())
     points = cells(sets, dims)
@@ -202,51 +251,29 @@ def links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, similarity:
 
 
 def linked(members: DataFrame, similarity: int) -> DataFrame:
-    """(a, b) links from rows (task, side, h, shingles); a task's rows are neighbours in a partition."""
+    """(a, b) links from rows (task, side, h, n, shingles); a task's rows are neighbours in a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, ids, sets, side = None, [], [], []
+        task, rows = None, []
 
         def done() -> pa.RecordBatch:
-            # Rows of one class (copies with different ids) are one member.
-            seen = {(h, s): k for k, (h, s) in enumerate(zip(ids, side, strict=True))}
-            keep = sorted(seen.values())
-            made = links(np.array([ids[k] for k in keep], np.int64), [sets[k] for k in keep], np.array([side[k] for k in keep], np.int8), similarity) if len(keep) > 1 else []
+            side, ids, sizes = (np.array([r[c] for r in rows], np.int64) for c in range(3))
+            made = links(ids, [np.frombuffer(r[3], np.uint64) for r in rows], sizes, side, similarity) if len(rows) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([m[c] for m in made], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
         for b in batches:
-            values = b.column(3)
-            for k, (t, s, h) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                if t != task and ids:
+            for row in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
+                if row[0] != task and rows:
                     yield done()
-                    ids, sets, side = [], [], []
-                task = t
-                ids.append(h)
-                side.append(s)
-                sets.append(np.frombuffer(values[k].as_py(), np.uint64))
-        if ids:
+                    rows = []
+                task = row[0]
+                rows.append(row[1:])
+        if rows:
             yield done()
 
     return members.mapInArrow(run, "a long, b long")
 
 
-def with_sets(rows: DataFrame, n: int) -> DataFrame:
-    """(h, places, shingles) of the rows (text, h, places) whose set is of class h."""
-    schema = rows.select("h", "places").withColumn("shingles", F.lit(b"")).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(n)
-        for b in batches:
-            for at, length in slices(b.column(0), 4 << 20):
-                part = b.slice(at, length)
-                sets = [shingler.set_of(t) for t in part.column(0).to_pylist()]
-                keep = [k for k, (s, h) in enumerate(zip(sets, part.column(1).to_pylist(), strict=True)) if class_of(s) == h]
-                part = part.take(pa.array(keep, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array([sets[k].tobytes() for k in keep], pa.binary())], names=["h", "places", "shingles"])
-
-    return rows.select("text", "h", "places").mapInArrow(run, schema)
-
-
 def placed(members: DataFrame, similarity: int, tile: int) -> DataFrame:
     """``members`` (h, n, group, ...) with ``places``: the (task, side) pairs that a class takes part in.
 
@@ -273,36 +300,26 @@ def placed(members: DataFrame, similarity: int, tile: int) -> DataFrame:
     return rows.select(*members.columns, places.alias("places"))
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text_col: str = "text", n: int = 5, similarity: int = 75, heavy: int = 500_000,
-                    often: int = 4, salts: int = 64, tile: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text_col: str = "text", n: int = 5, similarity: int = 75, parts: int | None = None, tile: int = 4096) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
     spark = docs.sparkSession
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
-    first = written(spark, first_pass(source, n, often), "shingled")
-    heads = first.where(F.col("kind") == HEAD)
-    total = heads.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    least = max(32, -(-total // heavy))  # at most ``heavy`` shingles can be held that often
-    found = first.where(F.col("kind") == OFTEN).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h").collect()
-    common = np.sort(np.array([r["h"] for r in found], np.int64).view(np.uint64))
-
-    usable = source.where("doc_id is not null")
-    keys = prefixes(usable, n, similarity, common, salts)
-    hubs = keys.withColumn("hub", F.min("h").over(Window.partitionBy("key", "salt")))
-    # A star per salted part of a shingle, and one over the hubs of a shingle's parts.
-    parts = hubs.where((F.col("h") == F.col("hub")) & (F.col("salt") > 0)).select("key", "h").distinct()
-    parts = parts.withColumn("hub", F.min("h").over(Window.partitionBy("key")))
-    groups = components(hubs.select("h", "hub").union(parts.select("h", "hub")), "h", "hub").withColumnRenamed("component", "group")
-
-    classes = heads.where("id is not null and n > 0").groupBy("h").agg(F.min("id").alias("doc_id"), F.min("n").alias("n"))
-    members = classes.join(groups.withColumnRenamed("node", "h"), "h")
-    chosen = placed(written(spark, members, "groups"), similarity, tile)
-    sets = with_sets(usable.join(chosen, "doc_id"), n)
-    placed_sets = sets.select(F.explode("places").alias("p"), "h", "shingles").select("p.task", "p.side", "h", "shingles")
-    pairs = linked(placed_sets.repartition(F.col("task")).sortWithinPartitions("task"), similarity)
-
-    joined = classes.join(components(pairs).withColumnRenamed("node", "h"), "h", "left").select("h", "doc_id", F.coalesce("component", "h").alias("root"))
+    parts = parts or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shared = shared_shingles(dealt(source.where("doc_id is not null"), n, parts))
+    classes = written(spark, able(shared, similarity), "classes")
+
+    # One star per prefix shingle, around its smallest class.
+    keys = classes.select("h", F.explode("keys").alias("key"))
+    stars = keys.withColumn("hub", F.min("h").over(Window.partitionBy("key"))).where("h <> hub").select("h", "hub")
+    groups = written(spark, components(stars, "h", "hub").select(F.col("node").alias("h"), F.col("component").alias("group")), "groups")
+    chosen = placed(classes.select("h", "n").join(groups, "h"), similarity, tile).select("h", F.explode("places").alias("p"))
+    rows = classes.select("h", "n", "shingles").join(chosen, "h").select("p.task", "p.side", "h", "n", "shingles")
+    pairs = linked(rows.repartition(F.col("task")).sortWithinPartitions("task"), similarity)
+
+    heads = written(spark, heads_of(source, n), "heads")
+    least = heads.where("id is not null and n > 0").groupBy("h").agg(F.min("id").alias("doc_id"))
+    joined = least.join(components(pairs).withColumnRenamed("node", "h"), "h", "left").select("h", "doc_id", F.coalesce("component", "h").alias("root"))
     smallest = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_class = joined.join(smallest, "root").select("h", "component_id")
-    out = heads.join(of_class, "h", "left")
+    out = heads.join(joined.join(smallest, "root").select("h", "component_id"), "h", "left")
     component = F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNotNull(), F.col("component_id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))

@@ -58,7 +58,7 @@ def test_components_equal_brute_force_with_and_without_tiles(spark):
     rows = near_copies(11) + [(900, None), (901, ""), (902, " \t\n"), (903, "w"), (904, "W"), (None, "a b c d e f"), (906, "x " * 4000), (907, "x " * 4000), (5, near_copies(11)[0][1])]
     df = spark.createDataFrame([(k, t, 1) for k, t in rows], "doc_id long, text string, n_shingles int")
     expected = sorted(brute(rows), key=str)
-    for options in ({}, {"tile": 4, "heavy": 50, "often": 2, "salts": 3}):
+    for options in ({}, {"tile": 4, "parts": 3}):
         out = x.near_duplicates(df, **options)
         got = out.collect()
         assert out.columns == ["doc_id", "n_shingles", "component_id"] and len(got) == len(rows)
@@ -82,7 +82,7 @@ def test_tree_join_loses_no_link(seed, across):
         return
     linked = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))
     every = {(i, j) for i in range(len(sets)) for j in range(i) if (not across or side[i] != side[j]) and linked(sets[i], sets[j])}
-    made = x.links(np.arange(len(sets)), list(sets), side, 75)
+    made = x.links(np.arange(len(sets)), list(sets), np.array([len(s) for s in sets]), side, 75)
     assert all((max(e), min(e)) in every for e in made)
 
     def partition(edges):
