@@ -59,13 +59,18 @@ def append_struct(df: DataFrame, text_col: str, fn: Callable[[list], pa.StructAr
     return df.withColumn(source, F.col(f"`{text_col}`").cast("binary")).mapInArrow(run, out_schema)
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``); a scratch folder only where it is unset (tests)."""
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="llm-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", current)
-    return current
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="llm-", dir=os.environ.get("TMPDIR", "/tmp"))
+    return _OWN[app]
 
 
 def written(spark: SparkSession, df: DataFrame, name: str, *, partition_by: tuple[str, ...] = ()) -> DataFrame:

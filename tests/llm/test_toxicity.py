@@ -38,7 +38,7 @@ def test_training_finds_planted_words_and_spans(spark):
             words[7] = words[30] = rng.choice(["zzvile", "zzvilest"])
         texts.append(" ".join(words) + ".")
     field = x.train(texts, toxic, [1.0] * 600)
-    rows = [(1, "Ünd ZZVILE zzvilest abc. x", "s"), (2, "abc def", "s"), (3, None, "s"), (4, "", "s"), (5, "123 !!", "s"), (1, "Ünd ZZVILE zzvilest abc. x", "s"), (None, "word " * 40000, "s")]
+    rows = [(1, "Ünd ZZVILE abc. Now zzvilest. x", "s"), (2, "abc def", "s"), (3, None, "s"), (4, "", "s"), (5, "123 !!", "s"), (1, "Ünd ZZVILE abc. Now zzvilest. x", "s"), (None, "word " * 40000, "s")]
     out = x.score(spark.createDataFrame(rows, "doc_id long, text string, toxicity string"), field)
     assert out.columns == ["doc_id", "text", "toxicity", "_toxicity"]
     got = out.collect()
@@ -46,7 +46,7 @@ def test_training_finds_planted_words_and_spans(spark):
     for r in got:
         assert 0 <= r._toxicity.score <= 1
         assert (r._toxicity.score >= 0.5) == (r.doc_id == 1)
-        assert [(s.start, s.end) for s in r._toxicity.spans] == ([(4, 19)] if r.doc_id == 1 else [])
+        assert [(s.start, s.end) for s in r._toxicity.spans] == ([(4, 10), (20, 28)] if r.doc_id == 1 else [])
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert x.score(empty, field).count() == 0
     none = x.fit(spark.createDataFrame(rows, "doc_id long, text string, z string"), spark.createDataFrame([(1, None), (None, 1), (77, 1)], "doc_id long, toxic int"))
