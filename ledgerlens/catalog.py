@@ -63,14 +63,16 @@ def catalog() -> dict[str, Entry]:
     for tf in TIMEFRAMES:
         add(f"active_accounts_chart_{tf}", lambda s, d, tf=tf: users.active_accounts_chart(_long(s, d), L, tf), sql.active_accounts_chart(L, tf), "users", tf)
         add(f"transactions_chart_{tf}", lambda s, d, tf=tf: users.transactions_chart(_long(s, d), L, tf), sql.transactions_chart(L, tf), "users", tf)
-        add(f"retention_chart_{tf}", lambda s, d, tf=tf: users.retention_chart(_long(s, d), R, tf),
-            sql.retention_chart(R, tf, Timeframe(tf).retention_scope), "users", tf)
-        add(f"contract_transactions_chart_{tf}", lambda s, d, tf=tf: users.contract_transactions_chart(_long(s, d), L, tf),
-            sql.project_chart(L, tf, "num_transactions"), "users", tf)
-        add(f"contract_gas_chart_{tf}", lambda s, d, tf=tf: users.contract_gas_chart(_long(s, d), L, tf), sql.project_chart(L, tf, "eth_fees"), "users", tf)
-        add(f"contract_users_chart_{tf}", lambda s, d, tf=tf: users.contract_users_chart(_long(s, d), L, tf),
-            sql.project_chart(L, tf, "num_unique_wallets"), "users", tf)
-        add(f"trending_contracts_{tf}", lambda s, d, tf=tf: users.trending_contracts(_long(s, d), L, tf), sql.trending_contracts(L, tf), "users", tf)
+        add(f"retention_chart_{tf}", lambda s, d, tf=tf: users.retention_chart(fx.late_senders(s, d), L, tf),
+            sql.retention_chart(L, tf, Timeframe(tf).retention_scope, "late"), "users", tf)
+        add(f"retention_chart_{tf}_young", lambda s, d, tf=tf: users.retention_chart(_long(s, d), R, tf),
+            sql.retention_chart(R, tf, Timeframe(tf).retention_scope), "users", "day" if tf != "day" else "month")
+        # Few wallets meet a project on one day of the long history: the finer charts read the dense one.
+        busy, variant = (fx.dense, "dense") if tf == "day" else (_long, "long")
+        for chart, measure in (("contract_transactions_chart", "num_transactions"), ("contract_gas_chart", "eth_fees"), ("contract_users_chart", "num_unique_wallets")):
+            add(f"{chart}_{tf}", lambda s, d, tf=tf, fn=getattr(users, chart), busy=busy: fn(busy(s, d), L, tf), sql.project_chart(L, tf, measure, variant=variant), "users", tf)
+        busy, variant = (_long, "long") if tf == "month" else (fx.dense, "dense")
+        add(f"trending_contracts_{tf}", lambda s, d, tf=tf, busy=busy: users.trending_contracts(busy(s, d), L, tf), sql.trending_contracts(L, tf, variant=variant), "users", tf)
 
     # The same charts with every project kept (threshold 0): at day granularity the default threshold of 10
     # wallets leaves the fixtures empty, these exercise ranking ties and the Other fold per day.

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import OTHER, amount, fee_wei, long_label, period, project_of
 from ..functions.aggs import distinct_counts
+from ..functions.joins import bounded
 from ..timeframe import Timeframe
 from .periods import PERIOD
 
@@ -46,6 +47,31 @@ def top_k_other(agg: DataFrame, measure: str, rank_by: str, wallets: str, k: int
     return folded.filter(F.col("_n") > 0).drop("_n")
 
 
+#: Most frequent targets that are resolved by a broadcast: a bound by construction.
+HOT_TARGETS = 10_000
+
+
+def _classified_spread(rows: DataFrame, contracts: DataFrame) -> DataFrame:
+    """:func:`_classified` for rows that cannot be reduced before the join, without shuffling them on a hot address.
+
+    The ``HOT_TARGETS`` most frequent targets (counted with map-side combining) meet the contracts first and are broadcast.
+    Rows of these, and rows without a target, then go into the join with the contracts under a key made of their
+    hash, which matches nothing and spreads them; only the other rows are dealt by address.
+    """
+    some = rows.filter(F.col("to_address").isNotNull() | F.col("_transfer"))
+    counts = some.filter(F.col("to_address").isNotNull()).groupBy("to_address").agg(F.count(F.lit(1)).alias("_rows"))
+    top = counts.orderBy(F.col("_rows").desc(), "to_address").limit(HOT_TARGETS).select(F.col("to_address").alias("_hot"))
+    targets = contracts.select(F.col("address").alias("_contract"))
+    hot = top.join(targets, F.col("_hot") == F.col("_contract"), "left").select("_hot", F.col("_contract").isNotNull().alias("_hot_known"))
+    resolved = some.join(bounded(hot), F.col("to_address") == F.col("_hot"), "left")
+    spread = F.concat(F.lit("\0"), F.coalesce("hash", F.lit("")), F.coalesce("from_address", F.lit("")))
+    keyed = resolved.withColumn("_key", F.when(F.col("_hot").isNotNull() | F.col("to_address").isNull(), spread).otherwise(F.col("to_address")))
+    joined = keyed.join(targets, F.col("_key") == F.col("_contract"), "left")
+    is_contract = F.coalesce(F.col("_hot_known"), F.col("_contract").isNotNull())
+    kept = joined.filter(is_contract | F.col("_transfer"))
+    return kept.withColumn("project", project_of(F.when(is_contract, F.col("to_address")), "_transfer"))
+
+
 def _classified(rows: DataFrame, contracts: DataFrame) -> DataFrame:
     """Attach ``project`` to rows keyed by target address and value flag: the address when the target is a
     contract, ``ETH transfer`` for value transfers to other addresses; zero-value calls to non-contracts drop out."""
@@ -72,7 +98,7 @@ def project_chart(tx: DataFrame, contracts: DataFrame, labels: DataFrame, tf: Ti
     if measure == "num_transactions":
         # Transaction hashes are (nearly) unique, so no reduction would happen before the join: rows meet the
         # contract table as they are, then both distinct counts run in one fixed-shape two-level aggregate.
-        rows = _classified(base, contracts)
+        rows = _classified_spread(base.drop("fee"), contracts)
         agg = distinct_counts(rows, [PERIOD, "project"], {"num_unique_wallets": "from_address", "num_transactions": "hash"})
         rank_by = "num_unique_wallets"
     elif measure == "eth_fees":

@@ -148,25 +148,28 @@ def _common(read) -> dict:
     }
 
 
+def _long_transactions(read, li: DataFrame, target: Column) -> DataFrame:
+    # Dimension sides of the fixture joins are small; the planner broadcasts them.
+    o = read("orders").select("o_orderkey", "o_custkey")
+    p = read("part").select("p_partkey", "p_brand")
+    j = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
+    return j.select(
+        F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("hash"),
+        F.col("l_shipdate").alias("block_timestamp"),
+        F.col("o_custkey").cast("string").alias("from_address"),
+        target.alias("to_address"),
+        _dec(F.when(F.col("l_returnflag") == "N", F.lit(0.0)).otherwise(F.col("l_quantity")), 38).alias("value"),
+        _dec(_dec(F.round("l_extendedprice"), 20) * _dec(F.lit(100000000000000), 15) + F.col("l_orderkey") * 7919 + F.col("l_linenumber"), 26).alias("receipt_l1_fee"),
+        _dec(_dec(F.round(F.col("l_discount") * 100), 3) * _dec(F.lit(1000000000000) + F.col("l_suppkey"), 13), 20).alias("receipt_effective_gas_price"),
+        _dec(F.round(F.col("l_quantity") * 100000), 8).alias("receipt_gas_used"),
+    )
+
+
 def long_history(spark: SparkSession, sf_dir: str) -> Tables:
     read = _reader(spark, sf_dir)
 
     def transactions() -> DataFrame:
-        li = read("lineitem")
-        # Dimension sides of the fixture joins are read as they are (small; broadcast by the planner).
-        o = read("orders").select("o_orderkey", "o_custkey")
-        p = read("part").select("p_partkey", "p_brand")
-        j = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
-        return j.select(
-            F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("hash"),
-            F.col("l_shipdate").alias("block_timestamp"),
-            F.col("o_custkey").cast("string").alias("from_address"),
-            F.col("p_brand").alias("to_address"),
-            _dec(F.when(F.col("l_returnflag") == "N", F.lit(0.0)).otherwise(F.col("l_quantity")), 38).alias("value"),
-            _dec(_dec(F.round("l_extendedprice"), 20) * _dec(F.lit(100000000000000), 15) + F.col("l_orderkey") * 7919 + F.col("l_linenumber"), 26).alias("receipt_l1_fee"),
-            _dec(_dec(F.round(F.col("l_discount") * 100), 3) * _dec(F.lit(1000000000000) + F.col("l_suppkey"), 13), 20).alias("receipt_effective_gas_price"),
-            _dec(F.round(F.col("l_quantity") * 100000), 8).alias("receipt_gas_used"),
-        )
+        return _long_transactions(read, read("lineitem"), F.col("p_brand"))
 
     def token_prices_hourly() -> DataFrame:
         o = read("orders").select(F.date_trunc("hour", "o_orderdate").cast("timestamp_ntz").alias("hour"), "o_orderdate")
@@ -180,6 +183,32 @@ def long_history(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(factories)
 
 
+def late_senders(spark: SparkSession, sf_dir: str) -> Tables:
+    """The long history with senders that first appear late: two of three change their name every four months."""
+    base = long_history(spark, sf_dir)
+
+    def transactions() -> DataFrame:
+        ts, sender = F.col("block_timestamp"), F.col("from_address")
+        third = F.floor((F.year(ts) * 12 + F.month(ts)) / 4).cast("int").cast("string")
+        return base["transactions"].withColumn("from_address", F.when(sender.cast("int") % 3 == 0, sender).otherwise(F.concat(sender, F.lit("@"), third)))
+
+    return base.with_tables(transactions=transactions)
+
+
+def dense(spark: SparkSession, sf_dir: str) -> Tables:
+    """The long history's rows within four weeks before ``LONG_AS_OF`` and on 40 contracts: many wallets per day and target."""
+    base = long_history(spark, sf_dir)
+    read = _reader(spark, sf_dir)
+
+    def transactions() -> DataFrame:
+        li = read("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_returnflag", "l_quantity", "l_extendedprice", "l_discount", "l_suppkey")
+        back = F.when(F.col("l_linenumber") % 3 == 0, F.col("l_orderkey") % 14).otherwise(F.col("l_orderkey") % 28).cast("int")
+        moved = li.withColumn("l_shipdate", F.lit("2001-07-15 00:00:00").cast("timestamp_ntz") - F.make_dt_interval(back))
+        return _long_transactions(read, moved, F.when(F.col("l_partkey") % 5 == 0, F.col("p_brand")).otherwise(F.concat(F.lit("C"), (F.col("l_partkey") % 40 + 20).cast("string"))))
+
+    return base.with_tables(transactions=transactions)
+
+
 def intraday(spark: SparkSession, sf_dir: str) -> Tables:
     read = _reader(spark, sf_dir)
 

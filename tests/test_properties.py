@@ -1,5 +1,7 @@
 """Properties of the metrics and equivalence of the rewritten plans with their literal forms (sf0.001 fixtures)."""
 
+from decimal import ROUND_HALF_UP, Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,31 +27,27 @@ def test_retention_offset_zero_is_100_and_bounded(spark, t, tf):
     assert all(0 < r["percentage"] <= 100.0 for r in rows)
 
 
-def test_retention_equals_literal_self_join_form(spark, t):
-    """The bitmask plan against the five-step definition with two self-joins. At the 1995 clock the six-month scope
-    holds every cohort (the data starts in January 1995), so the comparison covers all rows."""
-    as_of = fx.RETENTION_AS_OF
-    cut = truncate(as_of, "month")
-    tx = t.as_of(as_of)["transactions"].filter(F.col("block_timestamp") < F.lit(cut).cast("timestamp_ntz"))
-    tx.createOrReplaceTempView("rt_tx")
-    literal = spark.sql(
-        """
-        WITH c AS (SELECT from_address, MIN(date_trunc('month', block_timestamp)) AS cohort FROM rt_tx GROUP BY 1),
-        size AS (SELECT cohort, COUNT(1) AS n FROM c GROUP BY 1),
-        act AS (SELECT DISTINCT timestampdiff(MONTH, c.cohort, date_trunc('month', a.block_timestamp)) AS k, a.from_address
-                FROM rt_tx a JOIN c ON a.from_address = c.from_address),
-        ret AS (SELECT c.cohort, act.k, COUNT(1) AS users FROM act JOIN c ON act.from_address = c.from_address GROUP BY 1, 2)
-        SELECT date_format(ret.cohort, 'yy-MM-dd') AS cohort, size.n AS total_users, CAST(k AS BIGINT) AS month_number,
-               CAST(round(CAST(users * 100 AS DECIMAL(38,0)) / CAST(size.n AS DECIMAL(38,0)), 2) AS DOUBLE) AS percentage
-        FROM ret JOIN size ON ret.cohort = size.cohort"""
-    )
-    from ledgerlens.operators.retention import cohort_retention
-
-    ours = cohort_retention(t.as_of(as_of)["transactions"], "from_address", "block_timestamp", "month", as_of, 6)
-    got = {tuple(r) for r in ours.collect()}
-    want = {tuple(r) for r in literal.collect()}
-    assert len({r[0] for r in want}) == 6
-    assert got == want
+def test_retention_equals_a_plain_computation(spark):
+    """The bitmask plan against sets of active months in Python; cohorts lie in and out of the six-month scope."""
+    tables, as_of = fx.late_senders(spark, SF), fx.LONG_AS_OF
+    months: dict[str, set[int]] = {}
+    for r in tables.as_of(as_of)["transactions"].select("from_address", "block_timestamp").collect():
+        months.setdefault(r[0], set()).add(r[1].year * 12 + r[1].month - 1)
+    current = as_of.year * 12 + as_of.month - 1
+    cohorts: dict[int, list[set[int]]] = {}
+    for active in months.values():
+        complete = {m for m in active if m < current}
+        if complete:
+            cohorts.setdefault(min(complete), []).append(complete)
+    want = set()
+    for birth, members in cohorts.items():
+        for m in range(birth, current):
+            users_then = sum(m in active for active in members)
+            if birth >= current - 6 and users_then:
+                share = (Decimal(users_then * 100) / len(members)).quantize(Decimal("0.000001"), ROUND_HALF_UP)
+                want.add((f"{birth // 12 % 100:02d}-{birth % 12 + 1:02d}-01", len(members), m - birth, float(share.quantize(Decimal("0.01"), ROUND_HALF_UP))))
+    got = {tuple(r) for r in users.retention_chart(tables, as_of, "month").collect()}
+    assert got == want and len(cohorts) > len({r[0] for r in want}) > 1
 
 
 def test_fee_shares_sum_to_100(spark, t):

@@ -46,14 +46,35 @@ def skewed(spark):
             spark.conf.set(k, v)
 
 
-def test_hot_contract_join_is_split(spark, skewed):
-    df = users.contract_transactions_chart(skewed, AS_OF, "month")
+@pytest.mark.parametrize("hot_targets", [1, 3, 10_000])
+def test_hot_contract_and_missing_targets_need_no_skew_split(spark, skewed, monkeypatch, hot_targets):
+    """Default skew thresholds, skew join off: the hot contract's rows and those without a target are spread."""
+    from pyspark.sql import functions as F
+
+    from ledgerlens.operators import ranking
+
+    monkeypatch.setattr(ranking, "HOT_TARGETS", hot_targets)
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+    gone = F.col("hash").rlike("[05]$") & (F.col("to_address") != "hot_contract")
+    tables = skewed.with_tables(transactions=skewed["transactions"].withColumn("to_address", F.when(~gone, F.col("to_address"))))
+    df = users.contract_transactions_chart(tables, AS_OF, "month", min_wallets=0)
     rows = df.collect()
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    assert "SortMergeJoin(skew=true)" in plan, plan[:3000]  # AQE split the hot contract's partition
-    hot = [r for r in rows if r["project"] == "hot_contract"]
-    expected = skewed.as_of(AS_OF)["transactions"].filter("to_address = 'hot_contract'").count()
-    assert len(hot) == 3 and sum(r["num_transactions"] for r in hot) == expected > 5000
+    assert "BroadcastHashJoin" in plan and "TakeOrderedAndProject" in plan or "GlobalLimit" in plan
+    known = {r.address for r in tables["contracts"].collect()}
+    counts: dict[tuple, set] = {}
+    for r in tables.as_of(AS_OF)["transactions"].select("hash", "to_address", "value", F.date_format(F.date_trunc("month", "block_timestamp"), "yyyy-MM-dd").alias("d")).collect():
+        if r.to_address in known or r.value > 0:
+            counts.setdefault((r.d, r.to_address if r.to_address in known else "ETH transfer"), set()).add(r.hash)
+    total: dict[str, int] = {}
+    for (d, _), hashes in counts.items():
+        total[d] = total.get(d, 0) + len(hashes)
+    assert {d: sum(r["num_transactions"] for r in rows if r["date"] == d) for d in total} == total
+    for r in rows:
+        if r["project"] in ("hot_contract", "ETH transfer"):
+            assert r["num_transactions"] == len(counts[r["date"], r["project"]])
+    assert {r["project"] for r in rows} >= {"hot_contract", "ETH transfer", "Other"}
 
 
 def test_hot_wallet_and_contract_results_exact(spark, skewed):
