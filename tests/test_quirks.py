@@ -254,7 +254,8 @@ def test_dashboard_sink_writes_json_records(spark, tmp_path):
 
     t = tables(spark, transactions=[tx("a", T(2024, 3, 20, 1), "w1", "x"), tx("b", T(2024, 3, 19, 1), "w2", "x")])
     written = write_dashboard({"time": users.stamp(AS_OF), "cards": users.cards(t, AS_OF)}, str(tmp_path), fmt="json")
-    assert list(written) == ["cards"]
+    assert list(written) == ["time", "cards"]
+    assert one(spark.read.json(written["time"]))["time"] == users.stamp(AS_OF)
     row = one(spark.read.json(written["cards"]))
     assert (row["actives_24h"], row["actives_growth_24h"], row["actives_7d"]) == (1, 0.0, 2)
     assert users.stamp(AS_OF) == "20/03/24 12:00"
