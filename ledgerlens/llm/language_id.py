@@ -10,7 +10,8 @@ Languages are the declared primary subtags (``[a-z]{2,3}``) that at least ``min_
 are at most ``1 / min_share`` of them. Hosts are unbounded and stay distributed: their priors are joined, and broadcast
 only while their number is under ``broadcast_hosts``.
 
-A row is accepted if its text has a letter trigram and the best language has at least ``min_probability``. Null
+A row is accepted if its text has a letter trigram and the best language at least ``min_probability``: by default, if it
+is as likely as all others together. Null
 or empty texts have no textual evidence and are not accepted; null or unknown declared languages, addresses and hosts
 give no evidence. Without any declared language every row is ``und`` and none is accepted. Repeated rows give repeated
 results, an empty table an empty result; extra columns pass through.
@@ -122,7 +123,7 @@ def domain(host: Column) -> Column:
     return F.substring_index(host, ".", -2)
 
 
-def identify(rows: DataFrame, *, text_col: str, declared: Column, host: Column, into: str | None = None, min_probability: float = 0.6,
+def identify(rows: DataFrame, *, text_col: str, declared: Column, host: Column, into: str | None = None, min_probability: float = 0.5,
              temper: float = 0.15, weight: float = 5.0, min_share: float = 1e-4, broadcast_hosts: int = 20_000, text_model: TextModel | None = None) -> DataFrame:
     """``rows`` with struct ``into``: ``language``, ``probability``, ``text_language``, ``accepted``.
 
