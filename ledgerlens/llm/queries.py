@@ -108,6 +108,35 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), sha256_hex(F.col("kept")).alias("kept_sha256"))
 
 
+# Every 50-byte string (as hexadecimal) with the smallest document that holds it; covered starts merge into runs.
+OP7_SQL = """
+WITH bytes AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), strings AS (
+  SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS p FROM bytes)
+), firsts AS (
+  SELECT s, min(doc_id) AS first_doc FROM strings GROUP BY s
+), covered AS (
+  SELECT doc_id, p FROM strings JOIN firsts USING (s) WHERE first_doc < doc_id
+), marked AS (
+  SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS fresh FROM covered
+), numbered AS (
+  SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marked
+), runs AS (
+  SELECT doc_id, run, min(p) AS a, max(p) + 50 AS b FROM numbered GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM runs
+), kept AS (
+  SELECT g.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed,
+         string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS left_over
+  FROM gaps g JOIN bytes USING (doc_id) GROUP BY g.doc_id
+)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(left_over, h))) AS kept_sha256
+FROM bytes LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     # The counts are small and needed twice, to fit and to decide: they are stored, the texts read once.
@@ -149,4 +178,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_benchmark_decontamination": OP2_SQL,
     "op5_ngram_jaccard_join": OP5_SQL,
+    "op7_suffix_dedup": OP7_SQL,
 }
