@@ -39,12 +39,25 @@ def slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         yield at, len(sizes) - at
 
 
+#: Rows of an Arrow batch at most: a batch lies in the JVM and in the Python worker at once.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` rows where they are larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def append_struct(df: DataFrame, text_col: str, fn: Callable[[list], pa.StructArray], schema: T.StructType, into: str, slice_bytes: int = 4 << 20) -> DataFrame:
     """Append struct column ``into`` computed from ``text_col`` by Arrow batches; all other columns pass through.
 
     ``fn`` gets texts as a list of ``bytes | None``, about ``slice_bytes`` at a time, and returns a struct array of the
     same length.
     """
+    small_batches(df.sparkSession)
     source = fresh_name(df, "_utf8")
     out_schema = T.StructType([*df.schema.fields, T.StructField(into, schema)])
 

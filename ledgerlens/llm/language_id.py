@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_struct, fresh_name, shared_dir, slices
+from .common import append_struct, fresh_name, shared_dir, slices, small_batches
 
 BUCKETS = 1 << 14
 #: Letters stay (ASCII in lower case), other ASCII bytes become a space.
@@ -73,6 +73,7 @@ class TextModel:
 
 def fit_text(rows: DataFrame, text_col: str, declared: Column, *, min_share: float = 1e-4) -> TextModel:
     """Trigram frequencies per declared language, counted over all rows."""
+    small_batches(rows.sparkSession)
     tagged = rows.select(F.col(f"`{text_col}`").cast("binary").alias("text"), subtag(declared).alias("language")).where("language is not null")
     by = {r["language"]: r["n"] for r in tagged.groupBy("language").agg(F.count("*").alias("n")).where(F.col("n") > 0).collect()}
     total = sum(by.values())

@@ -38,13 +38,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import slices, small_batches, written
 from .components import components
 
 # Fixed value of the contract, on UTF-8 bytes after lower-casing A-Z.
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
-REMEMBER = 500_000
+REMEMBER = 200_000
 
 
 class Shingler:
@@ -112,7 +112,7 @@ def dealt(docs: DataFrame, n: int, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
         for b in batches:
-            for at, length in slices(b.column(0), 16 << 20):
+            for at, length in slices(b.column(0), 4 << 20):
                 sets = [s for t in b.column(0).slice(at, length).to_pylist() if len(s := shingler.set_of(t))]
                 if not sets:
                     continue
@@ -303,6 +303,7 @@ def placed(members: DataFrame, similarity: int, tile: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text_col: str = "text", n: int = 5, similarity: int = 75, parts: int | None = None, tile: int = 4096) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
     spark = docs.sparkSession
+    small_batches(spark)
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     parts = parts or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shared = shared_shingles(dealt(source.where("doc_id is not null"), n, parts))

@@ -107,7 +107,7 @@ class CharMap:
 
 
 class Codec:
-    def __init__(self, model_file: str, remember: int = 400_000):
+    def __init__(self, model_file: str, remember: int = 200_000):
         with open(model_file, "rb") as f:
             model = f.read()
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
