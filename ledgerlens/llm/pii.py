@@ -32,13 +32,14 @@ SECRET = r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,}+(?![0-9A-Za-z])"
 MAILISH = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?!\.[A-Za-z0-9-]|[A-Za-z0-9-])"
 KINDS = (*BASE, "secret", "number", "mailish", "dotted")
 
-PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+# Zeros run possessively; a part of zeros only ends right after one.
+PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?|(?<=0))"
 ADDRESS = rf"^{PART}(?:\.{PART}){{3}}$"
 # Gazetteers: top-level names, calling codes, first digits of card issuers, reserved first parts.
 HOSTS = r"(?i)\.(?:com|org|net|edu|gov|info|io|eu|de|fr|es|it|nl|at|ch|uk|us|ca|au|jp|br|in|ru|pl)$"
 CALLING = r"^\+(?:1|7|2[07]|3[0-4690]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 ISSUER = r"^(?:3[47068]|4|5[1-5]|2[2-7]|6)"
-RESERVED = r"^0*+(?:0|127|255|22[4-9]|23[0-9]|24[0-9]|25[0-5])\."
+RESERVED = r"^0*+(?:(?<=0)|127|255|22[4-9]|23[0-9]|24[0-9]|25[0-5])\."
 # Context words before a span.
 NEAR = r"(?i)(?:token|secret|passw(?:or)?d|api.?key|key|tel|phone|telefon|t[eé]l[eé]phone|tel[eé]fono|call|fax|mobile|e-?mail|mail|correo|courriel|contact|kontakt|contacto|card|visa|karte|carte|tarjeta|ip|host|server)\W{0,4}$"
 FAR = r"(?i)(?:version|v|isbn|doi|page|seite|section|chapter|no|nr)[.:\s]{0,3}$"

@@ -74,6 +74,18 @@ def test_personal_data_edges(spark, texts):
     assert pii.detect(texts.where("false")).count() == 0
 
 
+def test_addresses_with_parts_of_zeros(spark):
+    found = ["10.0.0.1", "1.2.3.0", "00.1.1.1", "192.168.0.1", "127.0.0.1", "0.0.0.0", "000.00.0.0", "1.0010.020.0255", "255.255.255.0"]
+    refused = ["256.1.1.1", "1.1.1.0256", "1.300.0.0", "0.0.0.1000", "1..0.0", "1.0.0"]
+    texts = [f"at {a}, x" for a in found + refused]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.p.base] for r in pii.detect(rows, into="p").collect()}
+    assert [got[k] for k in range(len(texts))] == [base_spans(t) for t in texts]
+    assert [bool(got[k]) for k in range(len(texts))] == [True] * len(found) + [False] * len(refused)
+    reserved = spark.createDataFrame([(a,) for a in ("0.1.2.3", "00.1.2.3", "0127.0.0.1", "10.0.0.1", "1.0.0.0", "01.2.3.4")], "a string")
+    assert [r[0] for r in reserved.select(pii.F.col("a").rlike(pii.RESERVED)).collect()] == [True, True, True, False, False, False]
+
+
 def test_personal_data_query(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     df = queries.QUERIES["op6_pii"](spark, SF)
