@@ -2,11 +2,13 @@
 
 A page becomes a tree of its block elements. Each node is content or boilerplate; a node's features (tag, class and id
 names, share of linked characters, amount of text) give its unary potential, and each parent-child edge a potential
-that depends on whether the parent is marked as a non-article part. Sum-product messages go up the tree and down
+that depends on whether the parent is a non-article part by its tag or its names. Sum-product messages go up the tree and down
 again, and a node whose marginal probability of content is at least ``threshold`` keeps its text.
 
 The potentials are counts from labelled pages: pages that mark their article (``<article>``, ``<main>``), whose nodes
-inside it, apart from marked parts, are content. A marked node is clamped to boilerplate. Counting runs on a hash sample of about ``train_pages`` of these pages
+inside it, apart from marked parts, are content. A node marked by its tag (``<nav>``) is clamped to boilerplate. A class, id
+or role that names such a part as a whole (``comments``, ``related-posts``; not ``related-work``, no id of a heading) is a
+feature: it weighs heavily until labelled articles hold such names, and what is under the node mostly goes with it. Counting runs on a hash sample of about ``train_pages`` of these pages
 (a bound on the cost of training); small prior counts cover names that no labelled page has.
 
 Blocks keep page order; character references are decoded, white space in a block becomes one space, empty blocks
@@ -30,7 +32,7 @@ from pyspark.sql import types as T
 from .common import append_struct, fresh_name
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<", re.S)
-NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+NAMED = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br".split())
@@ -43,11 +45,17 @@ KEEPS_OPEN = frozenset("article section div body main table ul ol dl blockquote
 MARKED_NAMES = frozenset("""ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus
     disclaimer footer gdpr header masthead menu modal nav navbar navigation newsletter notice notification pagination popup promo promoted related respond
     share sharing sidebar social sponsor sponsored subscribe toolbar widget contentinfo complementary search""".split())
+#: Pieces that leave a marked name what it is: ``share-buttons``, ``site-footer``.
+LAYOUT_NAMES = frozenset("""area bar block body bottom box button buttons col column container content footer form group head icon icons inner item items left link links
+    list main outer page panel post posts primary right row secondary section signup site slot title top unit wrap wrapper""".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN_NAMES = frozenset("article content entry main post story text".split())
 MAIN_TAGS = frozenset(["article", "main"])
 #: Prior counts of (feature, label): what any page would teach.
 PRIOR = {(("name", "marked"), 0): 50.0, (("name", "main"), 1): 50.0, **{(("tag", f"{t}:0"), 1): 20.0 for t in ("p", "h1", "h2", "h3", "blockquote", "pre")}}
 CLAMP = -60.0
+#: Count of a marked name in content before any is seen: it outweighs one or two blocks of text.
+UNSEEN = 1e-6
 
 RESULT = T.StructType([
     T.StructField("text", T.StringType()),
@@ -55,13 +63,23 @@ RESULT = T.StructType([
 ])
 
 
+def pieces_of(name: str) -> list[str]:
+    return [p for p in re.split("[_-]+", name) if p]
+
+
+def marks(names: set[str]) -> bool:
+    """Whether a name as a whole says that a part is no article: a marked name, alone or among layout words."""
+    return any(not MARKED_NAMES.isdisjoint(p) and all(x in MARKED_NAMES or x in LAYOUT_NAMES for x in p) for p in map(pieces_of, names))
+
+
 class Node:
-    __slots__ = ("tag", "parent", "inside", "marked", "main", "chars", "linked", "all_chars", "all_linked", "run")
+    __slots__ = ("tag", "parent", "inside", "under", "marked", "named", "main", "chars", "linked", "all_chars", "all_linked", "run")
 
-    def __init__(self, tag: str, parent: int, names: set[str], inside: bool = False):
-        self.tag, self.parent, self.inside = tag, parent, inside  # inside: a node above is marked
-        self.marked = tag in MARKED_TAGS or not names.isdisjoint(MARKED_NAMES)
-        self.main = tag in MAIN_TAGS or not names.isdisjoint(MAIN_NAMES)
+    def __init__(self, tag: str, parent: int, names: set[str], inside: bool = False, under: bool = False):
+        self.tag, self.parent, self.inside, self.under = tag, parent, inside, under  # a node above is marked, or named
+        self.marked = tag in MARKED_TAGS
+        self.named = not self.marked and marks(names)
+        self.main = tag in MAIN_TAGS or any(not MAIN_NAMES.isdisjoint(p) and MARKED_NAMES.isdisjoint(p) for p in map(pieces_of, names))
         self.chars = self.linked = 0
         self.run: list[str] | None = None
 
@@ -126,17 +144,19 @@ def tree(page: str) -> tuple[list[Node], list[tuple[int, list[str]]]]:
                     break
         if tag in VOID or m[3].endswith("/"):
             continue
-        names = {w for found in NAMED.findall(m[3]) for w in re.split(r"[\s_-]+", "".join(found).lower())} if "=" in m[3] else set()
+        found = NAMED.findall(m[3]) if "=" in m[3] else []
+        names = {w for kind, *value in found if not (kind.lower() == "id" and tag in HEADINGS) for w in "".join(value).lower().split()}
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
         parent = open_tags[-1][1]
-        if inline and names.isdisjoint(MARKED_NAMES):
+        if inline and not marks(names):
             open_tags.append((tag, parent))
         else:
             open_tags.append((tag, len(nodes)))
-            nodes.append(Node(tag, parent, names, nodes[parent].inside or nodes[parent].marked))
+            above = nodes[parent]
+            nodes.append(Node(tag, parent, names, above.inside or above.marked, above.under or above.named))
         links += tag == "a"
     for n in nodes:
         n.all_chars, n.all_linked = n.chars, n.linked
@@ -149,7 +169,7 @@ def tree(page: str) -> tuple[list[Node], list[tuple[int, list[str]]]]:
 def features(node: Node) -> list[tuple[str, str]]:
     """Tag with the share of linked characters under it (in thirds), marks, amount of own text."""
     out = [("tag", f"{node.tag}:{min(3, 4 * node.all_linked // node.all_chars) if node.all_chars else ''}")]
-    if node.marked:
+    if node.named:
         out.append(("name", "marked"))
     elif node.main:
         out.append(("name", "main"))
@@ -159,13 +179,17 @@ def features(node: Node) -> list[tuple[str, str]]:
 
 
 def labels(nodes: list[Node]) -> list[int] | None:
-    """Content labels of a page that marks its article, else None."""
-    if not any(n.tag in MAIN_TAGS for n in nodes):
+    """Content labels of a page that marks its article, else None. Parts with a marked name count as content in
+    ``<article>``, not in ``<main>`` alone, which often holds the comments as well."""
+    starts = [n.tag in MAIN_TAGS and not n.named and not n.under for n in nodes]
+    if not any(starts):
         return None
     out: list[int] = []
-    for n in nodes:
-        above = n.parent >= 0 and out[n.parent]
-        out.append(int(not n.marked and not n.inside and bool(above or n.tag in MAIN_TAGS)))
+    article: list[bool] = []
+    for n, start in zip(nodes, starts, strict=True):
+        above = n.parent >= 0 and out[n.parent] and (not n.named or article[n.parent])
+        out.append(int(not n.marked and not n.inside and bool(above or start)))
+        article.append(n.parent >= 0 and article[n.parent] or (start and n.tag == "article"))
     return out
 
 
@@ -181,15 +205,15 @@ class Model:
         names = {k[1] for k in seen if k[0] == "f"}
         self.unary = {f: self._ratio(seen, total, width, f) for f in names}
         self.edge = {}
-        for kind in ("in", "marked", "open"):
+        for kind in ("in", "under", "marked", "named", "open"):
             for a in (0, 1):
-                n = [seen["e", kind, a, b] + (1.0 if b == a else 1e-9 if kind == "in" or (kind == "open" and a) else 0.1) for b in (0, 1)]
+                n = [seen["e", kind, a, b] + (1.0 if b == a or (kind == "named" and a) else 1e-9 if kind in ("in", "under") or (kind == "open" and a) else 0.1) for b in (0, 1)]
                 self.edge[kind, a] = [math.log(x / sum(n)) for x in n]
 
     @staticmethod
     def _ratio(seen: Counter, total: dict, width: dict, f: tuple) -> float:
         """How much likelier the feature is under content (log ratio); amounts count half as they go together."""
-        p = [(seen["f", f, y] + 1) / (total[f[0], y] + width[f[0]]) for y in (0, 1)]
+        p = [(seen["f", f, y] + (UNSEEN if y and f == ("name", "marked") else 1)) / (total[f[0], y] + width[f[0]]) for y in (0, 1)]
         return (1.0 if f[0] != "size" else 0.5) * math.log(p[1] / p[0])
 
     def own(self, node: Node) -> float:
@@ -224,8 +248,8 @@ class Model:
 
 
 def kind_of(node: Node) -> str:
-    """Kind of the edge above a node: in a marked part, of a marked node, or open."""
-    return "in" if node.inside else "marked" if node.marked else "open"
+    """Kind of the edge above a node: in a marked part, of a marked node, under a named node, of a named node, or open."""
+    return "in" if node.inside else "marked" if node.marked else "under" if node.under else "named" if node.named else "open"
 
 
 def log_sum(a: float, b: float) -> float:

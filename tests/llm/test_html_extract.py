@@ -58,3 +58,22 @@ def test_edges(spark):
         assert text is None or got[k] == text, (k, got[k][:300])
     assert x.extract(df.where("false")).count() == 0
     assert x.extract(df.where("page_id in (4, 5, 6)")).count() == 3  # nothing to train on
+
+
+SLUGS = "<body><nav><a href=/>Home</a></nav><article class='post no-comments'>Own text.<h2 id='related-work'>Related work</h2><p class='ad-hoc'>Ad hoc.</p>" \
+    "<section id='social-history'><h2 id=search>Search</h2><p>Short.</p></section><div class='share-buttons'><p>Tweet</p></div><p class=ad>Buy</p></article></body>"
+
+
+def test_article_blocks_with_slug_ids_and_modifier_classes(spark):
+    for model in (x.fit(spark.read.parquet(f"{SF}/pages.parquet")), x.Model(x.Counter())):
+        assert x.extracted(SLUGS, model, 0.5)[0] == "Own text.\nRelated work\nAd hoc.\nSearch\nShort."
+
+
+def test_marked_names_are_learned():
+    page = "<body><div class=ad>Buy</div><article><h1>T</h1><p>Text of it.</p><div class=notice><p>Part of the article.</p></div></article></body>"
+    plain = x.Model(x.counted([page.replace(" class=notice", "")] * 200))
+    learned = x.Model(x.counted([page] * 200))
+    assert x.extracted(page, plain, 0.5)[0] == "T\nText of it."
+    assert x.extracted(page, learned, 0.5)[0] == "T\nText of it.\nPart of the article."
+    many = page.replace("<div class=notice>", "<div class=notice>" + "<p>More of it.</p>" * 8)
+    assert x.extracted(many, plain, 0.5)[0].count("More of it.") == 8  # text outweighs a name
