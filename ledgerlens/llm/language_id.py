@@ -6,13 +6,15 @@ The probability of a language given a row combines
  - the address: priors of host, domain and address suffix, each smoothed towards the level above, from counts by grouped
    aggregation of the textual languages of all rows.
 
-Languages are the declared primary subtags (``[a-z]{2,3}``) that at least ``min_share`` of the rows declare, so there
-are at most ``1 / min_share`` of them. Hosts are unbounded and stay distributed: their priors are joined, and broadcast
+Languages are the declared primary subtags (``[a-z]{2,3}``) of at least ``min_rows`` rows (in small tables, of a share
+``min_share`` of the rows). Beside them stands a background of uniform trigrams for noise, code and languages that are not
+declared: it has a prior of ``background`` and takes part in the probability. Hosts are unbounded and stay distributed: their priors are joined, and broadcast
 only while their number is under ``broadcast_hosts``.
 
 A row is accepted if its text has a letter trigram and the best language at least ``min_probability``: by default, if it
-is as likely as all others together. Null
-or empty texts have no textual evidence and are not accepted; null or unknown declared languages, addresses and hosts
+is as likely as all others together. Where the background is likelier (or explains the text better, if the
+row does not declare the language), or a language is declared that has no model, the language is ``und`` and the row not accepted: a declared language is never replaced unless it was compared. Null
+or empty texts have no textual evidence and are not accepted; null or malformed declared languages, addresses and hosts
 give no evidence. Without any declared language every row is ``und`` and none is accepted. Repeated rows give repeated
 results, an empty table an empty result; extra columns pass through.
 """
@@ -20,6 +22,7 @@ results, an empty table an empty result; extra columns pass through.
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +35,7 @@ from pyspark.sql import types as T
 from .common import append_struct, fresh_name, shared_dir, slices, small_batches
 
 BUCKETS = 1 << 14
+UNIFORM = -math.log(BUCKETS)
 #: Letters stay (ASCII in lower case), other ASCII bytes become a space.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -71,19 +75,19 @@ class TextModel:
         return n, out
 
 
-def fit_text(rows: DataFrame, text_col: str, declared: Column, *, min_share: float = 1e-4) -> TextModel:
+def fit_text(rows: DataFrame, text_col: str, declared: Column, *, min_share: float = 1e-4, min_rows: int = 20) -> TextModel:
     """Trigram frequencies per declared language, counted over all rows."""
     small_batches(rows.sparkSession)
     tagged = rows.select(F.col(f"`{text_col}`").cast("binary").alias("text"), subtag(declared).alias("language")).where("language is not null")
     by = {r["language"]: r["n"] for r in tagged.groupBy("language").agg(F.count("*").alias("n")).where(F.col("n") > 0).collect()}
     total = sum(by.values())
-    languages = sorted(k for k, n in by.items() if n >= min_share * total)
+    languages = sorted(k for k, n in by.items() if n >= min(min_rows, min_share * total))
     if not languages:
         return TextModel([], np.zeros((0, BUCKETS), np.float32))
     index = {k: i for i, k in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((len(languages), BUCKETS), np.int64)
+        seen = defaultdict(lambda: np.zeros(BUCKETS, np.int64))
         for batch in batches:
             for at, length in slices(batch.column(0), 1 << 20):
                 texts, tags = (batch.column(c).slice(at, length).to_pylist() for c in (0, 1))
@@ -92,13 +96,14 @@ def fit_text(rows: DataFrame, text_col: str, declared: Column, *, min_share: flo
                     which = np.array([index[t] for t in tags[k:k + 256]])
                     for i in np.unique(which):
                         seen[i] += flags[which == i].sum(0)
-        i, b = np.nonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(seen[i, b])], names=["i", "b", "n"])
+        for i, row in seen.items():
+            b = np.flatnonzero(row)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), i, np.int32)), pa.array(b.astype(np.int32)), pa.array(row[b])], names=["i", "b", "n"])
 
     counts = tagged.where(F.col("language").isin(languages)).mapInArrow(run, "i int, b int, n long").groupBy("i", "b").agg(F.sum("n").alias("n"))
     seen = np.full((len(languages), BUCKETS), 0.5)
-    for r in counts.collect():  # at most languages x buckets
-        seen[r["i"], r["b"]] += r["n"]
+    i, b, n = (c.to_numpy() for c in counts.toArrow().columns)  # at most languages x buckets
+    seen[i, b] += n
     return TextModel(languages, np.log(seen / seen.sum(1, keepdims=True)).astype(np.float32))
 
 
@@ -125,21 +130,24 @@ def domain(host: Column) -> Column:
 
 
 def identify(rows: DataFrame, *, text_col: str, declared: Column, host: Column, into: str | None = None, min_probability: float = 0.5,
-             temper: float = 0.15, weight: float = 5.0, min_share: float = 1e-4, broadcast_hosts: int = 20_000, text_model: TextModel | None = None) -> DataFrame:
+             temper: float = 0.15, weight: float = 5.0, min_share: float = 1e-4, min_rows: int = 20, background: float = 1e-5, broadcast_hosts: int = 20_000,
+             text_model: TextModel | None = None) -> DataFrame:
     """``rows`` with struct ``into``: ``language``, ``probability``, ``text_language``, ``accepted``.
 
     ``weight`` is the number of rows that the level above counts as in a smoothed prior.
     """
     into = into or fresh_name(rows, "language")
-    model = text_model or fit_text(rows, text_col, declared, min_share=min_share)
+    model = text_model or fit_text(rows, text_col, declared, min_share=min_share, min_rows=min_rows)
     languages = model.languages
     if not languages:
         made = F.struct(F.lit("und").alias("language"), F.lit(0.0).alias("probability"), F.lit("und").alias("text_language"), F.lit(False).alias("accepted"))
         return rows.withColumn(into, made)
     text, tag, at = (fresh_name(rows, c) for c in ("_text_score", "_declared", "_host"))
     base = scored(rows.withColumn(tag, subtag(declared)).withColumn(at, F.lower(host)), model, text_col, text, temper)
-    label = F.when(F.col(text)["n"] > 0, best(F.col(text)["score"], languages))
-    seen = base.select(F.col(at).alias("host"), F.col(tag).alias("declared"), label.alias("label")).where("label is not null").groupBy("host", "declared", "label").agg(F.count("*").alias("n"))
+    noise = F.col(text)["n"] * (UNIFORM * temper)  # log likelihood of the background
+    label = F.when((F.col(text)["n"] > 0) & (F.array_max(F.col(text)["score"]) >= noise), best(F.col(text)["score"], languages))
+    compared = F.col(tag).isNull() | F.col(tag).isin(languages)
+    seen = base.where(compared).select(F.col(at).alias("host"), F.col(tag).alias("declared"), label.alias("label")).where("label is not null").groupBy("host", "declared", "label").agg(F.count("*").alias("n"))
     # The counts are read three times, the texts behind them once: cut here (reliable checkpoint in the shared folder).
     spark = rows.sparkSession
     spark.sparkContext.setCheckpointDir(shared_dir(spark))
@@ -152,17 +160,23 @@ def identify(rows: DataFrame, *, text_col: str, declared: Column, host: Column,
     prior = fresh_name(rows, "_prior")
     out = base.join(known.select(F.col("host").alias(at), F.col("prior").alias(prior)), at, "left")
     by_host = F.coalesce(F.col(prior), F.array(*[F.lit(x) for x in priors["all"]]))
-    tags = [(d, confusion[d]) for d in languages]
-    zero = F.array(*[F.lit(0.0)] * len(languages))
-    by_tag = F.coalesce(*[F.when(F.col(tag) == d, F.array(*[F.lit(x) for x in row])) for d, row in tags], zero)
+    given = fresh_name(rows, "_given")
+    tags = spark.createDataFrame([(d, confusion[d]) for d in languages], f"`{tag}` string, `{given}` array<double>")
+    out = out.join(F.broadcast(tags), tag, "left")
+    by_tag = F.coalesce(F.col(given), F.array_repeat(F.lit(0.0), len(languages)))
     total = F.transform(F.arrays_zip(F.col(text)["score"].alias("t"), by_host.alias("h"), by_tag.alias("d")), lambda x: x["t"].cast("double") + x["h"] + x["d"])
     score = fresh_name(rows, "_score")
     out = out.withColumn(score, total)
     s = F.col(score)
-    top = F.array_max(s)
-    probability = 1 / F.aggregate(s, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
-    made = F.struct(best(s, languages).alias("language"), probability.alias("probability"), F.coalesce(best(F.col(text)["score"], languages), F.lit("und")).alias("text_language"),
-                    ((F.col(text)["n"] > 0) & (probability >= min_probability)).alias("accepted"))
+    other = noise + math.log(background) - F.when(F.col(tag).isNull(), 0.0).otherwise(math.log(len(languages)))
+    likeliest = F.array_max(s)
+    top = F.greatest(likeliest, other)
+    probability = F.exp(likeliest - top) / (F.aggregate(s, F.lit(0.0), lambda acc, x: acc + F.exp(x - top)) + F.exp(other - top))
+    # A language that the row does not declare itself must explain the text better than the background does.
+    backed = F.element_at(F.col(text)["score"], F.array_position(s, likeliest).cast("int")) >= noise
+    judged = compared & (likeliest >= other) & (backed | F.coalesce(F.col(tag) == best(s, languages), F.lit(False)))
+    made = F.struct(F.when(judged, best(s, languages)).otherwise("und").alias("language"), probability.alias("probability"), F.coalesce(best(F.col(text)["score"], languages), F.lit("und")).alias("text_language"),
+                    ((F.col(text)["n"] > 0) & judged & (probability >= min_probability)).alias("accepted"))
     return out.withColumn(into, made).select(*[F.col(f"`{c}`") for c in rows.columns], into)
 
 
@@ -186,8 +200,8 @@ def log_priors(seen: DataFrame, languages: list[str], weight: float) -> dict:
     p_all = [x / sum(n) for x in n]
 
     def smoothed(frame: DataFrame, above: list[Column], name: str) -> DataFrame:
-        rows = sum((F.col(c) for c in cols), F.lit(0.0))
-        return frame.withColumn(name, F.array(*[(F.col(c) + weight * a) / (rows + weight) for c, a in zip(cols, above, strict=True)]))
+        frame = frame.withColumn("rows", F.aggregate(F.array(*cols), F.lit(0.0), lambda acc, x: acc + x))
+        return frame.withColumn(name, F.array(*[(F.col(c) + weight * a) / (F.col("rows") + weight) for c, a in zip(cols, above, strict=True)]))
 
     suffixes = smoothed(hosts.groupBy("suffix").agg(*sums), [F.lit(p) for p in p_all], "p_suffix").select("suffix", "p_suffix")
     domains = hosts.groupBy("suffix", "domain").agg(*sums).join(suffixes, "suffix")

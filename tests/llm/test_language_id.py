@@ -71,3 +71,19 @@ def test_pages_against_the_language_in_their_path(spark):
     assert len(rows) == 250
     right = [r.language == re.search(r"//[^/]+/(\w+)/", r.url)[1] for r in rows]
     assert sum(right) >= 0.99 * len(rows) and sum(r.accepted for r in rows) >= 0.99 * len(rows)
+
+
+def test_rare_undeclared_and_unmodelled_languages(spark):
+    words = {"en": "the house and this thing of that which was there", "de": "das haus und dieses ding von dem was dort nicht", "cy": "mae llyfrgell gymraeg yng nghaerdydd wrth ymyl"}
+    spoken = lambda language, k: " ".join(words[language].split()[k % 4:]) + " " + words[language]
+    rows = [(k, spoken(("en", "de")[k % 2], k), ("en", "de")[k % 2]) for k in range(250_000)]
+    rows += [(300_000 + k, spoken("cy", k), "cy") for k in range(22)] + [(400_000, spoken("cy", 1), "xx"), (400_001, spoken("en", 1), "xx"), (400_002, spoken("en", 1), None)]
+    rows += [(500_000, "qzx vkj wqp xxj zzv jqk pvw kzq xqv wjz vvx qqj zkw jxp wvk bqz", "en"), (500_001, "gwj zrlx hdwq ykvp oqbz nxjf cmqg uvzk bhxw tqpd", None)]
+    df = spark.createDataFrame(rows, "id int, text string, lang string").repartition(8)
+    out = x.identify(df, text_col="text", declared=F.col("lang"), host=F.lit("h.org"), into="l")
+    got = {r.id: r.l for r in out.where("id >= 300000").collect()}
+    assert all((got[300_000 + k].language, got[300_000 + k].accepted) == ("cy", True) for k in range(22))  # under 1e-4 of the rows
+    for k in (400_000, 400_001, 500_000, 500_001):
+        assert (got[k].language, got[k].accepted) == ("und", False), k
+    assert (got[400_002].language, got[400_002].accepted) == ("en", True)
+    assert out.where("id < 300000 and not (l.accepted and l.language = lang)").count() == 0
