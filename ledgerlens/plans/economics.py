@@ -28,11 +28,12 @@ def _costs(tables: Tables, table: str, tf: Timeframe, name: str) -> DataFrame:
 
 def hourly_fees(tables: Tables, as_of) -> DataFrame:
     """Rollup of transactions to at most two rows per hour: ``hour, priced_gas`` (gas price > 0), ``rev_wei``,
-    ``l1_wei``, ``l2_wei``. Fees are additive, so every hour-aligned economics series can read it instead of the
+    ``l1_wei``, ``l2_wei``, ``transactions``. Fees are additive, so every hour-aligned economics series can read it instead of the
     transactions."""
     tx = tables.as_of(as_datetime(as_of))[TX]
     return tx.groupBy(period_start("block_timestamp", "hour").alias("hour"), (F.col("receipt_effective_gas_price") > 0).alias("priced_gas")).agg(
-        F.sum(fee_wei()).alias("rev_wei"), F.sum("receipt_l1_fee").alias("l1_wei"), F.sum(l2_fee_wei()).alias("l2_wei")
+        F.sum(fee_wei()).alias("rev_wei"), F.sum("receipt_l1_fee").alias("l1_wei"), F.sum(l2_fee_wei()).alias("l2_wei"),
+        F.count(F.lit(1)).alias("transactions"),
     )
 
 

@@ -1,14 +1,16 @@
 """Stored rollups: day-partitioned tables that dashboards read instead of the whole transaction history.
 
 ``daily_activity`` (day, sender, transactions) serves the all-history user charts, ``hourly_fees`` the economics series. A
-refresh writes the closed days since the last stored one, and writes the last ``late_days`` of those again, as rows may
-arrive late; only those days' partitions of the transactions are read. Reading adds the open day from the transactions, so
-a rollup equals the direct aggregate at any clock.
+refresh writes the closed days whose number of transactions differs from the stored one: new days, and days for which rows
+arrived however late (rows arrive, they are not taken away). It reads the time column of all transactions to count them,
+and all columns of those days' partitions only. The last ``late_days`` stored days are always written again. Reading adds
+the open day from the transactions, so a rollup equals the direct aggregate at any clock.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +21,7 @@ from ..timeframe import Timeframe, as_datetime, ntz, truncate
 from . import economics, users
 
 TX = "transactions"
-# Rollup name -> (aggregate of the transactions at a clock, its time column).
+# Rollup name -> (aggregate of the transactions at a clock, its time column). Each has a count ``transactions``.
 ROLLUPS = {"daily_activity": (users.daily_activity, "day"), "hourly_fees": (economics.hourly_fees, "hour")}
 
 
@@ -42,6 +44,24 @@ def _rows(tables: Tables, name: str, as_of: dt.datetime, since: dt.datetime | No
     return ROLLUPS[name][0](tables.with_tables(**{TX: tx}), as_of)
 
 
+def _changed_days(stored: DataFrame, tables: Tables, as_of: dt.datetime, closed: dt.datetime) -> list[dt.date]:
+    """Closed days whose number of transactions is not the stored one; one row a day reaches the driver at most."""
+    tx = tables.as_of(as_of).window(None, closed)[TX].filter(F.col("block_timestamp") < ntz(closed))
+    now = tx.groupBy(F.to_date("block_timestamp").alias("block_date")).agg(F.count(F.lit(1)).alias("n"))
+    was = stored.groupBy("block_date").agg(F.sum("transactions").alias("was"))
+    return [r["block_date"] for r in now.join(was, "block_date", "left").filter(~F.col("n").eqNullSafe(F.col("was"))).select("block_date").collect()]
+
+
+def _runs(days: set[dt.date], most: int = 32) -> list[tuple[dt.datetime, dt.datetime]]:
+    """Runs of neighbouring days as (start, end); one run over all days if there are more than ``most``."""
+    out: list[tuple[dt.datetime, dt.datetime]] = []
+    for day in sorted(days):
+        start = as_datetime(day)
+        begin = out.pop()[0] if out and out[-1][1] == start else start
+        out.append((begin, start + dt.timedelta(days=1)))
+    return out if len(out) <= most else [(out[0][0], out[-1][1])]
+
+
 def refresh(spark: SparkSession, tables: Tables, root: str, as_of=None, names: tuple[str, ...] = tuple(ROLLUPS), late_days: int = 3) -> None:
     """Bring the stored rollups up to the start of the day of ``as_of``."""
     as_of = as_datetime(as_of)
@@ -49,9 +69,16 @@ def refresh(spark: SparkSession, tables: Tables, root: str, as_of=None, names: t
     for name in names:
         path = f"{root.rstrip('/')}/{name}"
         stored = _stored(spark, path)
-        last = stored.agg(F.max("block_date").alias("d")).first()["d"] if stored is not None else None
-        since = as_datetime(last) - dt.timedelta(days=late_days) if last else None
-        rows = _rows(tables, name, as_of, since, closed).withColumn("block_date", F.to_date(ROLLUPS[name][1]))
+        if stored is None or "transactions" not in stored.columns:
+            rows = _rows(tables, name, as_of, None, closed)
+        else:
+            last = stored.agg(F.max("block_date").alias("d")).first()["d"]
+            again = [last - dt.timedelta(days=k) for k in range(late_days + 1)] if last else []
+            days = {d for d in again if as_datetime(d) < closed} | set(_changed_days(stored, tables, as_of, closed))
+            if not days:
+                continue
+            rows = reduce(DataFrame.unionByName, [_rows(tables, name, as_of, since, until) for since, until in _runs(days)])
+        rows = rows.withColumn("block_date", F.to_date(ROLLUPS[name][1]))
         rows.repartition("block_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("block_date").parquet(path)
 
 

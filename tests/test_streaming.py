@@ -91,3 +91,32 @@ def test_rollups_append_closed_days_and_take_late_rows(spark, tmp_path):
         chart = users.retention_chart(everything, at, "week", rollups.read(spark, everything, root, "daily_activity", at))
         assert chart.collect() == users.retention_chart(everything, at, "week").collect()
     tx.unpersist()
+
+
+def test_rollups_take_rows_that_are_ten_and_thirty_days_late(spark, tmp_path):
+    import datetime as dt
+
+    from ledgerlens.plans import rollups
+    from ledgerlens.sources.schemas import SCHEMAS
+
+    clock = dt.datetime(1996, 5, 20, 7)
+    fees = ("receipt_effective_gas_price", "receipt_gas_used", "receipt_l1_fee")
+    schema = SCHEMAS["transactions"]
+    times = [dt.datetime(1996, 5, 20, 5) - dt.timedelta(days=k % 40, hours=k % 3) for k in range(160)]
+    made = spark.createDataFrame([(t, f"0x{k % 7}") for k, t in enumerate(times)], "t timestamp_ntz, a string")
+    value = {"block_timestamp": "t", "from_address": "a"}
+    tx = made.selectExpr(*[f"cast({value.get(f.name, '7' if f.name in fees else 'null')} as {f.dataType.simpleString()}) as {f.name}" for f in schema.fields]).cache()
+    late = [f"(to_date(block_timestamp) = date '{x}' and {rows})" for x, rows in (("1996-05-09", "from_address < '0x4'"), ("1996-04-20", "true"))]
+    before, after = Tables({"transactions": tx.filter(f"not ({' or '.join(late)})")}), Tables({"transactions": tx})
+    assert all(tx.filter(x).count() for x in late)
+    rollups.refresh(spark, before, str(tmp_path), clock)
+    rollups.refresh(spark, after, str(tmp_path), clock)
+    for name, (direct, _) in rollups.ROLLUPS.items():
+        got, want = rollups.read(spark, after, str(tmp_path), name, clock), direct(after, clock)
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0, name
+    stored = spark.read.parquet(f"{tmp_path}/hourly_fees")
+    assert rollups._changed_days(stored, after, clock, dt.datetime(1996, 5, 20)) == []
+    days = {dt.date(2024, 1, 1), dt.date(2024, 1, 2), dt.date(2024, 2, 1)}
+    assert rollups._runs(days) == [(dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 3)), (dt.datetime(2024, 2, 1), dt.datetime(2024, 2, 2))]
+    assert rollups._runs(days, most=1) == [(dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 2))]
+    tx.unpersist()
