@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -76,20 +77,22 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a scratch folder only where it is unset (tests)."""
+    """The folder all executors share (``spark.checkpoint.dir``); a scratch folder only for a local session without it (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="llm-", dir=os.environ.get("TMPDIR", "/tmp"))
     return _OWN[app]
 
 
-def written(spark: SparkSession, df: DataFrame, name: str, *, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def written(spark: SparkSession, df: DataFrame, name: str, *, partition_by: tuple[str, ...] = (), rows_per_file: int = 0) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.partitionBy(*partition_by).option("maxRecordsPerFile", rows_per_file).parquet(path)
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, language_id, ngram_join, pii, quality_rules, sentencepiece_codec, suffix_dedup, token_files, toxicity
+from . import decontaminate, filter_audit, html_extract, language_id, ngram_join, pii, quality_rules, ranked_search, sentencepiece_codec, suffix_dedup, token_files, toxicity, url_rules
 from .common import sha256_hex, shared_dir, table, written
 
 
@@ -162,6 +162,109 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(pages, into="m").select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
 
 
+# The entries of the URL query as (host, path, verdict).
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, url = table(spark, sf_dir, "pages").select("page_id", "url"), F.col("url")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_rules.judge(pages, rules, url, into="j").select("page_id", url_rules.host(url).alias("host"), url_rules.path(url).alias("path"), "j.rule", "j.verdict")
+
+
+# Every fitting entry by a comparison of texts, the longest one first.
+OP11_SQL = r"""
+WITH rules AS (
+  SELECT * FROM (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')) t(h, p, verdict)
+), after AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM after
+), fits AS (
+  SELECT page_id, h || p AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(h) + length(p) DESC, length(h) DESC) AS k
+  FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (page_id)
+"""
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+# The filters applied row by row in every order: a row is removed at the first step whose filter it fails.
+OP12_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents
+), judged AS (
+  SELECT doc_id, part, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+         100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+         coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e
+  FROM texts
+), marks AS (
+  SELECT doc_id AS label_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id
+), failed AS (
+  SELECT part, concat(CASE WHEN len(w) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' END, CASE WHEN c THEN 'C' END,
+                      CASE WHEN d THEN 'D' END, CASE WHEN e THEN 'E' END) AS fails, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM judged LEFT JOIN marks ON doc_id = label_id
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a JOIN letters b ON b.x <> a.x JOIN letters c ON c.x NOT IN (a.x, b.x)
+  JOIN letters d ON d.x NOT IN (a.x, b.x, c.x) JOIN letters e ON e.x NOT IN (a.x, b.x, c.x, d.x)
+), sets AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY part, fails
+), firsts AS (
+  SELECT part, filter_order, fails, n, good, toxic, nullif(least(CASE WHEN contains(fails, 'A') THEN strpos(filter_order, 'A') ELSE 9 END,
+         CASE WHEN contains(fails, 'B') THEN strpos(filter_order, 'B') ELSE 9 END, CASE WHEN contains(fails, 'C') THEN strpos(filter_order, 'C') ELSE 9 END,
+         CASE WHEN contains(fails, 'D') THEN strpos(filter_order, 'D') ELSE 9 END, CASE WHEN contains(fails, 'E') THEN strpos(filter_order, 'E') ELSE 9 END), 9) AS first_step
+  FROM sets JOIN orders ON true
+), steps AS (
+  SELECT part, filter_order, step, substr(filter_order, step, 1) AS letter,
+         sum(CASE WHEN first_step IS NULL OR first_step > step THEN n ELSE 0 END) AS kept, sum(CASE WHEN first_step = step THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN first_step < step AND contains(fails, substr(filter_order, step, 1)) THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN fails = substr(filter_order, step, 1) THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN first_step = step THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN first_step = step THEN toxic ELSE 0 END) AS toxic_lost
+  FROM firsts JOIN (SELECT unnest(range(1, 6)) AS step) ON true GROUP BY part, filter_order, step
+)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM steps
+"""
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(ranked_search.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+# Every document's score for every item, from one row per document and term.
+OP13_SQL = r"""
+WITH doc_terms AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), sizes AS (
+  SELECT doc_id, len(w) AS n FROM doc_terms WHERE len(w) > 0
+), totals AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes
+), postings AS (
+  SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM doc_terms) GROUP BY doc_id, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM postings JOIN totals ON true GROUP BY term, docs
+), asked AS (
+  SELECT item_id, term, count(*) AS q FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+  ) GROUP BY item_id, term
+), scores AS (
+  SELECT item_id, doc_id, CAST(sum(q * weight * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * docs) // terms))))) AS BIGINT) AS score
+  FROM asked JOIN postings USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id) JOIN totals ON true GROUP BY item_id, doc_id
+), ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -173,10 +276,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_html_extraction": op10_html_extraction,
+    "op11_url_filters": op11_url_filters,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_benchmark_decontamination": OP2_SQL,
     "op5_ngram_jaccard_join": OP5_SQL,
     "op7_suffix_dedup": OP7_SQL,
+    "op11_url_filters": OP11_SQL,
+    "op12_filter_audit": OP12_SQL,
+    "op13_ranked_search": OP13_SQL,
 }
