@@ -1,10 +1,9 @@
 """Sparse document-term matrix: words encoded by a dictionary over all documents, rows in compressed (CSR) shards.
 
 A shard holds the rows of about ``shard_bytes`` bytes of text that one task read one after another (a longer text is a shard of its
-own). The first pass codes a shard's words by the shard's own vocabulary and stores it; Spark then makes the
-dictionary from the distinct words of all vocabularies, joins it to them by word, and gives each shard the list of its words'
-global ids. So what is shuffled by word is one row per word and shard, never one per occurrence, and no vocabulary has to fit
-in one place but a shard's.
+own). The first pass codes a shard's words by the shard's own vocabulary and stores it. Spark then brings the equal words of all
+vocabularies together, numbers them (the dictionary), and takes the numbers back to each shard, whose codes become global ids. So what is
+shuffled by word is one row per word and shard, never one per occurrence, and no vocabulary has to fit in one place but a shard's.
 
 Null texts count as empty: their rows of the matrix are empty. Repeated rows, null keys and all other columns are kept
 as they are. An empty table has no shards and an empty dictionary.
@@ -12,10 +11,12 @@ as they are. An empty table has no shards and an empty dictionary.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 
 from .common import BATCH_ROWS, fresh_name, small_batches, written
 
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 32 << 20
 #: Rows of a shard at most, for tables of very short texts.
 SHARD_ROWS = 50_000
 
@@ -32,13 +33,13 @@ class Shard:
     """Rows coded by a vocabulary of their own."""
 
     def __init__(self) -> None:
-        self.codes: dict[bytes, int] = {}
+        self.codes: defaultdict[bytes, int] = defaultdict()
+        self.codes.default_factory = self.codes.__len__  # a new word gets the next code
         self.words: list[np.ndarray] = []
         self.size = 0
 
     def add(self, words: list[bytes]) -> None:
-        codes = self.codes
-        self.words.append(np.fromiter((codes.setdefault(w, len(codes)) for w in words), np.int64, len(words)))
+        self.words.append(np.fromiter(map(self.codes.__getitem__, words), np.int32, len(words)))
 
     def csr(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start of each row, columns of its entries in ascending order, their counts)."""
@@ -46,7 +47,7 @@ class Shard:
         wide = max(1, len(self.codes))
         cells, counts = np.unique(rows * wide + np.concatenate(self.words) if self.words else np.zeros(0, np.int64), return_counts=True)
         starts = np.searchsorted(cells, np.arange(len(self.words) + 1) * wide)
-        return starts.astype(np.int32), (cells % wide).astype(np.int32), counts.astype(np.int32)
+        return starts.astype(np.int32), *(x.astype(np.min_scalar_type(int(x.max(initial=0)))) for x in (cells % wide, counts))
 
 
 def _blob(values: np.ndarray) -> pa.Array:
@@ -100,45 +101,57 @@ def _shards(df: DataFrame, text_col: str, words: Callable[[bytes], list[bytes]],
     return rows.mapInArrow(run, schema)
 
 
-def dictionary(words: DataFrame) -> DataFrame:
-    """(word, id) of the distinct non-null values of column ``word``: dense ids from 0, stored so that they stay."""
-    spark = words.sparkSession
-    distinct = words.where("word is not null").select("word").distinct()
-    numbered = written(spark, distinct.select("word", F.spark_partition_id().alias("part"), (F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).alias("k")), "dictionary")
-    # One count per partition comes to the driver.
-    base, starts = 0, []
-    for part, n in sorted(tuple(r) for r in numbered.groupBy("part").count().collect()):
-        starts.append((part, base))
-        base += n
-    offsets = F.broadcast(spark.createDataFrame(starts, "part int, base long"))
-    return numbered.join(offsets, "part").select("word", (F.col("base") + F.col("k")).alias("id"))
+def _numbered(coded: DataFrame) -> DataFrame:
+    """(shard, code, id, word where it is the id's first row) of (shard, code, word): rows of a word lie together in one sorted partition, and get its number there."""
+    schema = T.StructType([coded.schema["shard"], coded.schema["code"], T.StructField("id", T.LongType()), T.StructField("word", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, last = (TaskContext.get().partitionId() << 33) - 1, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words = batch.column("word")
+            first = np.ones(len(words), bool)
+            first[1:] = np.asarray(pc.not_equal(words[1:], words[:-1]))
+            first[0] = words[0].as_py() != last
+            ids = number + np.cumsum(first)
+            number, last = int(ids[-1]), words[-1].as_py()
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("code"), pa.array(ids), pc.if_else(pa.array(first), words, pa.scalar(None, words.type))], names=schema.names)
+
+    return coded.repartition("word").sortWithinPartitions("word").select("shard", "code", "word").mapInArrow(run, schema)
+
+
+def _whole(blob: bytes, n: int) -> np.ndarray:
+    """``n`` unsigned numbers of equal width."""
+    return np.frombuffer(blob, f"<u{len(blob) // n}" if n else "<u1")
 
 
 def build(df: DataFrame, text_col: str, words: Callable[[bytes], list[bytes]] = bytes.split, *, derive: Callable[[bytes], tuple] = lambda text: (len(text),),
-          derived: T.StructType | None = None, shard_bytes: int = SHARD_BYTES, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, DataFrame]:
-    """The matrix and its dictionary (word as bytes, id).
+          derived: T.StructType | None = None, keep_words: bool = True, shard_bytes: int = SHARD_BYTES, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """The matrix and its dictionary (word as bytes, id: distinct, not without gaps); without ``keep_words`` the dictionary is None and not stored.
 
     The matrix has a row per shard: ``rows`` (the other columns of ``df`` and the values that ``derive`` makes of a text, their
     types in ``derived``; its number of bytes if not given), and as little-endian bytes ``starts`` (int32, one more than rows), ``ids`` (int64, the
-    words of each row in no certain order) and ``counts`` (int32).
+    words of each row in no certain order) and ``counts`` (unsigned, as wide as needed).
     """
     derived = derived or T.StructType([T.StructField(fresh_name(df, "n_bytes"), T.LongType())])
-    local = written(df.sparkSession, _shards(df, text_col, words, derive, derived, shard_bytes, shard_rows), "shards", rows_per_file=4)
-    coded = local.select("shard", F.posexplode("vocabulary").alias("code", "word"))
-    ids = dictionary(coded)
-    known = coded.join(ids, "word").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("code", "id")))["id"].alias("known"))
-    met = local.select("shard", "rows", "starts", "codes", "counts").join(known, "shard", "left")
-    schema = T.StructType([local.schema["shard"], local.schema["rows"], T.StructField("starts", T.BinaryType()), T.StructField("ids", T.BinaryType()), T.StructField("counts", T.BinaryType())])
-
-    def translated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                table = np.asarray(row.column("known")[0].values if row.column("known")[0].is_valid else [], np.int64)
-                codes = np.frombuffer(row.column("codes")[0].as_py(), np.int32)
-                yield pa.RecordBatch.from_arrays([row.column("shard"), row.column("rows"), row.column("starts"), _blob(table[codes]), row.column("counts")], names=schema.names)
+    local = written(df.sparkSession, _shards(df, text_col, words, derive, derived, shard_bytes, shard_rows), "shards", rows_per_file=2)
+    numbered = _numbered(local.select("shard", F.posexplode("vocabulary").alias("code", "word")))
+    if keep_words:
+        numbered = written(df.sparkSession, numbered, "dictionary")
+    schema = T.StructType([local.schema["shard"], local.schema["rows"], *[T.StructField(c, T.BinaryType()) for c in ("starts", "ids", "counts")]])
+
+    def translated(known: pa.Table, shard: pa.Table) -> pa.Table:
+        """One shard: its vocabulary's ids, and itself."""
+        table = np.empty(known.num_rows, np.int64)
+        table[np.asarray(known.column("code"))] = np.asarray(known.column("id"))
+        n = int(np.frombuffer(shard.column("starts")[0].as_py(), np.int32)[-1])
+        ids = _blob(table[_whole(shard.column("codes")[0].as_py(), n)])
+        return pa.table([shard.column("shard"), shard.column("rows"), shard.column("starts"), ids, shard.column("counts")], names=schema.names)
 
-    return met.mapInArrow(translated, schema), ids
+    blobs = local.select("shard", "rows", "starts", "codes", "counts")
+    matrix = numbered.select("shard", "code", "id").groupBy("shard").cogroup(blobs.groupBy("shard")).applyInArrow(translated, schema)
+    return matrix, numbered.where("word is not null").select("word", "id") if keep_words else None
 
 
 def row_statistics(matrix: DataFrame, *, total: str = "n_words", distinct: str = "n_distinct") -> DataFrame:
@@ -149,11 +162,9 @@ def row_statistics(matrix: DataFrame, *, total: str = "n_words", distinct: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                starts, counts = (np.frombuffer(batch.column(c)[k].as_py(), np.int32).astype(np.int64) for c in ("starts", "counts"))
-                ids = np.frombuffer(batch.column("ids")[k].as_py(), np.int64)
-                if len(ids) != starts[-1]:
-                    raise ValueError("a shard has entries without an id")
-                sums = np.concatenate([[0], np.cumsum(counts)])[starts]
+                starts = np.frombuffer(batch.column("starts")[k].as_py(), np.int32).astype(np.int64)
+                counts = _whole(batch.column("counts")[k].as_py(), int(starts[-1]))
+                sums = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[starts]
                 rows = batch.column("rows")[k].values
                 made = pa.RecordBatch.from_arrays([*rows.flatten(), pa.array(np.diff(sums)), pa.array(np.diff(starts))], names=schema.names)
                 for at in range(0, made.num_rows, BATCH_ROWS):
