@@ -45,8 +45,7 @@ def _bit(letter: str) -> int:
 def flags(docs: DataFrame, *, key: str = "doc_id", text_col: str = "text", part: str = "lang") -> DataFrame:
     """(key, part, digest of the text, fails: bits of the filters A to D) per row, through the document-term matrix."""
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{part}`").cast("string"), F.lit("")).alias("part"), F.col(f"`{text_col}`").alias("_text"))
-    matrix, _ = term_matrix.build(rows, "_text", derive=_derive, derived=_DERIVED, keep_words=False)
-    s = term_matrix.row_statistics(matrix)
+    s = term_matrix.Matrix(rows, "_text", derive=_derive, derived=_DERIVED, keep_words=False).row_statistics()
     fails = (F.when(F.col("n_words") < MIN_WORDS, _bit("A")).otherwise(0) + F.when(100 * F.col("n_distinct") < DISTINCT_PCT * F.col("n_words"), _bit("B")).otherwise(0)
              + F.when(F.col("_capitals"), _bit("C")).otherwise(0) + F.when(F.col("_symbols"), _bit("D")).otherwise(0))
     return s.select("key", "part", F.col("_digest").alias("digest"), fails.alias("fails"))

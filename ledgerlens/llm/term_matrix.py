@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BATCH_ROWS, fresh_name, small_batches, written
+from .common import fresh_name, small_batches, written
 
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 #: Rows of a shard at most, for tables of very short texts.
 SHARD_ROWS = 50_000
 
@@ -47,7 +47,7 @@ class Shard:
         wide = max(1, len(self.codes))
         cells, counts = np.unique(rows * wide + np.concatenate(self.words) if self.words else np.zeros(0, np.int64), return_counts=True)
         starts = np.searchsorted(cells, np.arange(len(self.words) + 1) * wide)
-        return starts.astype(np.int32), *(x.astype(np.min_scalar_type(int(x.max(initial=0)))) for x in (cells % wide, counts))
+        return starts.astype(np.int32), cells % wide, counts
 
 
 def _blob(values: np.ndarray) -> pa.Array:
@@ -72,8 +72,9 @@ def _shards(df: DataFrame, text_col: str, words: Callable[[bytes], list[bytes]],
             nonlocal number, shard, held, made
             structs = pa.concat_arrays([pa.StructArray.from_arrays([*b.columns, *[pa.array(c) for c in zip(*m, strict=True)]], names=[*b.schema.names, *derived.names]) for b, m in zip(held, made, strict=True)])
             vocabulary = pa.array(list(shard.codes), pa.binary())
+            starts, codes, counts = shard.csr()
             lists = [pa.ListArray.from_arrays([0, len(x)], x) for x in (structs, vocabulary)]
-            out = pa.RecordBatch.from_arrays([pa.array([part + number], pa.int64()), *lists, *map(_blob, shard.csr())], names=schema.names)
+            out = pa.RecordBatch.from_arrays([pa.array([part + number], pa.int64()), *lists, _blob(starts), _packed(codes), _packed(counts)], names=schema.names)
             number, shard, held, made = number + 1, Shard(), [], []
             return out
 
@@ -121,53 +122,63 @@ def _numbered(coded: DataFrame) -> DataFrame:
     return coded.repartition("word").sortWithinPartitions("word").select("shard", "code", "word").mapInArrow(run, schema)
 
 
-def _whole(blob: bytes, n: int) -> np.ndarray:
-    """``n`` unsigned numbers of equal width."""
-    return np.frombuffer(blob, f"<u{len(blob) // n}" if n else "<u1")
+def _packed(values: np.ndarray) -> pa.Array:
+    """Non-negative numbers as compressed differences, after a byte that tells their width."""
+    narrow = values.astype(np.min_scalar_type(int(values.max(initial=0))))
+    steps = np.diff(narrow, prepend=narrow.dtype.type(0))
+    return pa.array([bytes([narrow.itemsize]) + pa.compress(steps.tobytes(), codec="zstd", asbytes=True)], pa.binary())
 
 
-def build(df: DataFrame, text_col: str, words: Callable[[bytes], list[bytes]] = bytes.split, *, derive: Callable[[bytes], tuple] = lambda text: (len(text),),
-          derived: T.StructType | None = None, keep_words: bool = True, shard_bytes: int = SHARD_BYTES, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, DataFrame | None]:
-    """The matrix and its dictionary (word as bytes, id: distinct, not without gaps); without ``keep_words`` the dictionary is None and not stored.
+def _unpacked(blob: bytes, n: int) -> np.ndarray:
+    steps = np.frombuffer(pa.decompress(blob[1:], decompressed_size=n * blob[0], codec="zstd", asbytes=True), f"<u{blob[0]}")
+    return np.cumsum(steps, dtype=steps.dtype)
 
-    The matrix has a row per shard: ``rows`` (the other columns of ``df`` and the values that ``derive`` makes of a text, their
-    types in ``derived``; its number of bytes if not given), and as little-endian bytes ``starts`` (int32, one more than rows), ``ids`` (int64, the
-    words of each row in no certain order) and ``counts`` (unsigned, as wide as needed).
+
+class Matrix:
+    """A document-term matrix over the rows of ``df``, in shards.
+
+    ``rows`` of a shard has the other columns of ``df`` and the values that ``derive`` makes of a text (their types in ``derived``; its
+    number of bytes if not given).
     """
-    derived = derived or T.StructType([T.StructField(fresh_name(df, "n_bytes"), T.LongType())])
-    local = written(df.sparkSession, _shards(df, text_col, words, derive, derived, shard_bytes, shard_rows), "shards", rows_per_file=2)
-    numbered = _numbered(local.select("shard", F.posexplode("vocabulary").alias("code", "word")))
-    if keep_words:
-        numbered = written(df.sparkSession, numbered, "dictionary")
-    schema = T.StructType([local.schema["shard"], local.schema["rows"], *[T.StructField(c, T.BinaryType()) for c in ("starts", "ids", "counts")]])
-
-    def translated(known: pa.Table, shard: pa.Table) -> pa.Table:
-        """One shard: its vocabulary's ids, and itself."""
-        table = np.empty(known.num_rows, np.int64)
-        table[np.asarray(known.column("code"))] = np.asarray(known.column("id"))
-        n = int(np.frombuffer(shard.column("starts")[0].as_py(), np.int32)[-1])
-        ids = _blob(table[_whole(shard.column("codes")[0].as_py(), n)])
-        return pa.table([shard.column("shard"), shard.column("rows"), shard.column("starts"), ids, shard.column("counts")], names=schema.names)
-
-    blobs = local.select("shard", "rows", "starts", "codes", "counts")
-    matrix = numbered.select("shard", "code", "id").groupBy("shard").cogroup(blobs.groupBy("shard")).applyInArrow(translated, schema)
-    return matrix, numbered.where("word is not null").select("word", "id") if keep_words else None
-
-
-def row_statistics(matrix: DataFrame, *, total: str = "n_words", distinct: str = "n_distinct") -> DataFrame:
-    """A row per row of the matrix: its columns, the sum of its counts and the number of its entries."""
-    row = matrix.schema["rows"].dataType.elementType
-    schema = T.StructType([*row.fields, T.StructField(total, T.LongType()), T.StructField(distinct, T.LongType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                starts = np.frombuffer(batch.column("starts")[k].as_py(), np.int32).astype(np.int64)
-                counts = _whole(batch.column("counts")[k].as_py(), int(starts[-1]))
-                sums = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[starts]
-                rows = batch.column("rows")[k].values
-                made = pa.RecordBatch.from_arrays([*rows.flatten(), pa.array(np.diff(sums)), pa.array(np.diff(starts))], names=schema.names)
-                for at in range(0, made.num_rows, BATCH_ROWS):
-                    yield made.slice(at, BATCH_ROWS)
-
-    return matrix.mapInArrow(run, schema)
+    def __init__(self, df: DataFrame, text_col: str, words: Callable[[bytes], list[bytes]] = bytes.split, *, derive: Callable[[bytes], tuple] = lambda text: (len(text),),
+                 derived: T.StructType | None = None, keep_words: bool = True, shard_bytes: int = SHARD_BYTES, shard_rows: int = SHARD_ROWS) -> None:
+        derived = derived or T.StructType([T.StructField(fresh_name(df, "n_bytes"), T.LongType())])
+        self._local = written(df.sparkSession, _shards(df, text_col, words, derive, derived, shard_bytes, shard_rows), "shards", rows_per_file=2)
+        self._numbered = _numbered(self._local.select("shard", F.posexplode("vocabulary").alias("code", "word")))
+        #: (word as bytes, id) of all words, ids distinct but not without gaps; stored, or None without ``keep_words``.
+        self.dictionary = None
+        if keep_words:
+            self._numbered = written(df.sparkSession, self._numbered, "dictionary")
+            self.dictionary = self._numbered.where("word is not null").select("word", "id")
+
+    def _finished(self, finish: Callable[[pa.Table, np.ndarray, np.ndarray, np.ndarray], pa.Table], schema: T.StructType) -> DataFrame:
+        """Each shard with its global ids through ``finish`` (shard, starts, ids, counts), in one task."""
+
+        def translated(known: pa.Table, shard: pa.Table) -> pa.Table:
+            table = np.empty(known.num_rows, np.int64)
+            table[np.asarray(known.column("code"))] = np.asarray(known.column("id"))
+            starts = np.frombuffer(shard.column("starts")[0].as_py(), np.int32).astype(np.int64)
+            codes, counts = (_unpacked(shard.column(c)[0].as_py(), int(starts[-1])) for c in ("codes", "counts"))
+            return finish(shard, starts, table[codes], counts)
+
+        blobs = self._local.select("shard", "rows", "starts", "codes", "counts")
+        return self._numbered.select("shard", "code", "id").groupBy("shard").cogroup(blobs.groupBy("shard")).applyInArrow(translated, schema)
+
+    def shards(self) -> DataFrame:
+        """A row per shard: ``rows``, and as little-endian bytes ``starts`` (int64, one more than rows), ``ids`` (int64, the words of each row
+        in no certain order) and ``counts`` (int64)."""
+        schema = T.StructType([self._local.schema["shard"], self._local.schema["rows"], *[T.StructField(c, T.BinaryType()) for c in ("starts", "ids", "counts")]])
+        return self._finished(lambda shard, *csr: pa.table([shard.column("shard"), shard.column("rows"), *[_blob(x.astype(np.int64)) for x in csr]], names=schema.names), schema)
+
+    def row_statistics(self, *, total: str = "n_words", distinct: str = "n_distinct") -> DataFrame:
+        """A row per row of the matrix: its columns, the sum of its counts and the number of its entries."""
+        row = self._local.schema["rows"].dataType.elementType
+        schema = T.StructType([*row.fields, T.StructField(total, T.LongType()), T.StructField(distinct, T.LongType())])
+
+        def finish(shard: pa.Table, starts: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> pa.Table:
+            sums = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[starts]
+            rows = shard.column("rows").combine_chunks().flatten()
+            return pa.table([*rows.flatten(), pa.array(np.diff(sums)), pa.array(np.diff(starts))], names=schema.names)
+
+        return self._finished(finish, schema)

@@ -63,18 +63,18 @@ def test_matrix_counts_every_word_under_one_id(spark):
     docs, _ = corpus()
     df = spark.createDataFrame([(k, t, "n", "s") for k, t, _ in docs], "doc_id long, text string, n_words string, shard string").repartition(3)
     for limits in ({}, {"shard_bytes": 3000}, {"shard_rows": 1}):
-        matrix, ids = term_matrix.build(df, "text", **limits)
-        word = {r.id: bytes(r.word) for r in ids.collect()}
-        assert len(word) == ids.count() == len(set(word.values()))
+        matrix = term_matrix.Matrix(df, "text", **limits)
+        word = {r.id: bytes(r.word) for r in matrix.dictionary.collect()}
+        assert len(word) == matrix.dictionary.count() == len(set(word.values()))
         got = []
-        for r in matrix.collect():
-            starts, cells = np.frombuffer(r.starts, np.int32), np.frombuffer(r.ids, np.int64)
-            counts = term_matrix._whole(bytes(r.counts), len(cells))
+        for r in matrix.shards().collect():
+            starts, cells, counts = (np.frombuffer(x, np.int64) for x in (r.starts, r.ids, r.counts))
             assert len(starts) == len(r.rows) + 1 and starts[-1] == len(cells)
             got += [(x.doc_id, sorted((word[i], n) for i, n in zip(cells[s:e].tolist(), counts[s:e].tolist(), strict=True))) for x, s, e in zip(r.rows, starts, starts[1:], strict=False)]
         wanted = [(k, sorted((w, ws.count(w)) for w in set(ws))) for k, ws in ((k, (t or "").encode().split()) for k, t, _ in docs)]
         assert sorted(got, key=str) == sorted(wanted, key=str)
-    sums = term_matrix.row_statistics(matrix, total="total", distinct="different")
+    sums = matrix.row_statistics(total="total", distinct="different")
     assert sums.columns == ["doc_id", "n_words", "shard", "n_bytes", "total", "different"]
     assert sums.agg(F.sum("total")).first()[0] == sum(len((t or "").encode().split()) for _, t, _ in docs)
-    assert all(t.count() == 0 for t in term_matrix.build(df.where("false"), "text"))
+    none = term_matrix.Matrix(df.where("false"), "text")
+    assert none.shards().count() == none.dictionary.count() == none.row_statistics().count() == 0
