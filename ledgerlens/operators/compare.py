@@ -13,8 +13,8 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import LEADERBOARD_EXCLUDED_CATEGORIES, UNKNOWN, amount, fee_wei, growth_pct
-from ..timeframe import Timeframe, ntz, shift
+from ..functions.exprs import LEADERBOARD_EXCLUDED_CATEGORIES, UNKNOWN, amount, fee_wei, growth_pct, period
+from ..timeframe import Timeframe, ntz, shift, truncate
 
 
 def two_period_counts(rows: DataFrame, keys: list, ts: str, as_of: dt.datetime, tf: Timeframe) -> DataFrame:
@@ -55,6 +55,58 @@ def two_period_counts(rows: DataFrame, keys: list, ts: str, as_of: dt.datetime,
     )
 
 
+def target_activity(tx: DataFrame) -> DataFrame:
+    """Transactions per (day, target, sender): ``day, to_address, from_address, transactions`` (distinct hashes) ``, fee_wei``. A
+    transaction has one time, target and sender, so its rows, repeated ones too, meet in one row here and counts add up."""
+    return tx.groupBy(period("block_timestamp", Timeframe.DAY).alias("day"), "to_address", "from_address").agg(
+        F.count_distinct("hash").alias("transactions"), F.sum(fee_wei()).alias("fee_wei"))
+
+
+def window_parts(as_of: dt.datetime, tf: Timeframe) -> tuple[list[tuple[dt.datetime, dt.datetime]], list[tuple[dt.datetime, dt.datetime]]]:
+    """The two windows as whole days, ``[(first, end) of the current and of the previous one]``, and the days that a window's end
+    divides, as (start, end)."""
+    one_ago, two_ago, day = shift(as_of, -1, tf), shift(as_of, -2, tf), dt.timedelta(days=1)
+
+    def after(ts: dt.datetime) -> dt.datetime:
+        start = truncate(ts, Timeframe.DAY)
+        return start if start == ts else start + day
+
+    whole = [(after(one_ago), truncate(as_of, Timeframe.DAY)), (after(two_ago), truncate(one_ago, Timeframe.DAY))]
+    # The open day is always read: ``as_of`` itself belongs to the current window.
+    cut = {truncate(ts, Timeframe.DAY) for ts in (one_ago, two_ago) if after(ts) != ts} | {truncate(as_of, Timeframe.DAY)}
+    return whole, [(start, start + day) for start in sorted(cut)]
+
+
+def two_period_pairs(stored: DataFrame, edges: DataFrame, as_of: dt.datetime, tf: Timeframe) -> DataFrame:
+    """One row per (target, sender) with transactions and fees of both windows: whole days from the stored
+    :func:`target_activity`, ``edges`` (transactions of the divided days) to the time of day."""
+    whole, _ = window_parts(as_of, tf)
+    one_ago, two_ago = shift(as_of, -1, tf), shift(as_of, -2, tf)
+    in_days = [(F.col("day") >= ntz(a)) & (F.col("day") < ntz(b)) for a, b in whole]
+    from_days = stored.filter(in_days[0] | in_days[1]).select("to_address", "from_address", in_days[0].alias("_cur"), "transactions", "fee_wei")
+    ts = F.col("block_timestamp")
+    # Each divided day on its own: a part of a day that is whole for a window is in the stored rows.
+    inside = edges.filter((ts >= ntz(two_ago)) & (ts <= ntz(as_of)))
+    cut = inside.groupBy("to_address", "from_address", (ts >= ntz(one_ago)).alias("_cur")).agg(F.count_distinct("hash").alias("transactions"), F.sum(fee_wei()).alias("fee_wei"))
+    both = from_days.unionByName(cut.withColumn("fee_wei", F.col("fee_wei").cast("decimal(38,0)")))
+    cur = F.col("_cur")
+    return both.groupBy("to_address", "from_address").agg(
+        F.bool_or(cur).alias("_c"), F.bool_or(~cur).alias("_p"), F.sum(F.when(cur, F.col("transactions"))).alias("_tc"), F.sum(F.when(~cur, F.col("transactions"))).alias("_tp"),
+        F.sum(F.when(cur, F.col("fee_wei"))).alias("_fc"), F.sum(F.when(~cur, F.col("fee_wei"))).alias("_fp"),
+    )
+
+
+def two_period_from_pairs(pairs: DataFrame, keys: list) -> DataFrame:
+    """:func:`two_period_counts` from rows of :func:`two_period_pairs` with ``keys``: a sender counts once per group."""
+    per_sender = pairs.groupBy(*keys, "from_address").agg(F.bool_or("_c").alias("_c"), F.bool_or("_p").alias("_p"), *[F.sum(x).alias(x) for x in ("_tc", "_tp", "_fc", "_fp")])
+    known = F.col("from_address").isNotNull()
+    return per_sender.groupBy(*keys).agg(
+        F.coalesce(F.sum("_tc"), F.lit(0)).alias("txns_current"), F.coalesce(F.sum("_tp"), F.lit(0)).alias("txns_previous"),
+        F.count_if(known & F.col("_c")).alias("active_accounts_current"), F.count_if(known & F.col("_p")).alias("active_accounts_previous"),
+        F.sum("_fc").alias("gas_wei_current"), F.sum("_fp").alias("gas_wei_previous"),
+    )
+
+
 def trending(tx: DataFrame, contracts: DataFrame, labels: DataFrame, as_of: dt.datetime, tf: Timeframe | str, min_wallets: int = 10, limit: int = 20) -> DataFrame:
     """Trending contracts: previous wallets above ``min_wallets`` and growing; top ``limit`` by current
     transactions (ties by contract). Growth is NULL when the previous value is not positive.
@@ -64,6 +116,11 @@ def trending(tx: DataFrame, contracts: DataFrame, labels: DataFrame, as_of: dt.d
     """
     tf = Timeframe.parse(tf)
     per_target = two_period_counts(tx.withColumnRenamed("to_address", "contract"), ["contract"], "block_timestamp", as_of, tf)
+    return rank_trending(per_target, contracts, labels, min_wallets, limit)
+
+
+def rank_trending(per_target: DataFrame, contracts: DataFrame, labels: DataFrame, min_wallets: int, limit: int) -> DataFrame:
+    """The trending table from both windows' counts per ``contract``."""
     is_contract = contracts.select(F.col("address").alias("contract"))
     ranked = per_target.join(is_contract, "contract", "left_semi").filter(
         (F.col("active_accounts_previous") > min_wallets) & ((F.col("active_accounts_current") - F.col("active_accounts_previous")) > 0)
@@ -91,13 +148,23 @@ def leaderboard(tx: DataFrame, labels: DataFrame, as_of: dt.datetime, tf: Timefr
     on a hot address); beyond the threshold AQE splits skewed partitions of the sort-merge join.
     """
     tf = Timeframe.parse(tf)
-    excluded = [F.col("category") != cat for cat in LEADERBOARD_EXCLUDED_CATEGORIES]
-    apps = labels.filter(excluded[0] & excluded[1]).select(
-        F.col("address").alias("_address"), F.col("name").alias("project"), "slug", "category"
-    )
     two_ago = shift(as_of, -2, tf)
-    rows = tx.filter(F.col("block_timestamp") >= ntz(two_ago)).join(apps, F.col("to_address") == F.col("_address"))
-    agg = two_period_counts(rows, ["project", "slug", "category"], "block_timestamp", as_of, tf)
+    rows = tx.filter(F.col("block_timestamp") >= ntz(two_ago)).join(ranked_apps(labels), F.col("to_address") == F.col("_address"))
+    return rank_apps(two_period_counts(rows, APP, "block_timestamp", as_of, tf))
+
+
+#: What makes an app: addresses that share all three are one.
+APP = ["project", "slug", "category"]
+
+
+def ranked_apps(labels: DataFrame) -> DataFrame:
+    """The labelled addresses of the leaderboard: ``_address`` and the app's columns."""
+    excluded = [F.col("category") != cat for cat in LEADERBOARD_EXCLUDED_CATEGORIES]
+    return labels.filter(excluded[0] & excluded[1]).select(F.col("address").alias("_address"), F.col("name").alias("project"), "slug", "category")
+
+
+def rank_apps(agg: DataFrame) -> DataFrame:
+    """The leaderboard from both windows' counts per app."""
     return agg.orderBy(F.col("gas_wei_current").desc_nulls_last(), "project", "slug", "category").select(
         "project",
         "slug",

@@ -30,7 +30,6 @@ def cohort_retention(df: DataFrame, key: str, ts: str, tf: Timeframe | str, as_o
     cut = truncate(as_of, tf)
     first = truncate(shift(as_of, -scope, tf), tf)
     unit = tf.value.upper()
-    offset_col = f"{tf.value}_number"
 
     rows = df.select(key, period(ts, tf).alias("p")).filter(F.col(key).isNotNull() & (F.col(ts) < ntz(cut)))
     # Bit i of ``active`` = active in the i-th period of the scope window (earlier periods set no bit).
@@ -45,6 +44,12 @@ def cohort_retention(df: DataFrame, key: str, ts: str, tf: Timeframe | str, as_o
         F.explode(F.expr(f"filter(sequence(0, {scope - 1} - _pos), k -> (shiftright(active, _pos + k) & 1) = 1)")).alias("k"),
     )
     counts = offsets.groupBy("cohort", "k").agg(F.count(F.lit(1)).alias("num_users"))
+    return percentages(counts, tf)
+
+
+def percentages(counts: DataFrame, tf: Timeframe | str) -> DataFrame:
+    """The chart from (cohort, k, num_users): ``cohort, total_users, {tf}_number, percentage``."""
+    offset_col = f"{Timeframe.parse(tf).value}_number"
     # One row per cohort in scope: at most ``scope`` rows.
     sizes = bounded(counts.filter(F.col("k") == 0).select("cohort", F.col("num_users").alias("total_users")))
     return (

@@ -32,5 +32,8 @@ def leaderboard_tvl(tables: Tables, as_of, tf: Timeframe | str, chain_key: str)
     return out.orderBy(F.col("eth_fees").desc_nulls_last(), "project", "slug", "category")
 
 
-def dashboard(tables: Tables, as_of, timeframe: Timeframe | str = Timeframe.MONTH) -> dict[str, DataFrame]:
-    return {"leaderboard": leaderboard(tables, as_of, timeframe)}
+def dashboard(tables: Tables, as_of, timeframe: Timeframe | str = Timeframe.MONTH, targets: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The leaderboard; with ``targets``, the stored (day, target, sender) rollup, whole days are not read from the transactions."""
+    from . import stored  # reads the operators of this module
+
+    return {"leaderboard": leaderboard(tables, as_of, timeframe) if targets is None else stored.leaderboard(targets, tables, as_of, timeframe)}

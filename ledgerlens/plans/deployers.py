@@ -84,14 +84,16 @@ def git_devs(tables: Tables, as_of, tf: Timeframe | str, since: dt.datetime = CO
     return _commit_series(tables, as_of, tf, F.count_distinct("username"), "active_devs", since)
 
 
-def deployers_dashboard(tables: Tables, as_of, timeframe: Timeframe | str = Timeframe.WEEK, *, chain: str, chains: tuple[str, ...]) -> dict[str, DataFrame]:
+def deployers_dashboard(tables: Tables, as_of, timeframe: Timeframe | str = Timeframe.WEEK, *, chain: str, chains: tuple[str, ...], key_sets=None) -> dict[str, DataFrame]:
     """All deployer metrics of one request; ``chain`` is the chain of the single-chain series, ``chains`` the
-    columns of the side-by-side series."""
+    columns of the side-by-side series. With ``key_sets`` (:func:`.stored.key_deployers`) the first-seen split reads no history."""
+    from . import stored  # reads this module
+
     tf = Timeframe.parse(timeframe)
     return {
         "all_deployers": all_deployers(tables, as_of, tf),
         "key_deployers": key_deployers(tables, as_of, tf, chain),
-        "returning_key_deployers": returning_key_deployers(tables, as_of, tf, chain),
+        "returning_key_deployers": stored.returning_key_deployers(key_sets, as_of, tf) if key_sets else returning_key_deployers(tables, as_of, tf, chain),
         "chain_key_deployers": chain_key_deployers(tables, as_of, tf, chains),
     }
 

@@ -104,16 +104,27 @@ def _windowed(tables: Tables, as_of: dt.datetime, window) -> Tables:
 
 
 def _revenue_rows(t: Tables, as_of: dt.datetime, window, hourly: DataFrame | None) -> DataFrame:
-    """Revenue rows (``_v`` = wei) of the window: transactions, or the hourly rollup for all time."""
-    if hourly is not None and window is None:
-        return hourly.filter(F.col("priced_gas")).select(F.col("rev_wei").alias("_v"))
+    """Revenue rows (``_v`` = wei) of the window: transactions, or the hourly rollup and the transactions of the partial hour at the
+    window's start."""
+    if hourly is not None:
+        priced = hourly.filter(F.col("priced_gas"))
+        if window is None:
+            return priced.select(F.col("rev_wei").alias("_v"))
+        start = shift(as_of, -window[0], window[1])
+        hour = start.replace(minute=0, second=0, microsecond=0)
+        if hour == start:
+            return priced.filter(F.col("hour") >= ntz(hour)).select(F.col("rev_wei").alias("_v"))
+        whole = hour + dt.timedelta(hours=1)
+        first = t.window(start, whole, names=(TX,))[TX].filter((F.col("block_timestamp") >= ntz(start)) & (F.col("block_timestamp") < ntz(whole)))
+        rest = first.filter(F.col("receipt_effective_gas_price") > 0).select(fee_wei().cast("decimal(38,0)").alias("_v"))
+        return priced.filter(F.col("hour") >= ntz(whole)).select(F.col("rev_wei").cast("decimal(38,0)").alias("_v")).unionByName(rest)
     tx = _since(t[TX], as_of, window).filter(F.col("receipt_effective_gas_price") > 0)
     return tx.select(fee_wei().alias("_v"))
 
 
 def scalar_revenue(tables: Tables, as_of, window: str, hourly: DataFrame | None = None) -> DataFrame:
     """Fee revenue (ETH, zero gas price excluded, no price needed) over ``week``, ``month`` or ``all``: ``gas_rev``.
-    ``hourly`` (the rollup) serves ``all``; trailing windows have time-of-day bounds and read transactions."""
+    With ``hourly`` (the rollup) a trailing window reads transactions of its first, partial hour only."""
     as_of = as_datetime(as_of)
     win = SCALAR_WINDOWS[window]
     rev = _revenue_rows(_windowed(tables, as_of, win), as_of, win, hourly).agg(F.sum("_v").alias("rev_wei"))

@@ -1,10 +1,11 @@
-"""Stored rollups: day-partitioned tables that dashboards read instead of the whole transaction history.
-
-``daily_activity`` (day, sender, transactions) serves the all-history user charts, ``hourly_fees`` the economics series. A
-refresh writes the closed days whose number of transactions differs from the stored one: new days, and days for which rows
-arrived however late (rows arrive, they are not taken away). It reads the time column of all transactions to count them,
-and all columns of those days' partitions only. The last ``late_days`` stored days are always written again. Reading adds
-the open day from the transactions, so a rollup equals the direct aggregate at any clock.
+"""Stored rollups: daily aggregates that dashboards read instead of the whole transaction history.
+
+``daily_activity`` (day, sender, transactions) serves the all-history user charts, ``hourly_fees`` the economics series and, with the
+facts of the partial hours at their ends, the trailing cards; ``target_activity`` (day, target, sender, transactions, fees) the two-period
+comparisons. A refresh rewrites the closed days that changed since the last one, found from the manifest of the table's files (new,
+replaced or gone ones; see :mod:`ledgerlens.state.manifest`), however late their rows came, and reads those days' partitions only. Days are
+committed together (:mod:`ledgerlens.state.versions`), so readers never see half a refresh. Reading adds the days that are not stored,
+the open one first of all, from the transactions, so a rollup equals the direct aggregate at any clock.
 """
 
 from __future__ import annotations
@@ -12,82 +13,84 @@ from __future__ import annotations
 import datetime as dt
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.compare import target_activity
 from ..sources.registry import Tables
+from ..state.keysets import runs_of
+from ..state.versions import Commit, Versions
 from ..timeframe import Timeframe, as_datetime, ntz, truncate
-from . import economics, users
+from . import economics, stored, users
 
 TX = "transactions"
-# Rollup name -> (aggregate of the transactions at a clock, its time column). Each has a count ``transactions``.
-ROLLUPS = {"daily_activity": (users.daily_activity, "day"), "hourly_fees": (economics.hourly_fees, "hour")}
+FILES = "file string, modified timestamp, size long, day date"
+# Rollup name -> (aggregate of the transactions at a clock, its time column, its columns, the transactions' columns it depends on).
+ROLLUPS = {
+    "daily_activity": (users.daily_activity, "day", "day timestamp_ntz, from_address string, transactions long", ("from_address",)),
+    "hourly_fees": (economics.hourly_fees, "hour", "hour timestamp_ntz, priced_gas boolean, rev_wei decimal(38,0), l1_wei decimal(38,0), l2_wei decimal(38,0), transactions long",
+                    ("receipt_l1_fee", "receipt_effective_gas_price", "receipt_gas_used")),
+    "target_activity": (lambda tables, as_of: target_activity(tables.as_of(as_datetime(as_of))[TX]), "day",
+                        "day timestamp_ntz, to_address string, from_address string, transactions long, fee_wei decimal(38,0)",
+                        ("to_address", "from_address", "hash", "receipt_l1_fee", "receipt_effective_gas_price", "receipt_gas_used")),
+}
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return None
+def _store(spark: SparkSession, root: str, name: str) -> Versions:
+    return Versions(spark, f"{root.rstrip('/')}/{name}", {"rows": ROLLUPS[name][2], "files": FILES})
 
 
 def _rows(tables: Tables, name: str, as_of: dt.datetime, since: dt.datetime | None, until: dt.datetime | None) -> DataFrame:
-    """The rollup of the transactions with ``since <= time < until`` known at ``as_of``."""
-    tx = tables.window(since, until)[TX]
+    """The rollup of the transactions with ``since <= time < until`` known at ``as_of``, as it is stored."""
+    tx = tables.window(since, until, names=(TX,))[TX]
     if since is not None:
         tx = tx.filter(F.col("block_timestamp") >= ntz(since))
     if until is not None:
         tx = tx.filter(F.col("block_timestamp") < ntz(until))
-    return ROLLUPS[name][0](tables.with_tables(**{TX: tx}), as_of)
-
-
-def _changed_days(stored: DataFrame, tables: Tables, as_of: dt.datetime, closed: dt.datetime) -> list[dt.date]:
-    """Closed days whose number of transactions is not the stored one; one row a day reaches the driver at most."""
-    tx = tables.as_of(as_of).window(None, closed)[TX].filter(F.col("block_timestamp") < ntz(closed))
-    now = tx.groupBy(F.to_date("block_timestamp").alias("block_date")).agg(F.count(F.lit(1)).alias("n"))
-    was = stored.groupBy("block_date").agg(F.sum("transactions").alias("was"))
-    return [r["block_date"] for r in now.join(was, "block_date", "left").filter(~F.col("n").eqNullSafe(F.col("was"))).select("block_date").collect()]
-
-
-def _runs(days: set[dt.date], most: int = 32) -> list[tuple[dt.datetime, dt.datetime]]:
-    """Runs of neighbouring days as (start, end); one run over all days if there are more than ``most``."""
-    out: list[tuple[dt.datetime, dt.datetime]] = []
-    for day in sorted(days):
-        start = as_datetime(day)
-        begin = out.pop()[0] if out and out[-1][1] == start else start
-        out.append((begin, start + dt.timedelta(days=1)))
-    return out if len(out) <= most else [(out[0][0], out[-1][1])]
+    build, _, columns, _ = ROLLUPS[name]
+    made = build(tables.with_tables(**{TX: tx}), as_of)
+    return made.select(*[F.col(c).cast(kind).alias(c) for c, kind in (x.split(" ") for x in columns.split(", "))])
 
 
-def refresh(spark: SparkSession, tables: Tables, root: str, as_of=None, names: tuple[str, ...] = tuple(ROLLUPS), late_days: int = 3) -> None:
-    """Bring the stored rollups up to the start of the day of ``as_of``."""
+def refresh(spark: SparkSession, tables: Tables, root: str, as_of=None, names: tuple[str, ...] = tuple(ROLLUPS)) -> dict[str, list[dt.date]]:
+    """Bring the stored rollups up to the start of the day of ``as_of``; returns the days written again."""
     as_of = as_datetime(as_of)
     closed = truncate(as_of, Timeframe.DAY)
-    for name in names:
-        path = f"{root.rstrip('/')}/{name}"
-        stored = _stored(spark, path)
-        if stored is None or "transactions" not in stored.columns:
-            rows = _rows(tables, name, as_of, None, closed)
-        else:
-            last = stored.agg(F.max("block_date").alias("d")).first()["d"]
-            again = [last - dt.timedelta(days=k) for k in range(late_days + 1)] if last else []
-            days = {d for d in again if as_datetime(d) < closed} | set(_changed_days(stored, tables, as_of, closed))
-            if not days:
-                continue
-            rows = reduce(DataFrame.unionByName, [_rows(tables, name, as_of, since, until) for since, until in _runs(days)])
-        rows = rows.withColumn("block_date", F.to_date(ROLLUPS[name][1]))
-        rows.repartition("block_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("block_date").parquet(path)
+    return {name: _refresh(spark, tables, root, name, as_of, closed) for name in names}
+
+
+def _refresh(spark: SparkSession, tables: Tables, root: str, name: str, as_of: dt.datetime, closed: dt.datetime) -> list[dt.date]:
+    store = _store(spark, root, name)
+    was = store.latest()
+    files, changed = stored.changes(tables, TX, store.read_parts("files", was.live["files"]), *ROLLUPS[name][3])
+    until = dt.datetime.fromisoformat(was.facts["until"]) if was.facts else None
+    if until is None:
+        days, rows = set(), _rows(tables, name, as_of, None, closed)
+    else:
+        days = {d for d in changed if as_datetime(d) < closed}
+        days |= {(until + dt.timedelta(days=k)).date() for k in range(max(0, (closed - until).days))}
+        if not days:
+            return []
+        rows = reduce(DataFrame.unionByName, [_rows(tables, name, as_of, a, b) for a, b in runs_of(days)])
+    rows = rows.withColumn("block_date", F.to_date(ROLLUPS[name][1]))
+    if days:
+        rows = rows.filter(F.col("block_date").isin(sorted(days)))
+    version = store.new_version()
+    have = store.write("rows", version, rows)
+    live = {day: v for day, v in was.live["rows"].items() if day not in days} | dict.fromkeys(have, version)
+    parts: dict[dt.date, str] = {}
+    store.add_part("files", version, files, parts)
+    store.publish(version, Commit({"rows": live, "files": parts}, {"until": max(closed, until or closed).isoformat()}))
+    return sorted(days | have)
 
 
 def read(spark: SparkSession, tables: Tables, root: str, name: str, as_of=None) -> DataFrame:
-    """The rollup at ``as_of``: stored days before it, and the day of ``as_of`` from the transactions."""
+    """The rollup at ``as_of``: stored days before its day, and the days since the last refresh from the transactions."""
     as_of = as_datetime(as_of)
-    open_day = truncate(as_of, Timeframe.DAY)
-    stored = _stored(spark, f"{root.rstrip('/')}/{name}")
-    if stored is None:
-        return ROLLUPS[name][0](tables, as_of)
-    live = _rows(tables, name, as_of, open_day, None)
-    return stored.filter(F.col("block_date") < F.lit(open_day.date())).select(*live.columns).unionByName(live)
+    store = _store(spark, root, name)
+    commit = store.latest()
+    if not commit.facts:
+        return _rows(tables, name, as_of, None, None)
+    since = min(truncate(as_of, Timeframe.DAY), dt.datetime.fromisoformat(commit.facts["until"]))
+    live = _rows(tables, name, as_of, since, None)
+    return store.read("rows", commit).filter(F.col("block_date") < F.lit(since.date())).select(*live.columns).unionByName(live)

@@ -131,27 +131,29 @@ def stamp(as_of) -> str:
     return as_datetime(as_of).strftime("%d/%m/%y %H:%M")
 
 
-def dashboard(tables: Tables, as_of, timeframe: Timeframe | str = Timeframe.WEEK, activity: DataFrame | None = None) -> dict:
-    """All user metrics of one request, under the original response keys; plans only, no job runs here. With
-    ``activity``, a stored (day, sender) rollup (see :mod:`.rollups`), the three all-history charts read it instead of
-    the transactions."""
+def dashboard(tables: Tables, as_of, timeframe: Timeframe | str = Timeframe.WEEK, activity: DataFrame | None = None, senders=None, targets: DataFrame | None = None) -> dict:
+    """All user metrics of one request, under the original response keys; plans only, no job runs here. Stored state replaces
+    the transaction history where it is given: ``activity``, a (day, sender) rollup, for the three all-history charts; ``senders``, the
+    key sets of :mod:`.stored`, for the cards and the charts of distinct senders; ``targets``, the (day, target, sender) rollup,
+    for the trending table (see :mod:`.rollups`)."""
+    from . import stored  # reads this module
+
     as_of, tf = as_datetime(as_of), Timeframe.parse(timeframe)
-    card_row = cards(tables, as_of)  # each key below prunes it to its own windows
-    card_keys = {
-        f"actives_{name}": card_row.select(F.col(f"actives_{name}").alias("active_wallets")) for name in CARD_WINDOWS
-    }
-    card_keys.update(
-        {f"actives_growth_{name}": card_row.select(F.col(f"actives_growth_{name}").alias(out)) for name, out in CARD_GROWTH_NAMES.items()}
-    )
+    if senders is not None:
+        card_keys = stored.card_results(senders, tables, as_of)
+    else:
+        card_row = cards(tables, as_of)  # each key below prunes it to its own windows
+        card_keys = {f"actives_{name}": card_row.select(F.col(f"actives_{name}").alias("active_wallets")) for name in CARD_WINDOWS}
+        card_keys.update({f"actives_growth_{name}": card_row.select(F.col(f"actives_growth_{name}").alias(out)) for name, out in CARD_GROWTH_NAMES.items()})
     return {
         "time": stamp(as_of),
         **card_keys,
-        "active_accounts_chart": active_accounts_chart(tables, as_of, tf, activity),
+        "active_accounts_chart": stored.active_accounts_chart(senders, as_of, tf) if senders else active_accounts_chart(tables, as_of, tf, activity),
         "transactions_chart": transactions_chart(tables, as_of, tf, activity),
-        "retention_chart": retention_chart(tables, as_of, tf, activity),
+        "retention_chart": stored.retention_chart(senders, as_of, tf) if senders else retention_chart(tables, as_of, tf, activity),
         "contract_transactions_chart": contract_transactions_chart(tables, as_of, tf),
         "contract_gas_chart": contract_gas_chart(tables, as_of, tf),
-        "trending_contracts": trending_contracts(tables, as_of, tf),
+        "trending_contracts": trending_contracts(tables, as_of, tf) if targets is None else stored.trending_contracts(targets, tables, as_of, tf),
     }
 
 

@@ -35,6 +35,7 @@ class Tables(Mapping):
         until: dt.datetime | None = None,
         window_names: tuple[str, ...] | None = None,
         _sources: dict[str, DataFrame] | None = None,
+        paths: Mapping[str, str] | None = None,
     ):
         self._factories = dict(factories)
         # Source DataFrames, shared with every registry derived by ``as_of`` / ``window`` (a file source is listed
@@ -45,6 +46,8 @@ class Tables(Mapping):
         self.since_ts = since
         self.until_ts = until
         self.window_names = window_names
+        #: Folders of the tables that are Parquet folders.
+        self.paths = dict(paths or {})
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._built:
@@ -81,19 +84,20 @@ class Tables(Mapping):
 
     def as_of(self, ts: dt.datetime | str) -> "Tables":
         """Registry with every fact table cut at ``event_time <= ts``."""
-        return Tables(self._factories, as_of_ts_from(ts), self.since_ts, self.until_ts, self.window_names, self._sources)
+        return Tables(self._factories, as_of_ts_from(ts), self.since_ts, self.until_ts, self.window_names, self._sources, self.paths)
 
     def window(self, since=None, until=None, names: tuple[str, ...] | None = None) -> "Tables":
         """Registry that reads only the date partitions of ``[since, until]`` of the fact tables ``names`` (all fact
         tables when None). A pruning hint: rows are not cut to the exact timestamps, the metric does that."""
         lo = as_of_ts_from(since) if since is not None else None
         hi = as_of_ts_from(until) if until is not None else None
-        return Tables(self._factories, self.as_of_ts, lo, hi, tuple(names) if names else None, self._sources)
+        return Tables(self._factories, self.as_of_ts, lo, hi, tuple(names) if names else None, self._sources, self.paths)
 
     def with_tables(self, **frames: Factory | DataFrame) -> "Tables":
         merged = dict(self._factories)
         merged.update(frames)
-        return Tables(merged, self.as_of_ts, self.since_ts, self.until_ts, self.window_names)
+        kept = {name: path for name, path in self.paths.items() if name not in frames}
+        return Tables(merged, self.as_of_ts, self.since_ts, self.until_ts, self.window_names, paths=kept)
 
     def validated(self, names: list[str] | None = None) -> "Tables":
         """This registry, after a check that the declared keys of ``names`` (all) are unique: the loading step."""
@@ -108,7 +112,7 @@ class Tables(Mapping):
         def reader(name: str) -> Factory:
             return lambda: spark.read.parquet(f"{root.rstrip('/')}/{name}")
 
-        return cls({name: reader(name) for name in wanted})
+        return cls({name: reader(name) for name in wanted}, paths={name: f"{root.rstrip('/')}/{name}" for name in wanted})
 
     @classmethod
     def from_catalog(cls, spark: SparkSession, prefix: str, names: list[str] | None = None) -> "Tables":

@@ -1,7 +1,7 @@
 """Scheduled publishing of dashboards.
 
-Dashboards are recomputed from the full tables, not updated incrementally: distinct-wallet metrics are not
-additive. A Structured Streaming query over the transaction folder acts as the scheduler: every trigger interval
+Without ``rollup_dir`` dashboards are recomputed from the full tables. With it, rollups and key sets stored there are refreshed from the
+days whose files changed, and the dashboards read those (distinct wallets are merged as exact bitmaps). A Structured Streaming query over the transaction folder acts as the scheduler: every trigger interval
 (six hours by default, the lifetime of a published result) in which new transaction files arrived, the micro-batch
 recomputes the requested dashboards at ``as_of`` and publishes them as new versions. The stream's progress lives in
 the shared checkpoint folder named by ``spark.checkpoint.dir``, so a restarted driver resumes where it stopped and
@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans import bd, deployers, economics, report, rollups, users
+from ..plans import bd, deployers, economics, report, rollups, stored, users
 from ..plans.sink import write_dashboard
 from ..sources.registry import Tables
 from ..sources.schemas import SCHEMAS
@@ -34,8 +34,21 @@ DASHBOARDS: dict[str, Callable[..., dict]] = {
     "developers": deployers.developers_dashboard,
     "econ_report": lambda tables, as_of, timeframe, *, start, end: report.dashboard(tables, start, end, as_of),
 }
-# Stored rollup a dashboard can read, and the argument that takes it.
-USES = {"users": ("daily_activity", "activity"), "economics": ("hourly_fees", "hourly")}
+# Stored rollups a dashboard can read, by the argument that takes each.
+USES = {"users": {"activity": "daily_activity", "targets": "target_activity"}, "bd": {"targets": "target_activity"}, "economics": {"hourly": "hourly_fees"}}
+
+
+def _stored(spark: SparkSession, tables: Tables, root: str, name: str, as_of: dt.datetime, options: dict) -> dict:
+    """The stored state a dashboard reads, brought up to ``as_of``."""
+    out = {}
+    for argument, rollup in USES.get(name, {}).items():
+        rollups.refresh(spark, tables, root, as_of, (rollup,))
+        out[argument] = rollups.read(spark, tables, root, rollup, as_of)
+    if name == "users":
+        out["senders"] = stored.senders(spark, tables, f"{root.rstrip('/')}/senders", as_of)
+    if name == "deployers":
+        out["key_sets"] = stored.key_deployers(spark, tables, f"{root.rstrip('/')}/key_deployers-{options['chain']}", as_of, options["chain"])
+    return out
 
 
 def publish(
@@ -51,15 +64,12 @@ def publish(
 ) -> dict[str, str]:
     """Recompute the named dashboards and publish a version of each. ``options`` holds extra keyword
     arguments per dashboard (e.g. ``{"deployers": {"chain": ..., "chains": (...)}}``); with ``rollup_dir`` the stored
-    rollups there are refreshed and read. Returns result -> path."""
+    rollups and key sets there are refreshed and read. Returns result -> path."""
     written = {}
     for name in names:
         extra = dict((options or {}).get(name, {}))
-        if rollup_dir and name in USES:
-            rollup, argument = USES[name]
-            session = spark or SparkSession.active()
-            rollups.refresh(session, tables, rollup_dir, as_of, (rollup,))
-            extra[argument] = rollups.read(session, tables, rollup_dir, rollup, as_of)
+        if rollup_dir:
+            extra |= _stored(spark or SparkSession.active(), tables, rollup_dir, name, as_of, extra)
         results = DASHBOARDS[name](tables, as_of, timeframe, **extra)
         for key, path in write_dashboard(results, f"{out_dir.rstrip('/')}/{name}", fmt).items():
             written[f"{name}.{key}"] = path

@@ -84,7 +84,7 @@ def test_rollups_append_closed_days_and_take_late_rows(spark, tmp_path):
     rollups.refresh(spark, first, root, clock)
     for at in (clock + dt.timedelta(days=1), clock + dt.timedelta(days=40)):
         rollups.refresh(spark, everything, root, at)
-        for name, (direct, _) in rollups.ROLLUPS.items():
+        for name, (direct, *_) in rollups.ROLLUPS.items():
             got = rollups.read(spark, everything, root, name, at)
             want = direct(everything, at)
             assert got.columns == want.columns and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
@@ -98,6 +98,7 @@ def test_rollups_take_rows_that_are_ten_and_thirty_days_late(spark, tmp_path):
 
     from ledgerlens.plans import rollups
     from ledgerlens.sources.schemas import SCHEMAS
+    from ledgerlens.state.keysets import runs_of
 
     clock = dt.datetime(1996, 5, 20, 7)
     fees = ("receipt_effective_gas_price", "receipt_gas_used", "receipt_l1_fee")
@@ -111,12 +112,12 @@ def test_rollups_take_rows_that_are_ten_and_thirty_days_late(spark, tmp_path):
     assert all(tx.filter(x).count() for x in late)
     rollups.refresh(spark, before, str(tmp_path), clock)
     rollups.refresh(spark, after, str(tmp_path), clock)
-    for name, (direct, _) in rollups.ROLLUPS.items():
+    for name, (direct, *_) in rollups.ROLLUPS.items():
         got, want = rollups.read(spark, after, str(tmp_path), name, clock), direct(after, clock)
         assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0, name
-    stored = spark.read.parquet(f"{tmp_path}/hourly_fees")
-    assert rollups._changed_days(stored, after, clock, dt.datetime(1996, 5, 20)) == []
-    days = {dt.date(2024, 1, 1), dt.date(2024, 1, 2), dt.date(2024, 2, 1)}
-    assert rollups._runs(days) == [(dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 3)), (dt.datetime(2024, 2, 1), dt.datetime(2024, 2, 2))]
-    assert rollups._runs(days, most=1) == [(dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 2))]
+    assert set(map(tuple, rollups.refresh(spark, after, str(tmp_path), clock).values())) == {()}
+    days = {dt.date(2024, 1, 1), dt.date(2024, 1, 2), dt.date(2024, 2, 1), dt.date(2024, 2, 3)}
+    at = lambda m, d: dt.datetime(2024, m, d)
+    assert runs_of(days) == [(at(1, 1), at(1, 3)), (at(2, 1), at(2, 2)), (at(2, 3), at(2, 4))]
+    assert runs_of(days, most=2) == [(at(1, 1), at(1, 3)), (at(2, 1), at(2, 4))]
     tx.unpersist()
