@@ -7,13 +7,15 @@ independent restatement in :mod:`ledgerlens.oracle`.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracle as sql
-from .plans import bd, deployers, economics, report, users
+from .plans import bd, deployers, economics, report, rollups, stored, users
+from .session import shared_dir
 from .sources import fixtures as fx
 from .timeframe import Timeframe
 
@@ -36,16 +38,43 @@ def _intraday(spark: SparkSession, sf_dir: str):
     return fx.intraday(spark, sf_dir)
 
 
+def _state_dir(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Where a session keeps the state of one fixture: built by the first query that reads it, refreshed by the others."""
+    return f"{shared_dir(spark)}/state-{spark.sparkContext.applicationId}/{zlib.crc32(sf_dir.encode()):08x}/{name}"
+
+
+def _senders(fixture: Callable, as_of):
+    def state(spark: SparkSession, sf_dir: str):
+        tables = fixture(spark, sf_dir)
+        return stored.senders(spark, tables, _state_dir(spark, sf_dir, f"senders-{fixture.__name__}"), as_of), tables
+
+    return state
+
+
+def _rollup(fixture: Callable, name: str, as_of):
+    def rows(spark: SparkSession, sf_dir: str):
+        tables, root = fixture(spark, sf_dir), _state_dir(spark, sf_dir, f"rollups-{fixture.__name__}")
+        rollups.refresh(spark, tables, root, as_of, (name,))
+        return rollups.read(spark, tables, root, name, as_of), tables
+
+    return rows
+
+
 # Default timeframe of each dashboard (the bench times these).
 DEFAULT_TF = {"users": "week", "bd": "month", "economics": "month", "deployers": "week", "developers": "week"}
 
 
+def _with_hours(metric: Callable, found: tuple, as_of, window: str) -> DataFrame:
+    hours, tables = found
+    return metric(tables, as_of, window, hours)
+
+
 def catalog() -> dict[str, Entry]:
     L, R, I, C = fx.LONG_AS_OF, fx.RETENTION_AS_OF, fx.INTRADAY_AS_OF, fx.COMMITS_AS_OF
     out: dict[str, Entry] = {}
 
     def add(name, run, oracle_sql, endpoint, tf=None):
-        headline = tf is None or DEFAULT_TF.get(endpoint) == tf
+        headline = endpoint != "stored" and (tf is None or DEFAULT_TF.get(endpoint) == tf)
         out[name] = Entry(run, oracle_sql, endpoint, headline)
 
     # users: cards
@@ -119,6 +148,24 @@ def catalog() -> dict[str, Entry]:
         add(f"commits_{tf}", lambda s, d, tf=tf: deployers.commits(_long(s, d), C, tf), sql.commits(C, tf, since, False), "developers", tf)
         add(f"git_devs_{tf}", lambda s, d, tf=tf: deployers.git_devs(_long(s, d), C, tf), sql.commits(C, tf, since, True), "developers", tf)
 
+    # the same metrics from stored key sets and rollups
+    senders, late, targets, hourly = _senders(fx.intraday, I), _senders(fx.late_senders, L), _rollup(fx.dense, "target_activity", L), _rollup(fx.long_history, "hourly_fees", L)
+    add("stored_user_cards", lambda s, d: stored.cards(*senders(s, d), I), sql.user_cards(I, "intraday"), "stored")
+    for card, n, unit, back, out_name in (("24h", 1, "day", "1 DAY", "daily_growth"), ("7d", 7, "day", "7 DAY", "weekly_growth")):
+        add(f"stored_actives_{card}", lambda s, d, n=n, unit=unit: stored.actives(*senders(s, d), I, n, unit), sql.actives(I, back, "intraday"), "stored")
+        add(f"stored_actives_growth_{card}", lambda s, d, n=n, unit=unit, out_name=out_name: stored.actives_growth(*senders(s, d), I, n, unit, out_name),
+            sql.actives_growth(I, back, f"{2 * n} DAY", out_name, "intraday"), "stored")
+    for tf in TIMEFRAMES:
+        add(f"stored_active_accounts_chart_{tf}", lambda s, d, tf=tf: stored.active_accounts_chart(late(s, d)[0], L, tf), sql.active_accounts_chart(L, tf, "late"), "stored", tf)
+        add(f"stored_retention_chart_{tf}", lambda s, d, tf=tf: stored.retention_chart(late(s, d)[0], L, tf), sql.retention_chart(L, tf, Timeframe(tf).retention_scope, "late"), "stored", tf)
+        add(f"stored_returning_key_deployers_{tf}", lambda s, d, tf=tf: stored.returning_key_deployers(stored.key_deployers(s, _long(s, d), _state_dir(s, d, "key_deployers"), L, chain), L, tf),
+            sql.returning_key_deployers(L, tf, chain), "stored", tf)
+    for tf in ("day", "week"):
+        add(f"stored_trending_contracts_{tf}", lambda s, d, tf=tf: stored.trending_contracts(*targets(s, d), L, tf), sql.trending_contracts(L, tf, variant="dense"), "stored", tf)
+    for window, interval in (("week", "1 WEEK"), ("month", "1 MONTH"), ("all", None)):
+        add(f"stored_{window}_revenue", lambda s, d, w=window: _with_hours(economics.scalar_revenue, hourly(s, d), L, w), sql.scalar_revenue(L, interval), "stored")
+        add(f"stored_{window}_gross_profit", lambda s, d, w=window: _with_hours(economics.scalar_profit, hourly(s, d), L, w), sql.scalar_profit(L, interval), "stored")
+
     # report
     add("report", lambda s, d: report.report(_long(s, d), fx.REPORT_START, fx.REPORT_END, L), sql.report(L, fx.REPORT_START, fx.REPORT_END), "econ_report")
     return out

@@ -8,6 +8,10 @@ On a cluster the session is created by the platform; :func:`apply_settings` only
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 REQUIRED = {
@@ -62,3 +66,20 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_SCRATCH: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder the driver and all executors share (``spark.checkpoint.dir``); a scratch folder only for a local session
+    without one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _SCRATCH:
+        _SCRATCH[app] = tempfile.mkdtemp(prefix="ledgerlens-", dir=os.environ.get("TMPDIR", "/tmp"))
+    return _SCRATCH[app]
