@@ -30,19 +30,20 @@ def two_period_counts(rows: DataFrame, keys: list, ts: str, as_of: dt.datetime,
     one_ago, two_ago = shift(as_of, -1, tf), shift(as_of, -2, tf)
     cur = F.col(ts) >= ntz(one_ago)
     prev = (F.col(ts) < ntz(one_ago)) & (F.col(ts) >= ntz(two_ago))
+    fee_type = rows.select(fee_wei().alias("fee")).schema["fee"].dataType
     pairs = F.array(
-        F.struct(F.lit(0).alias("t"), F.col("from_address").cast("string").alias("v")),
-        F.struct(F.lit(1).alias("t"), F.col("hash").cast("string").alias("v")),
+        F.struct(F.lit(0).alias("t"), F.col("from_address").cast("string").alias("v"), F.lit(None).cast(fee_type).alias("fee")),
+        F.struct(F.lit(1).alias("t"), F.col("hash").cast("string").alias("v"), fee_wei().alias("fee")),
     )
     tagged = rows.filter(F.col(ts) >= ntz(two_ago)).select(
-        *keys, cur.alias("_cur"), prev.alias("_prev"), fee_wei().alias("_fee"), F.explode(pairs).alias("_tv")
-    ).select(*keys, "_cur", "_prev", "_fee", F.col("_tv.t").alias("_t"), F.col("_tv.v").alias("_v"))
+        *keys, cur.alias("_cur"), prev.alias("_prev"), F.explode(pairs).alias("_tv")
+    ).select(*keys, "_cur", "_prev", F.col("_tv.fee").alias("_fee"), F.col("_tv.t").alias("_t"), F.col("_tv.v").alias("_v"))
     is_hash = F.col("_t") == 1
     level1 = tagged.groupBy(*keys, "_t", "_v").agg(
         F.bool_or("_cur").alias("_c"),
         F.bool_or("_prev").alias("_p"),
-        F.sum(F.when(is_hash & F.col("_cur"), F.col("_fee"))).alias("_fc"),
-        F.sum(F.when(is_hash & F.col("_prev"), F.col("_fee"))).alias("_fp"),
+        F.sum(F.when(F.col("_cur"), F.col("_fee"))).alias("_fc"),
+        F.sum(F.when(F.col("_prev"), F.col("_fee"))).alias("_fp"),
     )
     counted = F.col("_v").isNotNull()
     return level1.groupBy(*keys).agg(

@@ -11,17 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import PRICE_SYMBOL, PRICE_UNITS, fee_wei, parts, whole
+from ..functions.exprs import PRICE_SYMBOL, PRICE_UNITS, parts, whole
+from ..functions.money import fees, sum_wei
 from ..timeframe import period_start
 
 
 def hourly_revenue(tx: DataFrame) -> DataFrame:
     """Fee revenue per hour, zero-gas-price rows excluded: ``hour, rev_wei``."""
-    return (
-        tx.filter(F.col("receipt_effective_gas_price") > 0)
-        .groupBy(period_start("block_timestamp", "hour").alias("hour"))
-        .agg(F.sum(fee_wei()).alias("rev_wei"))
-    )
+    return sum_wei(tx.filter(F.col("receipt_effective_gas_price") > 0), [period_start("block_timestamp", "hour").alias("hour")], fees())
 
 
 def priced_hours(tx: DataFrame, prices: DataFrame, symbol: str = PRICE_SYMBOL) -> DataFrame:

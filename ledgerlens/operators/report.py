@@ -13,10 +13,11 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import amount, fee_wei, long_label, to_units
+from ..functions.exprs import amount, long_label, period, to_units
 from ..functions.joins import bounded
+from ..functions.money import fees, sum_wei
 from ..sources.registry import Tables
-from ..timeframe import Timeframe, as_datetime
+from ..timeframe import Timeframe, as_datetime, ntz
 from .periods import PERIOD, period_agg
 
 # Cost and revenue series of the report and their source columns.
@@ -33,11 +34,12 @@ def daily_report(tables: Tables, start: dt.date | str, end: dt.date | str) -> Da
     lo, hi = as_datetime(start), as_datetime(end)
     day = Timeframe.DAY
     tx = tables["transactions"].filter(F.col("receipt_effective_gas_price") > 0)
-    l2 = period_agg(tx, "block_timestamp", day, [F.sum(fee_wei()).alias("rev_wei"), F.count(F.lit(1)).alias("l2_transaction_quantity")], since=lo, until=hi)
+    inside = tx.filter((F.col("block_timestamp") >= ntz(lo)) & (F.col("block_timestamp") <= ntz(hi)))
+    l2 = sum_wei(inside, [period("block_timestamp", day).alias(PERIOD)], fees(), more=(F.count(F.lit(1)).alias("l2_transaction_quantity"),))
     joined = l2
     for name, table, col in SERIES:
         # At most one row per day in [start, end].
-        series = period_agg(tables[table], "block_timestamp", day, [F.sum(to_units(col)).alias(name)], since=lo, until=hi)
+        series = period_agg(tables[table], "block_timestamp", day, [F.sum(F.col(col).cast("decimal(38,18)")).alias(name)], since=lo, until=hi).select(PERIOD, to_units(name).alias(name))
         joined = joined.join(bounded(series), PERIOD, "left")
     l1_oracle = F.coalesce("l1_gas_oracle_cost", F.lit(0))
     l2_oracle = F.coalesce("l2_gas_oracle_cost", F.lit(0))

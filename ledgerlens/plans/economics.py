@@ -10,20 +10,26 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import amount, carried, fee_wei, l2_fee_wei, share_pct, to_units
+from ..functions.exprs import amount, carried, l2_fee_wei, share_pct, to_units
 from ..functions.joins import bounded
+from ..functions.money import WeiSum, fees, sum_wei
 from ..operators.periods import PERIOD, labelled, period_agg
 from ..operators.prices import priced_hours, value_hours
 from ..sources.registry import Tables
 from ..timeframe import Timeframe, as_datetime, ntz, period_start, shift
 
 TX = "transactions"
+L1_WEI = WeiSum("l1_wei", plain="receipt_l1_fee")
+L2_WEI = WeiSum("l2_wei", price="receipt_effective_gas_price", gas="receipt_gas_used")
 # Trailing windows of the scalar cards (None = all time).
 SCALAR_WINDOWS = {"week": (1, Timeframe.WEEK), "month": (1, Timeframe.MONTH), "all": None}
 
 
 def _costs(tables: Tables, table: str, tf: Timeframe, name: str) -> DataFrame:
-    return period_agg(tables[table], "block_timestamp", tf, [F.sum(to_units("gas_spend")).alias(name), F.sum(to_units("gas_spend_usd")).alias(f"{name}_usd")])
+    # Amounts of 18 places add up exactly as they are; only the totals turn into units.
+    sums = [F.sum(F.col(x).cast("decimal(38,18)")).alias(x) for x in ("gas_spend", "gas_spend_usd")]
+    per = period_agg(tables[table], "block_timestamp", tf, sums)
+    return per.select(PERIOD, to_units("gas_spend").alias(name), to_units("gas_spend_usd").alias(f"{name}_usd"))
 
 
 def hourly_fees(tables: Tables, as_of) -> DataFrame:
@@ -31,10 +37,8 @@ def hourly_fees(tables: Tables, as_of) -> DataFrame:
     ``l1_wei``, ``l2_wei``, ``transactions``. Fees are additive, so every hour-aligned economics series can read it instead of the
     transactions."""
     tx = tables.as_of(as_datetime(as_of))[TX]
-    return tx.groupBy(period_start("block_timestamp", "hour").alias("hour"), (F.col("receipt_effective_gas_price") > 0).alias("priced_gas")).agg(
-        F.sum(fee_wei()).alias("rev_wei"), F.sum("receipt_l1_fee").alias("l1_wei"), F.sum(l2_fee_wei()).alias("l2_wei"),
-        F.count(F.lit(1)).alias("transactions"),
-    )
+    by = [period_start("block_timestamp", "hour").alias("hour"), (F.col("receipt_effective_gas_price") > 0).alias("priced_gas")]
+    return sum_wei(tx, by, fees(), L1_WEI, L2_WEI, more=(F.count(F.lit(1)).alias("transactions"),))
 
 
 def _revenue(tables: Tables, tf: Timeframe, hourly: DataFrame | None = None) -> DataFrame:
@@ -103,23 +107,23 @@ def _windowed(tables: Tables, as_of: dt.datetime, window) -> Tables:
     return t.window(shift(as_of, -window[0], window[1])) if window else t
 
 
-def _revenue_rows(t: Tables, as_of: dt.datetime, window, hourly: DataFrame | None) -> DataFrame:
-    """Revenue rows (``_v`` = wei) of the window: transactions, or the hourly rollup and the transactions of the partial hour at the
+def _revenue_total(t: Tables, as_of: dt.datetime, window, hourly: DataFrame | None) -> DataFrame:
+    """One row, ``rev_wei``, of the window: from the transactions, or from the hourly rollup and the transactions of the partial hour at the
     window's start."""
-    if hourly is not None:
-        priced = hourly.filter(F.col("priced_gas"))
-        if window is None:
-            return priced.select(F.col("rev_wei").alias("_v"))
-        start = shift(as_of, -window[0], window[1])
-        hour = start.replace(minute=0, second=0, microsecond=0)
-        if hour == start:
-            return priced.filter(F.col("hour") >= ntz(hour)).select(F.col("rev_wei").alias("_v"))
-        whole = hour + dt.timedelta(hours=1)
-        first = t.window(start, whole, names=(TX,))[TX].filter((F.col("block_timestamp") >= ntz(start)) & (F.col("block_timestamp") < ntz(whole)))
-        rest = first.filter(F.col("receipt_effective_gas_price") > 0).select(fee_wei().cast("decimal(38,0)").alias("_v"))
-        return priced.filter(F.col("hour") >= ntz(whole)).select(F.col("rev_wei").cast("decimal(38,0)").alias("_v")).unionByName(rest)
-    tx = _since(t[TX], as_of, window).filter(F.col("receipt_effective_gas_price") > 0)
-    return tx.select(fee_wei().alias("_v"))
+    if hourly is None:
+        return sum_wei(_since(t[TX], as_of, window).filter(F.col("receipt_effective_gas_price") > 0), [], fees())
+    priced = hourly.filter(F.col("priced_gas"))
+    if window is None:
+        return priced.agg(F.sum("rev_wei").alias("rev_wei"))
+    start = shift(as_of, -window[0], window[1])
+    hour = start.replace(minute=0, second=0, microsecond=0)
+    if hour == start:
+        return priced.filter(F.col("hour") >= ntz(hour)).agg(F.sum("rev_wei").alias("rev_wei"))
+    whole = hour + dt.timedelta(hours=1)
+    first = t.window(start, whole, names=(TX,))[TX].filter((F.col("block_timestamp") >= ntz(start)) & (F.col("block_timestamp") < ntz(whole)))
+    rest = sum_wei(first.filter(F.col("receipt_effective_gas_price") > 0), [], fees())
+    hours = priced.filter(F.col("hour") >= ntz(whole)).agg(F.sum("rev_wei").cast("decimal(38,0)").alias("rev_wei"))
+    return hours.unionByName(rest).agg(F.sum("rev_wei").alias("rev_wei"))
 
 
 def scalar_revenue(tables: Tables, as_of, window: str, hourly: DataFrame | None = None) -> DataFrame:
@@ -127,8 +131,7 @@ def scalar_revenue(tables: Tables, as_of, window: str, hourly: DataFrame | None
     With ``hourly`` (the rollup) a trailing window reads transactions of its first, partial hour only."""
     as_of = as_datetime(as_of)
     win = SCALAR_WINDOWS[window]
-    rev = _revenue_rows(_windowed(tables, as_of, win), as_of, win, hourly).agg(F.sum("_v").alias("rev_wei"))
-    return rev.select(amount("rev_wei").alias("gas_rev"))
+    return _revenue_total(_windowed(tables, as_of, win), as_of, win, hourly).select(amount("rev_wei").alias("gas_rev"))
 
 
 def scalar_profit(tables: Tables, as_of, window: str, hourly: DataFrame | None = None) -> DataFrame:
@@ -137,31 +140,33 @@ def scalar_profit(tables: Tables, as_of, window: str, hourly: DataFrame | None =
     as_of = as_datetime(as_of)
     win = SCALAR_WINDOWS[window]
     t = _windowed(tables, as_of, win)
-    # Revenue rows and the two cost tables' rows, tagged, in one global aggregate (no join of the three totals).
-    # All in wei, so that the union widens nothing.
     value = "decimal(38,0)"
-    parts = [
-        _revenue_rows(t, as_of, win, hourly).select(F.lit("rev").alias("_k"), F.col("_v").cast(value).alias("_v")),
-        _since(t["l1_batch_fees"], as_of, win).select(F.lit("bf").alias("_k"), to_units("gas_spend").alias("_v")),
-        _since(t["l1_verification_fees"], as_of, win).select(F.lit("vf").alias("_k"), to_units("gas_spend").alias("_v")),
-    ]
-    tagged = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    totals = tagged.agg(*[F.sum(F.when(F.col("_k") == k, F.col("_v"))).alias(k) for k in ("rev", "bf", "vf")])
-    profit = F.col("rev") - F.coalesce("bf", F.lit(0)) - F.coalesce("vf", F.lit(0))
-    return totals.select(amount(profit).alias("profit"))
+
+    def cost(table: str) -> DataFrame:
+        return _since(t[table], as_of, win).agg(F.sum(F.col("gas_spend").cast("decimal(38,18)")).alias("v")).select(F.lit("cost").alias("k"), to_units("v").cast(value).alias("v"))
+
+    # Three totals of one row each, tagged and put together without a join.
+    rev = _revenue_total(t, as_of, win, hourly).select(F.lit("rev").alias("k"), F.col("rev_wei").cast(value).alias("v"))
+    totals = rev.unionByName(cost("l1_batch_fees")).unionByName(cost("l1_verification_fees"))
+    total = totals.agg(*[F.sum(F.when(F.col("k") == k, F.col("v"))).alias(k) for k in ("rev", "cost")])
+    return total.select(amount(F.col("rev") - F.coalesce("cost", F.lit(0))).alias("profit"))
 
 
 def l1vl2fee(tables: Tables, as_of, tf: Timeframe | str, hourly: DataFrame | None = None) -> DataFrame:
-    """Share (%) of the L1 data fee and of the L2 execution fee in the total fee per period: ``date, l1_fee, l2_fee``."""
+    """Share (%) of the L1 data fee and of the L2 execution fee in the total fee per period: ``date, l1_fee, l2_fee``. The total
+    leaves out rows that lack one of the two fees."""
     tf = Timeframe.parse(tf)
     if hourly is not None:
-        sums = [F.sum("l1_wei").alias("l1"), F.sum("l2_wei").alias("l2"), F.sum("rev_wei").alias("total")]
+        sums = [F.sum("l1_wei").alias("l1_wei"), F.sum("l2_wei").alias("l2_wei"), F.sum("rev_wei").alias("total")]
         agg = period_agg(hourly, "hour", tf, sums)
     else:
         t = tables.as_of(as_datetime(as_of))
-        sums = [F.sum("receipt_l1_fee").alias("l1"), F.sum(l2_fee_wei()).alias("l2"), F.sum(fee_wei()).alias("total")]
-        agg = period_agg(t[TX], "block_timestamp", tf, sums)
-    return labelled(agg.select(PERIOD, share_pct("l1", "total").alias("l1_fee"), share_pct("l2", "total").alias("l2_fee")))
+        by = [period_start("block_timestamp", tf).alias(PERIOD)]
+        half = F.col("receipt_l1_fee").isNull() != l2_fee_wei().isNull()
+        rows = t[TX].withColumns({"_half": half, "_lone": F.when(half, F.coalesce(F.col("receipt_l1_fee").cast("decimal(38,0)"), l2_fee_wei().cast("decimal(38,0)")))})
+        agg = sum_wei(rows, by, L1_WEI, L2_WEI, more=(F.expr("sum(_lone) FILTER (WHERE _half)").alias("_lone"),))
+        agg = agg.withColumn("total", F.col("l1_wei") + F.col("l2_wei") - F.coalesce("_lone", F.lit(0)))
+    return labelled(agg.select(PERIOD, share_pct("l1_wei", "total").alias("l1_fee"), share_pct("l2_wei", "total").alias("l2_fee")))
 
 
 def dashboard(tables: Tables, as_of, timeframe: Timeframe | str = Timeframe.MONTH, hourly: DataFrame | None = None) -> dict[str, DataFrame]:
