@@ -74,7 +74,7 @@ def catalog() -> dict[str, Entry]:
     out: dict[str, Entry] = {}
 
     def add(name, run, oracle_sql, endpoint, tf=None):
-        headline = endpoint != "stored" and (tf is None or DEFAULT_TF.get(endpoint) == tf)
+        headline = endpoint not in ("stored", "users one pass") and (tf is None or DEFAULT_TF.get(endpoint) == tf)
         out[name] = Entry(run, oracle_sql, endpoint, headline)
 
     # users: cards
@@ -100,6 +100,7 @@ def catalog() -> dict[str, Entry]:
         busy, variant = (fx.dense, "dense") if tf == "day" else (_long, "long")
         for chart, measure in (("contract_transactions_chart", "num_transactions"), ("contract_gas_chart", "eth_fees"), ("contract_users_chart", "num_unique_wallets")):
             add(f"{chart}_{tf}", lambda s, d, tf=tf, fn=getattr(users, chart), busy=busy: fn(busy(s, d), L, tf), sql.project_chart(L, tf, measure, variant=variant), "users", tf)
+        add(f"project_charts_{tf}", lambda s, d, tf=tf, busy=busy: users.project_charts(busy(s, d), L, tf), sql.project_charts(L, tf, variant), "users one pass", tf)
         busy, variant = (_long, "long") if tf == "month" else (fx.dense, "dense")
         add(f"trending_contracts_{tf}", lambda s, d, tf=tf, busy=busy: users.trending_contracts(busy(s, d), L, tf), sql.trending_contracts(L, tf, variant=variant), "users", tf)
 

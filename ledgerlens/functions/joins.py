@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 def fits_broadcast(df: DataFrame) -> bool:
     """Whether Spark's own estimate of ``df`` is below its broadcast threshold, so that a join with it needs no shuffle."""
     limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() <= limit
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
 
 
 def bounded(df: DataFrame) -> DataFrame:

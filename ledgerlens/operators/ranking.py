@@ -25,25 +25,25 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import OTHER, amount, fee_wei, long_label, period, project_of
 from ..functions.aggs import distinct_counts
-from ..functions.joins import bounded
+from ..functions.joins import bounded, fits_broadcast
 from ..timeframe import Timeframe
 from .periods import PERIOD
 
 
-def top_k_other(agg: DataFrame, measure: str, rank_by: str, wallets: str, k: int = 10, min_wallets: int = 10) -> DataFrame:
-    """``agg`` has one row per (``_period``, ``project``). Returns ``_period, project, {measure}`` with at most
+def top_k_other(agg: DataFrame, measure: str, rank_by: str, wallets: str, k: int = 10, min_wallets: int = 10, by: tuple[str, ...] = (PERIOD,)) -> DataFrame:
+    """``agg`` has one row per (``_period``, ``project``), or per ``by`` and project. Returns ``_period, project, {measure}`` with at most
     ``k`` named projects and one ``Other`` row per period (when kept projects remain after the named ones)."""
     order = [F.col(rank_by).desc_nulls_first(), F.col("project").asc()]
-    rn = F.row_number().over(Window.partitionBy(PERIOD).orderBy(*order))
+    rn = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     named = agg.withColumn("_rn", rn).filter((F.col("_rn") <= k) & (F.col(wallets) > min_wallets))
     kept = agg.filter(F.col(wallets) > min_wallets)
     # Other = (all kept projects) - (named projects), per period, in one aggregate over a union (no join): a named row
     # enters twice, as itself and negated under ``Other``; the ranking runs once.
     row = lambda project, m, n: F.struct(project.alias("project"), m.alias("_m"), F.lit(n).alias("_n"))
     m = F.col(measure)
-    twice = named.select(PERIOD, F.inline(F.array(row(F.col("project"), m, 1), row(F.lit(OTHER), (-m).cast(agg.schema[measure].dataType), -1))))
-    union = twice.unionByName(kept.select(PERIOD, F.lit(OTHER).alias("project"), m.alias("_m"), F.lit(1).alias("_n")))
-    folded = union.groupBy(PERIOD, "project").agg(F.sum("_m").alias(measure), F.sum("_n").alias("_n"))
+    twice = named.select(*by, F.inline(F.array(row(F.col("project"), m, 1), row(F.lit(OTHER), (-m).cast(agg.schema[measure].dataType), -1))))
+    union = twice.unionByName(kept.select(*by, F.lit(OTHER).alias("project"), m.alias("_m"), F.lit(1).alias("_n")))
+    folded = union.groupBy(*by, "project").agg(F.sum("_m").alias(measure), F.sum("_n").alias("_n"))
     return folded.filter(F.col("_n") > 0).drop("_n")
 
 
@@ -51,8 +51,14 @@ def top_k_other(agg: DataFrame, measure: str, rank_by: str, wallets: str, k: int
 HOT_TARGETS = 10_000
 
 
+def _classified_rows(rows: DataFrame, contracts: DataFrame) -> DataFrame:
+    """:func:`_classified` for rows that cannot be reduced before the join: a broadcast join where Spark estimates the contracts
+    below its threshold, else :func:`_classified_spread`. Results are the same."""
+    return _classified(rows, contracts) if fits_broadcast(contracts.select("address")) else _classified_spread(rows, contracts)
+
+
 def _classified_spread(rows: DataFrame, contracts: DataFrame) -> DataFrame:
-    """:func:`_classified` for rows that cannot be reduced before the join, without shuffling them on a hot address.
+    """:func:`_classified` without shuffling rows on a hot address.
 
     The ``HOT_TARGETS`` most frequent targets (counted with map-side combining) meet the contracts first and are broadcast.
     Rows of these, and rows without a target, then go into the join with the contracts under a key made of their
@@ -98,22 +104,57 @@ def project_chart(tx: DataFrame, contracts: DataFrame, labels: DataFrame, tf: Ti
     if measure == "num_transactions":
         # Transaction hashes are (nearly) unique, so no reduction would happen before the join: rows meet the
         # contract table as they are, then both distinct counts run in one fixed-shape two-level aggregate.
-        rows = _classified_spread(base.drop("fee"), contracts)
+        rows = _classified_rows(base.drop("fee"), contracts)
         agg = distinct_counts(rows, [PERIOD, "project"], {"num_unique_wallets": "from_address", "num_transactions": "hash"})
-        rank_by = "num_unique_wallets"
     elif measure == "eth_fees":
         per_target = base.groupBy(*target, "from_address").agg(F.sum("fee").alias("fee"))
         agg = _classified(per_target, contracts).groupBy(PERIOD, "project").agg(
             F.count_distinct("from_address").alias("num_unique_wallets"), F.sum("fee").alias("fee_wei")
         )
-        rank_by = "fee_wei"
     elif measure == "num_unique_wallets":
         per_target = base.select(*target, "from_address").distinct()
         agg = _classified(per_target, contracts).groupBy(PERIOD, "project").agg(F.count_distinct("from_address").alias("num_unique_wallets"))
-        rank_by = "num_unique_wallets"
     else:
         raise ValueError(f"unknown measure {measure!r}")
-    value = "fee_wei" if measure == "eth_fees" else measure
+    return ranked_chart(agg, labels, measure, k, min_wallets)
+
+
+#: Measures of the project charts: column of the aggregate, and the one that ranks.
+MEASURES = {"num_transactions": ("num_transactions", "num_unique_wallets"), "eth_fees": ("fee_wei", "fee_wei"), "num_unique_wallets": ("num_unique_wallets", "num_unique_wallets")}
+
+
+def project_aggregate(tx: DataFrame, contracts: DataFrame, tf: Timeframe | str) -> DataFrame:
+    """One row per (``_period``, ``project``) with all measures, from one scan and one contract join: ``num_unique_wallets``,
+    ``num_transactions``, ``fee_wei``.
+
+    Each row is tagged twice, as its wallet and as its hash with the fee, and reduced to distinct (group, tag, value) with map-side
+    combining before it is counted, so a project with a third of all rows spreads over all tasks.
+    """
+    base = tx.select(period("block_timestamp", tf).alias(PERIOD), "to_address", (F.col("value") > 0).alias("_transfer"), "from_address", "hash", fee_wei().cast("decimal(38,0)").alias("fee"))
+    rows = _classified_rows(base, contracts)
+    tag = lambda t, v, fee: F.struct(F.lit(t).alias("t"), v.cast("string").alias("v"), fee.alias("fee"))
+    pairs = F.array(tag(0, F.col("from_address"), F.lit(None).cast("decimal(38,0)")), tag(1, F.col("hash"), F.col("fee")))
+    values = rows.select(PERIOD, "project", F.inline(pairs)).groupBy(PERIOD, "project", "t", "v").agg(F.sum("fee").alias("fee"))
+    known = F.col("v").isNotNull()
+    return values.groupBy(PERIOD, "project").agg(
+        F.count_if(known & (F.col("t") == 0)).alias("num_unique_wallets"), F.count_if(known & (F.col("t") == 1)).alias("num_transactions"), F.sum("fee").alias("fee_wei"))
+
+
+def project_charts(agg: DataFrame, labels: DataFrame, k: int = 10, min_wallets: int = 10) -> DataFrame:
+    """The three project charts over one :func:`project_aggregate`: ``chart, date, project`` and the chart's measure (the other two are
+    NULL). Every (period, project) row becomes a row per chart, and one ranking runs per chart and period."""
+    row = lambda m, value, rank_by: F.struct(F.lit(m).alias("chart"), F.col(value).cast("decimal(38,0)").alias("_value"), F.col(rank_by).cast("decimal(38,0)").alias("_rank"))
+    long_rows = agg.select(PERIOD, "project", "num_unique_wallets", F.inline(F.array(*[row(m, *of) for m, of in MEASURES.items()])))
+    folded = top_k_other(long_rows, "_value", "_rank", "num_unique_wallets", k, min_wallets, ("chart", PERIOD))
+    names = labels.select(F.col("address").alias("_address"), F.col("name").alias("_name"))
+    labelled = folded.join(names, folded["project"] == names["_address"], "left").orderBy("chart", PERIOD, F.col("_value").desc(), "project")
+    values = [F.when(F.col("chart") == m, amount("_value") if m == "eth_fees" else F.col("_value").cast("bigint")).alias(m) for m in MEASURES]
+    return labelled.select("chart", long_label(PERIOD).alias("date"), F.coalesce("_name", "project").alias("project"), *values)
+
+
+def ranked_chart(agg: DataFrame, labels: DataFrame, measure: str, k: int, min_wallets: int) -> DataFrame:
+    """A project chart from its (period, project) aggregate."""
+    value, rank_by = MEASURES[measure]
     folded = top_k_other(agg, value, rank_by, "num_unique_wallets", k, min_wallets)
 
     names = labels.select(F.col("address").alias("_address"), F.col("name").alias("_name"))

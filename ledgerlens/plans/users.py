@@ -15,7 +15,8 @@ from ..functions.exprs import period
 
 from ..operators.compare import trending
 from ..operators.periods import labelled, period_agg
-from ..operators.ranking import project_chart
+from ..operators.ranking import project_aggregate, project_chart, ranked_chart
+from ..operators.ranking import project_charts as _charts
 from ..operators.retention import cohort_retention
 from ..operators.trailing import Window, activity_cards, distinct_growth, trailing_distinct
 from ..sources.registry import Tables
@@ -101,6 +102,18 @@ def _project_chart(tables: Tables, as_of, tf, measure: str, min_wallets: int) ->
     return project_chart(t[TX], t["contracts"], t["labels_apps"], tf, measure, min_wallets=min_wallets)
 
 
+def project_rows(tables: Tables, as_of, tf: Timeframe | str) -> DataFrame:
+    """The aggregate behind all three project charts, one row per period and project (see ``ranking.project_aggregate``). Stored by
+    the publisher, it saves two of three scans and contract joins."""
+    t = tables.as_of(as_datetime(as_of))
+    return project_aggregate(t[TX], t["contracts"], tf)
+
+
+def project_charts(tables: Tables, as_of, tf: Timeframe | str, min_wallets: int = 10) -> DataFrame:
+    """The three project charts in one pass: ``chart, date, project, num_transactions, eth_fees, num_unique_wallets``."""
+    return _charts(project_rows(tables, as_of, tf), tables["labels_apps"], min_wallets=min_wallets)
+
+
 def contract_transactions_chart(tables: Tables, as_of, tf: Timeframe | str, min_wallets: int = 10) -> DataFrame:
     """Distinct transactions per period for the top 10 projects by wallets, the rest as ``Other``; projects with at
     most ``min_wallets`` wallets are left out: ``date, project, num_transactions``."""
@@ -131,11 +144,11 @@ def stamp(as_of) -> str:
     return as_datetime(as_of).strftime("%d/%m/%y %H:%M")
 
 
-def dashboard(tables: Tables, as_of, timeframe: Timeframe | str = Timeframe.WEEK, activity: DataFrame | None = None, senders=None, targets: DataFrame | None = None) -> dict:
+def dashboard(tables: Tables, as_of, timeframe: Timeframe | str = Timeframe.WEEK, activity: DataFrame | None = None, senders=None, targets: DataFrame | None = None, projects: DataFrame | None = None) -> dict:
     """All user metrics of one request, under the original response keys; plans only, no job runs here. Stored state replaces
     the transaction history where it is given: ``activity``, a (day, sender) rollup, for the three all-history charts; ``senders``, the
     key sets of :mod:`.stored`, for the cards and the charts of distinct senders; ``targets``, the (day, target, sender) rollup,
-    for the trending table (see :mod:`.rollups`)."""
+    for the trending table (see :mod:`.rollups`); ``projects``, a stored :func:`project_rows`, for the project charts."""
     from . import stored  # reads this module
 
     as_of, tf = as_datetime(as_of), Timeframe.parse(timeframe)
@@ -151,8 +164,8 @@ def dashboard(tables: Tables, as_of, timeframe: Timeframe | str = Timeframe.WEEK
         "active_accounts_chart": stored.active_accounts_chart(senders, as_of, tf) if senders else active_accounts_chart(tables, as_of, tf, activity),
         "transactions_chart": transactions_chart(tables, as_of, tf, activity),
         "retention_chart": stored.retention_chart(senders, as_of, tf) if senders else retention_chart(tables, as_of, tf, activity),
-        "contract_transactions_chart": contract_transactions_chart(tables, as_of, tf),
-        "contract_gas_chart": contract_gas_chart(tables, as_of, tf),
+        "contract_transactions_chart": contract_transactions_chart(tables, as_of, tf) if projects is None else ranked_chart(projects, tables["labels_apps"], "num_transactions", 10, 10),
+        "contract_gas_chart": contract_gas_chart(tables, as_of, tf) if projects is None else ranked_chart(projects, tables["labels_apps"], "eth_fees", 10, 10),
         "trending_contracts": trending_contracts(tables, as_of, tf) if targets is None else stored.trending_contracts(targets, tables, as_of, tf),
     }
 
@@ -167,6 +180,8 @@ __all__ = [
     "contract_transactions_chart",
     "contract_gas_chart",
     "contract_users_chart",
+    "project_rows",
+    "project_charts",
     "trending_contracts",
     "daily_activity",
     "dashboard",

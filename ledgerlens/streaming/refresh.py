@@ -11,6 +11,7 @@ lost executors only re-run tasks.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,13 +39,17 @@ DASHBOARDS: dict[str, Callable[..., dict]] = {
 USES = {"users": {"activity": "daily_activity", "targets": "target_activity"}, "bd": {"targets": "target_activity"}, "economics": {"hourly": "hourly_fees"}}
 
 
-def _stored(spark: SparkSession, tables: Tables, root: str, name: str, as_of: dt.datetime, options: dict) -> dict:
+def _stored(spark: SparkSession, tables: Tables, root: str, name: str, as_of: dt.datetime, timeframe, options: dict) -> dict:
     """The stored state a dashboard reads, brought up to ``as_of``."""
     out = {}
     for argument, rollup in USES.get(name, {}).items():
         rollups.refresh(spark, tables, root, as_of, (rollup,))
         out[argument] = rollups.read(spark, tables, root, rollup, as_of)
     if name == "users":
+        # The three project charts read one stored aggregate: a row per period and project.
+        path = f"{root.rstrip('/')}/projects/{uuid.uuid4().hex}"
+        users.project_rows(tables, as_of, timeframe).write.parquet(path)
+        out["projects"] = spark.read.parquet(path)
         out["senders"] = stored.senders(spark, tables, f"{root.rstrip('/')}/senders", as_of)
     if name == "deployers":
         out["key_sets"] = stored.key_deployers(spark, tables, f"{root.rstrip('/')}/key_deployers-{options['chain']}", as_of, options["chain"])
@@ -69,7 +74,7 @@ def publish(
     for name in names:
         extra = dict((options or {}).get(name, {}))
         if rollup_dir:
-            extra |= _stored(spark or SparkSession.active(), tables, rollup_dir, name, as_of, extra)
+            extra |= _stored(spark or SparkSession.active(), tables, rollup_dir, name, as_of, timeframe, extra)
         results = DASHBOARDS[name](tables, as_of, timeframe, **extra)
         for key, path in write_dashboard(results, f"{out_dir.rstrip('/')}/{name}", fmt).items():
             written[f"{name}.{key}"] = path

@@ -142,3 +142,15 @@ def test_partitioned_layout_gives_same_results(stored, day_partitioned, metric):
     a = sorted(map(tuple, metric(stored).collect()))
     b = sorted(map(tuple, metric(day_partitioned).collect()))
     assert a == b and a
+
+
+def test_project_charts_share_one_scan_and_one_contract_join(spark, stored):
+    charts = users.project_charts(stored, fx.LONG_AS_OF, "month", min_wallets=0)
+    rows = charts.collect()
+    final = physical(charts).split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final
+    scans = [line for line in final.split("\n") if "FileScan parquet" in line and "/transactions" in line]
+    assert len(scans) == 1 and sum("/contracts" in line for line in final.split("\n") if "FileScan parquet" in line) == 1
+    for chart, fn in (("num_transactions", users.contract_transactions_chart), ("eth_fees", users.contract_gas_chart), ("num_unique_wallets", users.contract_users_chart)):
+        got = sorted((r.date, r.project, r[chart]) for r in rows if r.chart == chart)
+        assert got == sorted(map(tuple, fn(stored, fx.LONG_AS_OF, "month", min_wallets=0).collect())) and got
