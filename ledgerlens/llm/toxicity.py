@@ -2,13 +2,16 @@
 
 Each sentence of a text is a chain of words with two states, ordinary and toxic. A word's features (itself, and its
 prefixes where the word goes on) give its emission, neighbouring states a transition; forward-backward marginals tag
-toxic spans, and a document's score is the probability that any word is toxic (noisy-or of the marginals), calibrated
-by a logistic line.
+toxic spans, and a document's score is the probability that any of its ``EVIDENCE`` most suspicious words is toxic (noisy-or of their
+marginals), calibrated by a logistic line. A fixed number of words keeps the score from growing with the length of the text: the faint
+doubt about every ordinary word would add up otherwise.
 
 Training needs labelled tokens. They come from labelled documents: in a toxic document a word is toxic if one of its features
 is found in toxic documents far more often than chance allows and seldom elsewhere, and half toxic if it is found elsewhere
-too; all words of other documents are ordinary. Training runs on the driver on a hash sample of at most about ``train_toxic`` + ``train_clean`` labelled documents of at most ``train_chars``
-characters each: a documented bound. Scoring reads every whole text.
+too; all words of other documents are ordinary. Training runs on the driver on a hash sample of labelled documents, whole and of any
+length: about ``train_toxic`` + ``train_clean`` of them at most, and about ``train_chars`` characters of each class in all (a documented
+bound; the sample gets thinner for either). The logistic line is then fitted on all labelled documents, whose raw scores Spark
+computes and counts in bins. Scoring reads every whole text.
 
 Null or empty texts, and texts without letters, have the score of no toxic word. Labels that are null, or whose document is not
 there, are left out; of several labels of one document the highest counts. Without any usable label nothing is known and
@@ -32,6 +35,10 @@ from .common import append_struct, fresh_name
 TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
 STOPS = frozenset(".!?\n")
 PREFIXES = (4, 5, 6, 7)
+#: Words of a document that count for its score.
+EVIDENCE = 8
+#: Raw scores are counted in bins of this width between these ends.
+BIN, RAW_ENDS = 0.125, 12.0
 #: At most so many words are remembered with their emission.
 REMEMBER = 400_000
 
@@ -111,7 +118,7 @@ class Field:
         if found is None:
             if len(self.known) >= REMEMBER:
                 self.known.clear()
-            total = self.bias + sum(self.weights.get(f, 0.0) for f in features(token)) if token not in STOPS else math.nan
+            total = self.bias + sum(self.weights.get(f, 0.0) for f in features(token.lower())) if token not in STOPS else math.nan
             found = math.exp(min(total, 60.0)) if total == total else math.nan
             if len(token) <= 40:
                 self.known[token] = found
@@ -133,20 +140,23 @@ class Field:
         return np.where(np.isnan(e), 0.0, odds / (1 + odds))
 
     def raw(self, p: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Log odds that any word of a document is toxic."""
-        if len(offsets) < 2:
-            return np.zeros(0)
-        none = np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-9)), offsets[:-1])
+        """Log odds that any of a document's most suspicious words is toxic."""
+        none = np.zeros(len(offsets) - 1)
+        doubt = np.log1p(-np.minimum(p, 1 - 1e-9))
+        for k, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+            none[k] = (doubt[a:b] if b - a <= EVIDENCE else np.partition(doubt[a:b], EVIDENCE)[:EVIDENCE]).sum()
         return np.log(np.maximum(-np.expm1(none), 1e-12)) - np.maximum(none, -30)
 
     def score(self, raw: np.ndarray) -> np.ndarray:
         if self.line is None:
             return np.zeros(len(raw))
+        raw = np.clip(raw, -RAW_ENDS, RAW_ENDS)
         return 1 / (1 + np.exp(-np.clip(self.line[0] * raw + self.line[1], -60, 60)))
 
 
 def tokens(text: str) -> list[str]:
-    return TOKEN.findall(text.lower())
+    """Words and boundaries as they stand in the text; features are those of the lower-cased word."""
+    return TOKEN.findall(text)
 
 
 def telling(docs: list[set[str]], toxic: list[int], *, log_chance: float = -11.0, support: int = 3) -> dict[str, float]:
@@ -172,78 +182,6 @@ def telling(docs: list[set[str]], toxic: list[int], *, log_chance: float = -11.0
     return out
 
 
-class Field:
-    """The trained chain: feature weights, transitions, and the line that turns a noisy-or into a score."""
-
-    def __init__(self, weights: dict[str, float], bias: float, transitions: np.ndarray, line: tuple[float, float] | None):
-        self.weights, self.bias, self.transitions, self.line = weights, bias, transitions, line
-        self.known: dict[str, float] = {}
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}}
-
-    def emission(self, token: str) -> float:
-        """Emission odds of a token; NaN at a boundary."""
-        found = self.known.get(token)
-        if found is None:
-            if len(self.known) >= REMEMBER:
-                self.known.clear()
-            total = self.bias + sum(self.weights.get(f, 0.0) for f in features(token)) if token not in STOPS else math.nan
-            found = math.exp(min(total, 60.0)) if total == total else math.nan
-            if len(token) <= 40:
-                self.known[token] = found
-        return found
-
-    def marginals(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Toxic probability of every token of all documents (0 at boundaries), and the documents' offsets."""
-        get = self.emission
-        sizes = [len(d) + 1 for d in docs]
-        e = np.full(sum(sizes), np.nan)
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        for k, d in enumerate(docs):
-            e[offsets[k]:offsets[k + 1] - 1] = list(map(get, d))
-        return self.probabilities(e), offsets
-
-    def probabilities(self, e: np.ndarray) -> np.ndarray:
-        left, right = forward_backward(e, *chains(e), self.transitions)
-        odds = left * right
-        return np.where(np.isnan(e), 0.0, odds / (1 + odds))
-
-    def raw(self, p: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Log odds that any word of a document is toxic."""
-        if len(offsets) < 2:
-            return np.zeros(0)
-        none = np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-9)), offsets[:-1])
-        return np.log(np.maximum(-np.expm1(none), 1e-12)) - np.maximum(none, -30)
-
-    def score(self, raw: np.ndarray) -> np.ndarray:
-        if self.line is None:
-            return np.zeros(len(raw))
-        return 1 / (1 + np.exp(-np.clip(self.line[0] * raw + self.line[1], -60, 60)))
-
-
-def tokens(text: str) -> list[str]:
-    return TOKEN.findall(text.lower())
-
-
-def telling(docs: list[list[str]], toxic: list[int], *, log_chance: float = -11.0, support: int = 3) -> dict[str, float]:
-    """Features that toxic documents hold more often, with the label their words get there: 1, 0.5 or, if chance may do it, 0."""
-    yes, all_docs = Counter(), Counter()
-    for d, y in zip(docs, toxic, strict=True):
-        held = {f for w in set(d) - STOPS for f in features(w)}
-        all_docs.update(held)
-        if y:
-            yes.update(held)
-    rate = sum(toxic) / max(1, len(toxic))
-    out = {}
-    for f, n in yes.items():
-        if n >= support and n > rate * all_docs[f]:
-            chance = log_tail(n, all_docs[f], rate)
-            if chance <= -4:
-                out[f] = 0.0 if chance > log_chance else 1.0 if n >= 0.7 * all_docs[f] else 0.5
-    return out
-
-
 def train(texts: list[str], toxic: list[int], weight: list[float], *, steps: int = 90) -> Field:
     """The field from labelled documents; ``weight`` undoes the sampling of the classes in the calibration."""
     nothing = Field({}, -12.0, np.array([[1.0, 0.01], [0.5, 0.5]]), None)
@@ -252,7 +190,7 @@ def train(texts: list[str], toxic: list[int], weight: list[float], *, steps: int
     vocabulary: dict[str, int] = {"\n": 0}
     docs, held = [], []
     for t in texts:
-        words = tokens(t)
+        words = [w.lower() for w in tokens(t)]
         docs.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words] + [0], np.int32))
         held.append(docs[-1][np.unique(docs[-1], return_index=True)[1]])
     names = list(vocabulary)
@@ -313,7 +251,7 @@ def climb(w, bias, log_t, y, word, rows, cols, starts, lengths, after, steps, ra
 
 def calibrated(raw: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope (not negative) and shift of the logistic line from raw log odds to the label; Newton steps."""
-    x = np.stack([np.clip(raw, -12, 12), np.ones(len(raw))], 1)
+    x = np.stack([np.clip(raw, -RAW_ENDS, RAW_ENDS), np.ones(len(raw))], 1)
     at = np.array([0.5, 0.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
@@ -328,25 +266,45 @@ def bucket(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, train_toxic: int = 2000, train_clean: int = 3000, train_chars: int = 12_000) -> Field:
-    """Train on a hash sample of the labelled documents outside the held-out part."""
+def fit(docs: DataFrame, labels: DataFrame, *, train_toxic: int = 2000, train_clean: int = 3000, train_chars: int = 15_000_000) -> Field:
+    """Train on a hash sample of the labelled documents outside the held-out part, calibrate on all of them."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (bucket(F.col("doc_id")) != 2)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    share = {1: min(1.0, train_toxic / max(1, sizes.get(1, 0))), 0: min(1.0, train_clean / max(1, sizes.get(0, 0)))}
+    labelled = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(known, "doc_id")
+    sizes = {r["toxic"]: (r["n"], r["chars"]) for r in labelled.groupBy("toxic").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("chars")).collect()}
+    share = {}
+    for y, most in ((1, train_toxic), (0, train_clean)):
+        n, chars = sizes.get(y, (0, 0))
+        share[y] = min(1.0, most / max(1, n), train_chars / max(1, chars))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
-    chosen = known.where(F.when(F.col("toxic") == 1, part < share[1]).when(F.col("toxic") == 0, part < share[0]))
-    # The chosen labels are bounded by the two parameters, so they may be broadcast.
-    usable = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= train_chars))
-    rows = usable.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return train([r["text"] for r in rows], [int(r["toxic"]) for r in rows], [1 / share[int(r["toxic"])] for r in rows])
+    chosen = labelled.where(F.when(F.col("toxic") == 1, part < share[1]).when(F.col("toxic") == 0, part < share[0]))
+    rows = sorted((r["doc_id"], r["text"], int(r["toxic"])) for r in chosen.collect())
+    field = train([t for _, t, _ in rows], [y for *_, y in rows], [1 / share[y] for *_, y in rows])
+    if field.line is not None:
+        raw, seen = fresh_name(labelled, "raw"), []
+        binned = F.round(F.col(f"{raw}.raw") / BIN).cast("int").alias("bin")
+        for r in scored(labelled.where("toxic in (0, 1)"), field, into=raw).groupBy("toxic", binned).count().collect():
+            seen.append((r["bin"] * BIN, int(r["toxic"]), r["count"]))
+        field.line = calibrated(*(np.array(x, float) for x in zip(*sorted(seen), strict=True)))
+    return field
+
+
+def scored(docs: DataFrame, field: Field, text_col: str = "text", into: str = "raw") -> DataFrame:
+    """``docs`` with struct ``into``: the uncalibrated log odds, within ``RAW_ENDS``."""
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+
+    def run(texts: list) -> pa.StructArray:
+        field = shared.value
+        raw = field.raw(*field.marginals([tokens(x.decode("utf-8", "replace") if x else "") for x in texts]))
+        return pa.StructArray.from_arrays([pa.array(np.clip(raw, -RAW_ENDS, RAW_ENDS), pa.float64())], names=["raw"])
+
+    return append_struct(docs, text_col, run, T.StructType([T.StructField("raw", T.DoubleType())]), into, slice_bytes=2 << 20)
 
 
 def spans(text: str, p: np.ndarray, least: float = 0.5) -> list[dict]:
-    """Runs of toxic words as (start, end, highest probability); positions in code points of the lower-cased text."""
+    """Runs of toxic words as (start, end, highest probability); positions in code points of the text."""
     out: list[dict] = []
     last = -2
-    for k, m in enumerate(TOKEN.finditer(text.lower())):
+    for k, m in enumerate(TOKEN.finditer(text)):
         if p[k] >= least:
             if k == last + 1:
                 out[-1] |= {"end": m.end(), "p": max(out[-1]["p"], float(p[k]))}

@@ -1,5 +1,7 @@
 import itertools
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -38,21 +40,61 @@ def test_training_finds_planted_words_and_spans(spark):
             words[7] = words[30] = rng.choice(["zzvile", "zzvilest"])
         texts.append(" ".join(words) + ".")
     field = x.train(texts, toxic, [1.0] * 600)
-    rows = [(1, "Ünd ZZVILE abc. Now zzvilest. x", "s"), (2, "abc def", "s"), (3, None, "s"), (4, "", "s"), (5, "123 !!", "s"), (1, "Ünd ZZVILE abc. Now zzvilest. x", "s"), (None, "word " * 40000, "s")]
+    rows = [(1, "Ünd ZZVILE abc. Now zzvilest. x", "s"), (2, "abc def", "s"), (3, None, "s"), (4, "", "s"), (5, "123 !!", "s"), (1, "Ünd ZZVILE abc. Now zzvilest. x", "s"), (None, "word " * 40000, "s"),
+            (6, "word " * 10000, "s"), (7, " ".join(rng.choice(plain) for _ in range(20000)), "s"), (8, "İİİ x zzvile", "s")]
     out = x.score(spark.createDataFrame(rows, "doc_id long, text string, toxicity string"), field)
     assert out.columns == ["doc_id", "text", "toxicity", "_toxicity"]
     got = out.collect()
-    assert len(got) == 7
+    assert len(got) == 10
     for r in got:
         assert 0 <= r._toxicity.score <= 1
-        assert (r._toxicity.score >= 0.5) == (r.doc_id == 1)
-        assert [(s.start, s.end) for s in r._toxicity.spans] == ([(4, 10), (20, 28)] if r.doc_id == 1 else [])
+        assert (r._toxicity.score >= 0.3) == (r.doc_id in (1, 8))
+        assert [(s.start, s.end) for s in r._toxicity.spans] == {1: [(4, 10), (20, 28)], 8: [(6, 12)]}.get(r.doc_id, [])
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert x.score(empty, field).count() == 0
     none = x.fit(spark.createDataFrame(rows, "doc_id long, text string, z string"), spark.createDataFrame([(1, None), (None, 1), (77, 1)], "doc_id long, toxic int"))
     assert {r.toxicity.score for r in x.score(spark.createDataFrame(rows[:4], "doc_id long, text string, z string"), none).collect()} == {0.0}
 
 
+def plain_score(field, text):
+    """The score of one document, sentence by sentence and word by word."""
+    p, (a, b), (c, d) = [], *field.transitions.tolist()
+    for sentence in re.split(r"[.!?\n]", text):
+        e = [math.exp(min(60.0, field.bias + sum(field.weights.get(f, 0.0) for f in x.features(w.lower())))) for w in re.findall(r"[^\W\d_]+", sentence)]
+        ahead = []
+        for k, odds in enumerate(e):
+            ahead.append(odds * (b / a if k == 0 else (b + d * ahead[-1]) / (a + c * ahead[-1])))
+        back = 1.0
+        for k in range(len(e) - 1, -1, -1):
+            p.append(ahead[k] * back / (1 + ahead[k] * back))
+            back = (c + d * e[k] * back) / (a + b * e[k] * back)
+    none = sum(math.log1p(-min(q, 1 - 1e-9)) for q in sorted(p)[-x.EVIDENCE:])
+    raw = math.log(max(-math.expm1(none), 1e-12)) - max(none, -30)
+    return 1 / (1 + math.exp(-(field.line[0] * min(12.0, max(-12.0, raw)) + field.line[1])))
+
+
+def test_fitted_scores_equal_plain_recomputation(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    field = x.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    rows = x.score(docs, field, into="t").select("doc_id", "text", "t.score").collect()
+    assert len(rows) == 1000 and len({round(r.score, 6) for r in rows}) > 5
+    for r in rows:
+        assert abs(r.score - plain_score(field, r.text or "")) < 1e-9
+
+
+def test_sample_keeps_long_documents(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(x, "train", lambda texts, toxic, weight: taken.append((texts, toxic, weight)) or x.Field({}, 0.0, np.eye(2), None))
+    docs = [(k, "a " * (50 if k % 10 else 20000)) for k in range(300)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(300)], "doc_id long, toxic int")
+    x.fit(frame, labels)
+    assert sum(len(t) > 12000 for t in taken[0][0]) == sum(zlib.crc32(str(k).encode()) % 4 != 2 for k in range(0, 300, 10))
+    x.fit(frame, labels, train_chars=200_000)
+    assert sum(map(len, taken[1][0])) < 700_000 and set(taken[1][1]) <= {0, 1}
+
+
 def test_query_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
