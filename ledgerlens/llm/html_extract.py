@@ -6,9 +6,9 @@ that depends on whether the parent is a non-article part by its tag or its names
 again, and a node whose marginal probability of content is at least ``threshold`` keeps its text.
 
 The potentials are counts from labelled pages: pages that mark their article (``<article>``, ``<main>``), whose nodes
-inside it, apart from marked parts, are content. A node marked by its tag (``<nav>``) is clamped to boilerplate. A class, id
-or role that names such a part as a whole (``comments``, ``related-posts``; not ``related-work``, no id of a heading) is a
-feature: it weighs heavily until labelled articles hold such names, and what is under the node mostly goes with it. Counting runs on a hash sample of about ``train_pages`` of these pages
+inside it, apart from marked parts, are content. A node is marked by its tag (``<nav>``), or by a class, id or role that names
+such a part as a whole (``comments``, ``ad``, ``related-posts``; not ``related-work``, no id of a heading, no name of the page's body): it is clamped to
+boilerplate, however much text it holds and wherever it stands, and what is under it goes with it. Counting runs on a hash sample of about ``train_pages`` of these pages
 (a bound on the cost of training); small prior counts cover names that no labelled page has.
 
 Blocks keep page order; character references are decoded, white space in a block becomes one space, empty blocks
@@ -54,8 +54,8 @@ MAIN_TAGS = frozenset(["article", "main"])
 #: Prior counts of (feature, label): what any page would teach.
 PRIOR = {(("name", "marked"), 0): 50.0, (("name", "main"), 1): 50.0, **{(("tag", f"{t}:0"), 1): 20.0 for t in ("p", "h1", "h2", "h3", "blockquote", "pre")}}
 CLAMP = -60.0
-#: Count of a marked name in content before any is seen: it outweighs one or two blocks of text.
-UNSEEN = 1e-6
+#: Elements whose names speak of the page as a whole.
+PAGE_TAGS = frozenset(["html", "body", "main"])
 
 RESULT = T.StructType([
     T.StructField("text", T.StringType()),
@@ -73,12 +73,12 @@ def marks(names: set[str]) -> bool:
 
 
 class Node:
-    __slots__ = ("tag", "parent", "inside", "under", "marked", "named", "main", "chars", "linked", "all_chars", "all_linked", "run")
+    __slots__ = ("tag", "parent", "inside", "marked", "named", "main", "chars", "linked", "all_chars", "all_linked", "run")
 
-    def __init__(self, tag: str, parent: int, names: set[str], inside: bool = False, under: bool = False):
-        self.tag, self.parent, self.inside, self.under = tag, parent, inside, under  # a node above is marked, or named
-        self.marked = tag in MARKED_TAGS
-        self.named = not self.marked and marks(names)
+    def __init__(self, tag: str, parent: int, names: set[str], inside: bool = False):
+        self.tag, self.parent, self.inside = tag, parent, inside  # a node above is marked
+        self.named = tag not in MARKED_TAGS and tag not in PAGE_TAGS and marks(names)
+        self.marked = tag in MARKED_TAGS or self.named
         self.main = tag in MAIN_TAGS or any(not MAIN_NAMES.isdisjoint(p) and MARKED_NAMES.isdisjoint(p) for p in map(pieces_of, names))
         self.chars = self.linked = 0
         self.run: list[str] | None = None
@@ -156,7 +156,7 @@ def tree(page: str) -> tuple[list[Node], list[tuple[int, list[str]]]]:
         else:
             open_tags.append((tag, len(nodes)))
             above = nodes[parent]
-            nodes.append(Node(tag, parent, names, above.inside or above.marked, above.under or above.named))
+            nodes.append(Node(tag, parent, names, above.inside or above.marked))
         links += tag == "a"
     for n in nodes:
         n.all_chars, n.all_linked = n.chars, n.linked
@@ -179,17 +179,14 @@ def features(node: Node) -> list[tuple[str, str]]:
 
 
 def labels(nodes: list[Node]) -> list[int] | None:
-    """Content labels of a page that marks its article, else None. Parts with a marked name count as content in
-    ``<article>``, not in ``<main>`` alone, which often holds the comments as well."""
-    starts = [n.tag in MAIN_TAGS and not n.named and not n.under for n in nodes]
+    """Content labels of a page that marks its article, else None; marked parts and all under them are no content."""
+    starts = [n.tag in MAIN_TAGS and not n.marked and not n.inside for n in nodes]
     if not any(starts):
         return None
     out: list[int] = []
-    article: list[bool] = []
     for n, start in zip(nodes, starts, strict=True):
-        above = n.parent >= 0 and out[n.parent] and (not n.named or article[n.parent])
+        above = n.parent >= 0 and out[n.parent]
         out.append(int(not n.marked and not n.inside and bool(above or start)))
-        article.append(n.parent >= 0 and article[n.parent] or (start and n.tag == "article"))
     return out
 
 
@@ -205,19 +202,19 @@ class Model:
         names = {k[1] for k in seen if k[0] == "f"}
         self.unary = {f: self._ratio(seen, total, width, f) for f in names}
         self.edge = {}
-        for kind in ("in", "under", "marked", "named", "open"):
+        for kind in ("in", "marked", "open"):
             for a in (0, 1):
-                n = [seen["e", kind, a, b] + (1.0 if b == a or (kind == "named" and a) else 1e-9 if kind in ("in", "under") or (kind == "open" and a) else 0.1) for b in (0, 1)]
+                n = [seen["e", kind, a, b] + (1.0 if b == a or (kind == "marked" and a) else 1e-9 if kind == "in" or (kind == "open" and a) else 0.1) for b in (0, 1)]
                 self.edge[kind, a] = [math.log(x / sum(n)) for x in n]
 
     @staticmethod
     def _ratio(seen: Counter, total: dict, width: dict, f: tuple) -> float:
         """How much likelier the feature is under content (log ratio); amounts count half as they go together."""
-        p = [(seen["f", f, y] + (UNSEEN if y and f == ("name", "marked") else 1)) / (total[f[0], y] + width[f[0]]) for y in (0, 1)]
+        p = [(seen["f", f, y] + 1) / (total[f[0], y] + width[f[0]]) for y in (0, 1)]
         return (1.0 if f[0] != "size" else 0.5) * math.log(p[1] / p[0])
 
     def own(self, node: Node) -> float:
-        return CLAMP if node.marked else sum(self.unary.get(f, 0.0) for f in features(node))
+        return CLAMP if node.marked or node.inside else sum(self.unary.get(f, 0.0) for f in features(node))
 
     def marginals(self, nodes: list[Node]) -> list[float]:
         """Probability of content of each node: messages from the leaves up, then from the root down."""
@@ -248,8 +245,8 @@ class Model:
 
 
 def kind_of(node: Node) -> str:
-    """Kind of the edge above a node: in a marked part, of a marked node, under a named node, of a named node, or open."""
-    return "in" if node.inside else "marked" if node.marked else "under" if node.under else "named" if node.named else "open"
+    """Kind of the edge above a node: in a marked part, of a marked node, or open."""
+    return "in" if node.inside else "marked" if node.marked else "open"
 
 
 def log_sum(a: float, b: float) -> float:

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.01"
 def test_marginals_equal_enumeration():
     model = x.Model(x.counted(["<body><nav><li>a</li></nav><article><p>long text here</p><aside>b</aside></article></body>"] * 3))
     nodes, _ = x.tree("<body><nav><ul><li><a>x</a></ul></nav><div class=ad>y</div><main><h1>t</h1><p>some words</main>")
-    own = [-60.0 if n.marked else sum(model.unary.get(f, 0.0) for f in x.features(n)) for n in nodes]
+    own = [-60.0 if n.marked or n.inside else sum(model.unary.get(f, 0.0) for f in x.features(n)) for n in nodes]
     weight = {}
     for states in itertools.product((0, 1), repeat=len(nodes)):
         total = own[0] * states[0] + math.log(0.05) * states[0]
@@ -69,11 +69,16 @@ def test_article_blocks_with_slug_ids_and_modifier_classes(spark):
         assert x.extracted(SLUGS, model, 0.5)[0] == "Own text.\nRelated work\nAd hoc.\nSearch\nShort."
 
 
-def test_marked_names_are_learned():
-    page = "<body><div class=ad>Buy</div><article><h1>T</h1><p>Text of it.</p><div class=notice><p>Part of the article.</p></div></article></body>"
-    plain = x.Model(x.counted([page.replace(" class=notice", "")] * 200))
-    learned = x.Model(x.counted([page] * 200))
-    assert x.extracted(page, plain, 0.5)[0] == "T\nText of it."
-    assert x.extracted(page, learned, 0.5)[0] == "T\nText of it.\nPart of the article."
-    many = page.replace("<div class=notice>", "<div class=notice>" + "<p>More of it.</p>" * 8)
-    assert x.extracted(many, plain, 0.5)[0].count("More of it.") == 8  # text outweighs a name
+def test_marked_parts_are_never_returned():
+    part = lambda name, n: f"<{name}>" + "<p>A long remark of a reader, an offer or a hint that looks like running text.</p>" * n + f"</{name.split()[0]}>"
+    body = "<h1>T</h1><p>Text of it.</p>"
+    plain = f"<body class='search page'><nav><a href=/>x</a></nav><article>{body}</article></body>"
+    for attribute in ("class=comments", "class=ad", "class='notice big'", "id=newsletter", "role=complementary", "class=related-posts", "class=comment-list", "class='cookie-banner'", "class=sponsored"):
+        held = plain.replace("</article>", part(f"div {attribute}", 3) + "</article>")
+        for model in (x.Model(x.counted([plain] * 200)), x.Model(x.counted([held] * 200)), x.Model(x.counted([plain, held] * 100))):
+            for n in (1, 4, 8, 30):
+                inside = plain.replace("</article>", part(f"div {attribute}", n) + "<p>After.</p></article>")
+                outside = plain.replace("</body>", part(f"section {attribute}", n) + "</body>")
+                nested = plain.replace("</article>", f"<div {attribute}><article>" + part("div", n) + "</article></div></article>")
+                assert x.extracted(inside, model, 0.5)[0] == "T\nText of it.\nAfter.", (attribute, n)
+                assert x.extracted(outside, model, 0.5)[0] == x.extracted(nested, model, 0.5)[0] == "T\nText of it.", (attribute, n)
