@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import os
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -139,3 +141,60 @@ def test_em_recovers_reliabilities():
     assert abs(weak_labels.sigmoid(prior) - 0.7) < 0.03
     assert abs(odds[0][1] - odds[0][-1] - 2 * math.log(good / (1 - good))) < 0.5
     assert odds[2][1] - odds[2][-1] < 0.4 * (odds[0][1] - odds[0][-1])
+
+
+def vote(against, favour):
+    return -1 if against else 1 if favour else 0
+
+
+def votes_of(kind, match, before, after):
+    """The labelers in plain Python."""
+    digits = re.sub("[^0-9]", "", match)
+    issuer = re.match(r"3[47068]|4|5[1-5]|2[2-7]|6", digits)
+    reserved = kind in ("ip", "dotted") and (int(match.split(".")[0]) in (0, 127, 255) or 224 <= int(match.split(".")[0]) <= 255)
+    named = (kind == "email" and re.search(pii.HOSTS.replace("(?i)", ""), match, re.I)) or (kind == "phone" and re.match(pii.CALLING, match)) or (kind in ("card", "number") and issuer)
+    return (vote(kind in ("mailish", "dotted"), kind in pii.BASE or kind == "secret"), vote(kind == "number" and 13 <= len(digits) <= 19, kind == "card"), vote(reserved, named),
+            vote(re.search(pii.FAR.replace("(?i)", "") + r"\Z", before, re.I), re.search(pii.NEAR.replace("(?i)", "") + r"\Z", before, re.I)),
+            vote((before[-1:].isalnum()) or after[:1].isalnum(), before == "" or re.search(r"""[\s"'(<=:]\Z""", before)),
+            vote(re.match(r"^(.)\1+$", match) or re.search("0123456|1234567|0000000", match), len(match) >= 7))
+
+
+def test_added_spans_equal_plain_recomputation(spark):
+    texts = ["call 123456789012 or key 4111111111111112, page 987654321", "1.2.3.400 and host 10.0.0.999", "secret " + "ab12" * 10 + " no " + "f" * 40, "+49 30 12345678 near 493012345678 and 1234567890123456789012",
+             "4111 1111 1111 1111 then 41111111111111119", "token 00000000000000000000000000000000000000", "1.1.1.1 9.9.9.9999 x 222222222222"]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts * 3)], "doc_id long, text string")
+    spotted = pii.found(frame, into="p")
+    model = pii.fit(spotted, "p")
+    got = {r.doc_id: {tuple(s) for s in r.p.spans} for r in pii.detect(frame, into="p", model=model).collect()}
+    added = 0
+    for k, t in enumerate(texts * 3):
+        base, loose = base_spans(t), []
+        for kind, pattern in (("dotted", PATTERNS["ip"]), ("number", PATTERNS["card"]), ("secret", r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,}(?![0-9A-Za-z])")):
+            ends = [0]
+            for m in re.finditer(pattern, t):
+                keep = (kind == "dotted") or (kind == "number" and len(re.sub("[^0-9]", "", m.group())) >= 9) or kind == "secret"
+                if keep and (pii.BASE[{"dotted": 1, "number": 2}.get(kind, 0)], m.start(), m.end()) not in base:
+                    loose.append((kind, m.start(), m.end(), m.group(), t[max(ends[-1], m.start() - 24):m.start()], t[m.end():m.end() + 1]))
+                ends.append(m.end())
+        wanted = set(base)
+        for kind, a, b, *rest in loose:
+            v = votes_of(kind, *rest)
+            p = 1 / (1 + math.exp(-(model.bias + model.kinds[kind] + sum(w[x] for w, x in zip(model.votes, v, strict=True)))))
+            if p >= 0.5 and not any(x < b and a < y for _, x, y in base):
+                wanted.add((kind, a, b))
+                added += 1
+        assert got[k] == wanted, (t, got[k] ^ wanted)
+    assert added > 5
+
+
+MANY = int(os.environ.get('MANY_MATCHES', 20_000))
+
+
+def test_many_matches_in_one_text(spark):
+    text = " x ".join(f"{k * 7919 % 10**10:010d}" if k % 4 else f"10.{k % 256}.0.{k % 250}" for k in range(MANY))
+    frame = spark.createDataFrame([(1, text), (2, "a 12 " * MANY)], "doc_id long, text string")
+    model = pii.fit(pii.found(spark.createDataFrame([(1, "tel 1234567890")], "doc_id long, text string"), into="p"), "p")
+    since = time.time()
+    out = {r.doc_id: r for r in pii.detect(frame, into="p", model=model).collect()}
+    assert [tuple(s) for s in out[1].p.base] == base_spans(text) and len(out[1].p.base) >= MANY // 4 and out[2].p.base == []
+    assert time.time() - since < 120
