@@ -15,10 +15,9 @@ from .common import sha256_hex, shared_dir, table, written
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    field = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     held_out = F.coalesce(toxicity.bucket(F.col("doc_id")) == 2, F.lit(False))
-    return toxicity.score(docs, field, into="t").select("doc_id", held_out.alias("held_out"), F.col("t.score").alias("score"),
-                                                        (F.col("t.score") >= 0.3).cast("int").alias("predicted"), F.col("t.spans").alias("spans"))
+    out = toxicity.fit_and_score(docs, table(spark, sf_dir, "labels"))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "spans")
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

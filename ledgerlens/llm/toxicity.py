@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_struct, fresh_name
+from .common import append_struct, fresh_name, written
 
 TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
 STOPS = frozenset(".!?\n")
@@ -147,12 +147,6 @@ class Field:
             none[k] = (doubt[a:b] if b - a <= EVIDENCE else np.partition(doubt[a:b], EVIDENCE)[:EVIDENCE]).sum()
         return np.log(np.maximum(-np.expm1(none), 1e-12)) - np.maximum(none, -30)
 
-    def score(self, raw: np.ndarray) -> np.ndarray:
-        if self.line is None:
-            return np.zeros(len(raw))
-        raw = np.clip(raw, -RAW_ENDS, RAW_ENDS)
-        return 1 / (1 + np.exp(-np.clip(self.line[0] * raw + self.line[1], -60, 60)))
-
 
 def tokens(text: str) -> list[str]:
     """Words and boundaries as they stand in the text; features are those of the lower-cased word."""
@@ -266,38 +260,56 @@ def bucket(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, train_toxic: int = 2000, train_clean: int = 3000, train_chars: int = 15_000_000) -> Field:
-    """Train on a hash sample of the labelled documents outside the held-out part, calibrate on all of them."""
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (bucket(F.col("doc_id")) != 2)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    labelled = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(known, "doc_id")
-    sizes = {r["toxic"]: (r["n"], r["chars"]) for r in labelled.groupBy("toxic").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("chars")).collect()}
+def _known(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the labelled documents outside the held-out part."""
+    usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (bucket(F.col("doc_id")) != 2))
+    return usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def _trained(docs: DataFrame, known: DataFrame, train_toxic: int, train_clean: int, train_chars: int) -> Field:
+    """The field from a hash sample, its line from the sample alone."""
+    held = docs.select("doc_id", F.octet_length("text").alias("chars")).where("chars is not null").join(known, "doc_id")
+    sizes = {r["toxic"]: (r["n"], r["chars"]) for r in held.groupBy("toxic").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).collect()}
     share = {}
     for y, most in ((1, train_toxic), (0, train_clean)):
         n, chars = sizes.get(y, (0, 0))
         share[y] = min(1.0, most / max(1, n), train_chars / max(1, chars))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
-    chosen = labelled.where(F.when(F.col("toxic") == 1, part < share[1]).when(F.col("toxic") == 0, part < share[0]))
-    rows = sorted((r["doc_id"], r["text"], int(r["toxic"])) for r in chosen.collect())
-    field = train([t for _, t, _ in rows], [y for *_, y in rows], [1 / share[y] for *_, y in rows])
-    if field.line is not None:
-        raw, seen = fresh_name(labelled, "raw"), []
-        binned = F.round(F.col(f"{raw}.raw") / BIN).cast("int").alias("bin")
-        for r in scored(labelled.where("toxic in (0, 1)"), field, into=raw).groupBy("toxic", binned).count().collect():
-            seen.append((r["bin"] * BIN, int(r["toxic"]), r["count"]))
-        field.line = calibrated(*(np.array(x, float) for x in zip(*sorted(seen), strict=True)))
-    return field
+    chosen = known.where(F.when(F.col("toxic") == 1, part < share[1]).when(F.col("toxic") == 0, part < share[0]))
+    # The chosen labels are bounded by the parameters, so they may be broadcast and no text is shuffled.
+    sample = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    rows = sorted((r["doc_id"], r["text"], int(r["toxic"])) for r in sample.collect())
+    return train([t for _, t, _ in rows], [y for *_, y in rows], [1 / share[y] for *_, y in rows])
 
 
-def scored(docs: DataFrame, field: Field, text_col: str = "text", into: str = "raw") -> DataFrame:
-    """``docs`` with struct ``into``: the uncalibrated log odds, within ``RAW_ENDS``."""
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+def _line(raw: DataFrame, known: DataFrame) -> tuple[float, float] | None:
+    """The calibration from (doc_id, raw) of all labelled documents; two counts a bin come to the driver."""
+    met = raw.join(known.where("toxic in (0, 1)"), "doc_id")
+    seen = [(r["bin"] * BIN, int(r["toxic"]), r["count"]) for r in met.groupBy("toxic", F.round(F.col("raw") / BIN).cast("int").alias("bin")).count().collect()]
+    return calibrated(*(np.array(x, float) for x in zip(*sorted(seen), strict=True))) if seen else None
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, train_toxic: int = 2000, train_clean: int = 3000, train_chars: int = 6_000_000) -> Field:
+    """Train on a hash sample of the labelled documents outside the held-out part, calibrate on all of them."""
+    known = _known(labels)
+    field = _trained(docs, known, train_toxic, train_clean, train_chars)
+    if field.line is not None:
+        learned = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (bucket(F.col("doc_id")) != 2))
+        field.line = _line(tagged(learned, field, into="t").select("doc_id", "t.raw"), known) or field.line
+    return field
 
-    def run(texts: list) -> pa.StructArray:
-        field = shared.value
-        raw = field.raw(*field.marginals([tokens(x.decode("utf-8", "replace") if x else "") for x in texts]))
-        return pa.StructArray.from_arrays([pa.array(np.clip(raw, -RAW_ENDS, RAW_ENDS), pa.float64())], names=["raw"])
 
-    return append_struct(docs, text_col, run, T.StructType([T.StructField("raw", T.DoubleType())]), into, slice_bytes=2 << 20)
+def fit_and_score(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
+    """(doc_id, score, spans) of every row of ``docs``: as :func:`score` with :func:`fit`, but the texts are tagged once, the raw scores are
+    stored, and the line is fitted on those."""
+    known = _known(labels)
+    field = _trained(docs, known, **({"train_toxic": 2000, "train_clean": 3000, "train_chars": 6_000_000} | bounds))
+    if field.line is None:
+        return score(docs.select("doc_id", "text"), field, into="t").select("doc_id", "t.score", "t.spans")
+    raw = written(docs.sparkSession, tagged(docs.select("doc_id", F.col("text"), F.col("text").isNull().alias("none")), field, into="t").select("doc_id", "none", "t.raw", "t.spans"), "toxicity")
+    line = _line(raw.where("not none").select("doc_id", "raw"), known) or field.line
+    calibrated_score = 1 / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), F.lit(line[0]) * F.col("raw") + F.lit(line[1])))))
+    return raw.select("doc_id", calibrated_score.alias("score"), "spans")
 
 
 def spans(text: str, p: np.ndarray, least: float = 0.5) -> list[dict]:
@@ -314,8 +326,11 @@ def spans(text: str, p: np.ndarray, least: float = 0.5) -> list[dict]:
     return out
 
 
-def score(docs: DataFrame, field: Field, text_col: str = "text", into: str | None = None) -> DataFrame:
-    """``docs`` with struct ``into``: the ``score`` and the toxic ``spans``."""
+TAGGED = T.StructType([T.StructField("raw", T.DoubleType()), RESULT["spans"]])
+
+
+def tagged(docs: DataFrame, field: Field, text_col: str = "text", into: str = "tagged") -> DataFrame:
+    """``docs`` with struct ``into``: the uncalibrated log odds ``raw``, within ``RAW_ENDS``, and the toxic ``spans``."""
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(texts: list) -> pa.StructArray:
@@ -324,6 +339,16 @@ def score(docs: DataFrame, field: Field, text_col: str = "text", into: str | Non
         p, offsets = field.marginals([tokens(t) for t in plain])
         found = [spans(t, p[a:b]) if p[a:b].max(initial=0.0) >= 0.5 else [] for t, a, b in zip(plain, offsets[:-1], offsets[1:], strict=True)]
         span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])
-        return pa.StructArray.from_arrays([pa.array(field.score(field.raw(p, offsets)), pa.float64()), pa.array(found, pa.list_(span))], names=["score", "spans"])
+        raw = np.clip(field.raw(p, offsets), -RAW_ENDS, RAW_ENDS)
+        return pa.StructArray.from_arrays([pa.array(raw, pa.float64()), pa.array(found, pa.list_(span))], names=["raw", "spans"])
+
+    return append_struct(docs, text_col, run, TAGGED, into, slice_bytes=2 << 20)
+
 
-    return append_struct(docs, text_col, run, RESULT, into or fresh_name(docs, "toxicity"), slice_bytes=2 << 20)
+def score(docs: DataFrame, field: Field, text_col: str = "text", into: str | None = None) -> DataFrame:
+    """``docs`` with struct ``into``: the ``score`` and the toxic ``spans``."""
+    into = into or fresh_name(docs, "toxicity")
+    out = tagged(docs, field, text_col, into)
+    line, raw = field.line, F.col(into)["raw"]
+    value = 1 / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), F.lit(line[0]) * raw + F.lit(line[1]))))) if line else F.lit(0.0)
+    return out.withColumn(into, F.struct(value.alias("score"), F.col(into)["spans"].alias("spans")))

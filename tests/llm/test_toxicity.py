@@ -78,6 +78,8 @@ def test_fitted_scores_equal_plain_recomputation(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     field = x.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
     rows = x.score(docs, field, into="t").select("doc_id", "text", "t.score").collect()
+    once = sorted((r.doc_id, round(r.score, 9)) for r in x.fit_and_score(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect())
+    assert once == sorted((r.doc_id, round(r.score, 9)) for r in rows)
     assert len(rows) == 1000 and len({round(r.score, 6) for r in rows}) > 5
     for r in rows:
         assert abs(r.score - plain_score(field, r.text or "")) < 1e-9
