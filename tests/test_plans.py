@@ -79,7 +79,7 @@ def test_trending_contract_test_after_aggregation(stored):
 def test_price_join_meets_hourly_aggregate_not_rows(stored):
     plan = optimized(economics.gas_revenue(stored, fx.LONG_AS_OF, "month"))
     node = first_input_below(plan, "Join Inner")
-    assert node.startswith("Aggregate") and "AS hour" in node and "AS rev_wei" in node
+    assert node.startswith("Aggregate") and "AS hour" in node and "sum(_rev_wei_high" in node
 
 
 def test_retention_has_no_window_and_no_fact_join(stored):
