@@ -17,6 +17,7 @@ from . import oracle as sql
 from .plans import bd, deployers, economics, report, rollups, stored, users
 from .session import shared_dir
 from .sources import fixtures as fx
+from .sources.payloads import write_payloads
 from .timeframe import Timeframe
 
 TIMEFRAMES = ("day", "week", "month")
@@ -60,6 +61,13 @@ def _rollup(fixture: Callable, name: str, as_of):
     return rows
 
 
+def _payload_feed(spark: SparkSession, sf_dir: str):
+    """The long history with its protocol payloads written as one document per slug and read back as such."""
+    tables, folder = _long(spark, sf_dir), _state_dir(spark, sf_dir, "payloads")
+    write_payloads(tables["protocol_tvl"], folder)
+    return tables.with_payload_folder(spark, folder)
+
+
 # Default timeframe of each dashboard (the bench times these).
 DEFAULT_TF = {"users": "week", "bd": "month", "economics": "month", "deployers": "week", "developers": "week"}
 
@@ -118,6 +126,8 @@ def catalog() -> dict[str, Entry]:
     add("slugs", lambda s, d: bd.slugs(_long(s, d)), sql.slugs(), "bd")
     add("leaderboard_tvl", lambda s, d: bd.leaderboard_tvl(_long(s, d), L, "month", fx.FIXTURE_TVL_CHAIN), sql.leaderboard_tvl(L, "month"), "bd")
 
+    add("leaderboard_tvl_feed", lambda s, d: bd.leaderboard_tvl(_payload_feed(s, d), L, "month", fx.FIXTURE_TVL_CHAIN), sql.leaderboard_tvl(L, "month"), "stored")
+
     # economics
     for tf in TIMEFRAMES:
         add(f"gross_profit_{tf}", lambda s, d, tf=tf: economics.gross_profit(_long(s, d), L, tf), sql.gross_profit(L, tf), "economics", tf)

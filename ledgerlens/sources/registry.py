@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..timeframe import as_datetime, ntz
+from .payloads import read_payloads
 from .schemas import EVENT_TIME, PARTITION_COLUMNS, SCHEMAS, UNIQUE_KEYS, conform
 
 Factory = Callable[[], DataFrame]
@@ -114,6 +115,10 @@ class Tables(Mapping):
 
         return cls({name: reader(name) for name in wanted}, paths={name: f"{root.rstrip('/')}/{name}" for name in wanted})
 
+    def with_payload_folder(self, spark: SparkSession, folder: str) -> "Tables":
+        """This registry with the protocol payloads read from a folder of one JSON document per slug."""
+        return self.with_tables(protocol_tvl=lambda: read_payloads(spark, folder))
+
     @classmethod
     def from_catalog(cls, spark: SparkSession, prefix: str, names: list[str] | None = None) -> "Tables":
         """Read ``{prefix}.{name}`` through ``spark.table`` (catalog tables keep their partition pruning)."""
