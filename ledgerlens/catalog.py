@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracle as sql
 from .plans import bd, deployers, economics, report, rollups, stored, users
 from .session import shared_dir
+from .sources import bucketed
 from .sources import fixtures as fx
 from .sources.payloads import write_payloads
 from .timeframe import Timeframe
@@ -61,6 +62,19 @@ def _rollup(fixture: Callable, name: str, as_of):
     return rows
 
 
+def _by_target(fixture: Callable):
+    """Transactions and contracts of a fixture in the bucketed layout, written once a session."""
+
+    def targets(spark: SparkSession, sf_dir: str):
+        tables, root = fixture(spark, sf_dir), _state_dir(spark, sf_dir, f"targets-{fixture.__name__}")
+        prefix = f"targets_{fixture.__name__}_{zlib.crc32(root.encode()):08x}"
+        if bucketed.is_stored(spark, prefix):
+            return bucketed.read_targets(spark, prefix), tables
+        return bucketed.write_targets(spark, tables["transactions"], tables["contracts"], prefix, 8, root=root), tables
+
+    return targets
+
+
 def _payload_feed(spark: SparkSession, sf_dir: str):
     """The long history with its protocol payloads written as one document per slug and read back as such."""
     tables, folder = _long(spark, sf_dir), _state_dir(spark, sf_dir, "payloads")
@@ -173,6 +187,9 @@ def catalog() -> dict[str, Entry]:
             sql.returning_key_deployers(L, tf, chain), "stored", tf)
     for tf in ("day", "week"):
         add(f"stored_trending_contracts_{tf}", lambda s, d, tf=tf: stored.trending_contracts(*targets(s, d), L, tf), sql.trending_contracts(L, tf, variant="dense"), "stored", tf)
+    by_target = _by_target(fx.dense)
+    for tf in ("day", "week"):
+        add(f"stored_project_charts_{tf}", lambda s, d, tf=tf: stored.project_charts(*by_target(s, d), L, tf), sql.project_charts(L, tf, "dense"), "stored", tf)
     for window, interval in (("week", "1 WEEK"), ("month", "1 MONTH"), ("all", None)):
         add(f"stored_{window}_revenue", lambda s, d, w=window: _with_hours(economics.scalar_revenue, hourly(s, d), L, w), sql.scalar_revenue(L, interval), "stored")
         add(f"stored_{window}_gross_profit", lambda s, d, w=window: _with_hours(economics.scalar_profit, hourly(s, d), L, w), sql.scalar_profit(L, interval), "stored")

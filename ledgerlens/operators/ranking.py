@@ -47,6 +47,8 @@ def top_k_other(agg: DataFrame, measure: str, rank_by: str, wallets: str, k: int
     return folded.filter(F.col("_n") > 0).drop("_n")
 
 
+#: The column by which the bucketed layout of transactions is dealt.
+STORED_KEY = "target_key"
 #: Most frequent targets that are resolved by a broadcast: a bound by construction.
 HOT_TARGETS = 10_000
 
@@ -87,6 +89,18 @@ def _classified(rows: DataFrame, contracts: DataFrame) -> DataFrame:
     return kept.withColumn("project", project_of("_contract", "_transfer"))
 
 
+def _classified_stored(rows: DataFrame, contracts: DataFrame, hot: DataFrame) -> DataFrame:
+    """:func:`_classified` for rows of the bucketed layout (see ``sources/bucketed.py``): the join on its key needs no shuffle where
+    contracts are bucketed alike, and hot targets, one row each, are looked up apart. A contract's address is matched by
+    one of the two, never by both: a row's key is its target or no address."""
+    targets = contracts.select(F.col("address").alias("_contract"))
+    is_hot = targets.join(bounded(hot.select(F.col("address").alias("_hot"))), F.col("_hot") == F.col("_contract")).select("_hot")
+    some = rows.filter(F.col("to_address").isNotNull() | F.col("_transfer"))
+    joined = some.join(targets, F.col(STORED_KEY) == F.col("_contract"), "left").join(bounded(is_hot), F.col("to_address") == F.col("_hot"), "left")
+    is_contract = F.col("_contract").isNotNull() | F.col("_hot").isNotNull()
+    return joined.filter(is_contract | F.col("_transfer")).withColumn("project", project_of(F.when(is_contract, F.col("to_address")), "_transfer"))
+
+
 def project_chart(tx: DataFrame, contracts: DataFrame, labels: DataFrame, tf: Timeframe | str, measure: str, k: int = 10, min_wallets: int = 10) -> DataFrame:
     """Project chart for ``measure`` in ``num_transactions`` (ranked by wallets), ``eth_fees`` (ranked by fees) or
     ``num_unique_wallets`` (ranked by wallets). Output: ``date (yyyy-MM-dd), project, {measure}``.
@@ -123,15 +137,15 @@ def project_chart(tx: DataFrame, contracts: DataFrame, labels: DataFrame, tf: Ti
 MEASURES = {"num_transactions": ("num_transactions", "num_unique_wallets"), "eth_fees": ("fee_wei", "fee_wei"), "num_unique_wallets": ("num_unique_wallets", "num_unique_wallets")}
 
 
-def project_aggregate(tx: DataFrame, contracts: DataFrame, tf: Timeframe | str) -> DataFrame:
+def project_aggregate(tx: DataFrame, contracts: DataFrame, tf: Timeframe | str, hot: DataFrame | None = None) -> DataFrame:
     """One row per (``_period``, ``project``) with all measures, from one scan and one contract join: ``num_unique_wallets``,
-    ``num_transactions``, ``fee_wei``.
+    ``num_transactions``, ``fee_wei``. With ``hot``, the hot targets of the bucketed layout, that join shuffles neither side.
 
     Each row is tagged twice, as its wallet and as its hash with the fee, and reduced to distinct (group, tag, value) with map-side
     combining before it is counted, so a project with a third of all rows spreads over all tasks.
     """
-    base = tx.select(period("block_timestamp", tf).alias(PERIOD), "to_address", (F.col("value") > 0).alias("_transfer"), "from_address", "hash", fee_wei().cast("decimal(38,0)").alias("fee"))
-    rows = _classified_rows(base, contracts)
+    base = tx.select(period("block_timestamp", tf).alias(PERIOD), "to_address", (F.col("value") > 0).alias("_transfer"), "from_address", "hash", fee_wei().cast("decimal(38,0)").alias("fee"), *([] if hot is None else [STORED_KEY]))
+    rows = _classified_rows(base, contracts) if hot is None else _classified_stored(base, contracts, hot)
     tag = lambda t, v, fee: F.struct(F.lit(t).alias("t"), v.cast("string").alias("v"), fee.alias("fee"))
     pairs = F.array(tag(0, F.col("from_address"), F.lit(None).cast("decimal(38,0)")), tag(1, F.col("hash"), F.col("fee")))
     values = rows.select(PERIOD, "project", F.inline(pairs)).groupBy(PERIOD, "project", "t", "v").agg(F.sum("fee").alias("fee"))

@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from ..functions.exprs import NEWLY_ACTIVE, RETURNING, growth_card
 from ..operators.compare import APP, rank_apps, rank_trending, ranked_apps, two_period_from_pairs, two_period_pairs, window_parts
 from ..operators.periods import labelled
+from ..operators.ranking import project_aggregate
+from ..operators.ranking import project_charts as _charts
 from ..operators.retention import percentages
 from ..operators.trailing import Window
+from ..sources.bucketed import Targets
 from ..sources.registry import Tables
 from ..sources.schemas import EVENT_TIME, PARTITION_COLUMNS
 from ..state import manifest
@@ -151,3 +154,15 @@ def leaderboard(activity: DataFrame, tables: Tables, as_of, tf: Timeframe | str)
     pairs = two_period_pairs(activity, _edges(tables, as_of, tf), as_of, tf)
     apps = pairs.join(ranked_apps(tables["labels_apps"]), F.col("to_address") == F.col("_address"))
     return rank_apps(two_period_from_pairs(apps, APP))
+
+
+def project_rows(targets: Targets, as_of, tf: Timeframe | str) -> DataFrame:
+    """``users.project_rows`` over the bucketed layout: the transactions meet the contracts without a shuffle."""
+    as_of, part = as_datetime(as_of), PARTITION_COLUMNS[TX]
+    tx = targets.transactions.where((F.col(part) <= F.lit(as_of.date())) & (F.col("block_timestamp") <= ntz(as_of)))
+    return project_aggregate(tx, targets.contracts.where(F.col("block_timestamp") <= ntz(as_of)), tf, targets.hot)
+
+
+def project_charts(targets: Targets, tables: Tables, as_of, tf: Timeframe | str, min_wallets: int = 10) -> DataFrame:
+    """The three project charts over the bucketed layout: ``chart, date, project, num_transactions, eth_fees, num_unique_wallets``."""
+    return _charts(project_rows(targets, as_of, tf), tables["labels_apps"], min_wallets=min_wallets)

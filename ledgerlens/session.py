@@ -27,7 +27,9 @@ REQUIRED = {
 # Settings for a large cluster (100 TB of facts, ~1000 executors). The initial shuffle partition count is high so
 # that no reduce task of the big aggregates (per sender, per (period, value) pair) has to spill much; AQE coalesces
 # the small shuffles of per-period aggregates back to a few partitions. Scan splits of 256 MB keep task counts
-# manageable. A partition is skewed at 5x the median and above 256 MB (AQE then splits it).
+# manageable. A partition is skewed at 5x the median and above 256 MB (AQE then splits it). App labels beyond the
+# broadcast threshold make a Bloom filter of their addresses (at most 32 MB) that the scan of the transactions applies before
+# the join's shuffle; Spark puts it in where the transactions scanned exceed 10 GB and the labels' files are below 4 GB.
 CLUSTER = {
     "spark.sql.shuffle.partitions": "16000",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256MB",
@@ -36,6 +38,11 @@ CLUSTER = {
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256MB",
     "spark.sql.autoBroadcastJoinThreshold": "64MB",
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "4GB",
+    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "10000000",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumItems": "20000000",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": "268435456",
 }
 
 
