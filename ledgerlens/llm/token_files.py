@@ -1,15 +1,17 @@
 """Token ids in binary files: an adaptive context-mixing range coder in independent, checksummed blocks.
 
-Coder. The next id of a block is predicted by three models: adaptive counts of id groups with the id last seen in each
-(order 0), and the id that last followed the previous id (order 1) or the previous two (order 2), each with a confidence. Their distributions are mixed linearly; the mixing
+Coder. A block starts with its different ids in ascending order. Its next id is predicted by adaptive counts of these ids (order 0), by the ids
+that followed the previous id (order 1: the likely one with a confidence, and the other where order 2 names the likely one already), and by the id
+that followed the previous two (order 2, with a confidence). The distributions are mixed linearly; the mixing
 weights belong to the pair of confidences and move towards the model that was right. The mixture is one integer frequency
 table, whose interval of the id drives a carryless range coder. All numbers are integers, so any machine decodes alike. Blocks
-start from the same empty state. Up to ``LANES`` blocks of a file advance together, one id a step each, in NumPy.
+start from the same empty state and can be decoded alone. Up to ``LANES`` blocks of a file advance together, one id a step each, in NumPy. Counts
+enter the frequency table when they have grown by an eighth.
 
-File. ``magic``, then blocks (ids, bytes, crc32 of the ids, payload), an index of documents (doc_id and length each, deflated,
-crc32), and a footer with sizes. Ids of a file are the ids of its documents in ascending doc_id order; documents may
-span blocks. Files are written one per range partition of doc_id, under a name of their own and then renamed, so that a
-repeated task replaces its file by the same bytes.
+File. ``magic``, then blocks (ids, bytes of the different ids and of the payload, crc32 of the ids, both), an index of documents (doc_id and
+length each, deflated, crc32), and a footer with sizes. Ids of a file are the ids of its documents in ascending doc_id order; documents may
+span blocks. The number of doc_id ranges follows from the bytes of text; a range gives one file, or several where it is larger than others (a hot
+doc_id). Files are written under a name of their own and then renamed, so that a repeated task replaces its files by the same bytes.
 
 Null texts are empty; every document has at least the end id. Rows with a null doc_id come first. Repeated rows are kept, equal doc_ids in
 the order of their texts' hashes. An empty table gives no files and an empty result; other columns are not read.
@@ -18,10 +20,12 @@ the order of their texts' hashes. An empty table gives no files and an empty res
 from __future__ import annotations
 
 import itertools
+import json
 import struct
+import unicodedata
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,214 +35,231 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, slices
 
-MAGIC = b"MIXR0001"
+MAGIC = b"MIXR0002"
 BLOCK = 2048
 LANES = 4096
-GROUP = 256  # ids of a group
-EXTRA = 256  # shares of the id last seen in a group; the others have one each
+FILE_IDS = 3 * BLOCK * LANES // 4  # a file ends with the slice of documents that reaches them
+PART_BYTES = 16 << 20  # text of a range of doc_ids, which is a task and, but for skew, a file
+SLICE = 4 << 20  # text encoded at once
 ONE = 4096  # sum of mixing weights
-MOST = 3840  # most weight of the two contexts
-STEP = 24  # count added for the group of an id seen
-SLOTS = 1024  # contexts per order and block
-TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 40)
-BELOW, SHIFT16, SHIFT48 = np.uint64((1 << 40) - 1), np.uint64(16), np.uint64(48)
+MOST = 3840  # most weight of the two guesses
+SLOTS = 1024  # order-2 contexts of a block
+FULL = np.uint64((1 << 64) - 1)
+WORD, LOW, SHIFT = np.uint64(1 << 32), np.uint64((1 << 32) - 1), np.uint64(32)
+
+
+def pick(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``values[at]`` without the checks of bounds, which cost more than the reads."""
+    return values.take(at, mode="clip")
+
+
+def choose(right: np.ndarray, yes: np.ndarray, no: np.ndarray) -> np.ndarray:
+    """``np.where`` by arithmetic, which does not branch."""
+    return no + (yes - no) * right
 
 
 class Mixer:
-    """Model state of a stack of blocks, one lane each."""
-
-    def __init__(self, lanes: int, alphabet: int):
-        groups = -(-alphabet // GROUP)
-        self.counts = np.ones((lanes, groups), np.int64)
-        self.cumulated = np.zeros((lanes, groups + 1), np.int64)
-        self.flat, self.flat_counts = self.cumulated.ravel(), self.counts.ravel()
-        self.last = np.zeros(lanes * groups, np.int64)  # low byte of the id last seen in a group
-        self.recent = [np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)]  # id * 4 + confidence
-        self.weight = [np.tile(np.repeat([64, 256, 512, 1024], 4), lanes), np.tile(np.tile([64, 384, 1024, 1792], 4), lanes)]
-        self.previous = [np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)]
-        lane = np.arange(lanes, dtype=np.int64)
-        self.base, self.slot0, self.weight0, self.row0, self.group0 = lane << 40, lane * SLOTS, lane * 16, lane * (groups + 1), lane * groups
-        self.steps = 0
-        self.refresh(lanes)
-
-    def refresh(self, n: int) -> None:
-        """Cumulate the group counts of the first n lanes anew; a lane's numbers start at its base, so that all lanes ascend."""
-        np.cumsum(self.counts[:n], axis=1, out=self.cumulated[:n, 1:])
-        self.total = self.cumulated[:n, -1] * (GROUP + EXTRA)
-        self.whole = self.total * ONE
-        self.cumulated[:n, 0] = 0
-        self.cumulated[:n] += self.base[:n, None]
+    """Model state of a stack of blocks, one lane each. Symbols are numbered through all lanes; ``widths`` are the lanes' distinct ids."""
+
+    def __init__(self, widths: np.ndarray, tabled: bool):
+        lanes, self.tabled = len(widths), tabled
+        self.row = np.concatenate([[0], np.cumsum(widths)])
+        self.first = self.row[:-1]
+        self.counts = np.ones(self.row[-1], np.int32)
+        home = np.repeat(self.first, widths).astype(np.int32)
+        self.likely, self.second = home << 2, home.copy()  # by previous symbol: successor * 4 + confidence, and another successor
+        self.longer = np.repeat(self.first.astype(np.int32) << 2, SLOTS)  # by hash of the previous two
+        two, one = np.divmod(np.arange(16), 4)
+        self.weight = [np.tile(np.array(w, np.int32)[at], lanes) for w, at in (([64, 256, 512, 1024], two), ([64, 384, 1024, 1792], one))]
+        self.slot0, self.weight0 = np.arange(lanes) * SLOTS, np.arange(lanes) * 16
+        self.previous, self.own, self.hashed = self.first, np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.steps = self.due = 0
+
+    def refresh(self) -> None:
+        """Cumulate the counts of the lanes still in use, and for decoding lay out one table entry per count."""
+        n = len(self.first)
+        end = self.row[n]
+        self.cumulated = np.zeros(end + 1, np.int32)
+        np.cumsum(self.counts[:end], out=self.cumulated[1:])
+        edge = self.cumulated[self.row[:n + 1]]
+        self.base, self.total = edge[:-1], np.diff(edge)
+        self.whole = (self.total * ONE).astype(np.uint64)
+        if self.tabled:
+            self.table = np.repeat(np.arange(end, dtype=np.int32), self.counts[:end])
+        self.due = self.steps + max(32, self.steps // 8)
 
     def shrink(self, n: int) -> None:
-        """Go on with the first n lanes only."""
-        for name in ("base", "slot0", "weight0", "row0", "group0", "total", "whole"):
+        """Go on with the first n lanes only; a lane's numbers do not depend on the others."""
+        for name in ("first", "slot0", "weight0", "base", "total", "whole", "previous", "own", "hashed"):
             setattr(self, name, getattr(self, name)[:n])
-        self.previous = [p[:n] for p in self.previous]
 
     def predict(self) -> None:
-        one, two = self.previous
-        self.slots = (self.slot0 + (one & (SLOTS - 1)), self.slot0 + ((one * 40503 + two * 30011 >> 4) & (SLOTS - 1)))
-        self.held = [r[s].astype(np.int64) for r, s in zip(self.recent, self.slots, strict=True)]
-        self.guess = [h >> 2 for h in self.held]
+        if self.steps == self.due:
+            self.refresh()
+        self.slot = self.slot0 + (self.hashed + self.own * 40503 >> 4 & SLOTS - 1)
+        self.held = pick(self.longer, self.slot), pick(self.likely, self.previous)
+        two, self.one = (h >> 2 for h in self.held)
         self.sure = [h & 3 for h in self.held]
-        self.at = self.weight0 + (self.sure[0] << 2) + self.sure[1]
-        self.w = [w[self.at] for w in self.weight]
-        self.w0 = ONE - self.w[0] - self.w[1]
-        self.mass = [self.total * w for w in self.w]
-
-    def order0(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, size) of the ids among the counted ones, times the weight of order 0."""
-        group, low = ids >> 8, ids & 255
-        row = self.row0 + group
-        start = self.flat[row]
-        f = (self.flat[row + 1] - start) * self.w0
-        last = self.last[self.group0 + group]
-        return (start - self.base) * (self.w0 * (GROUP + EXTRA)) + f * (low + EXTRA * (last < low)), f * (1 + EXTRA * (last == low))
-
-    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, size) of the ids in the mixed frequency table, whose sum is ``whole``."""
-        start, size = self.order0(ids)
+        self.other = pick(self.second, self.previous)
+        self.guess = two, choose(self.one == two, self.other, self.one)
+        self.at = self.weight0 + (self.sure[0] << 2 | self.sure[1])
+        self.w = [pick(w, self.at) for w in self.weight]
+        used = self.w[1] * (self.guess[1] != two)
+        self.w0 = ONE - self.w[0] - used
+        self.mass = self.w[0] * self.total, used * self.total
+
+    def counted(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, size) of the symbols among the counted ones, times the weight of order 0."""
+        begin = pick(self.cumulated, symbols)
+        return (begin - self.base) * self.w0, (pick(self.cumulated[1:], symbols) - begin) * self.w0
+
+    def interval(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, size) of the symbols in the mixed frequency table, whose sum is ``whole``."""
+        start, size = self.counted(symbols)
         for g, m in zip(self.guess, self.mass, strict=True):
-            start += m * (g < ids)
-            size += m * (g == ids)
-        return start, size
-
-    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids whose intervals hold the values, and their (start, size)."""
-        spans = [self.interval(g) for g in self.guess]
-        inside = [(value >= a) & (value < a + n) for a, n in spans]
-        # What is left of a value without the guesses below it lies in the order-0 table alone.
-        below = self.mass[0] * (value >= spans[0][0]) + self.mass[1] * (value >= spans[1][0])
-        x = np.where(inside[0] | inside[1], 0, value - below) // self.w0
-        row = np.searchsorted(self.flat, x // (GROUP + EXTRA) + self.base, "right") - 1
-        start = self.flat[row]
-        f = self.flat[row + 1] - start
-        first = (start - self.base) * (GROUP + EXTRA)
-        y = (x - first) // f
-        group = row - self.row0
-        last = self.last[self.group0 + group]
-        after = y > last + EXTRA
-        low = np.where(y < last, y, np.where(after, y - EXTRA, last))
-        f *= self.w0
-        found = ((group << 8) + low, first * self.w0 + f * (low + EXTRA * after) + below, f * np.where(low == last, 1 + EXTRA, 1))
-        guesses = [(g, a, n) for g, (a, n) in zip(self.guess, spans, strict=True)]
-        return tuple(np.where(inside[1], two, np.where(inside[0], one, rest)) for one, two, rest in zip(*guesses, found, strict=True))
-
-    def learn(self, ids: np.ndarray) -> None:
-        hits = [g == ids for g in self.guess]
-        for w, held, right in zip(self.weight, self.w, (hits[0] > hits[1], hits[1]), strict=True):
-            w[self.at] = held + ((MOST * right - held) >> 5)
-        fresh = ids << 2
-        for recent, slot, held, sure, hit in zip(self.recent, self.slots, self.held, self.sure, hits, strict=True):
-            recent[slot] = np.where(hit, held + (sure < 3), np.where(sure > 0, held - 1, fresh))
-        at = self.group0 + (ids >> 8)
-        self.flat_counts[at] += STEP
-        self.last[at] = ids & 255
-        self.previous = [ids, self.previous[0]]
+            start += m * (g < symbols)
+            size += m * (g == symbols)
+        return start.astype(np.uint64), size.astype(np.uint64)
+
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """Symbols whose intervals hold the values."""
+        rest, inside = value, []
+        for (g, m), (h, below) in itertools.permutations(zip(self.guess, self.mass, strict=True)):
+            start, size = self.counted(g)
+            start += below * (h < g)
+            past = value >= start
+            inside.append(past & (value - start < size + m))
+            rest = rest - m * past
+        # What is left of a value without the guesses below it lies in the order-0 counts alone.
+        x = np.maximum(rest, 0).view(np.uint32) // self.w0.view(np.uint32)
+        found = pick(self.table, self.base + x)
+        return choose(inside[0], self.guess[0], choose(inside[1], self.guess[1], found)).astype(np.int64)
+
+    def learn(self, symbols: np.ndarray) -> None:
+        two, one = self.guess[0] == symbols, self.one == symbols
+        right = two, (self.guess[1] == symbols) > two
+        for w, held, hit in zip(self.weight, self.w, right, strict=True):
+            w[self.at] = held + (hit * np.int32(MOST) - held >> 5)
+        fresh = (symbols << 2).astype(np.int32)
+        doubt = self.sure[1] > 0
+        for context, at, held, sure, hit in zip((self.longer, self.likely), (self.slot, self.previous), self.held, (self.sure[0] > 0, doubt), (two, one), strict=True):
+            context[at] = choose(hit, np.minimum(held + 1, held | 3), choose(sure, held - 1, fresh))
+        self.second[self.previous] = choose(one, self.other, choose(doubt, symbols.astype(np.int32), self.one))
+        self.counts[symbols] += 1
+        self.hashed, self.previous, self.own = self.own * 30011, symbols, symbols - self.first
         self.steps += 1
-        if self.steps % 32 == 0:
-            self.refresh(len(self.total))
 
 
-def encode_blocks(blocks: list[np.ndarray], alphabet: int) -> list[bytes]:
-    """Payloads of blocks of ids, longest block first."""
+def ready(low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Lanes that pass on their upper word; one whose interval crosses into the next word gives up what lies beyond."""
+    lanes = np.flatnonzero(width < WORD)
+    width[lanes] = np.minimum(width[lanes], WORD - (low[lanes] & LOW)) << SHIFT
+    return lanes
+
+
+def encode_blocks(blocks: list[np.ndarray], widths: np.ndarray) -> list[bytes]:
+    """Payloads of blocks of symbols (each block's below its width), longest block first."""
     sizes = np.array([len(b) for b in blocks])
     n, most = len(blocks), int(sizes[0])
-    ids = np.zeros((most, n), np.int64)
+    model = Mixer(widths, tabled=False)
+    symbols = np.zeros((most, n), np.int64)
     for k, b in enumerate(blocks):
-        ids[:len(b), k] = b
-    model = Mixer(n, alphabet)
-    low, width = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
-    out = np.zeros((n, most * 2 + 8), np.uint16)
-    used = np.zeros(n, np.int64)
-    final_low = np.zeros(n, np.uint64)
-    active = n
+        symbols[:len(b), k] = b + model.first[k]
+    low, width = np.zeros(n, np.uint64), np.full(n, FULL)
+    out, used = np.zeros((n, most + 2), np.uint32), np.zeros(n, np.int64)
+    last, active = np.zeros(n, np.uint64), n
     for k in range(most):
         now = int(np.searchsorted(-sizes, -k, "left"))
         if now < active:
-            final_low[now:active] = low[now:]
+            last[now:active] = low[now:]
             low, width, active = low[:now], width[:now], now
             model.shrink(now)
         model.predict()
-        row = ids[k, :active]
+        row = symbols[k, :active]
         start, size = model.interval(row)
-        unit = width // model.whole.view(np.uint64)
-        low = low + unit * start.view(np.uint64)
-        width = unit * size.view(np.uint64)
-        low, width = shift(low, width, out, used)
+        unit = width // model.whole
+        low = low + unit * start
+        width = unit * size
+        lanes = ready(low, width)
+        at = used[lanes]
+        out[lanes, at] = low[lanes] >> SHIFT
+        used[lanes] = at + 1
+        low[lanes] <<= SHIFT
         model.learn(row)
-    final_low[:active] = low
-    for k in range(4):
-        out[np.arange(n), used + k] = (final_low >> np.uint64(48 - 16 * k)).astype(np.uint16)
-    return [out[k, :used[k] + 4].astype("<u2").tobytes() for k in range(n)]
-
-
-def ready(low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lanes whose top 16 bits are settled; lanes whose width is too small give up its upper part. (lanes, width)"""
-    settled = (low ^ (low + width)) < TOP
-    small = (width < BOTTOM) & ~settled
-    if small.any():
-        width = np.where(small, (np.uint64(0) - low) & BELOW, width)
-    return np.flatnonzero(settled | small), width
-
-
-def shift(low: np.ndarray, width: np.ndarray, out: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    while True:
-        lanes, width = ready(low, width)
-        if not len(lanes):
-            return low, width
-        out[lanes, used[lanes]] = (low[lanes] >> SHIFT48).astype(np.uint16)
-        used[lanes] += 1
-        low[lanes] <<= SHIFT16
-        width[lanes] <<= SHIFT16
-
-
-def decode_blocks(payloads: list[bytes], sizes: list[int], alphabet: int) -> list[np.ndarray]:
-    """Ids of payloads, longest block first."""
+    last[:active] = low
+    for k, shift in enumerate((SHIFT, np.uint64(0))):
+        out[np.arange(n), used + k] = (last >> shift) & LOW
+    return [out[k, :used[k] + 2].astype("<u4").tobytes() for k in range(n)]
+
+
+def decode_blocks(payloads: list[bytes], sizes: list[int], widths: np.ndarray) -> list[np.ndarray]:
+    """Symbols of payloads, longest block first."""
     n, most = len(payloads), sizes[0]
-    units = [np.frombuffer(p, "<u2") for p in payloads]
-    longest = max(len(u) for u in units) + 4
-    source = np.zeros((n, longest), np.uint64)
-    for k, u in enumerate(units):
+    words = [np.frombuffer(p, "<u4") for p in payloads]
+    source = np.zeros((n, max(map(len, words)) + 2), np.uint64)
+    for k, u in enumerate(words):
         source[k, :len(u)] = u
-    model = Mixer(n, alphabet)
-    low, width = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
-    code = source[:, 0] << np.uint64(48) | source[:, 1] << np.uint64(32) | source[:, 2] << np.uint64(16) | source[:, 3]
-    used = np.full(n, 4, np.int64)
-    out = np.zeros((most, n), np.int32)
-    lengths = np.array(sizes)
-    active = n
+    edge = source.shape[1] - 1
+    model = Mixer(widths, tabled=True)
+    begin = model.first
+    low, width = np.zeros(n, np.uint64), np.full(n, FULL)
+    code, used = source[:, 0] << SHIFT | source[:, 1], np.full(n, 2, np.int64)
+    out, lengths, active = np.zeros((most, n), np.int32), np.array(sizes), n
     for k in range(most):
         now = int(np.searchsorted(-lengths, -k, "left"))
         if now < active:
             low, width, code, active = low[:now], width[:now], code[:now], now
             model.shrink(now)
         model.predict()
-        unit = width // model.whole.view(np.uint64)
-        value = np.minimum(((code - low) // unit).view(np.int64), model.whole - 1)
-        row, start, size = model.find(value)
-        low = low + unit * start.view(np.uint64)
-        width = unit * size.view(np.uint64)
-        while True:
-            lanes, width = ready(low, width)
-            if not len(lanes):
-                break
-            code[lanes] = code[lanes] << SHIFT16 | source[lanes, used[lanes]]
-            used[lanes] += 1
-            low[lanes] <<= SHIFT16
-            width[lanes] <<= SHIFT16
+        unit = width // model.whole
+        value = np.minimum((code - low) // unit, model.whole - np.uint64(1)).astype(np.int32)
+        row = model.find(value)
+        start, size = model.interval(row)
+        low = low + unit * start
+        width = unit * size
+        lanes = ready(low, width)
+        at = used[lanes]
+        code[lanes] = code[lanes] << SHIFT | source[lanes, np.minimum(at, edge)]  # a damaged payload may ask for more
+        used[lanes] = at + 1
+        low[lanes] <<= SHIFT
         model.learn(row)
         out[k, :active] = row
-    return [out[:s, k] for k, s in enumerate(sizes)]
+    return [out[:s, k] - begin[k] for k, s in enumerate(sizes)]
+
+
+def packed_ids(ids: np.ndarray) -> bytes:
+    """Ascending ids as gaps: a byte each below 255, and 255 for each whole 255 before."""
+    gaps = np.diff(ids, prepend=-1) - 1
+    size = gaps // 255 + 1
+    out = np.full(size.sum(), 255, np.uint8)
+    out[np.cumsum(size) - 1] = gaps % 255
+    return out.tobytes()
+
+
+def unpacked_ids(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    sums = np.cumsum(raw, dtype=np.int64)[raw != 255]
+    return sums + np.arange(len(sums))
+
+
+def numbered(block: np.ndarray, seen: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct ids, the block in numbers of these); ``seen`` and ``number`` are scratch of the alphabet's size, ``seen`` all false."""
+    seen[block] = True
+    ids = np.flatnonzero(seen)
+    seen[ids] = False
+    number[ids] = np.arange(len(ids), dtype=np.int32)
+    return ids, number[block]
 
 
 def file_bytes(doc_ids: list, lengths: list[int], ids: np.ndarray, alphabet: int) -> bytes:
     blocks = [ids[k:k + BLOCK] for k in range(0, len(ids), BLOCK)]
     parts = [MAGIC]
+    seen, number = np.zeros(alphabet, bool), np.zeros(alphabet, np.int32)
     for k in range(0, len(blocks), LANES):
         group = blocks[k:k + LANES]  # only the last block of a file may be shorter
-        for block, payload in zip(group, encode_blocks(group, alphabet), strict=True):
-            parts += [struct.pack("<III", len(block), len(payload), zlib.crc32(block.astype("<u4").tobytes())), payload]
+        known, symbols = zip(*(numbered(b, seen, number) for b in group), strict=True)
+        for block, own, payload in zip(group, map(packed_ids, known), encode_blocks(symbols, np.array([len(d) for d in known])), strict=True):
+            parts += [struct.pack("<IIII", len(block), len(own), len(payload), zlib.crc32(block.astype("<u4").tobytes())), own, payload]
     known = np.array([d is not None for d in doc_ids], np.uint8)
     index = zlib.compress(known.tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array(lengths, "<i8").tobytes())
     return b"".join([*parts, index, struct.pack("<QQQII", len(blocks), len(doc_ids), len(index), zlib.crc32(index), alphabet)])
@@ -246,42 +267,71 @@ def file_bytes(doc_ids: list, lengths: list[int], ids: np.ndarray, alphabet: int
 
 def parsed(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     """(doc_ids, lengths, ids) of a file's bytes; ValueError where a checksum fails."""
-    blocks, docs, size, check, alphabet = struct.unpack_from("<QQQII", data, len(data) - 32)
+    blocks, docs, size, check, _ = struct.unpack_from("<QQQII", data, len(data) - 32)
     index = data[len(data) - 32 - size:len(data) - 32]
     if data[:8] != MAGIC or zlib.crc32(index) != check:
         raise ValueError("not a token file, or its index is damaged")
     raw = zlib.decompress(index)
     known, doc_ids, lengths = np.frombuffer(raw, np.uint8, docs), np.frombuffer(raw, "<i8", docs, docs), np.frombuffer(raw, "<i8", docs, 9 * docs)
-    at, heads, payloads = 8, [], []
+    at, heads, own, payloads = 8, [], [], []
     for _ in range(blocks):
-        heads.append(struct.unpack_from("<III", data, at))
-        payloads.append(data[at + 12:at + 12 + heads[-1][1]])
-        at += 12 + heads[-1][1]
+        n, width, held, crc = struct.unpack_from("<IIII", data, at)
+        heads.append((n, crc))
+        own.append(unpacked_ids(data[at + 16:at + 16 + width]))
+        payloads.append(data[at + 16 + width:at + 16 + width + held])
+        at += 16 + width + held
     out = []
     for k in range(0, blocks, LANES):
-        for (n, _, crc), ids in zip(heads[k:k + LANES], decode_blocks(payloads[k:k + LANES], [h[0] for h in heads[k:k + LANES]], alphabet), strict=True):
-            if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
+        group = slice(k, k + LANES)
+        made = decode_blocks(payloads[group], [n for n, _ in heads[group]], np.array([len(o) for o in own[group]]))
+        for (n, crc), ids, symbols in zip(heads[group], own[group], made, strict=True):
+            block = ids[symbols].astype("<i4")
+            if zlib.crc32(block.tobytes()) != crc:
                 raise ValueError(f"block of {n} ids is damaged")
-            out.append(ids)
+            out.append(block)
     return [int(d) if k else None for d, k in zip(doc_ids, known, strict=True)], lengths, np.concatenate(out) if out else np.zeros(0, np.int32)
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, a white-space-separated word at a time where the tokenizer drops white space.
+    """Ids of texts by the tokenizers library, which gets every different piece once and so long as it is remembered.
 
-    Such a tokenizer's ids of a text are those of its words (a space or newline ends every piece), so words are encoded in
-    batches and short ones remembered. Other tokenizers get whole texts.
+    A tokenizer that lower-cases, drops white space and cuts the rest by ``CUTS`` into runs that merge on their own is told from its
+    file. Texts of code points below 256 (where composition changes nothing and lower case is by character) are cut alike here, a slice of texts
+    as one array, and the library's merges work on the different pieces. Other texts of a tokenizer that drops white space go to the library a word at a time,
+    texts of any other tokenizer whole.
     """
 
+    #: Fixed value: the pattern of such a tokenizer file.
+    CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    SPACE, NUMBER, LETTER, OTHER = range(4)
+    KINDS = bytes(0 if chr(c) in "\t\n\v\f\r \x85\xa0" else {"N": 1, "L": 2}.get(unicodedata.category(chr(c))[0], 3) for c in range(256))
+    LOWER = bytes(ord(chr(c).lower()) for c in range(256))
+
     def __init__(self, tokenizer_file: str, remember: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.model = self.tokenizer.model
         self.alphabet = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.added = [t.content.lower().encode("latin-1", "replace") for t in self.tokenizer.get_added_tokens_decoder().values()]
         probe = ["a b", " a\n b ", "é  é\n\nx", "don't 's re"]
         whole = [self.tokenizer.encode(p, add_special_tokens=False).ids for p in probe]
         self.by_word = whole == [sum((self.tokenizer.encode(w, add_special_tokens=False).ids for w in p.replace("\n", " ").split(" ") if w), []) for p in probe]
-        self.remember, self.known = remember, {}
+        self.by_piece = self.by_word and self.cuts_alike()
+        # A byte-level vocabulary writes printable bytes as themselves and the others as code points from 256 on, in order.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letter = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
+        self.spelled = {c: "".join(self.letter[b] for b in chr(c).encode()) for c in range(256)}
+        self.remember, self.words = remember, {}
+        self.forget()
+
+    def cuts_alike(self) -> bool:
+        """Whether the file normalises and cuts as the class says."""
+        rules = json.loads(self.tokenizer.to_str())
+        steps = [(n["type"], n.get("pattern", {}).get("Regex"), n.get("content")) for n in (rules["normalizer"] or {}).get("normalizers", [])]
+        cuts = [(p["type"], p.get("pattern", {}).get("Regex"), p.get("invert"), p.get("add_prefix_space"), p.get("use_regex")) for p in (rules["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        return (steps == [("NFC", None, None), ("Replace", r"\s+", " "), ("Lowercase", None, None)] and rules["post_processor"] is None and rules["model"]["type"] == "BPE"
+                and cuts == [("Split", self.CUTS, True, None, None), ("ByteLevel", None, None, False, False)])
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
         """Packed ids of words: each chunk is encoded as one text with the words a newline apart, and cut by the offsets."""
@@ -295,21 +345,96 @@ class Encoder:
             out.update(zip(chunk, (ids[a:b].tobytes() for a, b in zip([0, *cut], cut, strict=False)), strict=True))
         return out
 
+    def forget(self) -> None:
+        """Start the store of pieces anew: a number of each, and its ids as a run of one array. Number 0 is the end of a text."""
+        self.pieces, self.begins, self.ids = {None: 0}, np.zeros(2, np.int64), np.zeros(1, np.int32)
+        self.begins[1] = 1
+
+    def merge(self, piece: bytes) -> list[int]:
+        return [] if self.KINDS[piece[0]] == self.SPACE else [t.id for t in self.model.tokenize(piece.decode("latin-1").translate(self.spelled))]
+
+    def cut(self, texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """(lower-case bytes, a newline after each text; edges of its pieces; numbers of the pieces that are these newlines)."""
+        raw = b"".join(itertools.chain.from_iterable((t, b"\n") for t in texts)).translate(self.LOWER)
+        data, kind = np.frombuffer(raw, np.uint8), np.frombuffer(raw.translate(self.KINDS), np.uint8)
+        edge = np.ones(len(data) + 1, bool)
+        edge[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == self.NUMBER)
+        stops = np.cumsum([len(t) + 1 for t in texts]) - 1
+        edge[stops] = edge[stops + 1] = True
+        # An apostrophe of its own takes a short ending from the letters after it.
+        at = np.flatnonzero(data == ord("'"))
+        at = at[edge[at] & edge[at + 1] & (kind[at + 1] == self.LETTER)]
+        one, two = data[at + 1], data[at + 2]
+        short = np.isin(one, list(b"stmd"))
+        size = short + 2 * (((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l")))
+        at, size = at[size > 0], size[size > 0]
+        edge[at + 1], edge[at + 1 + size] = False, True
+        edges = np.flatnonzero(edge)
+        return raw, edges, np.searchsorted(edges, stops)
+
+    def numbers(self, raw: bytes, edges: np.ndarray) -> np.ndarray:
+        """Number of each piece in the store, which learns the new ones."""
+        cut = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(raw)]).dictionary_encode()
+        different = cut.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.pieces) > self.remember or len(self.ids) > 8 * self.remember:
+            self.forget()
+        fresh = [p for p in different if p not in self.pieces]
+        made = [self.merge(p) for p in fresh]
+        self.pieces.update(zip(fresh, itertools.count(len(self.pieces))))
+        self.begins = np.concatenate([self.begins, len(self.ids) + np.cumsum([len(m) for m in made], dtype=np.int64)])
+        self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(made), np.int32)])
+        return np.fromiter(map(self.pieces.__getitem__, different), np.int64, len(different))[cut.indices.to_numpy()]
+
+    def encode_plain(self, texts: list[bytes], end: int) -> tuple[list[int], np.ndarray]:
+        """(lengths, all ids) of texts given by their code points, all below 256."""
+        if not texts:
+            return [], np.zeros(0, "<i4")
+        raw, edges, stops = self.cut(texts)
+        numbers = self.numbers(raw, edges)
+        numbers[stops] = 0
+        self.ids[0] = end
+        begins = self.begins[numbers]
+        ends = np.cumsum(self.begins[numbers + 1] - begins)
+        size = np.diff(ends, prepend=0)
+        return np.diff(ends[stops], prepend=0).tolist(), self.ids[np.repeat(begins - ends + size, size) + np.arange(ends[-1])]
+
+    def packed(self, split: list[list[str]], known: dict[str, bytes], make: Callable[[list[str]], dict[str, bytes]]) -> list[bytes]:
+        """Packed ids of texts given as parts; short parts are remembered."""
+        fresh = set(itertools.chain.from_iterable(split)).difference(known)
+        if len(known) + len(fresh) > self.remember:
+            known.clear()
+            fresh = set(itertools.chain.from_iterable(split))
+        here = make(list(fresh))
+        long = {p: v for p, v in here.items() if len(p) > 64}
+        known.update(here if not long else ((p, v) for p, v in here.items() if len(p) <= 64))
+        find = (known | long if long else known).__getitem__
+        return [b"".join(map(find, parts)) for parts in split]
+
+    def points(self, text: str) -> bytes | None:
+        """Code points of a text that may be cut here."""
+        try:
+            raw = text.encode("latin-1") if self.by_piece else None
+        except UnicodeEncodeError:
+            return None
+        return None if raw is None or any(a in raw.lower() for a in self.added) else raw
+
     def encode(self, texts: list[str], end: int) -> tuple[list[int], np.ndarray]:
         """(lengths, all ids) of the texts, each with the end id."""
-        if not self.by_word:
-            made = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-            return [len(m) + 1 for m in made], np.array([i for m in made for i in (*m, end)], "<i4")
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > self.remember:
-            self.known.clear()
-        fresh = list(set(itertools.chain.from_iterable(split)).difference(self.known))
-        here = self.learn(fresh)
-        self.known.update((w, v) for w, v in here.items() if len(w) <= 64)
-        known = self.known if all(len(w) <= 64 for w in fresh) else self.known | here
+        points = [self.points(t) for t in texts]
+        plain = [p is not None for p in points]
+        first, ids = self.encode_plain([p for p in points if p is not None], end)
+        if all(plain):
+            return first, ids
+        rest = [t for t, p in zip(texts, plain, strict=True) if not p]
+        if self.by_word:
+            made = self.packed([t.replace("\n", " ").split(" ") for t in rest], self.words, self.learn)
+        else:
+            made = [np.array(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch(rest, add_special_tokens=False)]
         stop = np.array([end], "<i4").tobytes()
-        packed = [b"".join(map(known.__getitem__, words)) + stop for words in split]
-        return [len(p) // 4 for p in packed], np.frombuffer(b"".join(packed), "<i4")
+        at = np.cumsum([0, *first])
+        both = [iter([ids[a:b].tobytes() for a, b in itertools.pairwise(at)]), iter([m + stop for m in made])]
+        out = [next(both[not p]) for p in plain]
+        return [len(m) // 4 for m in out], np.frombuffer(b"".join(out), "<i4")
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -330,31 +455,37 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, *, end: int, doc_id:
     """Encode ``docs`` into files under ``path``; (name, ids, documents) of the files in doc_id order."""
     uri = path if "://" in path else f"file://{path}"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, doc_ids, lengths, ids = encoder_of(tokenizer_file), [], [], []
-        part = None
-        for b in batches:
-            for at, size in slices(b.column(1), 2 << 20):
-                texts = [t.decode("utf-8", "replace") if t else "" for t in b.column(1).slice(at, size).to_pylist()]
-                doc_ids += b.column(0).slice(at, size).to_pylist()
-                part = b.column(2)[0].as_py() if part is None else part
-                n, made = encoder.encode(texts, end)
-                lengths += n
-                ids.append(made.astype(np.int32))
-        if not doc_ids:
-            return
-        data = file_bytes(doc_ids, lengths, np.concatenate(ids), encoder.alphabet)
+    def stored(name: str, doc_ids: list, lengths: list[int], ids: list[np.ndarray], alphabet: int) -> pa.RecordBatch:
+        data = file_bytes(doc_ids, lengths, np.concatenate(ids), alphabet)
         system, folder = opened(uri)
-        name = f"{part:08d}.ids"
         trial = f"{folder}/_trial-{uuid.uuid4().hex}"
         system.create_dir(folder, recursive=True)
         with system.open_output_stream(trial) as f:
             f.write(data)
         system.move(trial, f"{folder}/{name}")
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([sum(lengths)], pa.int64()), pa.array([len(doc_ids)], pa.int64())], names=["name", "n_ids", "n_docs"])
+        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([sum(lengths)], pa.int64()), pa.array([len(doc_ids)], pa.int64())], names=["name", "n_ids", "n_docs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_of(tokenizer_file)
+        doc_ids, lengths, ids, held, number = [], [], [], 0, 0
+        for b in batches:
+            part = b.column(2)[0].as_py()
+            for at, size in slices(b.column(1), SLICE):
+                texts = [t.decode("utf-8", "replace") if t else "" for t in b.column(1).slice(at, size).to_pylist()]
+                n, made = encoder.encode(texts, end)
+                doc_ids += b.column(0).slice(at, size).to_pylist()
+                lengths += n
+                ids.append(made.astype(np.int32))
+                held += len(made)
+                if held >= FILE_IDS:
+                    yield stored(f"{part:08d}-{number:08d}.ids", doc_ids, lengths, ids, encoder.alphabet)
+                    doc_ids, lengths, ids, held, number = [], [], [], 0, number + 1
+        if doc_ids:
+            yield stored(f"{part:08d}-{number:08d}.ids", doc_ids, lengths, ids, encoder.alphabet)
 
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
-    rows = rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", F.xxhash64("text")).withColumn("part", F.spark_partition_id())
+    parts = 1 + (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES
+    rows = rows.repartitionByRange(parts, F.col("doc_id")).sortWithinPartitions("doc_id", F.xxhash64("text")).withColumn("part", F.spark_partition_id())
     made = rows.mapInArrow(run, "name string, n_ids long, n_docs long").collect()  # one row per file
     return sorted((r["name"], r["n_ids"], r["n_docs"]) for r in made)
 

@@ -72,3 +72,40 @@ def test_query_against_the_library(spark):
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     assert not got
+
+
+def test_blocks_are_independent_of_their_neighbours():
+    rng = np.random.default_rng(1)
+    blocks = [rng.integers(0, w, n) for w, n in ((40, 900), (5, 900), (300, 700), (1, 300))]
+    widths = np.array([40, 5, 300, 1])
+    payloads = x.encode_blocks(blocks, widths)
+    for k, (block, payload) in enumerate(zip(blocks, payloads, strict=True)):
+        assert x.encode_blocks([block], widths[k:k + 1]) == [payload]
+        assert (x.decode_blocks([payload], [len(block)], widths[k:k + 1])[0] == block).all()
+
+
+def test_ids_take_clearly_fewer_bits_than_deflated_blocks(spark):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(300).collect()]
+    lengths, ids = x.Encoder(VOCABULARY).encode(texts, 1)
+    deflated = sum(len(zlib.compress(ids[k:k + x.BLOCK].astype("<u2").tobytes())) for k in range(0, len(ids), x.BLOCK))
+    assert len(x.file_bytes([1], [len(ids)], ids, 49408)) < 0.92 * deflated
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="'stmdrevlaZéÉß×µª²½1 \t\n\x85\xa0\x1c\x00.,!<|>ĀΣ́", max_size=30), max_size=5))
+def test_cut_pieces_are_the_librarys(texts):
+    library, encoder = Tokenizer.from_file(VOCABULARY), x.encoder_of(VOCABULARY)
+    assert encoder.by_piece
+    lengths, ids = encoder.encode(texts, 1)
+    expected = [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert lengths == [len(e) for e in expected] and ids.tolist() == sum(expected, [])
+
+
+def test_a_hot_range_is_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(x, "FILE_IDS", 50)
+    monkeypatch.setattr(x, "SLICE", 200)
+    df = spark.createDataFrame([(7, f"word{k} and some more words") for k in range(60)], "doc_id long, text string")
+    files = x.write(df, str(tmp_path / "hot"), VOCABULARY, end=1)
+    assert len(files) > 3
+    got = x.read(spark, str(tmp_path / "hot"), files).collect()
+    assert len(got) == 60 and sorted(r.start for r in got)[1] == len(min(got, key=lambda r: r.start).ids)
