@@ -6,7 +6,7 @@ that followed the previous two (order 2, with a confidence). The distributions a
 weights belong to the pair of confidences and move towards the model that was right. The mixture is one integer frequency
 table, whose interval of the id drives a carryless range coder. All numbers are integers, so any machine decodes alike. Blocks
 start from the same empty state and can be decoded alone. Up to ``LANES`` blocks of a file advance together, one id a step each, in NumPy. Counts
-enter the frequency table when they have grown by an eighth.
+enter the frequency table when they have grown by a fifth.
 
 File. ``magic``, then blocks (ids, bytes of the different ids and of the payload, crc32 of the ids, both), an index of documents (doc_id and
 length each, deflated, crc32), and a footer with sizes. Ids of a file are the ids of its documents in ascending doc_id order; documents may
@@ -86,7 +86,7 @@ class Mixer:
         self.whole = (self.total * ONE).astype(np.uint64)
         if self.tabled:
             self.table = np.repeat(np.arange(end, dtype=np.int32), self.counts[:end])
-        self.due = self.steps + max(32, self.steps // 8)
+        self.due = self.steps + max(32, self.steps // 5)
 
     def shrink(self, n: int) -> None:
         """Go on with the first n lanes only; a lane's numbers do not depend on the others."""
@@ -110,15 +110,17 @@ class Mixer:
 
     def counted(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, size) of the symbols among the counted ones, times the weight of order 0."""
+        symbols = symbols.astype(np.intp, copy=False)
         begin = pick(self.cumulated, symbols)
         return (begin - self.base) * self.w0, (pick(self.cumulated[1:], symbols) - begin) * self.w0
 
     def interval(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, size) of the symbols in the mixed frequency table, whose sum is ``whole``."""
         start, size = self.counted(symbols)
+        narrow = symbols.astype(np.int32)
         for g, m in zip(self.guess, self.mass, strict=True):
-            start += m * (g < symbols)
-            size += m * (g == symbols)
+            start += m * (g < narrow)
+            size += m * (g == narrow)
         return start.astype(np.uint64), size.astype(np.uint64)
 
     def find(self, value: np.ndarray) -> np.ndarray:
@@ -136,15 +138,16 @@ class Mixer:
         return choose(inside[0], self.guess[0], choose(inside[1], self.guess[1], found)).astype(np.int64)
 
     def learn(self, symbols: np.ndarray) -> None:
-        two, one = self.guess[0] == symbols, self.one == symbols
-        right = two, (self.guess[1] == symbols) > two
+        narrow = symbols.astype(np.int32)
+        two, one = self.guess[0] == narrow, self.one == narrow
+        right = two, (self.guess[1] == narrow) > two
         for w, held, hit in zip(self.weight, self.w, right, strict=True):
             w[self.at] = held + (hit * np.int32(MOST) - held >> 5)
-        fresh = (symbols << 2).astype(np.int32)
+        fresh = narrow << 2
         doubt = self.sure[1] > 0
         for context, at, held, sure, hit in zip((self.longer, self.likely), (self.slot, self.previous), self.held, (self.sure[0] > 0, doubt), (two, one), strict=True):
             context[at] = choose(hit, np.minimum(held + 1, held | 3), choose(sure, held - 1, fresh))
-        self.second[self.previous] = choose(one, self.other, choose(doubt, symbols.astype(np.int32), self.one))
+        self.second[self.previous] = choose(one, self.other, choose(doubt, narrow, self.one))
         self.counts[symbols] += 1
         self.hashed, self.previous, self.own = self.own * 30011, symbols, symbols - self.first
         self.steps += 1
@@ -224,16 +227,22 @@ def decode_blocks(payloads: list[bytes], sizes: list[int], widths: np.ndarray) -
         low[lanes] <<= SHIFT
         model.learn(row)
         out[k, :active] = row
-    return [out[:s, k] - begin[k] for k, s in enumerate(sizes)]
+    out = np.ascontiguousarray(out.T)
+    return [out[k, :s] - begin[k] for k, s in enumerate(sizes)]
 
 
-def packed_ids(ids: np.ndarray) -> bytes:
-    """Ascending ids as gaps: a byte each below 255, and 255 for each whole 255 before."""
-    gaps = np.diff(ids, prepend=-1) - 1
-    size = gaps // 255 + 1
-    out = np.full(size.sum(), 255, np.uint8)
-    out[np.cumsum(size) - 1] = gaps % 255
-    return out.tobytes()
+def packed_ids(many: list[np.ndarray]) -> list[bytes]:
+    """Each array of ascending ids as gaps: a byte each below 255, and 255 for each whole 255 before."""
+    edge = np.cumsum([0, *map(len, many)])
+    ids = np.concatenate(many)
+    gaps = np.diff(ids, prepend=0) - 1
+    gaps[edge[:-1]] = ids[edge[:-1]]
+    more, rest = np.divmod(gaps, 255)
+    ends = np.cumsum(more + 1)
+    out = np.full(ends[-1], 255, np.uint8)
+    out[ends - 1] = rest
+    raw, cut = out.tobytes(), [0, *ends[edge[1:] - 1].tolist()]
+    return [raw[a:b] for a, b in itertools.pairwise(cut)]
 
 
 def unpacked_ids(data: bytes) -> np.ndarray:
@@ -242,11 +251,10 @@ def unpacked_ids(data: bytes) -> np.ndarray:
     return sums + np.arange(len(sums))
 
 
-def numbered(block: np.ndarray, seen: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct ids, the block in numbers of these); ``seen`` and ``number`` are scratch of the alphabet's size, ``seen`` all false."""
-    seen[block] = True
-    ids = np.flatnonzero(seen)
-    seen[ids] = False
+def numbered(block: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct ids, the block in numbers of these); ``number`` is scratch of the alphabet's size."""
+    ids = np.sort(block)
+    ids = ids[np.diff(ids, prepend=-1) > 0].astype(np.int64)
     number[ids] = np.arange(len(ids), dtype=np.int32)
     return ids, number[block]
 
@@ -254,11 +262,11 @@ def numbered(block: np.ndarray, seen: np.ndarray, number: np.ndarray) -> tuple[n
 def file_bytes(doc_ids: list, lengths: list[int], ids: np.ndarray, alphabet: int) -> bytes:
     blocks = [ids[k:k + BLOCK] for k in range(0, len(ids), BLOCK)]
     parts = [MAGIC]
-    seen, number = np.zeros(alphabet, bool), np.zeros(alphabet, np.int32)
+    number = np.zeros(alphabet, np.int32)
     for k in range(0, len(blocks), LANES):
         group = blocks[k:k + LANES]  # only the last block of a file may be shorter
-        known, symbols = zip(*(numbered(b, seen, number) for b in group), strict=True)
-        for block, own, payload in zip(group, map(packed_ids, known), encode_blocks(symbols, np.array([len(d) for d in known])), strict=True):
+        known, symbols = zip(*(numbered(b, number) for b in group), strict=True)
+        for block, own, payload in zip(group, packed_ids(known), encode_blocks(symbols, np.array([len(d) for d in known])), strict=True):
             parts += [struct.pack("<IIII", len(block), len(own), len(payload), zlib.crc32(block.astype("<u4").tobytes())), own, payload]
     known = np.array([d is not None for d in doc_ids], np.uint8)
     index = zlib.compress(known.tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array(lengths, "<i8").tobytes())
@@ -351,6 +359,8 @@ class Encoder:
         self.begins[1] = 1
 
     def merge(self, piece: bytes) -> list[int]:
+        if piece.isalpha():  # ASCII letters are spelled as themselves
+            return [t.id for t in self.model.tokenize(piece.decode())]
         return [] if self.KINDS[piece[0]] == self.SPACE else [t.id for t in self.model.tokenize(piece.decode("latin-1").translate(self.spelled))]
 
     def cut(self, texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
