@@ -38,7 +38,7 @@ from .common import shared_dir, slices
 MAGIC = b"MIXR0002"
 BLOCK = 2048
 LANES = 4096
-FILE_IDS = 3 * BLOCK * LANES // 4  # a file ends with the slice of documents that reaches them
+FILE_IDS = BLOCK * LANES  # a file ends with the slice of documents that reaches them
 PART_BYTES = 16 << 20  # text of a range of doc_ids, which is a task and, but for skew, a file
 SLICE = 4 << 20  # text encoded at once
 ONE = 4096  # sum of mixing weights
