@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import LEADERBOARD_EXCLUDED_CATEGORIES, UNKNOWN, amount, fee_wei, growth_pct, period
@@ -56,11 +56,11 @@ def two_period_counts(rows: DataFrame, keys: list, ts: str, as_of: dt.datetime,
     )
 
 
-def target_activity(tx: DataFrame) -> DataFrame:
-    """Transactions per (day, target, sender): ``day, to_address, from_address, transactions`` (distinct hashes) ``, fee_wei``. A
+def target_activity(tx: DataFrame, more: tuple[Column, ...] = ()) -> DataFrame:
+    """Transactions per (day, target, sender): ``day, to_address, from_address, transactions`` (distinct hashes) ``, fee_wei`` and ``more``. A
     transaction has one time, target and sender, so its rows, repeated ones too, meet in one row here and counts add up."""
     return tx.groupBy(period("block_timestamp", Timeframe.DAY).alias("day"), "to_address", "from_address").agg(
-        F.count_distinct("hash").alias("transactions"), F.sum(fee_wei()).alias("fee_wei"))
+        F.count_distinct("hash").alias("transactions"), F.sum(fee_wei()).alias("fee_wei"), *more)
 
 
 def window_parts(as_of: dt.datetime, tf: Timeframe) -> tuple[list[tuple[dt.datetime, dt.datetime]], list[tuple[dt.datetime, dt.datetime]]]:

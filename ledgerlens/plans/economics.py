@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import amount, carried, l2_fee_wei, share_pct, to_units
@@ -32,13 +32,13 @@ def _costs(tables: Tables, table: str, tf: Timeframe, name: str) -> DataFrame:
     return per.select(PERIOD, to_units("gas_spend").alias(name), to_units("gas_spend_usd").alias(f"{name}_usd"))
 
 
-def hourly_fees(tables: Tables, as_of) -> DataFrame:
+def hourly_fees(tables: Tables, as_of, more: tuple[Column, ...] = ()) -> DataFrame:
     """Rollup of transactions to at most two rows per hour: ``hour, priced_gas`` (gas price > 0), ``rev_wei``,
-    ``l1_wei``, ``l2_wei``, ``transactions``. Fees are additive, so every hour-aligned economics series can read it instead of the
-    transactions."""
+    ``l1_wei``, ``l2_wei``, ``transactions`` and the aggregates ``more``. Fees are additive, so every hour-aligned economics series can read it
+    instead of the transactions."""
     tx = tables.as_of(as_datetime(as_of))[TX]
     by = [period_start("block_timestamp", "hour").alias("hour"), (F.col("receipt_effective_gas_price") > 0).alias("priced_gas")]
-    return sum_wei(tx, by, fees(), L1_WEI, L2_WEI, more=(F.count(F.lit(1)).alias("transactions"),))
+    return sum_wei(tx, by, fees(), L1_WEI, L2_WEI, more=(F.count(F.lit(1)).alias("transactions"), *more))
 
 
 def _revenue(tables: Tables, tf: Timeframe, hourly: DataFrame | None = None) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators.compare import target_activity
 from ..sources.registry import Tables
+from ..state import manifest
 from ..state.keysets import runs_of
 from ..state.versions import Commit, Versions
 from ..timeframe import Timeframe, as_datetime, ntz, truncate
@@ -30,7 +31,7 @@ ROLLUPS = {
     "daily_activity": (users.daily_activity, "day", "day timestamp_ntz, from_address string, transactions long", ("from_address",)),
     "hourly_fees": (economics.hourly_fees, "hour", "hour timestamp_ntz, priced_gas boolean, rev_wei decimal(38,0), l1_wei decimal(38,0), l2_wei decimal(38,0), transactions long",
                     ("receipt_l1_fee", "receipt_effective_gas_price", "receipt_gas_used")),
-    "target_activity": (lambda tables, as_of: target_activity(tables.as_of(as_datetime(as_of))[TX]), "day",
+    "target_activity": (lambda tables, as_of, more=(): target_activity(tables.as_of(as_datetime(as_of))[TX], more), "day",
                         "day timestamp_ntz, to_address string, from_address string, transactions long, fee_wei decimal(38,0)",
                         ("to_address", "from_address", "hash", "receipt_l1_fee", "receipt_effective_gas_price", "receipt_gas_used")),
 }
@@ -40,16 +41,18 @@ def _store(spark: SparkSession, root: str, name: str) -> Versions:
     return Versions(spark, f"{root.rstrip('/')}/{name}", {"rows": ROLLUPS[name][2], "files": FILES})
 
 
-def _rows(tables: Tables, name: str, as_of: dt.datetime, since: dt.datetime | None, until: dt.datetime | None) -> DataFrame:
-    """The rollup of the transactions with ``since <= time < until`` known at ``as_of``, as it is stored."""
+def _rows(tables: Tables, name: str, as_of: dt.datetime, since: dt.datetime | None, until: dt.datetime | None, digested: bool = False) -> DataFrame:
+    """The rollup of the transactions with ``since <= time < until`` known at ``as_of``, as it is stored; ``digested`` adds the number of
+    transactions and their digest for the manifest (``_size``, ``_digest``)."""
     tx = tables.window(since, until, names=(TX,))[TX]
     if since is not None:
         tx = tx.filter(F.col("block_timestamp") >= ntz(since))
     if until is not None:
         tx = tx.filter(F.col("block_timestamp") < ntz(until))
-    build, _, columns, _ = ROLLUPS[name]
-    made = build(tables.with_tables(**{TX: tx}), as_of)
-    return made.select(*[F.col(c).cast(kind).alias(c) for c, kind in (x.split(" ") for x in columns.split(", "))])
+    build, _, columns, needs = ROLLUPS[name]
+    more = (F.count(F.lit(1)).alias("_size"), F.sum(manifest.row_digest(*needs)).alias("_digest")) if digested else ()
+    made = build(tables.with_tables(**{TX: tx}), as_of, more)
+    return made.select(*[F.col(c).cast(kind).alias(c) for c, kind in (x.split(" ") for x in columns.split(", "))], *(["_size", "_digest"] if digested else []))
 
 
 def refresh(spark: SparkSession, tables: Tables, root: str, as_of=None, names: tuple[str, ...] = tuple(ROLLUPS)) -> dict[str, list[dt.date]]:
@@ -62,10 +65,11 @@ def refresh(spark: SparkSession, tables: Tables, root: str, as_of=None, names: t
 def _refresh(spark: SparkSession, tables: Tables, root: str, name: str, as_of: dt.datetime, closed: dt.datetime) -> list[dt.date]:
     store = _store(spark, root, name)
     was = store.latest()
-    files, changed = stored.changes(tables, TX, store.read_parts("files", was.live["files"]), *ROLLUPS[name][3])
     until = dt.datetime.fromisoformat(was.facts["until"]) if was.facts else None
+    digested = stored.digested(tables, TX, until)
+    files, changed = (None, []) if digested else stored.changes(tables, TX, store.read_parts("files", was.live["files"]), *ROLLUPS[name][3], keep=store.scratch("manifest"))
     if until is None:
-        days, rows = set(), _rows(tables, name, as_of, None, closed)
+        days, rows = set(), _rows(tables, name, as_of, None, closed, digested)
     else:
         days = {d for d in changed if as_datetime(d) < closed}
         days |= {(until + dt.timedelta(days=k)).date() for k in range(max(0, (closed - until).days))}
@@ -76,7 +80,10 @@ def _refresh(spark: SparkSession, tables: Tables, root: str, name: str, as_of: d
     if days:
         rows = rows.filter(F.col("block_date").isin(sorted(days)))
     version = store.new_version()
-    have = store.write("rows", version, rows)
+    have = store.write("rows", version, rows, dealt=True)
+    if digested:
+        written = spark.read.schema("block_date date, _size long, _digest long").parquet(f"{store.root}/rows/version={version}")
+        files = manifest.of_digests(written.select(F.col("block_date").alias("day"), F.col("_size").alias("size"), F.col("_digest").alias("digest")))
     live = {day: v for day, v in was.live["rows"].items() if day not in days} | dict.fromkeys(have, version)
     parts: dict[dt.date, str] = {}
     store.add_part("files", version, files, parts)

@@ -44,22 +44,34 @@ def _source(tables: Tables, table: str, key: str, as_of: dt.datetime, chain: str
     return rows
 
 
-def changes(tables: Tables, table: str, seen: DataFrame, *columns: str) -> tuple[DataFrame, list[dt.date]]:
+def changes(tables: Tables, table: str, seen: DataFrame, *columns: str, keep: str | None = None) -> tuple[DataFrame, list[dt.date]]:
     """(manifest of a fact table, days that changed since the manifest ``seen``): by files where the table is a Parquet folder, else by
-    a digest of ``columns`` per day."""
+    a digest of ``columns`` per day. With ``keep``, a new folder, the table is read for it once: what is compared and what is stored
+    are the same rows."""
     ts = EVENT_TIME[table]
     if table in tables.paths:
         spark = seen.sparkSession
         now = manifest.of_files(spark, tables.paths[table], PARTITION_COLUMNS[table])
     else:
-        now = manifest.of_rows(tables[table], ts, ts, *columns)
+        now = manifest.of_rows(tables[table], ts, *columns)
+    if keep is not None:
+        now.write.parquet(keep)
+        now = seen.sparkSession.read.schema(now.schema).parquet(keep)
     return manifest.compare(now, seen, ts)
 
 
+def digested(tables: Tables, table: str, until: dt.datetime | None) -> bool:
+    """Whether a build carries the digests of the days along: the first one of a table without files, of which every day is read."""
+    return until is None and table not in tables.paths
+
+
 def _refreshed(spark: SparkSession, tables: Tables, root: str, table: str, key: str, as_of: dt.datetime, columns: tuple[str, ...], chain: str | None = None) -> KeySets:
-    state = KeySets(spark, root)
-    files, changed = changes(tables, table, state.seen_files(), *columns)
-    state.refresh(_source(tables, table, key, as_of, chain), truncate(as_of, Timeframe.DAY), changed, files)
+    state, source, closed = KeySets(spark, root), _source(tables, table, key, as_of, chain), truncate(as_of, Timeframe.DAY)
+    if columns == (key,) and digested(tables, table, state.until):
+        state.refresh(source, closed, digested=True)
+    else:
+        files, changed = changes(tables, table, state.seen_files(), *columns, keep=state.store.scratch("manifest"))
+        state.refresh(source, closed, changed, files)
     return state
 
 

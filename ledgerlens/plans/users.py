@@ -55,15 +55,15 @@ def cards(tables: Tables, as_of) -> DataFrame:
     return activity_cards(t[TX], "from_address", "block_timestamp", as_of, CARD_WINDOWS)
 
 
-def daily_activity(tables: Tables, as_of) -> DataFrame:
-    """Rollup of transactions to one row per (day, sender): ``day, from_address, transactions``.
+def daily_activity(tables: Tables, as_of, more: tuple[Column, ...] = ()) -> DataFrame:
+    """Rollup of transactions to one row per (day, sender): ``day, from_address, transactions``, and the aggregates ``more``.
 
     Distinct senders are not additive across days, so the rollup keeps the sender; it is much smaller than the
     transactions (one row per active sender and day) and serves every chart whose period cut is a day boundary.
     NULL senders are kept (they count as transactions, not as wallets).
     """
     tx = tables.as_of(as_datetime(as_of))[TX]
-    return tx.groupBy(period("block_timestamp", Timeframe.DAY).alias("day"), "from_address").agg(F.count(F.lit(1)).alias("transactions"))
+    return tx.groupBy(period("block_timestamp", Timeframe.DAY).alias("day"), "from_address").agg(F.count(F.lit(1)).alias("transactions"), *more)
 
 
 def _activity(tables: Tables, as_of: dt.datetime, activity: DataFrame | None) -> tuple[DataFrame, str, Column]:

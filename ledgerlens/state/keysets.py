@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.joins import bounded
 from ..functions.exprs import period
 from ..timeframe import Timeframe, as_datetime, ntz, shift, truncate
+from . import manifest
 from .versions import Commit, Versions
 
 BUCKET = 32_768  # bits of a bitmap
@@ -89,8 +90,9 @@ class KeySets:
     def seen_files(self) -> DataFrame:
         return self.store.read_parts("files", self.commit.live["files"])
 
-    def refresh(self, source: Source, closed: dt.datetime, changed: list[dt.date] | None = None, files: DataFrame | None = None) -> list[dt.date]:
-        """Rebuild the ``changed`` days before ``closed`` (None: all) and store the manifest ``files``; returns the days rebuilt."""
+    def refresh(self, source: Source, closed: dt.datetime, changed: list[dt.date] | None = None, files: DataFrame | None = None, digested: bool = False) -> list[dt.date]:
+        """Rebuild the ``changed`` days before ``closed`` (None: all) and store the manifest ``files``; returns the days rebuilt.
+        ``digested``: the manifest is the digest of the keys of the days built, from the same pass over the facts."""
         spark, store, was = self.spark, self.store, self.commit
         version = store.new_version()
         staged = lambda df, name: self._staged(df, f"{version}/{name}")
@@ -105,7 +107,9 @@ class KeySets:
                 return []
             rows = reduce(DataFrame.unionByName, [source(a, b) for a, b in runs_of(days)])
             rows = rows.filter(F.to_date("ts").isin(sorted(days)))
-        active = staged(rows.select("key", F.to_date("ts").alias("block_date")).distinct(), "active")
+        active = staged(rows.groupBy("key", F.to_date("ts").alias("block_date")).agg(F.count(F.lit(1)).alias("n")), "active")
+        if digested:
+            files = manifest.of_digests(active.select(F.col("block_date").alias("day"), F.col("n").alias("size"), (F.col("n") * manifest.row_digest("key")).alias("digest")))
         rebuilt = {r[0] for r in active.select("block_date").distinct().collect()}
         days = rebuilt | {d for d in was.live["days"] if as_datetime(d) < closed} if days is None else days
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "file string, modified timestamp, size long, day date"
@@ -22,9 +22,19 @@ def of_files(spark: SparkSession, path: str, partition: str) -> DataFrame:
     return found.select(F.col("path").alias("file"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), day.alias("day"))
 
 
+def row_digest(*columns: str) -> Column:
+    """A row's part of its day's digest; parts add up."""
+    return F.xxhash64(*columns).bitwiseAND(0xFFFFFFFF)
+
+
 def of_rows(rows: DataFrame, ts: str, *columns: str) -> DataFrame:
     """The manifest of a table without files: a row per day with its number of rows and a digest of ``columns``, which are read in full."""
-    per_day = rows.groupBy(F.to_date(ts).alias("day")).agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64(*columns).bitwiseAND(0xFFFFFFFF)).alias("_digest"))
+    return of_digests(rows.select(F.to_date(ts).alias("day"), F.lit(1).cast("long").alias("size"), row_digest(*columns).alias("digest")))
+
+
+def of_digests(parts: DataFrame) -> DataFrame:
+    """:func:`of_rows` from (day, size, digest) of groups of rows, as an aggregate of the table carries them along."""
+    per_day = parts.groupBy("day").agg(F.sum("size").alias("size"), F.sum("digest").alias("_digest"))
     name = F.concat(F.lit("rows:"), F.coalesce(F.col("day").cast("string"), F.lit("")), F.lit(":"), F.col("_digest").cast("string"))
     return per_day.select(name.alias("file"), F.lit("2000-01-01").cast("timestamp").alias("modified"), "size", "day")
 

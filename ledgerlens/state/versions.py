@@ -49,10 +49,16 @@ class Versions:
     def new_version(self) -> str:
         return f"{dt.datetime.now(dt.timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
 
-    def write(self, table: str, version: str, df: DataFrame) -> set[dt.date]:
-        """Write ``df`` as a version, sorted by ``block_date``; returns the days it has."""
+    def scratch(self, name: str) -> str:
+        """A new folder beside the state for what one refresh reads several times."""
+        return f"{self.root}/staging/{self.new_version()}/{name}"
+
+    def write(self, table: str, version: str, df: DataFrame, dealt: bool = False) -> set[dt.date]:
+        """Write ``df`` as a version, sorted by ``block_date``; returns the days it has. Rows ``dealt`` evenly by the aggregate that made
+        them stay in its partitions: each file is sorted by day, and a day has no task of its own that would grow with it."""
         path = f"{self.root}/{table}/version={version}"
-        df.repartitionByRange("block_date", *df.columns[:1]).sortWithinPartitions("block_date").write.parquet(path)
+        ranged = df if dealt else df.repartitionByRange("block_date", *df.columns[:1])
+        ranged.sortWithinPartitions("block_date").write.parquet(path)
         return {r[0] for r in self.spark.read.schema(f"{self.schemas[table]}, block_date date").parquet(path).select("block_date").distinct().collect()}
 
     def add_part(self, table: str, version: str, df: DataFrame, parts: dict[dt.date, str]) -> None:

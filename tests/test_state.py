@@ -176,3 +176,46 @@ def test_first_seen_split_moves_with_late_deployments(spark, tmp_path):
         state = stored.key_deployers(spark, tables, str(tmp_path / "d"), CLOCK, "c1")
         for tf in ("day", "week", "month"):
             same(stored.returning_key_deployers(state, CLOCK, tf), deployers.returning_key_deployers(tables, CLOCK, tf, "c1"))
+
+
+class Counted:
+    """Transactions of a table without files; ``reads`` counts how often their rows are read."""
+
+    def __init__(self, spark, rows):
+        self.seen = spark.sparkContext.accumulator(0)
+        seen, df = self.seen, transactions(spark, rows)
+        self.n = len(rows)
+
+        def tell(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        self.df = df.mapInArrow(tell, df.schema)
+
+    def reads(self):
+        out, self.seen.value = self.seen.value / self.n, 0
+        return out
+
+
+def test_first_build_reads_the_facts_once_and_later_ones_find_every_change(spark, tmp_path):
+    rows = [r for r in chain_rows(400) if r[0] < CLOCK.replace(hour=0, minute=0, second=0)]
+    facts = Counted(spark, rows)
+    tables = registry(spark, facts.df)
+    names = tuple(rollups.ROLLUPS)
+    for name in names:
+        rollups.refresh(spark, tables, str(tmp_path / "r"), CLOCK, (name,))
+        assert facts.reads() == 1, name
+    stored.senders(spark, tables, str(tmp_path / "s"), CLOCK)
+    assert facts.reads() == 1
+    # Nothing changed: the digests carried along are those of the rows, which are read once to see it.
+    assert set(map(tuple, rollups.refresh(spark, tables, str(tmp_path / "r"), CLOCK).values())) == {()}
+    assert facts.reads() == len(names)
+    swapped = [(t, "0xnew" if k == 7 else s, a, h) for k, (t, s, a, h) in enumerate(rows)]
+    later = registry(spark, transactions(spark, swapped))
+    day = rows[7][0].date()
+    assert rollups.refresh(spark, later, str(tmp_path / "r"), CLOCK) == {"daily_activity": [day], "hourly_fees": [], "target_activity": [day]}
+    state = stored.senders(spark, later, str(tmp_path / "s"), CLOCK)
+    check_users(state, later)
+    for name, (direct, *_) in rollups.ROLLUPS.items():
+        same(rollups.read(spark, later, str(tmp_path / "r"), name, CLOCK), direct(later, CLOCK))
