@@ -55,8 +55,10 @@ def _ids(sets: DataFrame) -> DataFrame:
 
 
 def _sets(ids: DataFrame, *by: str) -> DataFrame:
-    """Bitmaps of ``id`` per ``by`` and bucket."""
-    return ids.groupBy(*by, _bucket(F.col("id")).alias("bucket")).agg(F.bitmap_construct_agg(F.col("id") % BUCKET).alias("bitmap"))
+    """Bitmaps of ``id`` per ``by`` and bucket. Ids are dealt before a bitmap is made of them: every task would make 4 kB for each
+    day and bucket of which it holds an id. An id comes once, so a day's bucket is at most ``BUCKET`` rows."""
+    bits = ids.select(*by, _bucket(F.col("id")).alias("bucket"), (F.col("id") % BUCKET).cast("int").alias("_bit"))
+    return bits.repartition(*by, "bucket").groupBy(*by, "bucket").agg(F.bitmap_construct_agg(F.col("_bit").cast("long")).alias("bitmap"))
 
 
 def runs_of(days: set[dt.date], most: int = 32) -> list[tuple[dt.datetime, dt.datetime]]:

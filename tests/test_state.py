@@ -68,6 +68,16 @@ def test_bitmaps_hold_their_ids(spark):
     assert rows_of(_ids(_sets(df, "block_date"))) == rows_of(df)
 
 
+def test_sets_are_made_where_all_ids_of_a_bucket_are(spark):
+    """A day's bucket is dealt as ids, once: no task makes bitmaps of its own of a bucket that others hold ids of."""
+    ids = spark.range(0, 8 * 32768, 16, 8).select((F.col("id") / 16 % 3).cast("int").alias("d"), F.expr("id * 7 % 65536 + id % 3").alias("id")).distinct()
+    df = _sets(ids.repartition(8).select(F.date_add(F.lit(dt.date(2024, 1, 1)), F.col("d")).alias("block_date"), "id"), "block_date")
+    assert sorted(_ids(df).collect()) == sorted(ids.select(F.date_add(F.lit(dt.date(2024, 1, 1)), F.col("d")).alias("block_date"), "id").collect())
+    plan = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    shuffled = next(line for line in plan if "Exchange hashpartitioning(block_date" in line)
+    assert "bitmap_construct_agg" not in "".join(plan[plan.index(shuffled) + 1:]), plan
+
+
 def test_sets_follow_late_replaced_and_removed_rows(spark, tmp_path):
     rows = chain_rows()
     day = lambda r: (CLOCK - r[0]).days
