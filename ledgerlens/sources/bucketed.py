@@ -18,15 +18,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.joins import bounded
-from .layout import with_partition_column
 from .schemas import EVENT_TIME, PARTITION_COLUMNS, conform
 
 KEY = "target_key"
 TX, CONTRACTS, HOT = "transactions", "contracts", "hot_targets"
+#: A task of the write or of the join holds one bucket: about half a kB of memory a row.
+ROWS_PER_BUCKET = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -38,10 +40,14 @@ class Targets:
     hot: DataFrame
 
 
-def hot_targets(tx: DataFrame, share: float) -> DataFrame:
-    """The addresses with more than ``share`` of the rows: ``address``; at most 1 / ``share`` rows."""
-    counts = tx.where("to_address is not null").groupBy("to_address").agg(F.count(F.lit(1)).alias("n"))
-    return counts.where(F.col("n") > F.lit(tx.count() * share)).select(F.col("to_address").alias("address"))
+def target_counts(tx: DataFrame) -> DataFrame:
+    """Rows per target, the missing one included: ``to_address, n``."""
+    return tx.groupBy("to_address").agg(F.count(F.lit(1)).alias("n"))
+
+
+def hot_targets(counts: DataFrame, rows: int, share: float) -> DataFrame:
+    """The addresses with more than ``share`` of the ``rows``: ``address``; at most 1 / ``share`` rows."""
+    return counts.where(F.col("to_address").isNotNull() & (F.col("n") > F.lit(rows * share))).select(F.col("to_address").alias("address"))
 
 
 def _spread_key(spread: int) -> Column:
@@ -55,23 +61,31 @@ def _options(df: DataFrame, root: str | None, name: str):
 
 
 def write_targets(spark: SparkSession, transactions: DataFrame, contracts: DataFrame, prefix: str, buckets: int, share: float | None = None, root: str | None = None) -> Targets:
-    """Store both tables in ``buckets`` buckets as catalog tables named ``{prefix}_..``, under ``root`` if given.
+    """Store both tables in ``buckets`` buckets as catalog tables named ``{prefix}_..``, under ``root`` if given; in more where a
+    bucket, which is one task, would hold over ``ROWS_PER_BUCKET`` rows on average.
 
     ``share`` (default a tenth of a bucket's even share) bounds what one address adds to one bucket. Rows are dealt to
     ``buckets`` tasks by their bucket before they are written, so each task writes one file a day and bucket.
     """
     if buckets < 1:
         raise ValueError("buckets must be at least 1")
-    share = share if share is not None else 0.1 / buckets
-    if not 0 < share <= 1:
+    if share is not None and not 0 < share <= 1:
         raise ValueError("share must be above 0 and at most 1")
-    tx = with_partition_column(TX, transactions)
-    _options(hot_targets(tx, share), root, HOT).saveAsTable(f"{prefix}_{HOT}")
+    tx = conform(TX, transactions)
+    counts = target_counts(tx).persist(StorageLevel.DISK_ONLY)  # one row per target
+    rows = counts.agg(F.sum("n")).first()[0] or 0
+    buckets = max(buckets, -(-rows // ROWS_PER_BUCKET))
+    share = share if share is not None else 0.1 / buckets
+    _options(hot_targets(counts, rows, share), root, HOT).saveAsTable(f"{prefix}_{HOT}")
+    counts.unpersist()
     hot = spark.table(f"{prefix}_{HOT}")
     marked = tx.join(bounded(hot.select(F.col("address").alias("_hot"))), F.col("to_address") == F.col("_hot"), "left")
-    keyed = marked.withColumn(KEY, F.when(F.col("to_address").isNull() | F.col("_hot").isNotNull(), _spread_key(16 * buckets)).otherwise(F.col("to_address"))).drop("_hot")
+    marked = marked.withColumn("_spread", F.col("to_address").isNull() | F.col("_hot").isNotNull()).drop("_hot")
+    key = F.when(F.col("_spread"), _spread_key(16 * buckets)).otherwise(F.col("to_address"))
     part = PARTITION_COLUMNS[TX]
-    dealt = keyed.repartition(buckets, KEY).sortWithinPartitions(part, KEY, EVENT_TIME[TX])
+    # The key and the day are made of a row's other columns: the shuffle does without them.
+    keyed = marked.repartition(buckets, key).withColumns({part: F.to_date(EVENT_TIME[TX]), KEY: key}).drop("_spread")
+    dealt = keyed.sortWithinPartitions(part, KEY, EVENT_TIME[TX])
     _options(dealt, root, TX).partitionBy(part).bucketBy(buckets, KEY).sortBy(KEY).saveAsTable(f"{prefix}_{TX}")
     known = conform(CONTRACTS, contracts).repartition(buckets, "address")
     _options(known, root, CONTRACTS).bucketBy(buckets, "address").sortBy("address").saveAsTable(f"{prefix}_{CONTRACTS}")

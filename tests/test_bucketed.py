@@ -77,6 +77,21 @@ def test_hot_targets_fill_buckets_evenly(spark, tables, tmp_path):
     assert at.transactions.where("target_key = to_address and to_address like 'hot%'").count() == 0
 
 
+def test_buckets_grow_with_the_rows_and_targets_are_counted_once(spark, tables, tmp_path, monkeypatch):
+    """A bucket is one task: with more rows there are more buckets, not larger ones, and results stay the same."""
+    from pyspark.sql import functions as F
+
+    want = users.project_charts(tables, AS_OF, "week", 0).collect()
+    monkeypatch.setattr(bucketed, "ROWS_PER_BUCKET", 500)
+    at = bucketed.write_targets(spark, tables["transactions"], tables["contracts"], f"t_{tmp_path.name}", 2, None, str(tmp_path))
+    for name, n in (("transactions", 12), ("contracts", 12)):
+        described = {r.col_name: r.data_type for r in spark.sql(f"describe extended t_{tmp_path.name}_{name}").collect()}
+        assert described["Num Buckets"] == str(n)
+    per = [r["count"] for r in at.transactions.groupBy(F.pmod(F.hash("target_key"), F.lit(12)).alias("bucket")).count().collect()]
+    assert sum(per) == 6000 and max(per) < 2 * 500
+    assert stored.project_charts(at, tables, AS_OF, "week", 0).collect() == want
+
+
 def test_one_file_a_day_and_bucket_and_days_pruned(spark, tables, tmp_path):
     at = bucketed.write_targets(spark, tables["transactions"], tables["contracts"], f"t_{tmp_path.name}", 4, None, str(tmp_path))
     days = list((tmp_path / "transactions").glob("block_date=*"))
