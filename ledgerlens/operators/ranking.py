@@ -63,8 +63,8 @@ def _classified_spread(rows: DataFrame, contracts: DataFrame) -> DataFrame:
     """:func:`_classified` without shuffling rows on a hot address.
 
     The ``HOT_TARGETS`` most frequent targets (counted with map-side combining) meet the contracts first and are broadcast.
-    Rows of these, and rows without a target, then go into the join with the contracts under a key made of their
-    hash, which matches nothing and spreads them; only the other rows are dealt by address.
+    Rows of these, and rows without a target, are settled by that and stay where they are; only the other rows are
+    shuffled, by an address that is not hot. Both parts read ``rows``, or the shuffle that made them.
     """
     some = rows.filter(F.col("to_address").isNotNull() | F.col("_transfer"))
     counts = some.filter(F.col("to_address").isNotNull()).groupBy("to_address").agg(F.count(F.lit(1)).alias("_rows"))
@@ -72,12 +72,12 @@ def _classified_spread(rows: DataFrame, contracts: DataFrame) -> DataFrame:
     targets = contracts.select(F.col("address").alias("_contract"))
     hot = top.join(targets, F.col("_hot") == F.col("_contract"), "left").select("_hot", F.col("_contract").isNotNull().alias("_hot_known"))
     resolved = some.join(bounded(hot), F.col("to_address") == F.col("_hot"), "left")
-    spread = F.concat(F.lit("\0"), F.coalesce("hash", F.lit("")), F.coalesce("from_address", F.lit("")))
-    keyed = resolved.withColumn("_key", F.when(F.col("_hot").isNotNull() | F.col("to_address").isNull(), spread).otherwise(F.col("to_address")))
-    joined = keyed.join(targets, F.col("_key") == F.col("_contract"), "left")
-    is_contract = F.coalesce(F.col("_hot_known"), F.col("_contract").isNotNull())
-    kept = joined.filter(is_contract | F.col("_transfer"))
-    return kept.withColumn("project", project_of(F.when(is_contract, F.col("to_address")), "_transfer"))
+    settled = F.col("_hot").isNotNull() | F.col("to_address").isNull()
+    known = resolved.filter(settled).withColumn("_is_contract", F.coalesce("_hot_known", F.lit(False))).drop("_hot", "_hot_known")
+    cold = resolved.filter(~settled).drop("_hot", "_hot_known").join(targets, F.col("to_address") == F.col("_contract"), "left")
+    both = known.unionByName(cold.withColumn("_is_contract", F.col("_contract").isNotNull()).drop("_contract"))
+    kept = both.filter(F.col("_is_contract") | F.col("_transfer"))
+    return kept.withColumn("project", project_of(F.when(F.col("_is_contract"), F.col("to_address")), "_transfer"))
 
 
 def _classified(rows: DataFrame, contracts: DataFrame) -> DataFrame:

@@ -86,3 +86,21 @@ def test_hot_wallet_and_contract_results_exact(spark, skewed):
     assert got == {d: n for d, n in want.items() if d < "24-03-01"}
     retention = users.retention_chart(skewed, AS_OF, "month").collect()
     assert all(r["percentage"] == 100.0 for r in retention if r["month_number"] == 0)
+
+
+def test_rows_of_hot_targets_are_not_shuffled_to_meet_the_contracts(spark, skewed, monkeypatch):
+    """The hot contract is a third of all rows: the contract join's shuffle has the rows of other targets only."""
+    from pyspark.sql import functions as F
+
+    from ledgerlens.operators import ranking
+    from test_bucketed import shuffled_rows
+
+    monkeypatch.setattr(ranking, "HOT_TARGETS", 1)
+    tx = skewed["transactions"].withColumn("to_address", F.when(~F.col("hash").endswith("7"), F.col("to_address")))
+    rows = tx.select("hash", "from_address", "to_address", (F.col("value") > 0).alias("_transfer")).localCheckpoint()
+    df = ranking._classified_spread(rows, skewed["contracts"]).select("hash", "project")
+    got = sorted(df.collect())
+    plain = sorted(ranking._classified(rows, skewed["contracts"]).filter("to_address is not null or _transfer").select("hash", "project").collect())
+    assert got == plain and len(got) > 20000
+    cold = rows.filter("to_address <> 'hot_contract'").count()
+    assert 0 < max(shuffled_rows(df)) <= cold < 20000
