@@ -1,5 +1,6 @@
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 from hypothesis import given, settings
@@ -100,3 +101,20 @@ def test_components_of_paths_stars_and_nulls(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 130)}, 200: 200, 201: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_checkpoints_of_few_edges_are_few_files(spark):
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 12)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+        made = components(spark.createDataFrame([(k, k + 1) for k in range(20)], "a long, b long"))
+        assert {r.component for r in made.collect()} == {0}
+        assert made.rdd.getNumPartitions() == 2
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    files = {d.name: len(list(d.glob("part-*"))) for d in Path(folder.removeprefix("file:")).glob("rdd-*")}
+    first, *steps = (files[k] for k in sorted(files, key=lambda k: int(k[4:])))
+    assert first == 12 and steps and set(steps) == {1}
