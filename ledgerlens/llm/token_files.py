@@ -59,68 +59,79 @@ def choose(right: np.ndarray, yes: np.ndarray, no: np.ndarray) -> np.ndarray:
 
 
 class Mixer:
-    """Model state of a stack of blocks, one lane each. Symbols are numbered through all lanes; ``widths`` are the lanes' distinct ids."""
+    """Model state of a stack of blocks, one lane each. Symbols are numbered within their lane; ``widths`` are the lanes' distinct ids.
 
-    def __init__(self, widths: np.ndarray, tabled: bool):
-        lanes, self.tabled = len(widths), tabled
+    What is read at one place is one number, since steps wait for memory: a symbol's two followers, a context's two weights, a symbol's start and count.
+    ``history`` has the symbols of all steps, in rows; they are counted when the frequency table is made anew.
+    """
+
+    def __init__(self, widths: np.ndarray, history: np.ndarray, tabled: bool):
+        lanes, self.tabled, self.history = len(widths), tabled, history
         self.row = np.concatenate([[0], np.cumsum(widths)])
         self.first = self.row[:-1]
         self.counts = np.ones(self.row[-1], np.int32)
-        home = np.repeat(self.first, widths).astype(np.int32)
-        self.likely, self.second = home << 2, home.copy()  # by previous symbol: successor * 4 + confidence, and another successor
-        self.longer = np.repeat(self.first.astype(np.int32) << 2, SLOTS)  # by hash of the previous two
+        self.followers = np.zeros(self.row[-1], np.int32)  # by previous symbol: another successor << 13 | the likely one << 2 | confidence
+        self.longer = np.zeros(lanes * SLOTS, np.int16)  # by hash of the previous two: successor << 2 | confidence
+        if tabled:
+            self.local = (np.arange(self.row[-1]) - np.repeat(self.first, widths)).astype(np.int16)
         two, one = np.divmod(np.arange(16), 4)
-        self.weight = [np.tile(np.array(w, np.int32)[at], lanes) for w, at in (([64, 256, 512, 1024], two), ([64, 384, 1024, 1792], one))]
+        start = np.array([64, 256, 512, 1024])[two] << 13 | np.array([64, 384, 1024, 1792])[one]
+        self.weight = np.tile(start.astype(np.int32), lanes)  # of order 2 << 13 | of order 1
         self.slot0, self.weight0 = np.arange(lanes) * SLOTS, np.arange(lanes) * 16
-        self.previous, self.own, self.hashed = self.first, np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.steps = self.due = 0
+        self.here, self.own, self.hashed = self.first, np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+        self.steps = self.since = self.due = 0
 
     def refresh(self) -> None:
         """Cumulate the counts of the lanes still in use, and for decoding lay out one table entry per count."""
         n = len(self.first)
         end = self.row[n]
-        self.cumulated = np.zeros(end + 1, np.int32)
-        np.cumsum(self.counts[:end], out=self.cumulated[1:])
-        edge = self.cumulated[self.row[:n + 1]]
+        counts = self.counts[:end]
+        if self.since < self.steps:
+            counts += np.bincount((self.history[self.since:self.steps, :n] + self.first).ravel(), minlength=end)
+            self.since = self.steps
+        cumulated = np.zeros(end + 1, np.int32)
+        np.cumsum(counts, out=cumulated[1:])
+        edge = cumulated[self.row[:n + 1]]
         self.base, self.total = edge[:-1], np.diff(edge)
+        self.spans = cumulated[:-1] - np.repeat(self.base, np.diff(self.row[:n + 1])) << 12 | counts
         self.whole = (self.total * ONE).astype(np.uint64)
         if self.tabled:
-            self.table = np.repeat(np.arange(end, dtype=np.int32), self.counts[:end])
+            self.table = np.repeat(self.local[:end], counts)
         self.due = self.steps + max(32, self.steps // 5)
 
     def shrink(self, n: int) -> None:
         """Go on with the first n lanes only; a lane's numbers do not depend on the others."""
-        for name in ("first", "slot0", "weight0", "base", "total", "whole", "previous", "own", "hashed"):
+        for name in ("first", "slot0", "weight0", "base", "total", "whole", "here", "own", "hashed"):
             setattr(self, name, getattr(self, name)[:n])
 
     def predict(self) -> None:
         if self.steps == self.due:
             self.refresh()
         self.slot = self.slot0 + (self.hashed + self.own * 40503 >> 4 & SLOTS - 1)
-        self.held = pick(self.longer, self.slot), pick(self.likely, self.previous)
+        both = pick(self.followers, self.here)
+        self.other, likely = both >> 13, both & 8191
+        self.held = pick(self.longer, self.slot).astype(np.int32), likely
         two, self.one = (h >> 2 for h in self.held)
         self.sure = [h & 3 for h in self.held]
-        self.other = pick(self.second, self.previous)
         self.guess = two, choose(self.one == two, self.other, self.one)
         self.at = self.weight0 + (self.sure[0] << 2 | self.sure[1])
-        self.w = [pick(w, self.at) for w in self.weight]
+        w = pick(self.weight, self.at)
+        self.w = w >> 13, w & 8191
         used = self.w[1] * (self.guess[1] != two)
         self.w0 = ONE - self.w[0] - used
         self.mass = self.w[0] * self.total, used * self.total
 
     def counted(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, size) of the symbols among the counted ones, times the weight of order 0."""
-        symbols = symbols.astype(np.intp, copy=False)
-        begin = pick(self.cumulated, symbols)
-        return (begin - self.base) * self.w0, (pick(self.cumulated[1:], symbols) - begin) * self.w0
+        span = pick(self.spans, self.first + symbols)
+        return (span >> 12) * self.w0, (span & 4095) * self.w0
 
     def interval(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, size) of the symbols in the mixed frequency table, whose sum is ``whole``."""
         start, size = self.counted(symbols)
-        narrow = symbols.astype(np.int32)
         for g, m in zip(self.guess, self.mass, strict=True):
-            start += m * (g < narrow)
-            size += m * (g == narrow)
+            start += m * (g < symbols)
+            size += m * (g == symbols)
         return start.astype(np.uint64), size.astype(np.uint64)
 
     def find(self, value: np.ndarray) -> np.ndarray:
@@ -135,41 +146,42 @@ class Mixer:
         # What is left of a value without the guesses below it lies in the order-0 counts alone.
         x = np.maximum(rest, 0).view(np.uint32) // self.w0.view(np.uint32)
         found = pick(self.table, self.base + x)
-        return choose(inside[0], self.guess[0], choose(inside[1], self.guess[1], found)).astype(np.int64)
+        return choose(inside[0], self.guess[0], choose(inside[1], self.guess[1], found.astype(np.int32)))
 
     def learn(self, symbols: np.ndarray) -> None:
-        narrow = symbols.astype(np.int32)
-        two, one = self.guess[0] == narrow, self.one == narrow
-        right = two, (self.guess[1] == narrow) > two
-        for w, held, hit in zip(self.weight, self.w, right, strict=True):
-            w[self.at] = held + (hit * np.int32(MOST) - held >> 5)
-        fresh = narrow << 2
+        two, one = self.guess[0] == symbols, self.one == symbols
+        right = two, (self.guess[1] == symbols) > two
+        moved = [held + (hit * np.int32(MOST) - held >> 5) for held, hit in zip(self.w, right, strict=True)]
+        self.weight[self.at] = moved[0] << 13 | moved[1]
+        fresh = symbols << 2
         doubt = self.sure[1] > 0
-        for context, at, held, sure, hit in zip((self.longer, self.likely), (self.slot, self.previous), self.held, (self.sure[0] > 0, doubt), (two, one), strict=True):
-            context[at] = choose(hit, np.minimum(held + 1, held | 3), choose(sure, held - 1, fresh))
-        self.second[self.previous] = choose(one, self.other, choose(doubt, narrow, self.one))
-        self.counts[symbols] += 1
-        self.hashed, self.previous, self.own = self.own * 30011, symbols, symbols - self.first
+        kept = [choose(hit, np.minimum(held + 1, held | 3), choose(sure, held - 1, fresh)) for held, sure, hit in zip(self.held, (self.sure[0] > 0, doubt), (two, one), strict=True)]
+        self.longer[self.slot] = kept[0].astype(np.int16)
+        self.followers[self.here] = choose(one, self.other, choose(doubt, symbols, self.one)) << 13 | kept[1]
+        self.hashed, self.here, self.own = self.own * 30011, self.first + symbols, symbols
         self.steps += 1
 
 
-def ready(low: np.ndarray, width: np.ndarray) -> np.ndarray:
-    """Lanes that pass on their upper word; one whose interval crosses into the next word gives up what lies beyond."""
+def ready(low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lanes that pass on their upper word, and their ``low`` before it; one whose interval crosses into the next word gives up what lies beyond."""
     lanes = np.flatnonzero(width < WORD)
-    width[lanes] = np.minimum(width[lanes], WORD - (low[lanes] & LOW)) << SHIFT
-    return lanes
+    held = pick(low, lanes)
+    width[lanes] = np.minimum(pick(width, lanes), WORD - (held & LOW)) << SHIFT
+    low[lanes] = held << SHIFT
+    return lanes, held
 
 
 def encode_blocks(blocks: list[np.ndarray], widths: np.ndarray) -> list[bytes]:
     """Payloads of blocks of symbols (each block's below its width), longest block first."""
     sizes = np.array([len(b) for b in blocks])
     n, most = len(blocks), int(sizes[0])
-    model = Mixer(widths, tabled=False)
-    symbols = np.zeros((most, n), np.int64)
+    symbols = np.zeros((most, n), np.int32)
     for k, b in enumerate(blocks):
-        symbols[:len(b), k] = b + model.first[k]
+        symbols[:len(b), k] = b
+    model = Mixer(widths, symbols, tabled=False)
     low, width = np.zeros(n, np.uint64), np.full(n, FULL)
-    out, used = np.zeros((n, most + 2), np.uint32), np.zeros(n, np.int64)
+    begin = np.arange(n) * (most + 2)
+    out, used = np.zeros(n * (most + 2), np.uint32), begin.copy()
     last, active = np.zeros(n, np.uint64), n
     for k in range(most):
         now = int(np.searchsorted(-sizes, -k, "left"))
@@ -183,31 +195,26 @@ def encode_blocks(blocks: list[np.ndarray], widths: np.ndarray) -> list[bytes]:
         unit = width // model.whole
         low = low + unit * start
         width = unit * size
-        lanes = ready(low, width)
-        at = used[lanes]
-        out[lanes, at] = low[lanes] >> SHIFT
+        lanes, held = ready(low, width)
+        at = pick(used, lanes)
+        out[at] = held >> SHIFT
         used[lanes] = at + 1
-        low[lanes] <<= SHIFT
         model.learn(row)
     last[:active] = low
     for k, shift in enumerate((SHIFT, np.uint64(0))):
-        out[np.arange(n), used + k] = (last >> shift) & LOW
-    return [out[k, :used[k] + 2].astype("<u4").tobytes() for k in range(n)]
+        out[used + k] = (last >> shift) & LOW
+    return [out[a:b + 2].astype("<u4").tobytes() for a, b in zip(begin.tolist(), used.tolist(), strict=True)]
 
 
 def decode_blocks(payloads: list[bytes], sizes: list[int], widths: np.ndarray) -> list[np.ndarray]:
     """Symbols of payloads, longest block first."""
     n, most = len(payloads), sizes[0]
-    words = [np.frombuffer(p, "<u4") for p in payloads]
-    source = np.zeros((n, max(map(len, words)) + 2), np.uint64)
-    for k, u in enumerate(words):
-        source[k, :len(u)] = u
-    edge = source.shape[1] - 1
-    model = Mixer(widths, tabled=True)
-    begin = model.first
-    low, width = np.zeros(n, np.uint64), np.full(n, FULL)
-    code, used = source[:, 0] << SHIFT | source[:, 1], np.full(n, 2, np.int64)
+    begin = np.cumsum([0, *(len(p) // 4 for p in payloads)])
+    source = np.frombuffer(b"".join(payloads), "<u4")
     out, lengths, active = np.zeros((most, n), np.int32), np.array(sizes), n
+    model = Mixer(widths, out, tabled=True)
+    low, width = np.zeros(n, np.uint64), np.full(n, FULL)
+    code, used = source[begin[:-1]].astype(np.uint64) << SHIFT | source[begin[:-1] + 1], begin[:-1] + 2
     for k in range(most):
         now = int(np.searchsorted(-lengths, -k, "left"))
         if now < active:
@@ -220,15 +227,14 @@ def decode_blocks(payloads: list[bytes], sizes: list[int], widths: np.ndarray) -
         start, size = model.interval(row)
         low = low + unit * start
         width = unit * size
-        lanes = ready(low, width)
-        at = used[lanes]
-        code[lanes] = code[lanes] << SHIFT | source[lanes, np.minimum(at, edge)]  # a damaged payload may ask for more
+        lanes, _ = ready(low, width)
+        at = pick(used, lanes)
+        code[lanes] = pick(code, lanes) << SHIFT | pick(source, at)  # a damaged payload may ask for more
         used[lanes] = at + 1
-        low[lanes] <<= SHIFT
         model.learn(row)
         out[k, :active] = row
     out = np.ascontiguousarray(out.T)
-    return [out[k, :s] - begin[k] for k, s in enumerate(sizes)]
+    return [out[k, :s] for k, s in enumerate(sizes)]
 
 
 def packed_ids(many: list[np.ndarray]) -> list[bytes]:
@@ -254,9 +260,11 @@ def unpacked_ids(data: bytes) -> np.ndarray:
 def numbered(block: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct ids, the block in numbers of these); ``number`` is scratch of the alphabet's size."""
     ids = np.sort(block)
-    ids = ids[np.diff(ids, prepend=-1) > 0].astype(np.int64)
+    new = np.ones(len(ids), bool)
+    np.not_equal(ids[1:], ids[:-1], out=new[1:])
+    ids = ids[new].astype(np.int64)
     number[ids] = np.arange(len(ids), dtype=np.int32)
-    return ids, number[block]
+    return ids, pick(number, block)
 
 
 def file_bytes(doc_ids: list, lengths: list[int], ids: np.ndarray, alphabet: int) -> bytes:
@@ -388,12 +396,16 @@ class Encoder:
         different = cut.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.pieces) > self.remember or len(self.ids) > 8 * self.remember:
             self.forget()
-        fresh = [p for p in different if p not in self.pieces]
+        known = list(map(self.pieces.get, different))
+        at = [k for k, number in enumerate(known) if number is None]
+        fresh = [different[k] for k in at]
         made = [self.merge(p) for p in fresh]
+        for k, number in zip(at, itertools.count(len(self.pieces)), strict=False):
+            known[k] = number
         self.pieces.update(zip(fresh, itertools.count(len(self.pieces))))
         self.begins = np.concatenate([self.begins, len(self.ids) + np.cumsum([len(m) for m in made], dtype=np.int64)])
         self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(made), np.int32)])
-        return np.fromiter(map(self.pieces.__getitem__, different), np.int64, len(different))[cut.indices.to_numpy()]
+        return np.array(known, np.int64)[cut.indices.to_numpy()]
 
     def encode_plain(self, texts: list[bytes], end: int) -> tuple[list[int], np.ndarray]:
         """(lengths, all ids) of texts given by their code points, all below 256."""

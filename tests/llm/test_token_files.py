@@ -109,3 +109,24 @@ def test_a_hot_range_is_several_files(spark, tmp_path, monkeypatch):
     assert len(files) > 3
     got = x.read(spark, str(tmp_path / "hot"), files).collect()
     assert len(got) == 60 and sorted(r.start for r in got)[1] == len(min(got, key=lambda r: r.start).ids)
+
+
+def test_a_step_reads_the_model_once_for_what_lies_together(monkeypatch):
+    read, plain = [], x.pick
+
+    def counted(values, at):
+        read.append(values.dtype)
+        return plain(values, at)
+
+    ids = (np.arange(6000) ** 2 // 7 % 300).astype(np.int32)
+    blocks = [np.unique(ids[k:k + 1000], return_inverse=True)[1] for k in range(0, 6000, 1000)]
+    widths = np.array([b.max() + 1 for b in blocks])
+    monkeypatch.setattr(x, "pick", counted)
+    payloads = x.encode_blocks(blocks, widths)
+    of_model = [sum(d in (np.int16, np.int32) for d in read)]
+    read.clear()
+    back = x.decode_blocks(payloads, [1000] * 6, widths)
+    of_model.append(sum(d in (np.int16, np.int32) for d in read))
+    assert all((a == b).all() for a, b in zip(back, blocks, strict=True))
+    assert of_model == [4 * 1000, 7 * 1000]  # 7 and 12 a step, when followers, weights, starts and counts were arrays of their own
+    assert zlib.crc32(b"".join(payloads)) == 3378777920  # of the former code: files stay the same
