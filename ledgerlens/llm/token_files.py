@@ -38,12 +38,15 @@ from .common import shared_dir, slices
 MAGIC = b"MIXR0002"
 BLOCK = 2048
 LANES = 4096
+NEAR = 256  # lanes whose counts are worked on at once
 FILE_IDS = BLOCK * LANES  # a file ends with the slice of documents that reaches them
 PART_BYTES = 16 << 20  # text of a range of doc_ids, which is a task and, but for skew, a file
 SLICE = 4 << 20  # text encoded at once
 ONE = 4096  # sum of mixing weights
 MOST = 3840  # most weight of the two guesses
 SLOTS = 1024  # order-2 contexts of a block
+HASH = np.array([30011, 40503], np.uint16).view(np.int16)  # factors of the previous two symbols; a sum's low 14 bits count
+FOUR = np.uint64(0x1000100010001)
 FULL = np.uint64((1 << 64) - 1)
 WORD, LOW, SHIFT = np.uint64(1 << 32), np.uint64((1 << 32) - 1), np.uint64(32)
 
@@ -58,10 +61,31 @@ def choose(right: np.ndarray, yes: np.ndarray, no: np.ndarray) -> np.ndarray:
     return no + (yes - no) * right
 
 
+def joined(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Two arrays of 16 bits as one of 32."""
+    out = np.empty((len(low), 2), "<i2")
+    out[:, 0], out[:, 1] = low, high
+    return out.view("<i4")[:, 0]
+
+
+def halves(both: np.ndarray) -> np.ndarray:
+    """What ``joined`` got, in two rows."""
+    return both.view("<i2").reshape(-1, 2).T
+
+
+def running(values: np.ndarray) -> np.ndarray:
+    """Running sums in 16 bits, modulo 2 ** 16, of small numbers: first of every four, which one product gives, then of these."""
+    sums = values.view("<u8") * FOUR
+    fours = sums >> np.uint64(48)
+    before = np.cumsum(fours) - fours & np.uint64(0xFFFF)
+    return sums.view("<i2") + (before * FOUR).view("<i2")
+
+
 class Mixer:
     """Model state of a stack of blocks, one lane each. Symbols are numbered within their lane; ``widths`` are the lanes' distinct ids.
 
-    What is read at one place is one number, since steps wait for memory: a symbol's two followers, a context's two weights, a symbol's start and count.
+    What is read at one place is one number, since steps wait for memory: a symbol's two followers and a context's two weights (16 bits each), a symbol's
+    start and count. Symbols, states and weights are worked on in 16 bits, and what is done for both guesses is done to one array of two rows.
     ``history`` has the symbols of all steps, in rows; they are counted when the frequency table is made anew.
     """
 
@@ -69,34 +93,44 @@ class Mixer:
         lanes, self.tabled, self.history = len(widths), tabled, history
         self.row = np.concatenate([[0], np.cumsum(widths)])
         self.first = self.row[:-1]
-        self.counts = np.ones(self.row[-1], np.int32)
-        self.followers = np.zeros(self.row[-1], np.int32)  # by previous symbol: another successor << 13 | the likely one << 2 | confidence
+        self.counts, self.spans = np.ones(self.row[-1], np.int32), np.zeros(self.row[-1], np.int32)  # a span: start << 12 | count
+        self.followers = np.zeros(self.row[-1], np.int32)  # by previous symbol: (the likely successor << 2 | confidence, another one)
         self.longer = np.zeros(lanes * SLOTS, np.int16)  # by hash of the previous two: successor << 2 | confidence
         if tabled:
-            self.local = (np.arange(self.row[-1]) - np.repeat(self.first, widths)).astype(np.int16)
+            self.table = np.empty(self.row[-1] + lanes * len(history), np.int16)
         two, one = np.divmod(np.arange(16), 4)
-        start = np.array([64, 256, 512, 1024])[two] << 13 | np.array([64, 384, 1024, 1792])[one]
-        self.weight = np.tile(start.astype(np.int32), lanes)  # of order 2 << 13 | of order 1
+        start = np.stack([np.array([64, 256, 512, 1024])[two], np.array([64, 384, 1024, 1792])[one]])
+        self.weight = np.tile(joined(*start.astype(np.int16)), lanes)  # (of order 2, of order 1)
         self.slot0, self.weight0 = np.arange(lanes) * SLOTS, np.arange(lanes) * 16
-        self.here, self.own, self.hashed = self.first, np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+        self.here, self.own, self.hashed = self.first, np.zeros(lanes, np.int16), np.zeros(lanes, np.int16)
         self.steps = self.since = self.due = 0
 
     def refresh(self) -> None:
-        """Cumulate the counts of the lanes still in use, and for decoding lay out one table entry per count."""
+        """Cumulate the counts of the lanes still in use, and for decoding lay out one table entry per count; some lanes at a time, which stay near."""
         n = len(self.first)
-        end = self.row[n]
-        counts = self.counts[:end]
-        if self.since < self.steps:
-            counts += np.bincount((self.history[self.since:self.steps, :n] + self.first).ravel(), minlength=end)
-            self.since = self.steps
-        cumulated = np.zeros(end + 1, np.int32)
-        np.cumsum(counts, out=cumulated[1:])
-        edge = cumulated[self.row[:n + 1]]
-        self.base, self.total = edge[:-1], np.diff(edge)
-        self.spans = cumulated[:-1] - np.repeat(self.base, np.diff(self.row[:n + 1])) << 12 | counts
+        widths = np.diff(self.row[:n + 1])
+        self.total = (widths + self.steps).astype(np.int32)  # what a lane has counted
         self.whole = (self.total * ONE).astype(np.uint64)
-        if self.tabled:
-            self.table = np.repeat(self.local[:end], counts)
+        self.base = self.first + np.arange(n) * self.steps
+        fresh = self.history[self.since:self.steps]
+        for a in range(0, n, NEAR):
+            b = min(a + NEAR, n)
+            here, first = slice(self.row[a], self.row[b]), self.first[a:b] - self.row[a]
+            counts = self.counts[here]
+            if len(fresh):
+                counts += np.bincount((fresh[:, a:b] + first).ravel(), minlength=len(counts))
+            start = np.cumsum(counts, dtype=np.int32)
+            start -= counts
+            if self.tabled:
+                # An entry's symbol is the number of symbols that begin up to it, without those of lanes before.
+                size = start[-1] + counts[-1]
+                begins = np.zeros(-(-size // 4) * 4, np.int16)
+                begins[start] = 1
+                np.subtract(running(begins)[:size], np.repeat((first + 1).astype(np.int16), self.total[a:b]), out=self.table[self.base[a]:self.base[a] + size])
+            start -= np.repeat((first + np.arange(b - a) * self.steps).astype(np.int32), widths[a:b])
+            start <<= 12
+            np.bitwise_or(start, counts, out=self.spans[here])
+        self.since = self.steps
         self.due = self.steps + max(32, self.steps // 5)
 
     def shrink(self, n: int) -> None:
@@ -107,58 +141,59 @@ class Mixer:
     def predict(self) -> None:
         if self.steps == self.due:
             self.refresh()
-        self.slot = self.slot0 + (self.hashed + self.own * 40503 >> 4 & SLOTS - 1)
-        both = pick(self.followers, self.here)
-        self.other, likely = both >> 13, both & 8191
-        self.held = pick(self.longer, self.slot).astype(np.int32), likely
-        two, self.one = (h >> 2 for h in self.held)
-        self.sure = [h & 3 for h in self.held]
-        self.guess = two, choose(self.one == two, self.other, self.one)
+        self.slot = self.slot0 + (self.hashed >> 4 & SLOTS - 1)
+        self.held = halves(pick(self.followers, self.here))[::-1].copy()
+        self.other, self.held[0] = self.held[0].copy(), pick(self.longer, self.slot)
+        self.likely, self.sure = self.held >> 2, self.held & 3
+        two, one = self.likely
+        self.guess = self.likely.copy()
+        self.guess[1] = choose(one == two, self.other, one)
         self.at = self.weight0 + (self.sure[0] << 2 | self.sure[1])
-        w = pick(self.weight, self.at)
-        self.w = w >> 13, w & 8191
-        used = self.w[1] * (self.guess[1] != two)
-        self.w0 = ONE - self.w[0] - used
-        self.mass = self.w[0] * self.total, used * self.total
+        self.w = halves(pick(self.weight, self.at)).copy()
+        mixed = self.w.astype(np.int32)
+        mixed[1] *= self.guess[1] != two
+        self.w0 = ONE - mixed[0] - mixed[1]
+        self.mass = mixed * self.total
 
     def counted(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, size) of the symbols among the counted ones, times the weight of order 0."""
-        span = pick(self.spans, self.first + symbols)
-        return (span >> 12) * self.w0, (span & 4095) * self.w0
+        """(place, start << 12 | count) of the symbols among the counted ones."""
+        at = self.first + symbols
+        return at, pick(self.spans, at)
 
     def interval(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, size) of the symbols in the mixed frequency table, whose sum is ``whole``."""
-        start, size = self.counted(symbols)
-        for g, m in zip(self.guess, self.mass, strict=True):
-            start += m * (g < symbols)
-            size += m * (g == symbols)
+        """(start, size) of the symbols, which ``learn`` gets next, in the mixed frequency table, whose sum is ``whole``."""
+        self.there, span = self.counted(symbols)
+        self.hit = self.guess == symbols
+        below, inside = self.mass * (self.guess < symbols), self.mass * self.hit
+        start = (span >> 12) * self.w0 + below[0] + below[1]
+        size = (span & 4095) * self.w0 + inside[0] + inside[1]
         return start.astype(np.uint64), size.astype(np.uint64)
 
     def find(self, value: np.ndarray) -> np.ndarray:
         """Symbols whose intervals hold the values."""
-        rest, inside = value, []
-        for (g, m), (h, below) in itertools.permutations(zip(self.guess, self.mass, strict=True)):
-            start, size = self.counted(g)
-            start += below * (h < g)
-            past = value >= start
-            inside.append(past & (value - start < size + m))
-            rest = rest - m * past
+        guess, mass = self.guess, self.mass
+        span = np.stack([self.counted(g)[1] for g in guess])
+        start, size = (span >> 12) * self.w0, (span & 4095) * self.w0
+        start += mass[::-1] * (guess[::-1] < guess)
+        past = value >= start
+        inside = past & (value - start < size + mass)
+        passed = mass * past
         # What is left of a value without the guesses below it lies in the order-0 counts alone.
-        x = np.maximum(rest, 0).view(np.uint32) // self.w0.view(np.uint32)
+        x = np.maximum(value - passed[0] - passed[1], 0).view(np.uint32) // self.w0.view(np.uint32)
         found = pick(self.table, self.base + x)
-        return choose(inside[0], self.guess[0], choose(inside[1], self.guess[1], found.astype(np.int32)))
+        return choose(inside[0], guess[0], choose(inside[1], guess[1], found))
 
     def learn(self, symbols: np.ndarray) -> None:
-        two, one = self.guess[0] == symbols, self.one == symbols
-        right = two, (self.guess[1] == symbols) > two
-        moved = [held + (hit * np.int32(MOST) - held >> 5) for held, hit in zip(self.w, right, strict=True)]
-        self.weight[self.at] = moved[0] << 13 | moved[1]
-        fresh = symbols << 2
-        doubt = self.sure[1] > 0
-        kept = [choose(hit, np.minimum(held + 1, held | 3), choose(sure, held - 1, fresh)) for held, sure, hit in zip(self.held, (self.sure[0] > 0, doubt), (two, one), strict=True)]
-        self.longer[self.slot] = kept[0].astype(np.int16)
-        self.followers[self.here] = choose(one, self.other, choose(doubt, symbols, self.one)) << 13 | kept[1]
-        self.hashed, self.here, self.own = self.own * 30011, self.first + symbols, symbols
+        right = self.hit
+        np.greater(right[1], right[0], out=right[1])
+        self.w += right * np.int16(MOST) - self.w >> 5
+        self.weight[self.at] = joined(*self.w)
+        hit, doubt = self.likely == symbols, self.sure > 0
+        kept = choose(hit, self.held + (self.sure < 3), choose(doubt, self.held - 1, symbols << 2))
+        self.longer[self.slot] = kept[0]
+        self.followers[self.here] = joined(kept[1], choose(hit[1], self.other, choose(doubt[1], symbols, self.likely[1])))
+        self.hashed = self.own * HASH[0] + symbols * HASH[1]
+        self.here, self.own = self.there, symbols
         self.steps += 1
 
 
@@ -171,11 +206,16 @@ def ready(low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lanes, held
 
 
+def in_use(sizes: np.ndarray) -> list[int]:
+    """For each step, how many blocks (longest first) have an id left."""
+    return np.searchsorted(-sizes, -np.arange(sizes[0]), "left").tolist()
+
+
 def encode_blocks(blocks: list[np.ndarray], widths: np.ndarray) -> list[bytes]:
     """Payloads of blocks of symbols (each block's below its width), longest block first."""
     sizes = np.array([len(b) for b in blocks])
     n, most = len(blocks), int(sizes[0])
-    symbols = np.zeros((most, n), np.int32)
+    symbols = np.zeros((most, n), np.int16)
     for k, b in enumerate(blocks):
         symbols[:len(b), k] = b
     model = Mixer(widths, symbols, tabled=False)
@@ -183,8 +223,7 @@ def encode_blocks(blocks: list[np.ndarray], widths: np.ndarray) -> list[bytes]:
     begin = np.arange(n) * (most + 2)
     out, used = np.zeros(n * (most + 2), np.uint32), begin.copy()
     last, active = np.zeros(n, np.uint64), n
-    for k in range(most):
-        now = int(np.searchsorted(-sizes, -k, "left"))
+    for k, now in enumerate(in_use(sizes)):
         if now < active:
             last[now:active] = low[now:]
             low, width, active = low[:now], width[:now], now
@@ -211,12 +250,11 @@ def decode_blocks(payloads: list[bytes], sizes: list[int], widths: np.ndarray) -
     n, most = len(payloads), sizes[0]
     begin = np.cumsum([0, *(len(p) // 4 for p in payloads)])
     source = np.frombuffer(b"".join(payloads), "<u4")
-    out, lengths, active = np.zeros((most, n), np.int32), np.array(sizes), n
+    out, active = np.zeros((most, n), np.int16), n
     model = Mixer(widths, out, tabled=True)
     low, width = np.zeros(n, np.uint64), np.full(n, FULL)
     code, used = source[begin[:-1]].astype(np.uint64) << SHIFT | source[begin[:-1] + 1], begin[:-1] + 2
-    for k in range(most):
-        now = int(np.searchsorted(-lengths, -k, "left"))
+    for k, now in enumerate(in_use(np.array(sizes))):
         if now < active:
             low, width, code, active = low[:now], width[:now], code[:now], now
             model.shrink(now)
@@ -308,6 +346,36 @@ def parsed(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [int(d) if k else None for d, k in zip(doc_ids, known, strict=True)], lengths, np.concatenate(out) if out else np.zeros(0, np.int32)
 
 
+class Numbers:
+    """Numbers of 64-bit keys other than 0. Keys lie in order, so that looking up many, in order too, reads what is near."""
+
+    def __init__(self) -> None:
+        self.keys, self.numbers = np.zeros(1, np.uint64), np.zeros(1, np.int64)
+
+    def further(self, new: np.ndarray) -> np.ndarray:
+        """Numbers not used yet, for new keys of which nothing else is to be known."""
+        return np.arange(len(self.keys), len(self.keys) + len(new))
+
+    def of(self, keys: np.ndarray, make: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """The keys' numbers; ``make`` gives those of new keys, by a place of each among ``keys``."""
+        if not len(keys):
+            return np.zeros(0, np.int64)
+        cut = pa.array(keys).dictionary_encode()
+        which, different = cut.indices.to_numpy(), cut.dictionary.to_numpy()
+        place = np.empty(len(different), np.int64)
+        place[which] = np.arange(len(keys))
+        order = np.argsort(different)
+        different = different[order]
+        at = np.searchsorted(self.keys, different)
+        new = pick(self.keys, at) != different
+        numbers = pick(self.numbers, at)
+        numbers[new] = make(place[order[new]])
+        self.keys, self.numbers = np.insert(self.keys, at[new], different[new]), np.insert(self.numbers, at[new], numbers[new])
+        mine = np.empty(len(order), np.int64)
+        mine[order] = numbers
+        return pick(mine, which)
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, which gets every different piece once and so long as it is remembered.
 
@@ -322,6 +390,7 @@ class Encoder:
     SPACE, NUMBER, LETTER, OTHER = range(4)
     KINDS = bytes(0 if chr(c) in "\t\n\v\f\r \x85\xa0" else {"N": 1, "L": 2}.get(unicodedata.category(chr(c))[0], 3) for c in range(256))
     LOWER = bytes(ord(chr(c).lower()) for c in range(256))
+    FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # bits of the first n bytes
 
     def __init__(self, tokenizer_file: str, remember: int = 600_000):
         from tokenizers import Tokenizer
@@ -362,17 +431,21 @@ class Encoder:
         return out
 
     def forget(self) -> None:
-        """Start the store of pieces anew: a number of each, and its ids as a run of one array. Number 0 is the end of a text."""
-        self.pieces, self.begins, self.ids = {None: 0}, np.zeros(2, np.int64), np.zeros(1, np.int32)
-        self.begins[1] = 1
+        """Start the store of pieces anew: a number of each, and its ids as a run of one array. Number 0 is the end of a text.
+
+        A piece of at most 8 bytes is told by these as one integer, of at most 16 by the numbers of its two halves.
+        """
+        self.begins, self.ids = np.arange(2), np.zeros(1, np.int32)
+        self.short, self.halves, self.middle = Numbers(), Numbers(), Numbers()
+        self.pieces: dict[bytes, int] = {}  # the others
 
     def merge(self, piece: bytes) -> list[int]:
         if piece.isalpha():  # ASCII letters are spelled as themselves
             return [t.id for t in self.model.tokenize(piece.decode())]
         return [] if self.KINDS[piece[0]] == self.SPACE else [t.id for t in self.model.tokenize(piece.decode("latin-1").translate(self.spelled))]
 
-    def cut(self, texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
-        """(lower-case bytes, a newline after each text; edges of its pieces; numbers of the pieces that are these newlines)."""
+    def cut(self, texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+        """(lower-case bytes, a newline after each text; starts and sizes of its pieces, without other white space; which pieces are these newlines)."""
         raw = b"".join(itertools.chain.from_iterable((t, b"\n") for t in texts)).translate(self.LOWER)
         data, kind = np.frombuffer(raw, np.uint8), np.frombuffer(raw.translate(self.KINDS), np.uint8)
         edge = np.ones(len(data) + 1, bool)
@@ -387,38 +460,55 @@ class Encoder:
         size = short + 2 * (((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l")))
         at, size = at[size > 0], size[size > 0]
         edge[at + 1], edge[at + 1 + size] = False, True
-        edges = np.flatnonzero(edge)
-        return raw, edges, np.searchsorted(edges, stops)
+        kept = kind != self.SPACE
+        kept[stops] = True
+        starts, ends = np.flatnonzero(edge[:-1] & kept), np.flatnonzero(edge[1:] & kept) + 1
+        return raw, starts, ends - starts, np.searchsorted(starts, stops)
+
+    def learned(self, pieces: list[bytes]) -> np.ndarray:
+        """Numbers of pieces that are new to the store."""
+        made = [self.merge(p) for p in pieces]
+        count = len(self.begins) - 1
+        self.begins = np.concatenate([self.begins, len(self.ids) + np.cumsum([len(m) for m in made], dtype=np.int64)])
+        self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(made), np.int32)])
+        return count + np.arange(len(pieces))
 
-    def numbers(self, raw: bytes, edges: np.ndarray) -> np.ndarray:
+    def numbers(self, raw: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Number of each piece in the store, which learns the new ones."""
-        cut = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(raw)]).dictionary_encode()
-        different = cut.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.pieces) > self.remember or len(self.ids) > 8 * self.remember:
+        if len(self.pieces) > self.remember or max(len(self.begins), len(self.ids) // 4) > 2 * self.remember:
             self.forget()
-        known = list(map(self.pieces.get, different))
-        at = [k for k, number in enumerate(known) if number is None]
-        fresh = [different[k] for k in at]
-        made = [self.merge(p) for p in fresh]
-        for k, number in zip(at, itertools.count(len(self.pieces)), strict=False):
-            known[k] = number
-        self.pieces.update(zip(fresh, itertools.count(len(self.pieces))))
-        self.begins = np.concatenate([self.begins, len(self.ids) + np.cumsum([len(m) for m in made], dtype=np.int64)])
-        self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(made), np.int32)])
-        return np.array(known, np.int64)[cut.indices.to_numpy()]
+        out = np.empty(len(sizes), np.int64)
+        eight = np.ndarray(len(raw) + 8, "<u8", raw + bytes(15), strides=(1,))
+        most = 0 if b"\0" in raw else 8  # bytes 0 are those after a piece
+
+        def pieces(of: np.ndarray) -> list[bytes]:
+            return [raw[a:a + n] for a, n in zip(starts[of].tolist(), sizes[of].tolist(), strict=True)]
+
+        short = np.flatnonzero(sizes <= most)
+        out[short] = self.short.of(eight[starts[short]] & self.FIRST[sizes[short]], lambda new: self.learned(pieces(short[new])))
+        middle = np.flatnonzero((sizes > most) & (sizes <= 2 * most))
+        half = [eight[starts[middle]], eight[starts[middle] + 8] & self.FIRST[np.maximum(sizes[middle] - 8, 0)]]
+        one, two = (self.halves.of(h, self.halves.further).astype(np.uint64) for h in half)
+        out[middle] = self.middle.of(one << SHIFT | two, lambda new: self.learned(pieces(middle[new])))
+        rest = np.flatnonzero(sizes > 2 * most)
+        long = pieces(rest)
+        fresh = list(dict.fromkeys(p for p in long if p not in self.pieces))
+        self.pieces.update(zip(fresh, self.learned(fresh).tolist(), strict=True))
+        out[rest] = [self.pieces[p] for p in long]
+        return out
 
     def encode_plain(self, texts: list[bytes], end: int) -> tuple[list[int], np.ndarray]:
         """(lengths, all ids) of texts given by their code points, all below 256."""
         if not texts:
             return [], np.zeros(0, "<i4")
-        raw, edges, stops = self.cut(texts)
-        numbers = self.numbers(raw, edges)
+        raw, starts, sizes, stops = self.cut(texts)
+        numbers = self.numbers(raw, starts, sizes)
         numbers[stops] = 0
         self.ids[0] = end
-        begins = self.begins[numbers]
-        ends = np.cumsum(self.begins[numbers + 1] - begins)
-        size = np.diff(ends, prepend=0)
-        return np.diff(ends[stops], prepend=0).tolist(), self.ids[np.repeat(begins - ends + size, size) + np.arange(ends[-1])]
+        begins = pick(self.begins, numbers)
+        size = pick(self.begins, numbers + 1) - begins
+        ends = np.cumsum(size)
+        return np.diff(ends[stops], prepend=0).tolist(), pick(self.ids, np.repeat(begins - ends + size, size) + np.arange(ends[-1]))
 
     def packed(self, split: list[list[str]], known: dict[str, bytes], make: Callable[[list[str]], dict[str, bytes]]) -> list[bytes]:
         """Packed ids of texts given as parts; short parts are remembered."""

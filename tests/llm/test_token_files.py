@@ -130,3 +130,44 @@ def test_a_step_reads_the_model_once_for_what_lies_together(monkeypatch):
     assert all((a == b).all() for a, b in zip(back, blocks, strict=True))
     assert of_model == [4 * 1000, 7 * 1000]  # 7 and 12 a step, when followers, weights, starts and counts were arrays of their own
     assert zlib.crc32(b"".join(payloads)) == 3378777920  # of the former code: files stay the same
+
+
+@pytest.mark.parametrize("remember", [2, 600_000])
+def test_short_pieces_are_told_by_numbers(remember):
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abÿé"), n)) for n in (1, 2, 7, 8, 9, 15, 16, 17, 30) for _ in range(40)]
+    texts = [" ".join(rng.permutation(words)) for _ in range(3)] + ["abcdefgh abcdefghabcdefgh abcdefghi abcdefgh", "aaaaaaaabbbbbbbb bbbbbbbbaaaaaaaa", ""]
+    nuls = ["\x00", "\x00\x00 \x00", "a\x00 a !\x00 ! \x00\x00\x00\x00\x00\x00\x00\x00\x00", "abcdefgh\x00"]
+    library, encoder = Tokenizer.from_file(VOCABULARY), x.Encoder(VOCABULARY, remember)
+    for part in (texts, nuls, texts[::-1], texts + nuls):
+        lengths, ids = encoder.encode(part, 1)
+        expected = [[*library.encode(t, add_special_tokens=False).ids, 1] for t in part]
+        assert lengths == [len(e) for e in expected] and ids.tolist() == sum(expected, [])
+    encoder.forget()
+    encoder.encode(texts, 1)
+    assert {len(p) for p in encoder.pieces} == {17, 30}  # all of them, when each was a key of a dictionary
+
+
+def test_counts_are_taken_some_lanes_at_a_time(monkeypatch):
+    rng = np.random.default_rng(3)
+    blocks = [np.unique(rng.integers(0, w, n), return_inverse=True)[1] for w, n in ((300, 900), (5, 900), (70, 900), (1, 400), (1, 1))]
+    widths = np.array([b.max() + 1 for b in blocks])
+    payloads = x.encode_blocks(blocks, widths)
+    sizes, plain = [], np.bincount
+
+    def counted(values, minlength):
+        sizes.append(minlength)
+        return plain(values, minlength=minlength)
+
+    monkeypatch.setattr(np, "bincount", counted)
+    monkeypatch.setattr(x, "NEAR", 2)
+    assert x.encode_blocks(blocks, widths) == payloads
+    assert max(sizes) == widths[0] + widths[1]  # the sum of all widths, when the lanes were counted in one go
+    assert all((a == b).all() for a, b in zip(x.decode_blocks(payloads, [len(b) for b in blocks], widths), blocks, strict=True))
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(0, 1), min_size=1, max_size=70), st.integers(0, 3000))
+def test_running_sums(values, times):
+    values = np.array((values * (1 + times))[:4 * (len(values) * (1 + times) // 4)], np.int16)
+    assert (x.running(values) == np.cumsum(values, dtype=np.int16)).all()
