@@ -467,10 +467,12 @@ class Encoder:
 
     def learned(self, pieces: list[bytes]) -> np.ndarray:
         """Numbers of pieces that are new to the store."""
-        made = [self.merge(p) for p in pieces]
-        count = len(self.begins) - 1
-        self.begins = np.concatenate([self.begins, len(self.ids) + np.cumsum([len(m) for m in made], dtype=np.int64)])
-        self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(made), np.int32)])
+        ids, ends, count = [], [], len(self.begins) - 1
+        for piece in pieces:  # lists are not kept, since the garbage collector would go through all of them time and again
+            ids += self.merge(piece)
+            ends.append(len(ids))
+        self.begins = np.concatenate([self.begins, len(self.ids) + np.array(ends, np.int64)])
+        self.ids = np.concatenate([self.ids, np.array(ids, np.int32)])
         return count + np.arange(len(pieces))
 
     def numbers(self, raw: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
