@@ -40,16 +40,21 @@ def slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         yield at, len(sizes) - at
 
 
-#: Rows of an Arrow batch at most: a batch lies in the JVM and in the Python worker at once.
+#: Rows and bytes of an Arrow batch at most (a longer row is a batch of its own): a batch lies in the JVM and in the Python worker at once.
 BATCH_ROWS = 2000
+BATCH_BYTES = 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to ``BATCH_ROWS`` rows where they are larger."""
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes where they are larger."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
 def append_struct(df: DataFrame, text_col: str, fn: Callable[[list], pa.StructArray], schema: T.StructType, into: str, slice_bytes: int = 4 << 20) -> DataFrame:

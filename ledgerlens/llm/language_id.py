@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_struct, fresh_name, shared_dir, slices, small_batches
+from .common import fresh_name, shared_dir, slices, small_batches
 
 BUCKETS = 1 << 14
 UNIFORM = -math.log(BUCKETS)
@@ -108,15 +108,20 @@ def fit_text(rows: DataFrame, text_col: str, declared: Column, *, min_share: flo
 
 
 def scored(rows: DataFrame, model: TextModel, text_col: str, into: str, temper: float) -> DataFrame:
+    """``rows`` with struct ``into`` (RESULT). Only texts go to Python and only scores come back; the other columns stay in the JVM."""
+    small_batches(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
-    def run(texts: list) -> pa.StructArray:
-        n, out = shared.value.score(texts, temper)
+    def run(texts: pa.Array) -> pa.Array:
+        parts = [shared.value.score(texts.slice(at, length).to_pylist(), temper) for at, length in slices(texts, 1 << 20)]
+        n, out = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else shared.value.score([], temper)
         width = out.shape[1]
         score = pa.ListArray.from_arrays(pa.array(np.arange(0, len(texts) * width + 1, max(1, width), dtype=np.int32) if width else np.zeros(len(texts) + 1, np.int32)), pa.array(out.ravel(), pa.float32()))
         return pa.StructArray.from_arrays([pa.array(n), score], names=["n", "score"])
 
-    return append_struct(rows, text_col, run, RESULT, into, slice_bytes=1 << 20)
+    # Nondeterministic to the optimizer, so that no filter or projection above runs it a second time.
+    score = F.arrow_udf(run, RESULT).asNondeterministic()
+    return rows.withColumn(into, score(F.col(f"`{text_col}`").cast("binary")))
 
 
 def best(score: Column, languages: list[str]) -> Column:

@@ -45,6 +45,7 @@ from .components import components
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 REMEMBER = 200_000
+CLASSES = 1 << 14  # of a batch that a part's count returns
 
 
 class Shingler:
@@ -120,7 +121,7 @@ def dealt(docs: DataFrame, n: int, parts: int) -> DataFrame:
                 h = np.array([class_of(s) for s in sets], np.int64)
                 _, first = np.unique(h, return_index=True)  # equal sets of a batch go once
                 sets, sizes, h = [sets[k] for k in first], sizes[first], h[first]
-                flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+                flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
                 part = ((flat >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
                 order = np.argsort(part, kind="stable")  # within a part, classes stay in order
                 flat, owner, part = flat[order].astype(np.uint32), owner[order], part[order]
@@ -143,34 +144,42 @@ def shared_shingles(packed: DataFrame) -> DataFrame:
         for b in batches:
             for row in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
                 if row[0] != part and held:
-                    yield counted(part, held)
+                    yield from counted(part, held)
                     held = []
                 part = row[0]
                 held.append(row[1:])
         if held:
-            yield counted(part, held)
+            yield from counted(part, held)
 
-    def counted(part: int, rows: list[tuple]) -> pa.RecordBatch:
+    def counted(part: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         h = np.concatenate([np.frombuffer(r[0], np.int64) for r in rows])
         sizes = np.concatenate([np.frombuffer(r[1], "<u4", len(r[0]) // 8) for r in rows])
         count = np.concatenate([np.frombuffer(r[1], "<u4", -1, len(r[0]) // 2) for r in rows])
         flat = np.concatenate([np.frombuffer(r[2], np.uint32) for r in rows])
+        rows.clear()  # else the part lies here twice while it is sorted
         # Equal classes of several batches count once.
         _, first = np.unique(h, return_index=True)
         once = np.zeros(len(h), bool)
         once[first] = True
-        flat, owner = flat[np.repeat(once, count)], np.repeat(np.flatnonzero(once), count[once])
-        values, index, times = np.unique(flat, return_inverse=True, return_counts=True)
-        many = times[index] > 1
-        flat, owner = flat[many], owner[many]
-        often = np.minimum(255, 16 * np.log2(times[index[many]])).astype(np.uint8)
-        who, begin = np.unique(owner, return_index=True)
-        end = [*begin[1:].tolist(), len(flat)]
-        raw, rank = flat.tobytes(), often.tobytes()
-        return pa.RecordBatch.from_arrays([
-            pa.array(h[who]), pa.array(sizes[who].astype(np.int64)), pa.array(np.full(len(who), part, np.int32)),
-            pa.array([raw[4 * a:4 * b] for a, b in zip(begin.tolist(), end, strict=True)], pa.binary()),
-            pa.array([rank[a:b] for a, b in zip(begin.tolist(), end, strict=True)], pa.binary())], names=["h", "n", "part", "shingles", "held"])
+        flat, owner = flat[np.repeat(once, count)], np.repeat(np.flatnonzero(once).astype(np.int32), count[once])
+        if not len(flat):
+            return
+        order = np.argsort(flat)
+        ordered = flat[order]
+        times = np.diff(np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]])))
+        often = np.empty(len(flat), np.uint8)
+        often[order] = np.repeat(np.minimum(255, 16 * np.log2(times)).astype(np.uint8), times)
+        del order, ordered
+        many = often > 0  # 0: of one class alone
+        flat, owner, often = flat[many], owner[many], often[many]
+        begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
+        who = owner[begin]
+        edge = np.append(begin, len(flat))
+        for k in range(0, len(who), CLASSES):
+            few, at = who[k:k + CLASSES], edge[k:k + CLASSES + 1]
+            offsets = (at - at[0]).astype(np.int32)
+            lists = [pa.Array.from_buffers(pa.binary(), len(few), [None, pa.py_buffer(offsets * np.int32(c.itemsize)), pa.py_buffer(c[at[0]:at[-1]])]) for c in (flat, often)]
+            yield pa.RecordBatch.from_arrays([pa.array(h[few]), pa.array(sizes[few].astype(np.int64)), pa.array(np.full(len(few), part, np.int32)), *lists], names=["h", "n", "part", "shingles", "held"])
 
     return packed.repartition(F.col("part")).sortWithinPartitions("part").mapInArrow(run, "h long, n long, part int, shingles binary, held binary")
 

@@ -87,3 +87,16 @@ def test_rare_undeclared_and_unmodelled_languages(spark):
         assert (got[k].language, got[k].accepted) == ("und", False), k
     assert (got[400_002].language, got[400_002].accepted) == ("en", True)
     assert out.where("id < 300000 and not (l.accepted and l.language = lang)").count() == 0
+
+
+def test_only_texts_go_to_python_and_once(spark):
+    df = spark.createDataFrame([(k, "the house", "en", "x" * 50) for k in range(30)], "id int, text string, lang string, other string")
+    model = x.fit_text(df, "text", F.col("lang"))
+    scored = x.scored(df, model, "text", "s", 1.0)
+    plans = [scored, scored.where("s.n > 0").select("id", "s.n", "s.score"), x.identify(df, text_col="text", declared=F.col("lang"), host=F.lit("h"), text_model=model, into="l").where("l.accepted")]
+    for plan in (f._jdf.queryExecution().optimizedPlan().toString() for f in plans):
+        assert plan.count("ArrowEvalPython") == 1 and "MapInArrow" not in plan
+    assert {(r.n, len(r.score)) for r in plans[1].collect()} == {(9, 1)}
+    for odd in ([], [("a", None), (None, "en")]):
+        out = x.scored(spark.createDataFrame(odd, "text string, lang string"), model, "text", "s", 1.0).collect()
+        assert [len(r.s.score) for r in out] == [1] * len(odd)

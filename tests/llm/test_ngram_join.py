@@ -3,10 +3,13 @@ import re
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ledgerlens.llm import ngram_join as x
+from ledgerlens.llm.common import small_batches
 from ledgerlens.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -118,3 +121,32 @@ def test_checkpoints_of_few_edges_are_few_files(spark):
     files = {d.name: len(list(d.glob("part-*"))) for d in Path(folder.removeprefix("file:")).glob("rdd-*")}
     first, *steps = (files[k] for k in sorted(files, key=lambda k: int(k[4:])))
     assert first == 12 and steps and set(steps) == {1}
+
+
+def test_documents_that_share_no_shingle(spark):
+    rows = [(3, "a b c d e f g"), (2, "h i j k l m"), (9, "w"), (4, None)]
+    got = x.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == [(2, 2, 2), (3, 3, 3), (4, 0, 4), (9, 1, 9)]
+
+
+def test_count_of_a_part_comes_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(x, "CLASSES", 3)
+    rows = near_copies(5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted({tuple(r) for r in x.near_duplicates(docs, parts=2).collect()}) == sorted(brute(rows))
+    packed = x.dealt(docs.select(F.col("text").cast("binary").alias("text")), 5, 2)
+
+    class Plain:
+        def __getattr__(self, name):
+            return lambda *a: self if name != "mapInArrow" else a[0]
+
+    batches = packed.where("part = 0").toArrow().to_batches()
+    made = list(x.shared_shingles(Plain())(iter(batches)))
+    assert len(made) > 5 and max(b.num_rows for b in made) == 3 and sum(b.num_rows for b in made) == x.shared_shingles(packed).where("part = 0").count()
+
+
+def test_arrow_batches_of_long_rows_are_few_bytes(spark):
+    small_batches(spark)
+    long = spark.range(0, 400, 1, 1).selectExpr("repeat(cast(id as string), 40000) as text")
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches)
+    assert max(r.n for r in long.mapInArrow(sizes, "n long").collect()) < 9 << 20
