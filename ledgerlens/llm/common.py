@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -94,6 +95,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written meanwhile go when it is written, not when the driver happens to collect its garbage.
+
+    A setting of the session that Spark 4.1 knows; an older one keeps the files as before.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def written(spark: SparkSession, df: DataFrame, name: str, *, partition_by: tuple[str, ...] = (), rows_per_file: int = 0) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
